@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from tidemark.llm import pii, quality_classifier, quality_rules, secrets, url_filter
+from tidemark.llm import decontaminate, line_dedup, mixing, parity_join, pii, quality_classifier, quality_rules, secrets, substring_dedup, url_filter
 from tidemark.llm.common import documents
 
 
@@ -18,6 +18,22 @@ def op2_pii_sanitisation(spark: SparkSession, sf_dir: str) -> DataFrame:
     return pii.find(documents(spark, sf_dir))
 
 
+def op3_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return decontaminate.report(documents(spark, sf_dir), spark.read.parquet(f"{sf_dir}/benchmark.parquet"))
+
+
+def op4_repeated_bytes(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return substring_dedup.report(documents(spark, sf_dir))
+
+
+def op5_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return line_dedup.line_report(documents(spark, sf_dir))
+
+
+def op6_soft_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return mixing.rates(documents(spark, sf_dir), spark.read.parquet(f"{sf_dir}/labels.parquet"))
+
+
 def op7_url_filter(spark: SparkSession, sf_dir: str) -> DataFrame:
     return url_filter.judge_pages(spark.read.parquet(f"{sf_dir}/pages.parquet"))
 
@@ -30,9 +46,13 @@ def op9_secret_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
     return secrets.scan(documents(spark, sf_dir))
 
 
+def op10_parity_sketch_join(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return parity_join.components(documents(spark, sf_dir))
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {f.__name__: f for f in (op1_quality_rule_ensemble, op2_pii_sanitisation, op7_url_filter, op8_quality_rules, op9_secret_scan)}
+    return {f.__name__: f for f in (op1_quality_rule_ensemble, op2_pii_sanitisation, op3_decontamination, op4_repeated_bytes, op5_line_dedup, op6_soft_mixing, op7_url_filter, op8_quality_rules, op9_secret_scan, op10_parity_sketch_join)}
 
 
 def oracle_sql() -> dict[str, str]:
-    return {"op7_url_filter": url_filter.ORACLE_SQL}
+    return {"op4_repeated_bytes": substring_dedup.ORACLE_SQL, "op7_url_filter": url_filter.ORACLE_SQL}
