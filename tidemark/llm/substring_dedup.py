@@ -278,8 +278,9 @@ def sorted_spans(contexts: DataFrame, rule: Repeats) -> DataFrame:
         matrix = lambda k: np.frombuffer(b"".join(t.column(k).to_pylist()), dtype=np.uint8).reshape(len(gram), pad)
         group = np.cumsum(np.append(True, gram[1:] != gram[:-1]))
         most, least, at = (place >> 7) & 127, place & 127, place >> 14
-        # rows come sorted by gram, doc_id and place, so their number is a rank within the gram
-        hit = repeated_windows(group, np.arange(len(gram)), most, least, matrix("right"), matrix("left"), rule)
+        # rows come sorted by gram, doc_id and place, so the number of different ones is a rank within the gram; a repeated row has the same rank
+        rank = np.cumsum(np.append(True, (gram[1:] != gram[:-1]) | (ids[1:] != ids[:-1]) | (place[1:] != place[:-1])))
+        hit = repeated_windows(group, rank, most, least, matrix("right"), matrix("left"), rule)
         edge = np.diff(np.pad(hit.astype(np.int8), ((0, 0), (1, 1))), axis=1)
         row, low = np.nonzero(edge == 1)
         _, high = np.nonzero(edge == -1)
