@@ -51,7 +51,9 @@ def shingles(text):
     return {tuple(w[i : i + 5]) for i in range(max(1, len(w) - 4))} if w else set()
 
 
-def test_parity_join_matches_brute_force(docs, none):
+@pytest.mark.parametrize("hot", [24, 2])
+def test_parity_join_matches_brute_force(docs, none, hot):
+    rule = parity_join.Join(hot=hot, portion=2)
     rows = [(r.doc_id, shingles(r.text)) for r in docs.collect()]
     ids = {i for i, _ in rows if i is not None}
     of = dict(rows)
@@ -67,9 +69,9 @@ def test_parity_join_matches_brute_force(docs, none):
             if a < b and of[a] and of[b] and 100 * len(of[a] & of[b]) >= 80 * len(of[a] | of[b]):
                 x, y = sorted((find(a), find(b)))
                 parent[y] = x
-    got = sorted((r.doc_id is None, r.doc_id, r.n_shingles, r.component_id) for r in parity_join.components(docs).collect() if r.doc_id is not None)
+    got = sorted((r.doc_id is None, r.doc_id, r.n_shingles, r.component_id) for r in parity_join.components(docs, rule).collect() if r.doc_id is not None)
     assert got == sorted((False, i, len(s), find(i)) for i, s in rows if i is not None)
-    nulls = [r for r in parity_join.components(docs).collect() if r.doc_id is None]
+    nulls = [r for r in parity_join.components(docs, rule).collect() if r.doc_id is None]
     assert [(r.n_shingles, r.component_id) for r in nulls] == [(len(of[11]), None)]
     assert parity_join.components(none).count() == 0
     kept = parity_join.keep_one(docs)
@@ -89,7 +91,10 @@ def test_linked_sets_share_a_block_key(band):
             b = np.unique(np.concatenate([a[few:], g.integers(0, 2**63, int(g.integers(0, few + 1)), dtype=np.uint64)]))
             same = len(np.intersect1d(a, b))
             if len(b) and 100 * same >= 80 * (len(a) + len(b) - same):
-                assert len(np.intersect1d(parity_join.block_keys(a, ends, rule), parity_join.block_keys(b, ends, rule)))
+                shared = np.intersect1d(parity_join.block_keys(a, ends, rule)[0], parity_join.block_keys(b, ends, rule)[0])
+                band = int(np.searchsorted(ends, max(len(a), len(b)), side="right")) - 1
+                spare = parity_join.blocks_of(band, ends, rule)[1]
+                assert len(shared) >= spare // 2 + 1 if spare else np.array_equal(a, b)
                 bits = sum(int(x).bit_count() for x in (parity_join.sketch(a) ^ parity_join.sketch(b)).view(np.uint64))
                 assert bits <= len(a) + len(b) - 2 * same
 

@@ -5,15 +5,19 @@ A document's set holds its distinct shingles of five words (A-Z lower-cased), as
 
 A parity sketch deals the shingles into m blocks and XORs the hashes of each block. A shingle that only one set holds
 changes one block, so the number of blocks that differ (a Hamming distance) is a lower bound of the symmetric
-difference. With D the largest difference in a band of sizes and m > D blocks, linked sets agree in at least m - D
-blocks (pigeonhole), so they meet in a join of the blocks. Blocks that are zero say nothing and aren't emitted, unless a
-set has m - D or more of them; two sets that agree only in zero blocks both have that many.
+difference. With D the largest difference in a band of sizes and m > D blocks, linked sets agree in at least
+s = m - D blocks (pigeonhole), so they meet in a join of the blocks.
 
-Equal sets are one node. In a block's group each node is paired with the group's first node and with the one before it,
-which keeps a large group of near copies linear; pairs are verified on whole sets and their components found. Groups
-that still hold several components are joined once more, only across components, with a 1024-bit parity sketch whose
-Hamming distance must not exceed D, and verified. So no link between components is lost, and no group emits all its
-pairs when its members are linked.
+Blocks that say little are left out where the count allows it. A set with fewer than s/2 zero blocks doesn't emit them:
+a linked set then shares more than s/2 others. A group of more than `hot` sets (a block with nothing but a very common
+passage, or many near copies) only keeps the sets of which more than s/2 blocks in that band are in such groups: all
+others that are linked meet in a smaller group as well. Both rules only use what agreeing blocks have in common, so they
+lose no link.
+
+Equal sets are one node. Within a group, each node is paired with the group's first node and with the one before it,
+which keeps a large group of near copies linear. Pairs are sifted by size and by a 1024-bit parity sketch, whose Hamming
+distance must not exceed D, and verified on whole sets: first each node with the partner it meets most often, then those
+pairs that still join two components, then, in groups that still hold several components, all pairs across them.
 
 Defined cases: null and empty texts, and texts without words, have no set (0 shingles), are linked with nothing and are
 their own component. With fewer than five words the whole sequence is the only shingle. Rows with a null doc_id get a
@@ -45,6 +49,10 @@ class Join:
     percent: int = 80
     #: Ratio between the ends of a band of sizes.
     band: float = 2.0
+    #: Sets in a group from which on it only keeps those with many such groups.
+    hot: int = 24
+    #: Pairs that one task verifies with one set at a time.
+    portion: int = 512
 
 
 def mixed(h: np.ndarray) -> np.ndarray:
@@ -105,25 +113,29 @@ def most_apart(size: int, rule: Join) -> int:
 
 
 def blocks_of(band: int, ends: list[int], rule: Join) -> tuple[int, int]:
-    """(m, D) of a band: some more blocks than D + 1, so that a few zero blocks don't matter."""
+    """(m, s) of a band: its blocks, and how many of them linked sets agree in at least. (0, 0) where only equal sets are linked."""
     d = most_apart(ends[band + 1] - 1, rule)
-    return d + 1 + d // 16 + (d > 0), d
+    spare = 4 + d // 5
+    return (d + spare, spare) if d else (0, 0)
 
 
-def block_keys(shingles: np.ndarray, ends: list[int], rule: Join) -> np.ndarray:
-    """The keys of a set in its own band and, as the smaller one, in each further band that a partner may be in."""
-    n, out = len(shingles), []
+def block_keys(shingles: np.ndarray, ends: list[int], rule: Join) -> tuple[np.ndarray, np.ndarray]:
+    """(key, band) of a set in its own band and, as the smaller one, in each further band that a partner may be in."""
+    n, out, of_band = len(shingles), [np.zeros(0, np.uint64)], [np.zeros(0, np.int8)]
     own = int(np.searchsorted(ends, n, side="right")) - 1
     last = int(np.searchsorted(ends, n * 100 // rule.percent, side="right")) - 1
     for band in range(own, last + 1):
-        m, d = blocks_of(band, ends, rule)
+        m, spare = blocks_of(band, ends, rule)
+        if not m:
+            continue
         of = ((shingles >> np.uint64(20)) % np.uint64(m)).astype(np.int64)
         xor = np.zeros(m, dtype=np.uint64)
         np.bitwise_xor.at(xor, of, shingles)
         zero = xor == 0
-        emit = np.arange(m) if int(zero.sum()) >= m - d else np.flatnonzero(~zero)
+        emit = np.arange(m) if int(zero.sum()) >= (spare + 1) // 2 else np.flatnonzero(~zero)
         out.append(mixed(mixed(xor[emit]) + np.uint64(band * int(_A) % 2**64) + emit.astype(np.uint64) * _B))
-    return np.unique(np.concatenate(out)) if out else np.zeros(0, np.uint64)
+        of_band.append(np.full(len(emit), band, np.int8))
+    return np.concatenate(out), np.concatenate(of_band)
 
 
 def sketch(shingles: np.ndarray) -> np.ndarray:
@@ -133,115 +145,159 @@ def sketch(shingles: np.ndarray) -> np.ndarray:
 
 
 def sets_of(docs: DataFrame, rule: Join) -> DataFrame:
-    """doc_id, node (null without a set) and n_shingles for each row."""
+    """doc_id, node and sketch (null without a set) and n_shingles for each row."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
             sets = [shingle_set(w, rule.words) for w in word_hashes(b.column(1).to_pylist())] if b.num_rows else []
-            yield pa.RecordBatch.from_arrays([b.column(0), pa.array([node_of(s) if len(s) else None for s in sets], pa.int64()), pa.array([len(s) for s in sets], pa.int64())], names=["doc_id", "node", "n_shingles"])
+            nodes = pa.array([node_of(s) if len(s) else None for s in sets], pa.int64())
+            sketches = pa.array([sketch(s).tolist() if len(s) else None for s in sets], pa.list_(pa.int64()))
+            yield pa.RecordBatch.from_arrays([b.column(0), nodes, pa.array([len(s) for s in sets], pa.int64()), sketches], names=["doc_id", "node", "n_shingles", "sketch"])
 
-    return id_text(docs).mapInArrow(run, "doc_id long, node long, n_shingles long")
+    return id_text(docs).mapInArrow(run, "doc_id long, node long, n_shingles long, sketch array<long>")
 
 
 def keys_of(docs: DataFrame, rule: Join) -> DataFrame:
-    """(key, node) of every set."""
+    """(key, node, band) of every set."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         ends = band_ends(rule)
         for b in batches:
             done: set[int] = set()
-            keys, nodes = [], []
+            keys, bands, nodes = [], [], []
             for words in word_hashes(b.column(1).to_pylist()) if b.num_rows else []:
                 s = shingle_set(words, rule.words)
                 if len(s) and (node := node_of(s)) not in done:
                     done.add(node)
-                    keys.append(block_keys(s, ends, rule))
-                    nodes.append(np.full(len(keys[-1]), node, dtype=np.int64))
+                    key, band = block_keys(s, ends, rule)
+                    keys.append(key)
+                    bands.append(band)
+                    nodes.append(np.full(len(key), node, dtype=np.int64))
             if keys:
-                yield from arrow_batches([("key", np.concatenate(keys).view(np.int64), pa.int64()), ("node", np.concatenate(nodes), pa.int64())])
-
-    return id_text(docs).mapInArrow(run, "key long, node long")
-
+                yield from arrow_batches([("key", np.concatenate(keys).view(np.int64), pa.int64()), ("node", np.concatenate(nodes), pa.int64()), ("band", np.concatenate(bands), pa.int8())])
+
+    return id_text(docs).mapInArrow(run, "key long, node long, band byte")
+
+
+def groups(docs: DataFrame, scratch: Scratch, rule: Join) -> DataFrame:
+    """(key, node) of the groups of two or more different nodes, large ones without the nodes that surely meet elsewhere."""
+    ordered = Window.partitionBy("key").orderBy("node")
+    rows = keys_of(docs, rule).withColumn("before", F.lag("node").over(ordered)).where("before is null or before != node")
+    met = scratch.keep(rows.withColumn("n", F.count("*").over(Window.partitionBy("key"))).where("n > 1").select("key", "node", "band", "n"))
+    ends = band_ends(rule)
+    least = F.array(*[F.lit(blocks_of(i, ends, rule)[1] // 2 + 1) for i in range(len(ends) - 1)])
+    held = met.where(F.col("n") > rule.hot).groupBy("node", "band").count().where(F.col("count") >= F.element_at(least, F.col("band") + 1))
+    kept = met.where(F.col("n") <= rule.hot).select("key", "node").unionByName(met.where(F.col("n") > rule.hot).join(held, ["node", "band"], "left_semi").select("key", "node"))
+    out = scratch.keep(kept)
+    scratch.drop(met)
+    return out
 
-def payload(docs: DataFrame, wanted: DataFrame, rule: Join) -> DataFrame:
-    """(node, shingles, sketch) for the wanted nodes (doc_id, node), by one document of each."""
-    if wanted.count() <= BROADCAST_ROWS:
-        wanted = F.broadcast(wanted)
-    chosen = id_text(docs).join(wanted, "doc_id").select("node", "text")
 
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for b in batches:
-            sets = [shingle_set(w, rule.words) for w in word_hashes(b.column(1).to_pylist())] if b.num_rows else []
-            named = [node_of(s) if len(s) else None for s in sets]
-            at = [i for i, n in enumerate(b.column(0).to_pylist()) if n == named[i]]  # a repeated doc_id may have another text
-            yield pa.RecordBatch.from_arrays([pa.array([named[i] for i in at], pa.int64()), pa.array([sets[i].tobytes() for i in at], pa.binary()), pa.array([sketch(sets[i]).tolist() for i in at], pa.list_(pa.int64()))], names=["node", "shingles", "sketch"])
-
-    return chosen.mapInArrow(run, "node long, shingles binary, sketch array<long>").dropDuplicates(["node"])
+def hamming(a: Column, b: Column) -> Column:
+    out = F.lit(0)
+    for i in range(SKETCH_WORDS):
+        out = out + F.bit_count(a[i].bitwiseXOR(b[i]))
+    return out
 
 
-def linked(pairs: DataFrame, sets: DataFrame, rule: Join) -> DataFrame:
-    """The pairs (a, b) whose whole sets are similar enough."""
-    left = sets.select(F.col("node").alias("a"), F.col("shingles").alias("of_a"))
-    right = sets.select(F.col("node").alias("b"), F.col("shingles").alias("of_b"))
-    both = pairs.join(right, "b").join(left, "a").select("a", "b", "of_a", "of_b")
+def sifted(pairs: DataFrame, info: DataFrame, rule: Join) -> DataFrame:
+    """The pairs (a, b, ...) whose sizes and sketches allow a link."""
+    side = lambda k: info.select(F.col("node").alias(k), F.col("size").alias(f"size_{k}"), F.col("sketch").alias(f"sketch_{k}"))
+    sizes = 100 * F.least("size_a", "size_b") >= rule.percent * F.greatest("size_a", "size_b")
+    near = (100 + rule.percent) * hamming(F.col("sketch_a"), F.col("sketch_b")) <= (100 - rule.percent) * (F.col("size_a") + F.col("size_b"))
+    return pairs.join(side("a"), "a").join(side("b"), "b").where(sizes & near).select(*pairs.columns)
 
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            keep = []
-            for x, y in zip(batch.column(2), batch.column(3), strict=True):
-                p, q = (np.frombuffer(v.as_buffer(), dtype=np.uint64) for v in (x, y))
-                if 100 * min(len(p), len(q)) < rule.percent * max(len(p), len(q)):
-                    keep.append(False)
-                    continue
-                same = len(p) + len(q) - len(np.unique(np.concatenate([p, q])))
-                keep.append(100 * same >= rule.percent * (len(p) + len(q) - same))
-            yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1)], names=["a", "b"]).filter(pa.array(keep, pa.bool_()))
 
-    return both.mapInArrow(run, "a long, b long")
+def linked(docs: DataFrame, pairs: DataFrame, info: DataFrame, scratch: Scratch, rule: Join) -> DataFrame:
+    """The pairs (a, b) whose whole sets are similar enough. Each set b goes to its hub a, a hub with many in portions."""
+    hubs = pairs.groupBy("a").agg(F.ceil(F.count("*") / rule.portion).alias("parts"))
+    dealt = pairs.join(hubs, "a").select("a", "b", F.pmod(F.xxhash64("b"), F.col("parts")).alias("part"))
+    roles = dealt.select(F.col("b").alias("node"), F.struct(F.col("a").alias("hub"), "part", F.lit(True).alias("member")).alias("role"))
+    roles = roles.unionByName(dealt.select(F.col("a").alias("node"), F.struct(F.col("a").alias("hub"), "part", F.lit(False).alias("member")).alias("role")).distinct())
+    wanted = scratch.keep(roles.groupBy("node").agg(F.collect_list("role").alias("roles")).join(info.select("node", "doc_id"), "node"))
+    chosen = id_text(docs).join(F.broadcast(wanted) if wanted.count() <= BROADCAST_ROWS else wanted, "doc_id").select("node", "text", "roles")
 
+    def deal(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        names = ["hub", "part", "member", "node", "shingles"]
+        for b in batches:
+            rows = []
+            for node, words, roles in zip(b.column(0).to_pylist(), word_hashes(b.column(1).to_pylist()) if b.num_rows else [], b.column(2).to_pylist(), strict=True):
+                s = shingle_set(words, rule.words)
+                if len(s) and node_of(s) == node:  # a repeated doc_id may have another text
+                    rows += [(r["hub"], r["part"], r["member"], node, s.tobytes()) for r in roles]
+            cols = list(zip(*rows, strict=True)) or [[]] * 5
+            yield from arrow_batches(list(zip(names, cols, (pa.int64(), pa.int64(), pa.bool_(), pa.int64(), pa.binary()), strict=True)), 1000)
 
-def hamming(a: Column, b: Column) -> Column:
-    out = F.lit(0)
-    for i in range(SKETCH_WORDS):
-        out = out + F.bit_count(a[i].bitwiseXOR(b[i]))
-    return out
+    def verify(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        at, own = None, np.zeros(0, np.uint64)
+        for b in batches:
+            found = []
+            for hub, part, member, node, data in zip(*(b.column(k).to_pylist() for k in range(5)), strict=True):
+                s = np.frombuffer(data, dtype=np.uint64)
+                if not member:
+                    at, own = (hub, part), s
+                elif at == (hub, part):
+                    same = len(own) + len(s) - len(np.union1d(own, s))
+                    if 100 * same >= rule.percent * (len(own) + len(s) - same):
+                        found.append((hub, node))
+            yield pa.RecordBatch.from_arrays([pa.array([x[k] for x in found], pa.int64()) for k in (0, 1)], names=["a", "b"])
+
+    rows = chosen.mapInArrow(deal, "hub long, part long, member boolean, node long, shingles binary")
+    return rows.repartition("hub", "part").sortWithinPartitions("hub", "part", "member").mapInArrow(verify, "a long, b long").distinct()
+
+
+def with_parts(rows: DataFrame, parts: DataFrame, node: str, part: str) -> DataFrame:
+    """rows with the component of a node; one without links is its own."""
+    named = parts.select(F.col("node").alias(node), F.col("component").alias(part))
+    return rows.join(named, node, "left").withColumn(part, F.coalesce(part, node))
+
+
+def node_components(docs: DataFrame, nodes: DataFrame, scratch: Scratch, rule: Join) -> DataFrame:
+    """(node, component) of the nodes that are linked with others. nodes: node, doc_id, size, sketch."""
+    met = groups(docs, scratch, rule)
+    info = scratch.keep(nodes.join(met.select("node").distinct(), "node"))
+    ordered = Window.partitionBy("key").orderBy("node")
+    near = met.withColumn("first", F.first("node").over(ordered)).withColumn("before", F.lag("node").over(ordered))
+    pairs = near.select(F.explode(F.array_distinct(F.array("first", "before"))).alias("a"), F.col("node").alias("b")).where("a is not null and a != b")
+    pairs = scratch.keep(sifted(pairs.groupBy("a", "b").agg(F.count("*").alias("k")), info, rule))
+    both = pairs.unionByName(pairs.select(F.col("b").alias("a"), F.col("a").alias("b"), "k"))
+    best = both.groupBy("b").agg(F.max_by("a", F.struct("k", -F.col("a"))).alias("a"))
+    best = best.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct()
+    links = scratch.keep(linked(docs, best, info, scratch, rule))
+    parts = scratch.keep(connected_components(links, scratch))
+    # what still joins two components
+    open_pairs = with_parts(with_parts(pairs, parts, "a", "part_a"), parts, "b", "part_b").where("part_a != part_b").select("a", "b")
+    tried = scratch.keep(open_pairs.join(best, ["a", "b"], "left_anti"))
+    if not tried.isEmpty():
+        links = scratch.keep(links.unionByName(linked(docs, tried, info, scratch, rule)))
+        parts = scratch.keep(connected_components(links, scratch))
+    tried = tried.unionByName(best)
+    # in groups with several components, all pairs across
+    rows = with_parts(met, parts, "node", "part").join(info.select("node", "size"), "node")
+    open_ = rows.groupBy("key").agg(F.min("part").alias("low"), F.max("part").alias("high")).where("low != high").select("key")
+    rows = rows.join(open_, "key", "left_semi")
+    left = rows.select("key", F.col("node").alias("a"), F.col("part").alias("part_a"), F.col("size").alias("size_a"))
+    right = rows.select("key", F.col("node").alias("b"), F.col("part").alias("part_b"), F.col("size").alias("size_b"))
+    fits = (left["key"] == right["key"]) & (F.col("a") < F.col("b")) & (F.col("part_a") != F.col("part_b")) & (100 * F.least("size_a", "size_b") >= rule.percent * F.greatest("size_a", "size_b"))
+    across = left.join(right, fits).select("a", "b").distinct()
+    across = scratch.keep(sifted(across, info, rule).join(tried, ["a", "b"], "left_anti"))
+    if not across.isEmpty():
+        links = links.unionByName(linked(docs, across, info, scratch, rule))
+        parts = scratch.keep(connected_components(links, scratch))
+    return parts
 
 
 def components(docs: DataFrame, rule: Join = Join()) -> DataFrame:
     """doc_id, n_shingles and component_id for each row of docs."""
     scratch = Scratch(docs.sparkSession)
     sets = scratch.keep(sets_of(docs, rule))
-    nodes = sets.where("node is not null and doc_id is not null").groupBy("node").agg(F.min("doc_id").alias("doc_id"), F.max("n_shingles").alias("size"))
-    order = Window.partitionBy("key").orderBy("node")
-    met = keys_of(docs, rule).withColumn("first", F.first("node").over(order)).withColumn("before", F.lag("node").over(order)).withColumn("after", F.lead("node").over(order))
-    # only groups with two different nodes are kept; a node may come from several tasks
-    met = scratch.keep(met.where("node != first or after != node").select("key", "node", "first", "before").distinct())
-    star = met.where("node != first").select(F.col("first").alias("a"), F.col("node").alias("b"))
-    chain = met.where("node != before and before != first").select(F.col("before").alias("a"), F.col("node").alias("b"))
-    pairs = scratch.keep(star.unionByName(chain).distinct())
-    some = scratch.keep(met.select("node").distinct().join(nodes, "node").select("doc_id", "node"))
-    whole = scratch.keep(payload(docs, some, rule))
-    links = scratch.keep(linked(pairs, whole, rule))
-    parts = scratch.keep(connected_components(links, scratch))
-    # groups that still hold several components
-    rows = met.select("key", "node").distinct().join(parts, "node", "left").withColumn("component", F.coalesce("component", "node"))
-    open_ = rows.groupBy("key").agg(F.min("component").alias("low"), F.max("component").alias("high")).where("low != high").select("key")
-    rows = rows.join(open_, "key", "left_semi").join(whole.select("node", "sketch", (F.length("shingles") / 8).cast("long").alias("size")), "node")
-    left = rows.select("key", F.col("node").alias("a"), F.col("component").alias("part_a"), F.col("sketch").alias("sketch_a"), F.col("size").alias("size_a"))
-    right = rows.select("key", F.col("node").alias("b"), F.col("component").alias("part_b"), F.col("sketch").alias("sketch_b"), F.col("size").alias("size_b"))
-    fits = (F.col("part_a") < F.col("part_b")) & (100 * F.least("size_a", "size_b") >= rule.percent * F.greatest("size_a", "size_b"))
-    near = (100 + rule.percent) * hamming(F.col("sketch_a"), F.col("sketch_b")) <= (100 - rule.percent) * (F.col("size_a") + F.col("size_b"))
-    across = left.join(right, on=(left["key"] == right["key"]) & fits & near).select("a", "b").distinct()
-    tried = pairs.select("a", "b").unionByName(pairs.select(F.col("b").alias("a"), F.col("a").alias("b")))
-    more = scratch.keep(linked(across.join(tried, ["a", "b"], "left_anti"), whole, rule))
-    if not more.isEmpty():
-        every = links.unionByName(more)
-        parts = scratch.keep(connected_components(every, scratch))
+    nodes = sets.where("node is not null and doc_id is not null").groupBy("node").agg(F.min("doc_id").alias("doc_id"), F.any_value("n_shingles").alias("size"), F.any_value("sketch").alias("sketch"))
+    parts = node_components(docs, nodes, scratch, rule)
     # a component's name: its smallest doc_id; only linked nodes take part
-    linked_nodes = parts.join(nodes.select("node", "doc_id"), "node")
-    names = linked_nodes.groupBy("component").agg(F.min("doc_id").alias("least"))
-    named = nodes.select("node", "doc_id").withColumnRenamed("doc_id", "own").join(parts.join(names, "component").select("node", "least"), "node", "left").select("node", F.coalesce("least", "own").alias("component_id"))
-    out = sets.join(named, "node", "left").withColumn("component_id", F.when(F.col("doc_id").isNotNull(), F.coalesce("component_id", "doc_id")))
+    own = nodes.select("node", F.col("doc_id").alias("own"))
+    names = parts.join(own, "node").groupBy("component").agg(F.min("own").alias("least"))
+    named = own.join(parts.join(names, "component").select("node", "least"), "node", "left").select("node", F.coalesce("least", "own").alias("component_id"))
+    out = sets.select("doc_id", "node", "n_shingles").join(named, "node", "left").withColumn("component_id", F.when(F.col("doc_id").isNotNull(), F.coalesce("component_id", "doc_id")))
     out = checkpointed(out.select("doc_id", "n_shingles", "component_id"))
     scratch.close()
     return out
