@@ -90,8 +90,8 @@ def finite(c: Column) -> Column:
 
 # --- text
 
-#: Letters that don't come apart into a base letter and a mark.
-FOLD_FROM, FOLD_TO = "àáâãäåçèéêëìíîïñòóôõöùúûüýÿðłøđı", "aaaaaaceeeeiiiinooooouuuuyydlodi"
+#: Accented and barred letters, and the letters they are folded to.
+FOLD_FROM, FOLD_TO = "àáâãäåçèéêëìíîïñòóôõöùúûüýÿðłøđıźżśćńąęčšžřůěťďňőű", "aaaaaaceeeeiiiinooooouuuuyydlodizzscnaecszruetdnou"
 
 
 def fold(c: Column) -> Column:

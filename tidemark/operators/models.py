@@ -115,8 +115,8 @@ def probability(model, df: DataFrame, name: str = "p") -> DataFrame:  # noqa: AN
 
 def platt(scored: DataFrame, p: str, label: str):  # noqa: ANN201
     """A logistic regression on the logit; returns a function that calibrates a frame."""
-    rows = VectorAssembler(inputCols=["__z"], outputCol="features").transform(scored.withColumn("__z", logit(F.col(p))))
-    model = LogisticRegression(featuresCol="features", labelCol=label, regParam=0.0, maxIter=100, tol=1e-10).fit(rows)
+    rows = VectorAssembler(inputCols=["__z"], outputCol="__f").transform(scored.withColumn("__z", logit(F.col(p))))
+    model = LogisticRegression(featuresCol="__f", labelCol=label, regParam=0.0, maxIter=100, tol=1e-10).fit(rows)
     a, b = float(model.coefficients[0]), float(model.intercept)
     return lambda df: df.withColumn("calibrated", 1 / (1 + F.exp(-(a * logit(F.col(p)) + b))))
 

@@ -419,7 +419,7 @@ def seeded_sample(spark: SparkSession, d: str) -> DataFrame:
 
 
 @query("""
-SELECT doc_id, regexp_replace(translate(lower(left(text, 60)), 'àáâãäåçèéêëìíîïñòóôõöùúûüýÿðłøđı', 'aaaaaaceeeeiiiinooooouuuuyydlodi').replace('ß', 'ss').replace('æ', 'ae').replace('œ', 'oe').replace('&', 'and'), '[^a-z0-9]+', '', 'g') AS name_key,
+SELECT doc_id, regexp_replace(translate(lower(left(text, 60)), 'àáâãäåçèéêëìíîïñòóôõöùúûüýÿðłøđıźżśćńąęčšžřůěťďňőű', 'aaaaaaceeeeiiiinooooouuuuyydlodizzscnaecszruetdnou').replace('ß', 'ss').replace('æ', 'ae').replace('œ', 'oe').replace('&', 'and'), '[^a-z0-9]+', '', 'g') AS name_key,
   array_to_string(list_sort(regexp_extract_all(lower(left(text, 60)), '[a-z0-9]+')), '|') AS signature FROM documents""")
 def normalize_names(spark: SparkSession, d: str) -> DataFrame:
     """Folded keys and token signatures of the first characters of each document."""
