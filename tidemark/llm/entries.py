@@ -55,4 +55,4 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
 
 
 def oracle_sql() -> dict[str, str]:
-    return {"op4_repeated_bytes": substring_dedup.ORACLE_SQL, "op7_url_filter": url_filter.ORACLE_SQL}
+    return {"op4_repeated_bytes": substring_dedup.ORACLE_SQL, "op7_url_filter": url_filter.ORACLE_SQL, "op8_quality_rules": quality_rules.ORACLE_SQL, "op10_parity_sketch_join": parity_join.ORACLE_SQL}

@@ -41,7 +41,7 @@ class Sanitising:
     #: Words on each side of an entity that make its context.
     context_words: int = 8
     min_letters: int = 4
-    min_witnesses: int = 3
+    min_witnesses: int = 2
     #: Share of the entity's information that a term may not reach.
     disclosure: float = 0.9
 

@@ -208,4 +208,43 @@ def filter_documents(docs: DataFrame, rules: Rules = Rules()) -> DataFrame:
     return docs.mapInArrow(run, docs.schema)
 
 
+_COUNT = "length(regexp_replace(t, '{}', '', 'g'))"
+_SETS = {"lower": "[^a-z]", "upper": "[^A-Z]", "digit": "[^0-9]", "newline": r"[^\n\r]", "space": r"[^\t\x0b\x0c\x1c-\x1f ]", "symbol": "[^#*$%&|<>]", "stop": r"[^.,;:!?''\"()-]", "beyond_ascii": r"[\x00-\x7f]"}
+#: The same result in SQL, with the default rules.
+ORACLE_SQL = (
+    r"""
+WITH d AS (SELECT doc_id, lang, coalesce(text, '') AS t, regexp_extract_all(coalesce(text, ''), '[^\x20\x09-\x0D]+') AS ws FROM documents),
+lines AS (SELECT doc_id, line, count(*) AS k FROM (SELECT doc_id, unnest(string_split(t, chr(10))) AS line FROM d) q WHERE regexp_matches(line, '[^\x20\x09-\x0D]') GROUP BY 1, 2),
+dup AS (SELECT doc_id, sum(k - 1)::BIGINT AS n FROM lines GROUP BY 1),
+tri AS (SELECT doc_id, unnest(range(1, len(ws) - 1)) AS i, ws FROM d WHERE len(ws) >= 3),
+often AS (SELECT doc_id, i, count(*) OVER (PARTITION BY doc_id, ws[i], ws[i + 1], ws[i + 2]) AS k FROM tri),
+rep AS (SELECT doc_id, count(DISTINCT i + o)::BIGINT AS n FROM often, (SELECT unnest([0, 1, 2]) AS o) q WHERE k > 1 GROUP BY 1),
+vocabulary AS (SELECT unnest(["""
+    + ", ".join(f"'{w}'" for w in VOCABULARY)
+    + """]) AS v),
+common AS (SELECT doc_id, lang, lower(w) AS slot, count(*) AS n FROM (SELECT doc_id, lang, unnest(ws) AS w FROM d) q WHERE lower(w) IN (SELECT v FROM vocabulary) AND (w = lower(w) OR w = upper(w) OR w = upper(left(w, 1)) || lower(substr(w, 2))) GROUP BY 1, 2, 3),
+hist AS (
+  SELECT doc_id, lang, 'word' AS kind, slot, n FROM common
+  UNION ALL SELECT d.doc_id, d.lang, 'word', '(other)', len(ws) - coalesce((SELECT sum(n) FROM common c WHERE c.doc_id = d.doc_id), 0) FROM d
+"""
+    + "".join(f"  UNION ALL SELECT doc_id, lang, 'class', '{k}', {_COUNT.format(v)} FROM d\n" for k, v in _SETS.items())
+    + "  UNION ALL SELECT doc_id, lang, 'class', 'other', length(t) - "
+    + " - ".join(_COUNT.format(v) for v in _SETS.values())
+    + """ FROM d),
+docs AS (SELECT doc_id, kind, slot, n / sum(n) OVER (PARTITION BY doc_id, kind) AS p FROM hist WHERE n > 0),
+refs AS (SELECT lang, kind, slot, sum(n) / sum(sum(n)) OVER (PARTITION BY lang, kind) AS q FROM hist WHERE lang IN ('en', 'de', 'fr', 'es') AND n > 0 GROUP BY 1, 2, 3),
+pairs AS (SELECT DISTINCT a.doc_id, r.lang, a.kind FROM docs a JOIN refs r ON r.kind = a.kind),
+sums AS (
+  SELECT k.doc_id, k.lang, k.kind, sum(a.p * log2(a.p / ((a.p + coalesce(r.q, 0)) / 2)) + CASE WHEN r.q > 0 THEN r.q * log2(r.q / ((a.p + r.q) / 2)) ELSE 0 END - coalesce(r.q, 0)) + 1 AS js2
+  FROM pairs k JOIN docs a ON a.doc_id = k.doc_id AND a.kind = k.kind LEFT JOIN refs r ON r.lang = k.lang AND r.kind = k.kind AND r.slot = a.slot GROUP BY 1, 2, 3),
+far AS (SELECT doc_id, kind, min(sqrt(greatest(0, js2 / 2))) AS distance FROM sums GROUP BY 1, 2),
+base AS (
+  SELECT d.doc_id, len(ws)::BIGINT AS n_words, coalesce(list_sum(list_transform(ws, lambda x: length(x))), 0)::BIGINT AS word_chars, length(regexp_replace(t, '[^#*$%&|<>]', '', 'g'))::BIGINT AS n_symbols, coalesce(dup.n, 0) AS n_dup_lines, coalesce(rep.n, 0) AS n_repeat_words, length(t) AS chars
+  FROM d LEFT JOIN dup USING (doc_id) LEFT JOIN rep USING (doc_id))
+SELECT b.doc_id, n_words, word_chars, n_symbols, n_dup_lines, n_repeat_words, n_words < 50 OR 100 * n_repeat_words > 50 * n_words AS base_failed,
+  NOT (n_words < 50 OR 100 * n_repeat_words > 50 * n_words OR coalesce(chars >= 200 AND c.distance > 0.25, false) OR coalesce(n_words >= 50 AND w.distance > 0.315, false)) AS kept
+FROM base b LEFT JOIN far c ON c.doc_id = b.doc_id AND c.kind = 'class' LEFT JOIN far w ON w.doc_id = b.doc_id AND w.kind = 'word'
+"""
+)
+
 __all__ = ["Rules", "fitted", "filter_documents", "id_text", "judge", "references", "score_documents"]

@@ -248,8 +248,6 @@ def repeated_windows(group: np.ndarray, rank: np.ndarray, most: np.ndarray, leas
 def context_rows(docs: DataFrame, wanted: DataFrame, rule: Repeats) -> DataFrame:
     """(gram, doc_id, place, left, right) for the wanted cells: the bytes before the anchor, reversed, and those after its gram, zero-padded."""
     listed = wanted.groupBy("doc_id").agg(F.collect_list(F.struct("gram", "place")).alias("cells"))  # no more than the document's own cells
-    if wanted.count() <= BROADCAST_ROWS:
-        listed = F.broadcast(listed)
     joined = id_text(docs).withColumn("doc_id", F.coalesce("doc_id", F.lit(LAST))).join(listed, "doc_id").select("doc_id", "text", "cells")
     pad = rule.offsets - 1
 
