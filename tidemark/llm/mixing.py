@@ -35,7 +35,7 @@ class Mix:
     #: Most labelled documents that the classifier sees, and most telling words that it keeps.
     sample: int = 4000
     lexicon: int = 64
-    steps: int = 40
+    steps: int = 20
     tolerance: float = 1e-4
 
 
@@ -140,28 +140,27 @@ def with_posteriors(docs: DataFrame, posterior: Posterior) -> DataFrame:
 def fit_rates(rows: DataFrame, mix: Mix) -> tuple[list[list[float]], float]:
     """The steps of the projected gradient, as the vector that each adds along a document's domain tokens, and the last residual.
 
-    rows: n_tokens and p_<domain>. The gradient is scaled by the inverse of the Gram matrix of the domain tokens (a fixed metric),
-    which leaves the fixed points of the projected problem as they are and needs few steps.
+    rows: n_tokens and p_<domain>. The gradient is scaled by the inverse of the Gram matrix of the domain tokens of the
+    documents whose rate is above 0, which the same aggregation gives. That leaves the fixed points of the projected
+    problem as they are and needs few steps.
     """
     k = len(DOMAINS)
     tokens = [F.col("n_tokens") * F.col(f"p_{d}") for d in DOMAINS]
-    grams = rows.agg(F.sum("n_tokens").alias("all"), *[F.sum(tokens[i] * tokens[j]).alias(f"g{i}{j}") for i in range(k) for j in range(i, k)]).first()
-    if not grams["all"]:
-        return [], 0.0
-    total = float(grams["all"])
-    gram = np.array([[grams[f"g{min(i, j)}{max(i, j)}"] for j in range(k)] for i in range(k)], dtype=float)
-    inverse = np.linalg.pinv(gram, rcond=1e-9, hermitian=True)
-    goal = total * np.array(mix.targets, dtype=float)
     steps: list[list[float]] = []
-    left = 0.0
-    for _ in range(mix.steps):
-        rate = rate_column(steps)
-        got = rows.agg(*[F.sum(rate * t).alias(d) for d, t in zip(DOMAINS, tokens, strict=True)]).first()
-        gap = goal - np.array([got[d] for d in DOMAINS], dtype=float)
+    left, total = 0.0, 0.0
+    for n in range(mix.steps + 1):
+        now = rows.select("n_tokens", *[t.alias(f"t{i}") for i, t in enumerate(tokens)], rate_column(steps).alias("x"))
+        cross = [F.sum(F.when(F.col("x") > 0, F.col(f"t{i}") * F.col(f"t{j}"))).alias(f"g{i}{j}") for i in range(k) for j in range(i, k)]
+        got = now.agg(F.sum("n_tokens").alias("all"), *[F.sum(F.col("x") * F.col(f"t{i}")).alias(f"s{i}") for i in range(k)], *cross).first()
+        if not got["all"]:
+            return [], 0.0
+        total = float(got["all"])
+        gap = total * np.array(mix.targets, dtype=float) - np.array([got[f"s{i}"] for i in range(k)], dtype=float)
         left = float(np.abs(gap).max() / total)
-        if left <= mix.tolerance:
+        if left <= mix.tolerance or n == mix.steps:
             break
-        steps.append((inverse @ gap).tolist())
+        gram = np.array([[got[f"g{min(i, j)}{max(i, j)}"] or 0.0 for j in range(k)] for i in range(k)], dtype=float)
+        steps.append((np.linalg.pinv(gram, rcond=1e-9, hermitian=True) @ gap).tolist())
     return steps, left
 
 
