@@ -19,7 +19,8 @@ def op2_pii_sanitisation(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op3_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return decontaminate.report(documents(spark, sf_dir), spark.read.parquet(f"{sf_dir}/benchmark.parquet"))
+    """The contaminated documents."""
+    return decontaminate.report(documents(spark, sf_dir), spark.read.parquet(f"{sf_dir}/benchmark.parquet")).where("contaminated")
 
 
 def op4_repeated_bytes(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -55,4 +56,4 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
 
 
 def oracle_sql() -> dict[str, str]:
-    return {"op4_repeated_bytes": substring_dedup.ORACLE_SQL, "op7_url_filter": url_filter.ORACLE_SQL, "op8_quality_rules": quality_rules.ORACLE_SQL, "op10_parity_sketch_join": parity_join.ORACLE_SQL}
+    return {"op4_repeated_bytes": substring_dedup.ORACLE_SQL, "op5_line_dedup": line_dedup.ORACLE_SQL, "op7_url_filter": url_filter.ORACLE_SQL, "op8_quality_rules": quality_rules.ORACLE_SQL, "op10_parity_sketch_join": parity_join.ORACLE_SQL}

@@ -163,3 +163,20 @@ def dedup_lines(docs: DataFrame, rule: Lines = Lines()) -> DataFrame:
         kind = docs.schema["n_chars"].dataType
         out = out.withColumn("n_chars", F.when(F.col("__tm_gone").isNull(), F.col("n_chars")).otherwise(F.length("text")).cast(kind))
     return out.select(*docs.columns)
+
+
+#: line_report() in SQL, with the default rule: lines of like length are compared by place.
+ORACLE_SQL = """
+WITH x AS (SELECT doc_id, string_split(coalesce(text, ''), chr(10)) AS ls FROM documents),
+l AS (SELECT doc_id, unnest(range(len(ls))) AS pos, unnest(ls) AS line FROM x),
+t AS (SELECT doc_id, pos, trim(line, ' ') AS line FROM l WHERE length(trim(line, ' ')) >= 20),
+u AS (SELECT line, min((doc_id, pos)) AS first, length(line) AS n, sha256(left(line, length(line) // 2)) AS h1 FROM t GROUP BY line),
+p AS (SELECT a.line, a.n, b.line AS other, b.n AS m FROM u a JOIN u b ON a.n = b.n AND b.first < a.first AND (left(a.line, a.n // 2) = left(b.line, a.n // 2) OR substr(a.line, a.n // 2 + 1) = substr(b.line, a.n // 2 + 1))
+  UNION ALL SELECT a.line, a.n, b.line, b.n FROM u a JOIN u b ON b.n = a.n + 1 AND b.first < a.first AND (left(a.line, a.n // 2) = left(b.line, a.n // 2) OR substr(a.line, a.n // 2 + 1) = substr(b.line, a.n // 2 + 2))
+  UNION ALL SELECT a.line, a.n, b.line, b.n FROM u a JOIN u b ON b.n = a.n - 1 AND b.first < a.first AND (left(a.line, b.n // 2) = left(b.line, b.n // 2) OR substr(b.line, b.n // 2 + 1) = substr(a.line, b.n // 2 + 2))),
+near AS (SELECT DISTINCT line FROM p WHERE CASE WHEN n = m THEN len(list_filter(range(1, n + 1), lambda i: line[i] <> other[i])) = 1
+  WHEN m > n THEN len(list_filter(range(1, m + 1), lambda i: left(other, i - 1) || substr(other, i + 1) = line)) > 0 ELSE len(list_filter(range(1, n + 1), lambda i: left(line, i - 1) || substr(line, i + 1) = other)) > 0 END),
+g AS (SELECT t.doc_id, t.pos, (t.doc_id, t.pos) = u.first AS near FROM t JOIN u USING (line) LEFT JOIN near n ON n.line = t.line WHERE (t.doc_id, t.pos) <> u.first OR n.line IS NOT NULL),
+k AS (SELECT l.doc_id, count(*) AS n_lines, count(*) FILTER (g.near = false) AS n_exact, count(*) FILTER (g.near) AS n_near, sum(CASE WHEN g.pos IS NULL THEN length(l.line) END) + count(*) FILTER (g.pos IS NULL) - 1 AS kept FROM l LEFT JOIN g ON g.doc_id = l.doc_id AND g.pos = l.pos GROUP BY 1)
+SELECT doc_id, n_lines, n_exact, n_near, coalesce(kept, 0)::BIGINT AS n_kept_chars FROM k
+"""
