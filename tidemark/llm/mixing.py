@@ -57,13 +57,13 @@ def words_of(text: Column) -> Column:
 
 def with_statistics(texts: DataFrame, lexicon: list[str]) -> DataFrame:
     """texts (doc_id, text) with n_tokens and the statistics of BINS; the text goes."""
-    base = texts.select("*", F.split(F.trim(F.col("text")), r"[\x20\x09-\x0D]+").alias("raw"), F.length("text").alias("chars"))
-    n = F.when(F.trim(F.col("text")) == "", F.lit(0)).otherwise(F.size("raw"))
+    base = texts.select("*", F.array_remove(F.split(F.lower("text"), r"[\x20\x09-\x0D.,;:!?]+"), "").alias("raw"), F.length("text").alias("chars"))
+    n = F.size("raw")
     chars = F.greatest(F.col("chars"), F.lit(1))
-    kept = lambda signs: F.col("chars") - F.length(F.translate("text", signs, ""))
-    hits = F.size(F.array_intersect(F.transform("raw", lambda w: F.lower(F.rtrim(w, F.lit(".,;:!?")))), F.array(*[F.lit(w) for w in lexicon]))) if lexicon else F.lit(0)
+    kept = lambda others: F.length(F.regexp_replace("text", others, ""))  # noqa: E731  runs of other characters go at once
+    hits = F.size(F.array_intersect("raw", F.array(*[F.lit(w) for w in lexicon]))) if lexicon else F.lit(0)
     return base.select(
-        *[c for c in texts.columns if c != "text"], n.cast("long").alias("n_tokens"), (kept("#*$%&|<>") / chars).alias("symbol_share"), (kept("ABCDEFGHIJKLMNOPQRSTUVWXYZ") / chars).alias("upper_share"),
+        *[c for c in texts.columns if c != "text"], n.cast("long").alias("n_tokens"), (kept(r"[^#*$%&|<>]+") / chars).alias("symbol_share"), (kept("[^A-Z]+") / chars).alias("upper_share"),
         (F.col("chars") / F.greatest(n, F.lit(1))).alias("mean_word"), (F.size(F.array_distinct("raw")) / F.greatest(n, F.lit(1))).alias("distinct_share"), F.log1p(n.cast("double")).alias("log_words"), hits.cast("double").alias("hits"),
     )
 
