@@ -15,8 +15,8 @@ others that are linked meet in a smaller group as well. Both rules only use what
 lose no link.
 
 Equal sets are one node. Within a group, each node is paired with the group's first node and with the one before it,
-which keeps a large group of near copies linear. Pairs are sifted by size and by a 1024-bit parity sketch, whose Hamming
-distance must not exceed D, and verified on whole sets: first each node with the partner it meets most often, then those
+which keeps a large group of near copies linear. Pairs are sifted by size and by a longer parity sketch, half as
+many bits again as shingles or more, whose Hamming distance must not exceed D, and verified on whole sets: first each node with the partner it meets most often, then those
 pairs that still join two components, then, in groups that still hold several components, all pairs across them.
 
 Defined cases: null and empty texts, and texts without words, have no set (0 shingles), are linked with nothing and are
@@ -39,7 +39,6 @@ from tidemark.llm.common import BROADCAST_ROWS, Scratch, arrow_batches, checkpoi
 
 _A = np.uint64(0x9E3779B97F4A7C15)
 _B = np.uint64(0xD1342543DE82EF95)
-SKETCH_WORDS = 16
 
 
 @dataclass(frozen=True)
@@ -139,9 +138,10 @@ def block_keys(shingles: np.ndarray, ends: list[int], rule: Join) -> tuple[np.nd
 
 
 def sketch(shingles: np.ndarray) -> np.ndarray:
-    """The parities of 1024 buckets, as 16 longs."""
-    bits = np.bincount((shingles >> np.uint64(5)).astype(np.int64) & 1023, minlength=1024) & 1
-    return np.packbits(bits.astype(np.uint8)).view(np.int64)
+    """The parities of a power of two of buckets, half as many again as shingles or more, as longs."""
+    bits = 1 << max(9, (3 * len(shingles) // 2).bit_length())
+    parity = np.bincount((shingles >> np.uint64(5)).astype(np.int64) & (bits - 1), minlength=bits) & 1
+    return np.packbits(parity.astype(np.uint8)).view(np.int64)
 
 
 def sets_of(docs: DataFrame, rule: Join) -> DataFrame:
@@ -194,10 +194,10 @@ def groups(docs: DataFrame, scratch: Scratch, rule: Join) -> DataFrame:
 
 
 def hamming(a: Column, b: Column) -> Column:
-    out = F.lit(0)
-    for i in range(SKETCH_WORDS):
-        out = out + F.bit_count(a[i].bitwiseXOR(b[i]))
-    return out
+    """Distance of two sketches, the longer one folded onto half its length; null if that doesn't make them equally long."""
+    n = F.least(F.size(a), F.size(b))
+    fold = lambda x: F.when(F.size(x) == n, x).otherwise(F.zip_with(F.slice(x, 1, n), F.slice(x, n + 1, F.size(x)), lambda p, q: p.bitwiseXOR(q)))
+    return F.aggregate(F.zip_with(fold(a), fold(b), lambda p, q: F.bit_count(p.bitwiseXOR(q))), F.lit(0), lambda s, x: s + x)
 
 
 def sifted(pairs: DataFrame, info: DataFrame, rule: Join) -> DataFrame:
