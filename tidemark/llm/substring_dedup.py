@@ -11,7 +11,8 @@ at most 69 in a row. Cells meet by the gram of their anchor:
   classes of equal ones, and all but the earliest of a class go.
 
 A gram with more than `max_group` different cells isn't sorted in one task: its windows are hashed and reduced to the
-earliest of each, before and after the shuffle. Matches are judged on the input and never cross documents.
+earliest of each, before and after the shuffle. Texts are shuffled to their wanted cells at any size of the input: a
+broadcast of the cells would only do for small ones. Matches are judged on the input and never cross documents.
 
 Defined cases: a null text counts as an empty one; texts under 100 bytes lose nothing. Rows with a null doc_id come last
 of all. Rows that repeat a doc_id count as one document if their texts are equal; spans of one with another text are cut
