@@ -226,6 +226,18 @@ def test_bootstrap_is_repeatable(spark):
     assert apart.p_value < 0.05 and same.n_draws == 60
 
 
+def test_bootstrapped_coefficients(spark):
+    g = np.random.default_rng(2)
+    x = g.normal(size=(300, 2))
+    y = 1 + x @ [2.0, -1.0] + 0.1 * g.normal(size=300)
+    rows = spark.createDataFrame([(i % 50, float(a), float(b), float(v)) for i, ((a, b), v) in enumerate(zip(x, y, strict=True))], "c int, a double, b double, y double")
+    got = B.bootstrap_ridge(rows, "c", ["a", "b"], "y", 1e-6, draws=40).toPandas()
+    assert len(got) == 120
+    means = got.groupby("feature").coefficient.mean()
+    fit = np.linalg.lstsq(np.c_[np.ones(300), x], y, rcond=None)[0]
+    assert np.allclose(means[["intercept", "a", "b"]], fit, atol=0.02)
+
+
 def test_sources(spark, tmp_path):
     (tmp_path / "x_2019_2020.csv").write_text("﻿id,name\n1,\n2,b\n", encoding="utf-8")
     assert [tuple(r) for r in tables.read_text_csv(spark, str(tmp_path / "x_2019_2020.csv"), ["id", "name"]).orderBy("id").collect()] == [("1", ""), ("2", "b")]

@@ -35,6 +35,39 @@ def bootstrap_improvement(rows: DataFrame, cluster: str, baseline: str, candidat
     return sums.groupBy("draw").agg(((F.sum("baseline") - F.sum("candidate")) / F.sum("n")).alias("improvement"))
 
 
+def bootstrap_ridge(rows: DataFrame, cluster: str, features: list[str], label: str, alpha: float, *, draws: int = 200, seed: int = 7, slots: int = 64) -> DataFrame:
+    """draw, feature and coefficient of ridge regressions on resampled clusters; the intercept isn't penalised.
+
+    Clusters are reduced to their sums of products first, so a draw is a weighted sum of small rows and one small solve.
+    """
+    names = ["intercept", *features]
+    x = [F.lit(1.0), *[F.col(c).cast("double") for c in features]]
+    pairs = [(i, j) for i in range(len(x)) for j in range(i, len(x))]
+    moments = [F.sum(x[i] * x[j]).alias(f"m{n}") for n, (i, j) in enumerate(pairs)] + [F.sum(c * F.col(label)).alias(f"v{i}") for i, c in enumerate(x)]
+    columns = [f"m{n}" for n in range(len(pairs))] + [f"v{i}" for i in range(len(x))]
+    per = rows.groupBy(cluster).agg(*moments).withColumn("slot", F.pmod(F.xxhash64(cluster), F.lit(slots)))
+
+    def draw(key: tuple, pdf: pd.DataFrame) -> pd.DataFrame:
+        values = pdf.sort_values([cluster])[columns].to_numpy(dtype=float)
+        g = np.random.default_rng([seed, int(key[0])])
+        out = pd.DataFrame(np.vstack([g.poisson(1.0, len(values)) @ values for _ in range(draws)]), columns=columns)
+        return out.assign(draw=np.arange(draws))[["draw", *columns]]
+
+    size = len(names)
+
+    def solve(key: tuple, pdf: pd.DataFrame) -> pd.DataFrame:
+        sums = pdf.iloc[0]
+        gram = np.zeros((size, size))
+        for n, (i, j) in enumerate(pairs):
+            gram[i, j] = gram[j, i] = sums[f"m{n}"]
+        b = np.linalg.solve(gram + alpha * np.diag([0.0, *[1.0] * len(features)]), sums[[f"v{i}" for i in range(size)]].to_numpy(dtype=float))
+        return pd.DataFrame({"draw": int(key[0]), "feature": names, "coefficient": b})
+
+    kinds = ", ".join(f"{c} double" for c in columns)
+    drawn = per.select("slot", cluster, *columns).groupBy("slot").applyInPandas(draw, f"draw int, {kinds}")
+    return drawn.groupBy("draw").agg(*[F.sum(c).alias(c) for c in columns]).groupBy("draw").applyInPandas(solve, "draw int, feature string, coefficient double")
+
+
 def interval(draws: DataFrame, value: str = "improvement", level: float = 0.95) -> DataFrame:
     a = (1 - level) / 2
     return draws.agg(F.count("*").alias("n_draws"), F.avg(value).alias("mean"), F.percentile(value, a).alias("low"), F.percentile(value, 1 - a).alias("high"), F.avg((F.col(value) > 0).cast("double")).alias("p_positive"))

@@ -86,6 +86,14 @@ def cluster_bootstrap_ci(spark: SparkSession, d: str) -> DataFrame:
     return B.interval(B.bootstrap_improvement(_paired(spark, d), "o_custkey", "baseline", "candidate", "y", draws=500))
 
 
+def parameter_intervals(spark: SparkSession, d: str) -> DataFrame:
+    """Intervals of ridge coefficients by resampled customers, and how often each keeps its sign."""
+    rows = order_frame(spark, d).where("prev_value is not null").select("o_custkey", "y", "games_365", F.log("prev_value").alias("log_prev"), (F.col("staleness_days") / 365).alias("staleness"))
+    fits = B.bootstrap_ridge(rows, "o_custkey", ["games_365", "log_prev", "staleness"], "y", 1.0)
+    q = F.percentile("coefficient", F.array(F.lit(0.025), F.lit(0.975)))
+    return fits.groupBy("feature").agg(F.round(F.avg("coefficient"), 6).alias("mean"), F.round(q[0], 6).alias("low"), F.round(q[1], 6).alias("high"), F.avg((F.col("coefficient") > 0).cast("double")).alias("p_positive"))
+
+
 def permutation_heterogeneity(spark: SparkSession, d: str) -> DataFrame:
     """Whether the improvement differs between priorities more than chance lets it."""
     e = lambda c: F.pow(F.col("y") - F.col(c), F.lit(2))
@@ -103,4 +111,4 @@ def explained_scores(spark: SparkSession, d: str) -> DataFrame:
     return frame.select("o_orderkey", top.alias("t")).select("o_orderkey", "t.feature", F.round("t.value", 6).alias("contribution"))
 
 
-QUERIES = {f.__name__: f for f in (rolling_origin_models, hazard_model, boosted_model, movement_states, cluster_bootstrap_ci, permutation_heterogeneity, explained_scores)}
+QUERIES = {f.__name__: f for f in (rolling_origin_models, hazard_model, boosted_model, movement_states, cluster_bootstrap_ci, parameter_intervals, permutation_heterogeneity, explained_scores)}

@@ -124,6 +124,18 @@ SELECT y.o_custkey, y.year, round((SELECT avg(total) FROM y p WHERE p.o_custkey
 FROM y LEFT JOIN y a ON a.o_custkey = y.o_custkey AND a.year = y.year - 1 LEFT JOIN y b ON b.o_custkey = y.o_custkey AND b.year = y.year - 2"""
 
 
+def prior_season_fallback(spark: SparkSession, d: str) -> DataFrame:
+    """For each customer and target year the latest total of that year or before, and how old it is."""
+    panel = customer_years(spark, d)
+    wanted = panel.select("o_custkey").distinct().select("o_custkey", F.explode(F.sequence(F.lit(1996), F.lit(2000), F.lit(2))).alias("target"))
+    out = T.asof_join(wanted, panel, "o_custkey", "target", "year", ["total"])
+    return out.select("o_custkey", "target", "total", (F.col("target") - F.col("year")).alias("age"))
+
+
+SQL["prior_season_fallback"] = _YEARS + """, w AS (SELECT DISTINCT o_custkey, target FROM orders, (SELECT unnest([1996, 1998, 2000])::INT AS target) t)
+SELECT w.o_custkey, target, total, target - year AS age FROM w ASOF LEFT JOIN y ON y.o_custkey = w.o_custkey AND w.target >= y.year"""
+
+
 def peer_median_window(spark: SparkSession, d: str) -> DataFrame:
     """Orders of each customer in 1995 against the median of its nation's customers."""
     orders = table(spark, d, "orders", "o_custkey", "o_orderdate").where("o_orderdate >= timestamp_ntz'1995-01-01' and o_orderdate < timestamp_ntz'1996-01-01'")
@@ -340,7 +352,7 @@ SQL["live_overlay_upsert"] = "SELECT user_id, event_type, arg_max(event_id, (ts,
 QUERIES = {
     f.__name__: f
     for f in (
-        pit_order_features, asof_event_value_backward, asof_nearest_tolerance, first_after_anchor, lag_by_year_gap_safe, rolling_three_and_trend, peer_median_window, interval_overlap_days, interval_union_days, spell_islands,
+        pit_order_features, asof_event_value_backward, asof_nearest_tolerance, first_after_anchor, lag_by_year_gap_safe, rolling_three_and_trend, prior_season_fallback, peer_median_window, interval_overlap_days, interval_union_days, spell_islands,
         reason_codes_target, reason_counts, competing_states, anchor_profile, person_period_hazard, consecutive_growth_cagr, window_batch_counts, session_counts, live_overlay_upsert,
     )
 }
