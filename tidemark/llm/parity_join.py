@@ -5,11 +5,12 @@ A document's set holds its distinct shingles of five words (A-Z lower-cased), as
 
 A parity sketch deals the shingles into m blocks and XORs the hashes of each block. A shingle that only one set holds
 changes one block, so the number of blocks that differ (a Hamming distance) is a lower bound of the symmetric
-difference. With D the largest difference in a band of sizes and m > D blocks, linked sets agree in at least
-s = m - D blocks (pigeonhole), so they meet in a join of the blocks.
+difference. With m blocks, more than the largest difference in a band of sizes, and D the largest one that a set of this
+size can have with a linked one, a set agrees with any linked set in at least s = m - D blocks (pigeonhole), so they
+meet in a join of the blocks.
 
 Blocks that say little are left out where the count allows it. A set with fewer than s/2 zero blocks doesn't emit them:
-a linked set then shares more than s/2 others. A group of more than `hot` sets (a block with nothing but a very common
+then it shares more than s/2 others with a linked set, by the larger s of the two. A group of more than `hot` sets (a block with nothing but a very common
 passage, or many near copies) only keeps the sets of which more than s/2 blocks in that band are in such groups: all
 others that are linked meet in a smaller group as well. Both rules only use what agreeing blocks have in common, so they
 lose no link.
@@ -112,21 +113,30 @@ def most_apart(size: int, rule: Join) -> int:
 
 
 def blocks_of(band: int, ends: list[int], rule: Join) -> tuple[int, int]:
-    """(m, s) of a band: its blocks, and how many of them linked sets agree in at least. (0, 0) where only equal sets are linked."""
+    """(m, d) of a band: its blocks and the largest difference of linked sets; no blocks where only equal sets are linked."""
     d = most_apart(ends[band + 1] - 1, rule)
-    spare = 4 + d // 5
-    return (d + spare, spare) if d else (0, 0)
+    return (d + 4 + d // 5, d) if d else (0, 0)
 
 
-def block_keys(shingles: np.ndarray, ends: list[int], rule: Join) -> tuple[np.ndarray, np.ndarray]:
-    """(key, band) of a set in its own band and, as the smaller one, in each further band that a partner may be in."""
-    n, out, of_band = len(shingles), [np.zeros(0, np.uint64)], [np.zeros(0, np.int8)]
+def spare_of(size: int, band: int, ends: list[int], rule: Join) -> int:
+    """s: in how many blocks of a band a set of this size agrees with any linked one at least."""
+    m, d = blocks_of(band, ends, rule)
+    return m - min(d, (100 - rule.percent) * (size + size * 100 // rule.percent) // (100 + rule.percent))
+
+
+def block_keys(shingles: np.ndarray, ends: list[int], rule: Join) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """(key, band, least) of a set in its own band and, as the smaller one, in each further band that a partner may be in.
+
+    least: how many emitted blocks it shares with a linked set at least.
+    """
+    n, out, of_band, least = len(shingles), [np.zeros(0, np.uint64)], [np.zeros(0, np.int8)], [np.zeros(0, np.int32)]
     own = int(np.searchsorted(ends, n, side="right")) - 1
     last = int(np.searchsorted(ends, n * 100 // rule.percent, side="right")) - 1
     for band in range(own, last + 1):
-        m, spare = blocks_of(band, ends, rule)
+        m, _ = blocks_of(band, ends, rule)
         if not m:
             continue
+        spare = spare_of(n, band, ends, rule)
         of = ((shingles >> np.uint64(20)) % np.uint64(m)).astype(np.int64)
         xor = np.zeros(m, dtype=np.uint64)
         np.bitwise_xor.at(xor, of, shingles)
@@ -134,7 +144,8 @@ def block_keys(shingles: np.ndarray, ends: list[int], rule: Join) -> tuple[np.nd
         emit = np.arange(m) if int(zero.sum()) >= (spare + 1) // 2 else np.flatnonzero(~zero)
         out.append(mixed(mixed(xor[emit]) + np.uint64(band * int(_A) % 2**64) + emit.astype(np.uint64) * _B))
         of_band.append(np.full(len(emit), band, np.int8))
-    return np.concatenate(out), np.concatenate(of_band)
+        least.append(np.full(len(emit), spare // 2 + 1, np.int32))
+    return np.concatenate(out), np.concatenate(of_band), np.concatenate(least)
 
 
 def sketch(shingles: np.ndarray) -> np.ndarray:
@@ -158,35 +169,34 @@ def sets_of(docs: DataFrame, rule: Join) -> DataFrame:
 
 
 def keys_of(docs: DataFrame, rule: Join) -> DataFrame:
-    """(key, node, band) of every set."""
+    """(key, node, band, least) of every set."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         ends = band_ends(rule)
         for b in batches:
             done: set[int] = set()
-            keys, bands, nodes = [], [], []
+            keys, bands, leasts, nodes = [], [], [], []
             for words in word_hashes(b.column(1).to_pylist()) if b.num_rows else []:
                 s = shingle_set(words, rule.words)
                 if len(s) and (node := node_of(s)) not in done:
                     done.add(node)
-                    key, band = block_keys(s, ends, rule)
+                    key, band, least = block_keys(s, ends, rule)
                     keys.append(key)
                     bands.append(band)
+                    leasts.append(least)
                     nodes.append(np.full(len(key), node, dtype=np.int64))
             if keys:
-                yield from arrow_batches([("key", np.concatenate(keys).view(np.int64), pa.int64()), ("node", np.concatenate(nodes), pa.int64()), ("band", np.concatenate(bands), pa.int8())])
+                yield from arrow_batches([("key", np.concatenate(keys).view(np.int64), pa.int64()), ("node", np.concatenate(nodes), pa.int64()), ("band", np.concatenate(bands), pa.int8()), ("least", np.concatenate(leasts), pa.int32())])
 
-    return id_text(docs).mapInArrow(run, "key long, node long, band byte")
+    return id_text(docs).mapInArrow(run, "key long, node long, band byte, least int")
 
 
 def groups(docs: DataFrame, scratch: Scratch, rule: Join) -> DataFrame:
     """(key, node) of the groups of two or more different nodes, large ones without the nodes that surely meet elsewhere."""
     ordered = Window.partitionBy("key").orderBy("node")
     rows = keys_of(docs, rule).withColumn("before", F.lag("node").over(ordered)).where("before is null or before != node")
-    met = scratch.keep(rows.withColumn("n", F.count("*").over(Window.partitionBy("key"))).where("n > 1").select("key", "node", "band", "n"))
-    ends = band_ends(rule)
-    least = F.array(*[F.lit(blocks_of(i, ends, rule)[1] // 2 + 1) for i in range(len(ends) - 1)])
-    held = met.where(F.col("n") > rule.hot).groupBy("node", "band").count().where(F.col("count") >= F.element_at(least, F.col("band") + 1))
+    met = scratch.keep(rows.withColumn("n", F.count("*").over(Window.partitionBy("key"))).where("n > 1").select("key", "node", "band", "least", "n"))
+    held = met.where(F.col("n") > rule.hot).groupBy("node", "band", "least").count().where("count >= least")
     kept = met.where(F.col("n") <= rule.hot).select("key", "node").unionByName(met.where(F.col("n") > rule.hot).join(held, ["node", "band"], "left_semi").select("key", "node"))
     out = scratch.keep(kept)
     scratch.drop(met)
@@ -202,10 +212,12 @@ def hamming(a: Column, b: Column) -> Column:
 
 def sifted(pairs: DataFrame, info: DataFrame, rule: Join) -> DataFrame:
     """The pairs (a, b, ...) whose sizes and sketches allow a link."""
-    side = lambda k: info.select(F.col("node").alias(k), F.col("size").alias(f"size_{k}"), F.col("sketch").alias(f"sketch_{k}"))
+    size = lambda k: info.select(F.col("node").alias(k), F.col("size").alias(f"size_{k}"))
+    parity = lambda k: info.select(F.col("node").alias(k), F.col("sketch").alias(f"sketch_{k}"))
     sizes = 100 * F.least("size_a", "size_b") >= rule.percent * F.greatest("size_a", "size_b")
     near = (100 + rule.percent) * hamming(F.col("sketch_a"), F.col("sketch_b")) <= (100 - rule.percent) * (F.col("size_a") + F.col("size_b"))
-    return pairs.join(side("a"), "a").join(side("b"), "b").where(sizes & near).select(*pairs.columns)
+    alike = pairs.join(size("a"), "a").join(size("b"), "b").where(sizes)
+    return alike.join(parity("a"), "a").join(parity("b"), "b").where(near).select(*pairs.columns)
 
 
 def linked(docs: DataFrame, pairs: DataFrame, info: DataFrame, scratch: Scratch, rule: Join) -> DataFrame:
