@@ -316,6 +316,18 @@ def test_secrets(spark, none):
     assert secrets.scan(none).count() == 0
 
 
+def test_secret_net_on_given_tables(spark):
+    key = "9233A8ECF7C5B09FE5949719B6B82BC439E9329B"
+    docs = spark.read.parquet("/root/testdata/sf0.1/documents.parquet").select("doc_id", "text")
+    labelled = secrets.findings(docs).cache()
+    assert secrets.trained(labelled) is not None
+    more = spark.createDataFrame([(-1, f"the words {key} stand here")], "doc_id long, text string")
+    got = secrets.scan(docs.limit(300).unionByName(more), labelled=labelled).collect()
+    added = {r.doc_id: r for r in got}[-1]
+    assert added.n_net == 1 and added.spans == "net:10:50"
+    assert sum(r.n_candidates for r in got) > 10_000 and sum(r.n_net for r in got) < 300
+
+
 def test_secret_net_learns():
     g = np.random.default_rng(1)
     net = secrets.Net(epochs=6)
