@@ -341,6 +341,33 @@ def test_secret_net_learns():
     assert (p[y == 1] >= found.threshold).mean() >= 0.95 and (p[y == 0] >= found.threshold).mean() <= 0.05
 
 
+def test_secret_net_keeps_recall_and_reads_long_candidates(spark):
+    g = np.random.default_rng(2)
+    net = secrets.Net(epochs=6)
+    make = lambda chars, n: "".join(g.choice(list(chars), n))
+    codes = lambda t: secrets.encoded(t, 0, len(t), net)
+    hexes, words = "0123456789abcdef", "aeioutnrs"
+    # two thirds of the keys count as negative, as those do that no base pattern knows
+    rows = [(make(hexes, 40), int(i % 3 == 0)) for i in range(300)] + [(make(words, 12), 0) for _ in range(150)]
+    rows = [rows[i] for i in g.permutation(len(rows))]
+    x, y = np.stack([codes(t) for t, _ in rows]), np.array([k for _, k in rows], dtype=float)
+    found = secrets.fit_detector(x, y, net)
+    held = np.arange(len(rows)) % 3 == 2
+    p = found.scores(x[held])
+    assert (p[y[held] == 1] >= found.threshold).mean() >= 0.98 and found.precision < 0.9
+    # a key behind the first 48 characters of a long candidate
+    path = lambda tail: "see " + "/".join(make(words, 9) for _ in range(9)) + "/" + tail
+    labelled = []
+    for i in range(600):
+        text, cut = path(make(hexes if i % 2 else words, 40)), (40, 48)[i // 2 % 2]
+        labelled.append((i, secrets.encoded(text, len(text) - cut, len(text), net).tobytes(), i % 2))
+    labelled = spark.createDataFrame(labelled, "order long, codes binary, label int")
+    texts = [path(make(hexes, 20) + "Z" + make(hexes, 20)), path(make(words, 40))]
+    got = {r.doc_id: r.n_net for r in secrets.scan(spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string"), net, labelled).collect()}
+    assert got == {0: 1, 1: 0}
+    assert secrets.windows(5, 53, net) == [(5, 53)] and secrets.windows(0, 100, net) == [(0, 48), (24, 72), (48, 96), (52, 100)]
+
+
 def test_quality_rules_base(docs, none):
     for r in quality_rules.score_documents(docs).collect():
         rows = [t for i, t, *_ in corpus() if i == r.doc_id]
