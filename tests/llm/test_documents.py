@@ -290,6 +290,24 @@ def test_pii_disclosing_terms(spark):
     assert "[EMAIL]" in clean[100] and "kestrel" not in clean[100] and clean[0] == text[0]
 
 
+def test_pii_terms_with_copies_and_null_ids(spark):
+    common = "alpha beta gamma delta epsilon zeta"
+    rows = [(i, f"{common} note filler number {i}") for i in range(100)]
+    rows += [(200 + i, f"{common} kestrel lives near jo{i}@mail{i}.example.com {common} {i}") for i in range(2)]
+    rows += [(None, rows[-1][1])] * 100  # one text, no other witness
+    rows += [(200, f"{common} other text of the same id")]
+    docs = spark.createDataFrame(rows, "doc_id long, text string")
+    got = pii.find(docs).collect()
+    held = [r for r in got if r.n_email]
+    assert len(got) == len(rows) and len(held) == 102 and all(r.n_term for r in held) and all(r.n_term == 0 for r in got if not r.n_email)
+    n = {r.term_key: r.n for r in pii.term_frequency(docs, pii.Sanitising()).collect()}
+    assert sorted(n.values())[-6:] == [103] * 6  # the common words, in 103 different texts
+    clean = pii.sanitised(docs).collect()
+    assert len(clean) == len(rows) and not any("kestrel" in r.text or "@" in r.text for r in clean)
+    found = pii.mentions(spark.read.parquet("/root/testdata/sf0.1/documents.parquet"), pii.Sanitising())
+    assert found.groupBy("entity", "term").agg(F.count_distinct("text_key").alias("both")).where("both >= 2").count() > 0  # PMI is estimated there too
+
+
 def naive_secrets(text):
     spans = []
     for k, (kind, pattern, flags) in enumerate((("assign", r"""(password|passwd|secret|token|api_?key)["']?\x20*[:=]\x20*["']?([A-Za-z0-9+/_.=-]+)""", re.I | re.A), ("access", r"AKIA[A-Z0-9]+", 0), ("hex", r"[0-9a-f]+", 0))):

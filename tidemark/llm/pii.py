@@ -4,10 +4,13 @@ The base kinds are email, ip, card and phone. The values they match are the prot
 information theory adds terms: for a word t in the context of an entity c, corpus counts estimate the pointwise mutual
 information PMI(t; c) = log2(p(t, c) / (p(t) p(c))), at most the information of c itself, IC(c) = -log2 p(c). A term
 whose PMI reaches the share `disclosure` of IC(c) gives c away and becomes a span of kind 'term' wherever it stands in
-the context of c. p is over documents with different texts, so that copies of one text are one witness.
+the context of c. p is over different texts, so that copies of one text are one witness everywhere. A value that stands in
+one text alone has no such counts, so c is also the kind of a value and the domain of an e-mail address: their PMI pools
+the texts of all their values, and a term that gives one of them away becomes a span too.
 
 Defined cases: a null text counts as an empty one and has no spans; an empty table gives no rows. A term needs
-`min_witnesses` different texts together with c. Repeated rows get the same spans. Terms never overlap base spans.
+`min_witnesses` different texts together with c. Spans follow from the text: rows of equal texts get the same ones, whatever
+their doc_id is, null or repeated. Terms never overlap base spans.
 """
 
 from __future__ import annotations
@@ -86,6 +89,12 @@ def entity(kind: str, matched: str) -> str:
     return f"{kind}:{matched.lower() if kind in ('email', 'ip') else digits_of(matched)}"
 
 
+def entities(kind: str, matched: str) -> list[str]:
+    """The value, its kind and an e-mail address's domain."""
+    domain = [f"email@{matched.lower().rpartition('@')[2]}"] if kind == "email" else []
+    return [entity(kind, matched), kind, *domain]
+
+
 def context(text: str, start: int, end: int, k: int) -> Iterator[tuple[int, int, str]]:
     """(start, end, term) of the k words before and after a span, without edge punctuation, in lower case."""
     left, right = max(0, start - 40 * k), min(len(text), end + 40 * k)
@@ -106,10 +115,10 @@ def context_terms(text: str, spans: list[tuple[str, int, int]], rule: Sanitising
     """(entity, term, start, end) for the terms around each span that no span covers."""
     out = []
     for kind, s, e in spans:
-        c = entity(kind, text[s:e])
+        levels = entities(kind, text[s:e])
         for a, b, t in context(text, s, e, rule.context_words):
             if len(t) >= rule.min_letters and t.isalpha() and not any(a < y and x < b for _, x, y in spans):
-                out.append((c, t, a, b))
+                out += [(c, t, a, b) for c in levels]
     return out
 
 
@@ -117,48 +126,74 @@ def joined(spans: list[tuple[str, int, int]]) -> str:
     return ",".join(f"{k}:{s}:{e}" for k, s, e in spans)
 
 
+def keyed_text(docs: DataFrame) -> DataFrame:
+    """doc_id, text and text_key, its hash."""
+    return id_text(docs).withColumn("text_key", F.xxhash64("text"))
+
+
 def mentions(docs: DataFrame, rule: Sanitising) -> DataFrame:
-    """doc_id, text_key and for each document with base spans its (entity, term, start, end) around them."""
+    """text_key and for each document with base spans its (entity, term, start, end) around them."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
             rows = []
-            for i, text in zip(b.column(0).to_pylist(), b.column(1).to_pylist(), strict=True):
+            for key, text in zip(b.column("text_key").to_pylist(), b.column("text").to_pylist(), strict=True):
                 if spans := base_spans(text):
-                    key = int.from_bytes(hashlib.blake2b(text.encode("utf-8", "surrogatepass"), digest_size=8).digest(), "big", signed=True)
-                    rows += [(i, key, *x) for x in context_terms(text, spans, rule)]
-            cols = list(zip(*rows, strict=True)) or [[]] * 6
-            yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(cols, (pa.int64(), pa.int64(), pa.string(), pa.string(), pa.int32(), pa.int32()), strict=True)], names=["doc_id", "text_key", "entity", "term", "start", "end"])
+                    rows += [(key, *x) for x in context_terms(text, spans, rule)]
+            cols = list(zip(*rows, strict=True)) or [[]] * 5
+            yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(cols, (pa.int64(), pa.string(), pa.string(), pa.int32(), pa.int32()), strict=True)], names=["text_key", "entity", "term", "start", "end"])
+
+    return keyed_text(docs).select("text_key", "text").mapInArrow(run, "text_key long, entity string, term string, start int, end int")
+
 
-    return id_text(docs).mapInArrow(run, "doc_id long, text_key long, entity string, term string, start int, end int")
+def copied_texts(docs: DataFrame) -> DataFrame:
+    """(text_key, copies) of each text that stands in more than one row."""
+    return keyed_text(docs).groupBy("text_key").agg(F.count("*").alias("copies")).where("copies > 1")
 
 
-def term_frequency(docs: DataFrame, rule: Sanitising) -> DataFrame:
-    """(term_key, n): in how many documents each word of the corpus stands. Counted in the JVM, partly before the shuffle."""
+def term_frequency(docs: DataFrame, rule: Sanitising, copied: DataFrame | None = None) -> DataFrame:
+    """(term_key, n): in how many different texts each word of the corpus stands. Counted in the JVM, partly before the shuffle.
+
+    Each of the c copies of a text counts as 1 / c, so no (word, text) pairs are shuffled; the sums are rounded to the whole numbers they are.
+    """
+    copied = bounded(copied_texts(docs))[0] if copied is None else copied
     words = F.array_distinct(F.split(F.lower("text"), "[^\\p{L}]+"))
-    return id_text(docs).select(F.explode(words).alias("term")).where(F.length("term") >= rule.min_letters).groupBy(F.xxhash64("term").alias("term_key")).agg(F.count("*").alias("n"))
+    weighed = keyed_text(docs).join(copied, "text_key", "left").select((1 / F.coalesce(F.col("copies"), F.lit(1))).alias("w"), F.explode(words).alias("term"))
+    return weighed.where(F.length("term") >= rule.min_letters).groupBy(F.xxhash64("term").alias("term_key")).agg(F.round(F.sum("w")).cast("long").alias("n"))
 
 
 def disclosing_terms(docs: DataFrame, found: DataFrame, rule: Sanitising) -> DataFrame:
     """The rows of found whose term discloses its entity."""
-    n_docs = docs.count()
+    scratch = Scratch(docs.sparkSession)
+    copied, _ = bounded(scratch.keep(copied_texts(docs)))
+    n_docs = docs.count() - (copied.agg(F.sum(F.col("copies") - 1)).first()[0] or 0)
     pairs = found.select("entity", "term", "text_key").distinct().groupBy("entity", "term").agg(F.count("*").alias("both")).where(F.col("both") >= rule.min_witnesses)
-    entities = found.select("entity", "text_key").distinct().groupBy("entity").agg(F.count("*").alias("n_entity"))
-    shared = pairs.withColumn("term_key", F.xxhash64("term")).join(term_frequency(docs, rule), "term_key").join(entities, "entity")
+    named = found.select("entity", "text_key").distinct().groupBy("entity").agg(F.count("*").alias("n_entity")).where(F.col("n_entity") >= rule.min_witnesses)
+    named, _ = bounded(scratch.keep(named))  # kinds and large domains have many pairs
+    shared = pairs.withColumn("term_key", F.xxhash64("term")).join(term_frequency(docs, rule, copied), "term_key").join(named, "entity")
     n = F.lit(float(max(n_docs, 2)))
     pmi = F.log2(F.col("both") * n / (F.greatest("n", "both") * F.col("n_entity")))
-    told = shared.where(pmi >= rule.disclosure * F.log2(n / F.col("n_entity"))).select("entity", "term")
-    return found.join(told, ["entity", "term"])
+    # an entity of all texts has no information that a term could give away
+    told = shared.where(F.col("n_entity") < n).where(pmi >= rule.disclosure * F.log2(n / F.col("n_entity"))).select("entity", "term")
+    told = scratch.keep(told)
+    out = scratch.keep(found.join(told, ["entity", "term"]))
+    scratch.drop(told)
+    return out
 
 
 def find(docs: DataFrame, rule: Sanitising = Sanitising()) -> DataFrame:
     """doc_id, n_email, n_ip, n_card, n_phone, base_sha256, spans and n_term for each row of docs."""
+    return _found(docs, rule).drop("text_key")
+
+
+def _found(docs: DataFrame, rule: Sanitising) -> DataFrame:
+    """What find() returns, and text_key."""
     scratch = Scratch(docs.sparkSession)
     found = scratch.keep(mentions(docs, rule))
-    terms = disclosing_terms(docs, found, rule).groupBy("doc_id").agg(F.array_sort(F.collect_set(F.struct("start", "end"))).alias("terms"))
+    terms = disclosing_terms(docs, found, rule).groupBy("text_key").agg(F.array_sort(F.collect_set(F.struct("start", "end"))).alias("terms"))
     terms, _ = bounded(scratch.keep(terms))
     scratch.drop(found)
-    texts = id_text(docs).join(terms, "doc_id", "left")
+    texts = keyed_text(docs).join(terms, "text_key", "left")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
@@ -170,17 +205,17 @@ def find(docs: DataFrame, rule: Sanitising = Sanitising()) -> DataFrame:
                 rows.append((*counts, hashlib.sha256(joined(base).encode()).hexdigest(), joined(base + extra), len(extra)))
             cols = list(zip(*rows, strict=True)) or [[]] * 7
             types = [pa.int64()] * 4 + [pa.string()] * 2 + [pa.int64()]
-            yield pa.RecordBatch.from_arrays([b.column("doc_id"), *(pa.array(c, t) for c, t in zip(cols, types, strict=True))], names=["doc_id", *(f"n_{k}" for k in KINDS), "base_sha256", "spans", "n_term"])
+            yield pa.RecordBatch.from_arrays([b.column("doc_id"), b.column("text_key"), *(pa.array(c, t) for c, t in zip(cols, types, strict=True))], names=["doc_id", "text_key", *(f"n_{k}" for k in KINDS), "base_sha256", "spans", "n_term"])
 
-    return texts.mapInArrow(run, "doc_id long, n_email long, n_ip long, n_card long, n_phone long, base_sha256 string, spans string, n_term long")
+    return texts.mapInArrow(run, "doc_id long, text_key long, n_email long, n_ip long, n_card long, n_phone long, base_sha256 string, spans string, n_term long")
 
 
 def sanitised(docs: DataFrame, rule: Sanitising = Sanitising()) -> DataFrame:
     """docs with the text of every span generalised to its kind in brackets; all other columns stay.
 
-    A row whose spans can't be told from others by doc_id (a null or repeated one) is joined by doc_id and text.
+    Spans are joined by the hash of the text, so null and repeated doc_ids do no harm.
     """
-    spans = find(docs, rule).select("doc_id", "spans").dropDuplicates(["doc_id"])
+    spans = _found(docs, rule).select(F.col("text_key").alias("__tm_key"), "spans").dropDuplicates(["__tm_key"])
 
     def generalise(text: str | None, listed: str | None) -> str | None:
         if not text or not listed:
@@ -198,7 +233,8 @@ def sanitised(docs: DataFrame, rule: Sanitising = Sanitising()) -> DataFrame:
     def cleaned(text, listed):  # noqa: ANN001, ANN202
         return text.combine(listed, generalise)
 
-    return docs.join(spans.withColumnRenamed("spans", "__tm_spans"), "doc_id", "left").withColumn("text", cleaned("text", "__tm_spans")).select(*docs.columns)
+    keyed = docs.withColumn("__tm_key", F.xxhash64(F.coalesce(F.col("text"), F.lit(""))))
+    return keyed.join(spans.withColumnRenamed("spans", "__tm_spans"), "__tm_key", "left").withColumn("text", cleaned("text", "__tm_spans")).select(*docs.columns)
 
 
 __all__ = ["KINDS", "Sanitising", "base_spans", "disclosing_terms", "find", "mentions", "sanitised", "term_frequency"]
