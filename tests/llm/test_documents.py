@@ -79,6 +79,35 @@ def test_parity_join_matches_brute_force(docs, none, hot):
     assert sorted(r.doc_id for r in kept.where("doc_id is not null").collect()) == sorted([i for i, _ in rows if i is not None and find(i) == i])
 
 
+def test_parity_join_on_a_large_group_of_near_copies(spark):
+    """Copies of one text with one to twenty words changed, so that most aren't linked, and no copy is the text itself."""
+    g = random.Random(31)
+    base = [f"b{i}" for i in range(150)]
+    rows = []
+    for i in range(1200):
+        own = base.copy()
+        for at in g.sample(range(150), g.choice([1, 2, 2, 3, 3, 3, 4, 5, 8, 12, 20])):
+            own[at] = f"n{g.randrange(60 if i % 3 else 100_000)}"
+        rows.append((i, " ".join(own)))
+    sets = [shingles(t) for _, t in rows]
+    number = {x: k for k, x in enumerate(sorted(set().union(*sets)))}
+    has = np.zeros((len(rows), len(number)), np.float32)
+    for i, s in enumerate(sets):
+        has[i, [number[x] for x in s]] = 1
+    same, size = has @ has.T, has.sum(axis=1)
+    near = 100 * same >= 80 * (size[:, None] + size[None] - same)
+    part = np.arange(len(rows))
+    while True:
+        low = np.where(near, part[None], len(rows)).min(axis=1)
+        if (low == part).all():
+            break
+        part = low
+    assert 100 < len(set(part.tolist())) < 1100
+    docs = spark.createDataFrame(rows, "doc_id long, text string").repartition(4)
+    for rule in (parity_join.Join(), parity_join.Join(hot=4, portion=8)):
+        assert dict(parity_join.components(docs, rule).select("doc_id", "component_id").collect()) == dict(enumerate(part.tolist()))
+
+
 @pytest.mark.parametrize("band", [1.3, 2.0, 4.0])
 def test_linked_sets_share_a_block_key(band):
     g = np.random.default_rng(1)

@@ -15,10 +15,13 @@ passage, or many near copies) only keeps the sets of which more than s/2 blocks
 others that are linked meet in a smaller group as well. Both rules only use what agreeing blocks have in common, so they
 lose no link.
 
-Equal sets are one node. Within a group, each node is paired with the group's first node and with the one before it,
-which keeps a large group of near copies linear. Pairs are sifted by size and by a longer parity sketch, half as
-many bits again as shingles or more, whose Hamming distance must not exceed D, and verified on whole sets: first each node with the partner it meets most often, then those
-pairs that still join two components, then, in groups that still hold several components, all pairs across them.
+Equal sets are one node. Within a group, each node is paired with the group's first node and with the one before it, in
+large groups by the number of large groups they are in, so that the first one is the middle of a set of near copies. Pairs
+are sifted by size and by a longer parity sketch, half as many bits again as shingles or more, whose Hamming distance must
+not exceed D, and verified on whole sets: first each node with the partner it meets most often, then those pairs that still
+join two components, then pairs across the components of groups that still hold several: all of them in groups of up to
+`hot` sets, and in larger ones those that share a shingle which is rare enough in both (see across_large). A large group of
+near copies that are too far apart to be linked has no such pairs, as each one's rare shingles are its own.
 
 Defined cases: null and empty texts, and texts without words, have no set (0 shingles), are linked with nothing and are
 their own component. With fewer than five words the whole sequence is the only shingle. Rows with a null doc_id get a
@@ -192,12 +195,16 @@ def keys_of(docs: DataFrame, rule: Join) -> DataFrame:
 
 
 def groups(docs: DataFrame, scratch: Scratch, rule: Join) -> DataFrame:
-    """(key, node) of the groups of two or more different nodes, large ones without the nodes that surely meet elsewhere."""
+    """(key, node, weight) of the groups of two or more different nodes, large ones without the nodes that surely meet elsewhere.
+
+    weight: in large groups, how many large groups of the band the node is in; most for the middle of a set of near copies.
+    """
     ordered = Window.partitionBy("key").orderBy("node")
     rows = keys_of(docs, rule).withColumn("before", F.lag("node").over(ordered)).where("before is null or before != node")
     met = scratch.keep(rows.withColumn("n", F.count("*").over(Window.partitionBy("key"))).where("n > 1").select("key", "node", "band", "least", "n"))
-    held = met.where(F.col("n") > rule.hot).groupBy("node", "band", "least").count().where("count >= least")
-    kept = met.where(F.col("n") <= rule.hot).select("key", "node").unionByName(met.where(F.col("n") > rule.hot).join(held, ["node", "band"], "left_semi").select("key", "node"))
+    held = met.where(F.col("n") > rule.hot).groupBy("node", "band", "least").agg(F.count("*").cast("int").alias("weight")).where("weight >= least").drop("least")
+    small = met.where(F.col("n") <= rule.hot).select("key", "node", F.lit(0).alias("weight"))
+    kept = small.unionByName(met.where(F.col("n") > rule.hot).join(held, ["node", "band"]).select("key", "node", "weight"))
     out = scratch.keep(kept)
     scratch.drop(met)
     return out
@@ -221,12 +228,22 @@ def sifted(pairs: DataFrame, info: DataFrame, rule: Join) -> DataFrame:
 
 
 def linked(docs: DataFrame, pairs: DataFrame, info: DataFrame, scratch: Scratch, rule: Join) -> DataFrame:
-    """The pairs (a, b) whose whole sets are similar enough. Each set b goes to its hub a, a hub with many in portions."""
-    hubs = pairs.groupBy("a").agg(F.ceil(F.count("*") / rule.portion).alias("parts"))
-    dealt = pairs.join(hubs, "a").select("a", "b", F.pmod(F.xxhash64("b"), F.col("parts")).alias("part"))
+    """The pairs (a, b) whose whole sets are similar enough.
+
+    Of a pair, the set that is in more pairs is the hub that the other one goes to; a hub with many goes to several
+    portions. So what is sent is in proportion to the pairs and not to pairs times portions.
+    """
+    met = pairs.select(F.col("a").alias("node")).unionByName(pairs.select(F.col("b").alias("node"))).groupBy("node").agg(F.count("*").alias("met"))
+    of = lambda k: met.select(F.col("node").alias(k), F.col("met").alias(f"met_{k}"))
+    led = F.struct("met_a", "a") > F.struct("met_b", "b")
+    turned = pairs.select("a", "b").join(of("a"), "a").join(of("b"), "b")
+    turned = turned.select(F.when(led, F.col("a")).otherwise(F.col("b")).alias("a"), F.when(led, F.col("b")).otherwise(F.col("a")).alias("b"))
+    hubs = turned.groupBy("a").agg(F.ceil(F.count("*") / rule.portion).alias("parts"))
+    dealt = turned.join(hubs, "a").select("a", "b", F.pmod(F.xxhash64("b"), F.col("parts")).alias("part"))
     roles = dealt.select(F.col("b").alias("node"), F.struct(F.col("a").alias("hub"), "part", F.lit(True).alias("member")).alias("role"))
     roles = roles.unionByName(dealt.select(F.col("a").alias("node"), F.struct(F.col("a").alias("hub"), "part", F.lit(False).alias("member")).alias("role")).distinct())
-    wanted = scratch.keep(roles.groupBy("node").agg(F.collect_list("role").alias("roles")).join(info.select("node", "doc_id"), "node"))
+    listed = roles.groupBy("node", F.expr(f"role.part div {rule.portion}")).agg(F.collect_list("role").alias("roles")).select("node", "roles")
+    wanted = scratch.keep(listed.join(info.select("node", "doc_id"), "node"))
     chosen = id_text(docs).join(F.broadcast(wanted) if wanted.count() <= BROADCAST_ROWS else wanted, "doc_id").select("node", "text", "roles")
 
     def deal(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -251,7 +268,7 @@ def linked(docs: DataFrame, pairs: DataFrame, info: DataFrame, scratch: Scratch,
                 elif at == (hub, part):
                     same = len(own) + len(s) - len(np.union1d(own, s))
                     if 100 * same >= rule.percent * (len(own) + len(s) - same):
-                        found.append((hub, node))
+                        found.append((min(hub, node), max(hub, node)))
             yield pa.RecordBatch.from_arrays([pa.array([x[k] for x in found], pa.int64()) for k in (0, 1)], names=["a", "b"])
 
     rows = chosen.mapInArrow(deal, "hub long, part long, member boolean, node long, shingles binary")
@@ -264,14 +281,67 @@ def with_parts(rows: DataFrame, parts: DataFrame, node: str, part: str) -> DataF
     return rows.join(named, node, "left").withColumn(part, F.coalesce(part, node))
 
 
+def open_groups(met: DataFrame, parts: DataFrame, scratch: Scratch) -> DataFrame:
+    """(key, node, part, n) of the groups that hold several components; n is the group's size."""
+    rows = with_parts(met.select("key", "node"), parts, "node", "part")
+    several = rows.groupBy("key").agg(F.min("part").alias("low"), F.max("part").alias("high"), F.count("*").alias("n")).where("low != high").select("key", "n")
+    return scratch.keep(rows.join(several, "key").select("key", "node", "part", "n"))
+
+
+def across_small(rows: DataFrame, info: DataFrame, rule: Join) -> DataFrame:
+    """The pairs (a, b) of different components within each small group, of sizes that fit."""
+    rows = rows.where(F.col("n") <= rule.hot).join(info.select("node", "size"), "node")
+    left = rows.select("key", F.col("node").alias("a"), F.col("part").alias("part_a"), F.col("size").alias("size_a"))
+    right = rows.select("key", F.col("node").alias("b"), F.col("part").alias("part_b"), F.col("size").alias("size_b"))
+    fits = (left["key"] == right["key"]) & (F.col("a") < F.col("b")) & (F.col("part_a") != F.col("part_b")) & (100 * F.least("size_a", "size_b") >= rule.percent * F.greatest("size_a", "size_b"))
+    return left.join(right, fits).select("a", "b").distinct()
+
+
+def shingles_of(docs: DataFrame, nodes: DataFrame, rule: Join) -> DataFrame:
+    """(shingle, node, part, size) of the sets of some nodes. nodes: node, doc_id, part, size."""
+    chosen = id_text(docs).join(F.broadcast(nodes) if nodes.count() <= BROADCAST_ROWS else nodes, "doc_id").select("node", "text", "part", "size")
+
+    def deal(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            for node, words, part, size in zip(b.column(0).to_pylist(), word_hashes(b.column(1).to_pylist()) if b.num_rows else [], b.column(2).to_pylist(), b.column(3).to_pylist(), strict=True):
+                s = shingle_set(words, rule.words)
+                if len(s) and node_of(s) == node:  # a repeated doc_id may have another text
+                    yield from arrow_batches([("shingle", s.view(np.int64), pa.int64()), *((k, np.full(len(s), v, np.int64), pa.int64()) for k, v in (("node", node), ("part", part), ("size", size)))])
+
+    return chosen.mapInArrow(deal, "shingle long, node long, part long, size long").distinct()
+
+
+def across_large(docs: DataFrame, rows: DataFrame, info: DataFrame, scratch: Scratch, rule: Join) -> DataFrame:
+    """The pairs (a, b) of different components that meet in large groups and share one of their rare shingles.
+
+    Linked sets share t shingles or more, by their sizes. So, in one order of all shingles, the rarest first, the first
+    one that both hold leaves each of them with t or more from there on: it is at rank t or more from the frequent end
+    in both. Within a shingle, the largest component is only paired with the others, never with itself.
+    """
+    nodes = scratch.keep(rows.where(F.col("n") > rule.hot).select("node", "part").distinct().join(info.select("node", "doc_id", "size"), "node"))
+    dealt = scratch.keep(shingles_of(docs, nodes, rule))
+    often = dealt.groupBy("shingle").agg(F.count("*").alias("n")).where("n > 1")
+    ranked = dealt.join(often, "shingle").withColumn("rank", F.row_number().over(Window.partitionBy("node").orderBy(F.desc("n"), F.desc("shingle"))))
+    rare = scratch.keep(ranked.where(100 * F.col("rank") >= rule.percent * F.col("size")).drop("n"))
+    scratch.drop(dealt)
+    by_part = rare.groupBy("shingle", "part").agg(F.count("*").alias("n"))
+    main = by_part.groupBy("shingle").agg(F.max_by("part", F.struct("n", "part")).alias("main"), F.count("*").alias("parts")).where("parts > 1").select("shingle", "main")
+    rare = rare.join(main, "shingle")
+    side = lambda k: rare.select("shingle", F.col("node").alias(k), *(F.col(c).alias(f"{c}_{k}") for c in ("part", "size", "rank", "main")))
+    left, right = side("a").where("part_a != main_a"), side("b")
+    shares = (100 + rule.percent) * F.least("rank_a", "rank_b") >= rule.percent * (F.col("size_a") + F.col("size_b"))
+    fits = (left["shingle"] == right["shingle"]) & (F.col("part_a") != F.col("part_b")) & ((F.col("part_b") == F.col("main_b")) | (F.col("a") < F.col("b"))) & shares
+    return left.join(right, fits).select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct()
+
+
 def node_components(docs: DataFrame, nodes: DataFrame, scratch: Scratch, rule: Join) -> DataFrame:
     """(node, component) of the nodes that are linked with others. nodes: node, doc_id, size, sketch."""
     met = groups(docs, scratch, rule)
     info = scratch.keep(nodes.join(met.select("node").distinct(), "node"))
-    ordered = Window.partitionBy("key").orderBy("node")
+    ordered = Window.partitionBy("key").orderBy(F.desc("weight"), "node")
     near = met.withColumn("first", F.first("node").over(ordered)).withColumn("before", F.lag("node").over(ordered))
     pairs = near.select(F.explode(F.array_distinct(F.array("first", "before"))).alias("a"), F.col("node").alias("b")).where("a is not null and a != b")
-    pairs = scratch.keep(sifted(pairs.groupBy("a", "b").agg(F.count("*").alias("k")), info, rule))
+    pairs = scratch.keep(sifted(pairs.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).groupBy("a", "b").agg(F.count("*").alias("k")), info, rule))
     both = pairs.unionByName(pairs.select(F.col("b").alias("a"), F.col("a").alias("b"), "k"))
     best = both.groupBy("b").agg(F.max_by("a", F.struct("k", -F.col("a"))).alias("a"))
     best = best.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct()
@@ -284,14 +354,8 @@ def node_components(docs: DataFrame, nodes: DataFrame, scratch: Scratch, rule: J
         links = scratch.keep(links.unionByName(linked(docs, tried, info, scratch, rule)))
         parts = scratch.keep(connected_components(links, scratch))
     tried = tried.unionByName(best)
-    # in groups with several components, all pairs across
-    rows = with_parts(met, parts, "node", "part").join(info.select("node", "size"), "node")
-    open_ = rows.groupBy("key").agg(F.min("part").alias("low"), F.max("part").alias("high")).where("low != high").select("key")
-    rows = rows.join(open_, "key", "left_semi")
-    left = rows.select("key", F.col("node").alias("a"), F.col("part").alias("part_a"), F.col("size").alias("size_a"))
-    right = rows.select("key", F.col("node").alias("b"), F.col("part").alias("part_b"), F.col("size").alias("size_b"))
-    fits = (left["key"] == right["key"]) & (F.col("a") < F.col("b")) & (F.col("part_a") != F.col("part_b")) & (100 * F.least("size_a", "size_b") >= rule.percent * F.greatest("size_a", "size_b"))
-    across = left.join(right, fits).select("a", "b").distinct()
+    rows = open_groups(met, parts, scratch)
+    across = across_small(rows, info, rule).unionByName(across_large(docs, rows, info, scratch, rule)).distinct()
     across = scratch.keep(sifted(across, info, rule).join(tried, ["a", "b"], "left_anti"))
     if not across.isEmpty():
         links = links.unionByName(linked(docs, across, info, scratch, rule))
