@@ -83,7 +83,7 @@ def tree_rules(described: str) -> list[Rule]:
             tight: dict[tuple[str, str], float] = {}
             for _, (s, op, v) in path:
                 tight[s, op] = min(v, tight.get((s, op), v)) if op == "<=" else max(v, tight.get((s, op), v))
-            rules.add(tuple(sorted((s, op, v) for (s, op), v in tight.items())))
+            rules.add(tuple((s, op, v) for (s, op), v in sorted(tight.items(), key=lambda x: (STATS.index(x[0][0]), x[0][1]))))
     return sorted(rules)
 
 
