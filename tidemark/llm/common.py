@@ -15,6 +15,8 @@ from pyspark.sql import types as T
 TEXT_BATCH_ROWS = 1000
 #: Most rows of (id, small payload) that are broadcast; larger sides are shuffled.
 BROADCAST_ROWS = 1_000_000
+#: Most edges (two longs each) whose components are found in one task; more are dealt out by shuffles.
+EDGES_IN_ONE = 200_000
 
 
 def documents(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -115,19 +117,21 @@ def connected_components(edges: DataFrame, scratch: Scratch, most_rounds: int =
     """(node, component) for each node of the edges (a, b): the smallest node that it reaches.
 
     Alternating large-star and small-star rounds, each written to the shared folder; a node's neighbours are
-    pre-aggregated to their minimum and joined back, never gathered in one task. Loops and nulls are ignored.
-    An empty edge table gives no rows.
+    pre-aggregated to their minimum and joined back, never gathered in one task. A round of up to EDGES_IN_ONE counted edges
+    stays in one partition and needs no shuffle. Loops and nulls are ignored. An empty edge table gives no rows.
     """
     pairs = edges.select(F.col("a").cast("long").alias("a"), F.col("b").cast("long").alias("b")).where("a is not null and b is not null and a != b")
     pairs = scratch.keep(pairs.select(F.greatest("a", "b").alias("a"), F.least("a", "b").alias("b")).distinct())
+    near = pairs.count() <= EDGES_IN_ONE  # rounds never add edges
+    dealt = lambda df: df.coalesce(1) if near else df
     seen = None
     for _ in range(most_rounds):
-        both = pairs.unionByName(pairs.select(F.col("b").alias("a"), F.col("a").alias("b")))
+        both = dealt(pairs.unionByName(pairs.select(F.col("b").alias("a"), F.col("a").alias("b"))))
         low = both.groupBy("a").agg(F.min("b").alias("m")).select("a", F.least("a", "m").alias("m"))
         large = both.join(low, "a").where("b > a").select(F.col("b").alias("a"), F.col("m").alias("b")).where("a != b").distinct()
         low = large.groupBy("a").agg(F.min("b").alias("m"))
         small = large.join(low, "a").select(F.col("b").alias("a"), F.col("m").alias("b")).where("a != b")
-        after = scratch.keep(small.unionByName(low.select("a", F.col("m").alias("b"))).distinct())
+        after = scratch.keep(dealt(small.unionByName(low.select("a", F.col("m").alias("b")))).distinct())
         scratch.drop(pairs)
         pairs = after
         now = tuple(pairs.agg(F.count("*"), F.bit_xor(F.xxhash64("a", "b"))).first())
@@ -136,5 +140,5 @@ def connected_components(edges: DataFrame, scratch: Scratch, most_rounds: int =
         seen = now
     else:
         raise RuntimeError(f"components still change after {most_rounds} rounds")
-    roots = pairs.select(F.col("b").alias("node"), F.col("b").alias("component")).distinct()
+    roots = dealt(pairs).select(F.col("b").alias("node"), F.col("b").alias("component")).distinct()
     return pairs.select(F.col("a").alias("node"), F.col("b").alias("component")).unionByName(roots)
