@@ -3,6 +3,7 @@
 import hashlib
 import random
 import re
+import time
 
 import numpy as np
 import pytest
@@ -232,6 +233,33 @@ def test_decontamination(spark, docs, none):
     assert decontaminate.clean(docs, bench.limit(0)).count() == docs.count() and decontaminate.report(none, bench).count() == 0
 
 
+def test_decontamination_tiles(spark):
+    """Random tilings against brute force, very long and very repetitive texts in little time, and rows that share an id."""
+    g = random.Random(14)
+    rule = decontaminate.Tiling(seed=3)
+    for _ in range(60):
+        letters = "abc" if g.random() < 0.5 else "abcdefghij"
+        item = [g.choice(letters) for _ in range(g.randrange(3, 25))]
+        text = [g.choice(letters) for _ in range(g.randrange(0, 40))] + item[g.randrange(3) : g.randrange(3, 25)] + [g.choice(letters) for _ in range(5)]
+        block = decontaminate.Block([(1, " ".join(item))], rule)
+        want = naive_tiles(decontaminate.tokens(" ".join(text)), decontaminate.tokens(" ".join(item)), 3) / len(item)
+        got = dict(block.match(" ".join(text))).get(1, 0.0)
+        assert got == pytest.approx(want) or (got == 0.0 and want < rule.coverage)
+    began = time.perf_counter()
+    long = " ".join(f"w{g.randrange(3000)}" for _ in range(50_000))
+    items = [(1, " ".join(["again"] * 60)), (2, long), (3, "again")]
+    block = decontaminate.Block(items, decontaminate.Tiling())
+    assert dict(block.match(" ".join(["again"] * 50_000))) == {1: 1.0}
+    assert dict(block.match(long + " again")) == {2: 1.0}
+    assert time.perf_counter() - began < 20
+    d = spark.createDataFrame([(None, "one two three four five six"), (None, "other words"), (5, "one two three four five six"), (5, "no"), (5, "no")], "doc_id long, text string")
+    bench = spark.createDataFrame([(1, "one two three four five six"), (2, "words")], "item_id long, text string")
+    key = lambda r: (str(r.doc_id), r.contaminated)
+    assert sorted(map(key, decontaminate.report(d, bench).collect())) == [("5", False), ("5", False), ("5", True), ("None", False), ("None", True)]
+    clash = d.selectExpr("doc_id", "text", "text as hits", "1 as item_id")
+    assert decontaminate.clean(clash, bench).columns == clash.columns and decontaminate.clean(clash, bench).count() == 3
+
+
 def removed(rows):
     """Brute force: windows of 100 bytes, all but the earliest."""
     texts = {(2**63 - 1 if i is None else i): (t or "").encode() for i, t in rows}

@@ -10,8 +10,12 @@ The benchmark is cut into blocks of a bounded size, by hashed item, and each blo
 over the texts.
 
 Defined cases: a null or empty text, and an item without words, match nothing. An item with fewer than `seed` words has
-one window, all its words. Of repeated items each counts. An empty benchmark leaves every document clean. Among ties the
-leftmost tile in the item, then in the text, is marked. Repeated documents get equal rows.
+one window, all its words; one with fewer than `least_words` isn't looked for, so that a single common word contaminates
+nothing. Of items with one id the best
+covered counts. An empty benchmark leaves every document clean, an empty table of documents gives no rows. Among ties the
+leftmost tile in the item, then in the text, is marked. Each row is judged by its own text, so null and repeated doc_ids do
+no harm, and repeated rows get equal results. Very long texts take time in proportion to their words and shared windows. In
+clean() all columns stay, whatever their names; report() only reads doc_id and text.
 """
 
 from __future__ import annotations
@@ -26,7 +30,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from tidemark.llm.common import id_text, small_batches
+from tidemark.llm.common import _arrow_schema, id_text, small_batches
 
 #: Bytes of UTF-8 that part words: ASCII but for letters and digits.
 PARTING = bytes(c if c >= 128 or chr(c).isalnum() else 0x20 for c in range(256))
@@ -37,6 +41,8 @@ class Tiling:
     #: Words of the shortest tile.
     seed: int = 5
     coverage: float = 0.6
+    #: Words of the shortest item that is looked for.
+    least_words: int = 2
     #: Characters of benchmark text that one block may hold.
     block_chars: int = 2_000_000
 
@@ -48,30 +54,38 @@ def tokens(text: str) -> list[bytes]:
 Pair = tuple[int, int, int]
 
 
-def greedy_tiles(text: list[int], item: list[int], starts: list[tuple[int, int]], seed: int) -> list[Pair]:
-    """(text place, item place, length) of the tiles. starts: the pairs of places whose windows of seed words agree."""
-    free_t, free_i = bytearray(b"\1" * len(text)), bytearray(b"\1" * len(item))
+def runs_of(at: np.ndarray, i: np.ndarray, seed: int) -> list[tuple[int, int, int]]:
+    """(-length, item place, text place) of the longest runs that the shared windows at (at, i) make along their diagonals."""
+    order = np.lexsort((i, at - i))
+    at, i = at[order], i[order]
+    first = np.flatnonzero(np.append(True, (np.diff(at - i) != 0) | (np.diff(i) != 1)))
+    n = np.diff(np.append(first, len(i))) + seed - 1
+    return list(zip((-n).tolist(), i[first].tolist(), at[first].tolist(), strict=True))
 
-    def reach(t: int, i: int) -> int:
-        n = 0
-        while t + n < len(text) and i + n < len(item) and free_t[t + n] and free_i[i + n] and text[t + n] == item[i + n]:
-            n += 1
-        return n
 
-    heap = [(-reach(t, i), i, t) for t, i in starts]
+def greedy_tiles(n_text: int, n_item: int, at: np.ndarray, i: np.ndarray, seed: int) -> list[Pair]:
+    """(text place, item place, length) of the tiles. (at, i): the pairs of places whose windows of seed words agree.
+
+    Matches are kept as whole runs; one that earlier tiles cover in part is cut to what is free and waits for its turn.
+    """
+    free_t, free_i = np.ones(n_text, bool), np.ones(n_item, bool)
+    left = n_item
+    heap = runs_of(at, i, seed)
     heapify(heap)
     tiles = []
-    while heap:
-        n, i, t = heappop(heap)
-        now = reach(t, i)
-        if now < seed:
-            continue
-        if now < -n:  # shortened by an earlier tile: it waits for its turn
-            heappush(heap, (-now, i, t))
+    while heap and left >= seed:
+        n, i0, t0 = heappop(heap)
+        free = free_t[t0 : t0 - n] & free_i[i0 : i0 - n]
+        if free.all():
+            free_t[t0 : t0 - n] = False
+            free_i[i0 : i0 - n] = False
+            left += n
+            tiles.append((t0, i0, -n))
             continue
-        free_t[t : t + now] = bytes(now)
-        free_i[i : i + now] = bytes(now)
-        tiles.append((t, i, now))
+        edge = np.flatnonzero(np.diff(free, prepend=False, append=False))
+        for k, end in zip(edge[::2].tolist(), edge[1::2].tolist(), strict=True):
+            if end - k >= seed:
+                heappush(heap, (k - end, i0 + k, t0 + k))
     return tiles
 
 
@@ -85,19 +99,22 @@ class Block:
         self.short: list[tuple[int, list[int]]] = []
         for item_id, text in items:
             ids = [words.setdefault(w, len(words)) for w in tokens(text)]
-            if ids:
+            if len(ids) >= rule.least_words:
                 (self.items if len(ids) >= rule.seed else self.short).append((item_id, ids))
         self.words = words
         g = np.random.default_rng(5)
         self.code = g.integers(1, 2**63, size=len(words) + 1, dtype=np.uint64) * np.uint64(2) + np.uint64(1)
-        self.where: dict[int, list[tuple[int, int]]] = defaultdict(list)
-        for k, (_, ids) in enumerate(self.items):
-            for at, h in enumerate(self.windows(np.array(ids)).tolist()):
-                self.where[h].append((k, at))
-        self.seeds = np.array(sorted(self.where), dtype=np.uint64)
         self.short_first: dict[int, list[tuple[int, list[int]]]] = defaultdict(list)
         for item_id, ids in self.short:
             self.short_first[ids[0]].append((item_id, ids))
+        hashes = [self.windows(np.array(ids)) for _, ids in self.items]
+        every = np.concatenate([np.zeros(0, np.uint64), *hashes])
+        order = np.argsort(every, kind="stable")
+        of_item = np.repeat(np.arange(len(hashes)), [len(h) for h in hashes])
+        place = np.concatenate([np.zeros(0, np.int64), *(np.arange(len(h)) for h in hashes)])
+        # by window: its item and place of each time it stands in the block, from first to first + often
+        self.of_item, self.place = of_item[order], place[order]
+        self.seeds, self.first, self.often = np.unique(every[order], return_index=True, return_counts=True)
 
     def windows(self, ids: np.ndarray) -> np.ndarray:
         n = len(ids) - self.rule.seed + 1
@@ -112,14 +129,14 @@ class Block:
         """(item_id, coverage) of each item that shares a window with the text."""
         found = tokens(text)
         ids = np.fromiter((self.words.get(w, -1) for w in found), dtype=np.int64, count=len(found))
+        seed = self.rule.seed
         known = ids >= 0
         out: list[tuple[int, float]] = []
         if self.short:
             listed = ids.tolist()
-            for at in np.flatnonzero(known):
+            for at in np.flatnonzero(known).tolist():
                 out += [(item_id, 1.0) for item_id, own in self.short_first.get(listed[at], ()) if listed[at : at + len(own)] == own]
-        n, seed = len(ids) - self.rule.seed + 1, self.rule.seed
-        if n <= 0 or not len(self.seeds):
+        if len(ids) < seed or not len(self.seeds):
             return out
         run = np.concatenate([[0], np.cumsum(known)])
         places = np.flatnonzero(run[seed:] - run[:-seed] == seed)  # windows of words that the benchmark has
@@ -128,18 +145,25 @@ class Block:
         h = self.windows(np.maximum(ids, 0))[places]
         slot = np.minimum(np.searchsorted(self.seeds, h), len(self.seeds) - 1)
         hit = self.seeds[slot] == h
-        starts: dict[int, list[tuple[int, int]]] = defaultdict(list)
-        for at, w in zip(places[hit].tolist(), h[hit].tolist(), strict=True):
-            for k, i in self.where[w]:
-                starts[k].append((at, i))
-        if starts:
-            listed = ids.tolist()
-            for k, pairs in starts.items():
-                item_id, own = self.items[k]
-                if len({x for _, i in pairs for x in range(i, i + seed)}) >= self.rule.coverage * len(own):  # no tiling can cover more
-                    out.append((item_id, sum(x[2] for x in greedy_tiles(listed, own, pairs, seed)) / len(own)))
-                else:
-                    out.append((item_id, 0.0))
+        if not hit.any():
+            return out
+        places, slot = places[hit], slot[hit]
+        often = self.often[slot]
+        entry = np.repeat(self.first[slot] - np.cumsum(often) + often, often) + np.arange(often.sum())
+        at, item, i = np.repeat(places, often), self.of_item[entry], self.place[entry]
+        order = np.argsort(item, kind="stable")
+        at, item, i = at[order], item[order], i[order]
+        edge = np.flatnonzero(np.append(True, np.diff(item) != 0)).tolist()
+        for low, high in zip(edge, [*edge[1:], len(item)], strict=True):
+            item_id, own = self.items[item[low]]
+            seen = np.zeros(len(own) + 1, np.int64)
+            starts = np.unique(i[low:high])
+            np.add.at(seen, starts, 1)
+            np.add.at(seen, np.minimum(starts + seed, len(own)), -1)
+            if (np.cumsum(seen[:-1]) > 0).sum() >= self.rule.coverage * len(own):  # else no tiling covers enough
+                out.append((item_id, sum(x[2] for x in greedy_tiles(len(ids), len(own), at[low:high], i[low:high], seed)) / len(own)))
+            else:
+                out.append((item_id, 0.0))
         return out
 
 
@@ -153,31 +177,47 @@ def blocks(benchmark: DataFrame, rule: Tiling) -> Iterator[list[tuple[int, str]]
         yield [(r.item_id, r.text) for r in part.orderBy("item_id", "text").collect()]
 
 
-def contamination(docs: DataFrame, benchmark: DataFrame, rule: Tiling = Tiling()) -> DataFrame:
-    """(doc_id, item_id, coverage) for each document and item at or above rule.coverage."""
-    texts = id_text(docs)
-    out = docs.sparkSession.createDataFrame([], "doc_id long, item_id long, coverage double")
+HITS = "array<struct<item_id: long, coverage: double>>"
+
+
+def hits_of(docs: DataFrame, benchmark: DataFrame, rule: Tiling = Tiling()) -> DataFrame:
+    """(doc_id, hits) for each row of docs: each item at or above rule.coverage with its coverage, the largest of equal items.
+
+    Each row is judged by its own text, and each block of the benchmark is one more pass in the same stage: nothing is shuffled.
+    """
+    out = id_text(docs).withColumn("hits", F.array().cast(HITS))
+    schema = out.schema
+    kind = _arrow_schema(schema).field("hits").type
     for items in blocks(benchmark, rule):
         shared = docs.sparkSession.sparkContext.broadcast(items)
 
         def run(batches: Iterator[pa.RecordBatch], shared=shared) -> Iterator[pa.RecordBatch]:  # noqa: ANN001
             block = Block(shared.value, rule)
             for b in batches:
-                rows = [(i, item, c) for i, t in zip(b.column(0).to_pylist(), b.column(1).to_pylist(), strict=True) for item, c in block.match(t) if c >= rule.coverage]
-                cols = list(zip(*rows, strict=True)) or [[]] * 3
-                yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(cols, (pa.int64(), pa.int64(), pa.float64()), strict=True)], names=["doc_id", "item_id", "coverage"])
+                rows = []
+                for text, before in zip(b.column(1).to_pylist(), b.column(2).to_pylist(), strict=True):
+                    best = {x["item_id"]: x["coverage"] for x in before}
+                    for item_id, c in block.match(text):
+                        if c >= rule.coverage:
+                            best[item_id] = max(c, best.get(item_id, 0.0))
+                    rows.append([{"item_id": k, "coverage": c} for k, c in best.items()])
+                yield pa.RecordBatch.from_arrays([b.column(0), b.column(1), pa.array(rows, kind)], names=["doc_id", "text", "hits"])
 
-        out = out.unionByName(texts.mapInArrow(run, "doc_id long, item_id long, coverage double"))
-    return out
+        out = out.mapInArrow(run, schema)
+    return out.select("doc_id", "hits")
+
+
+def contamination(docs: DataFrame, benchmark: DataFrame, rule: Tiling = Tiling()) -> DataFrame:
+    """(doc_id, item_id, coverage) for each row of docs and item at or above rule.coverage."""
+    return hits_of(docs, benchmark, rule).select("doc_id", F.inline("hits"))
 
 
 def report(docs: DataFrame, benchmark: DataFrame, rule: Tiling = Tiling()) -> DataFrame:
-    """doc_id, contaminated, n_items, coverage (the largest) and item_id (the smallest of those with it) for each different doc_id."""
-    hits = contamination(docs, benchmark, rule).dropDuplicates(["doc_id", "item_id"])
-    best = hits.groupBy("doc_id").agg(F.count("*").alias("n_items"), F.max("coverage").alias("coverage"), F.max_by("item_id", F.struct("coverage", -F.col("item_id"))).alias("item_id"))
-    ids = docs.select(F.col("doc_id").cast("long").alias("doc_id")).distinct()
-    joined = ids.join(best, "doc_id", "left")
-    return joined.select("doc_id", F.col("n_items").isNotNull().alias("contaminated"), F.coalesce("n_items", F.lit(0)).alias("n_items"), F.coalesce("coverage", F.lit(0.0)).alias("coverage"), "item_id")
+    """doc_id, contaminated, n_items, coverage (the largest) and item_id (the smallest of those with it) for each row of docs."""
+    hits = hits_of(docs, benchmark, rule)
+    best = F.array_max(F.transform("hits", lambda x: F.struct(x["coverage"].alias("coverage"), (-x["item_id"]).alias("less"))))
+    told = hits.select("doc_id", F.size("hits").cast("long").alias("n_items"), best.alias("best"))
+    return told.select("doc_id", (F.col("n_items") > 0).alias("contaminated"), "n_items", F.coalesce("best.coverage", F.lit(0.0)).alias("coverage"), (-F.col("best.less")).alias("item_id"))
 
 
 def clean(docs: DataFrame, benchmark: DataFrame, rule: Tiling = Tiling()) -> DataFrame:
