@@ -164,9 +164,9 @@ def test_line_dedup_matches_brute_force(spark, none):
     lines = []
     for i, text, *_ in rows:
         for at, line in enumerate((text or "").split("\n")):
-            if len(line.strip(" ")) >= 20:
-                lines.append(((last if i is None else i, at), line.strip(" ")))
-    gone = {p for p, x in lines if any(q < p and within_one(x, y) for q, y in lines)}
+            if line.strip(" \t"):
+                lines.append(((last if i is None else i, at), line.strip(" \t")))
+    gone = {p for p, x in lines if any(q < p and (x == y or min(len(x), len(y)) >= 20 and within_one(x, y)) for q, y in lines)}
     want = []
     for i, text, *_ in rows:
         ps = [(last if i is None else i, at) in gone for at in range(len((text or "").split("\n")))]
@@ -183,6 +183,38 @@ def test_line_dedup_matches_brute_force(spark, none):
     assert line_dedup.dedup_lines(none).count() == 0 and line_dedup.line_report(none).count() == 0
 
 
+def test_rows_that_share_an_id_are_told_apart(spark):
+    """Rows with a null or repeated doc_id and other texts: lines and bytes go from the rows that hold them."""
+    g = random.Random(20)
+    make = lambda: "".join(g.choice("abcdefghij klmnop") for _ in range(130)).strip()
+    a, b, c, d, e = (make() for _ in range(5))
+    rows = [(1, a), (None, f"{b}\n{a}"), (None, f"{c}\n{d}"), (4, f"{e}\n{b}"), (4, f"{d}\n{e}"), (9, "}\r"), (10, "new\n}")]
+    docs = spark.createDataFrame(rows, "doc_id long, text string").withColumn("twin", F.lit("kept"))
+    order = sorted(range(len(rows)), key=lambda k: (rows[k][0] is None, rows[k][0] or 0, docs_hash(spark, rows[k][1]) if rows[k][0] in (None, 4) else 0))
+    seen, want = set(), []
+    for k in order:
+        left = [x for x in rows[k][1].split("\n") if x.strip() not in seen]
+        seen |= {x.strip() for x in rows[k][1].split("\n")}
+        if left:
+            want.append((rows[k][0], "\n".join(left), "kept"))
+    key = lambda x: tuple(map(str, x))
+    assert sorted(map(tuple, line_dedup.dedup_lines(docs).collect()), key=key) == sorted(want, key=key)
+    got = {(r.doc_id, r.n_bytes, r.kept_sha256) for r in substring_dedup.report(docs).collect()}
+    first, out = {}, set()
+    for k in order:
+        data, off = rows[k][1].encode(), np.zeros(len(rows[k][1]), dtype=bool)
+        for p in range(len(data) - 99):
+            if first.setdefault(data[p : p + 100], (k, p)) != (k, p):
+                off[p : p + 100] = True
+        out.add((rows[k][0], len(data), hashlib.sha256(bytes(x for x, o in zip(data, off, strict=True) if not o)).hexdigest()))
+    assert got == out
+    assert substring_dedup.dedup(docs).columns == docs.columns
+
+
+def docs_hash(spark, text):
+    return spark.range(1).select(F.xxhash64(F.lit(text))).first()[0]
+
+
 def test_neighbourhood_keys():
     g = random.Random(8)
     for _ in range(300):

@@ -56,8 +56,8 @@ def brute(docs, items):
         sums[n:] += quality_rules.common_counts(quality_rules.WORD.findall(t or ""))
     refs = tuple((x / x.sum())[None] for x in (sums[:n], sums[n:]))
     rows = [(i, t) for i, t in rows if quality_rules.judge(t or "", refs)[6]]
-    lines = [((i, k), x.strip(" ")) for i, t in rows for k, x in enumerate(t.split("\n")) if len(x.strip(" ")) >= 20]
-    gone = {p for p, x in lines if any(q < p and within_one(x, y) for q, y in lines)}
+    lines = [((i, k), x.strip(" ")) for i, t in rows for k, x in enumerate(t.split("\n")) if x.strip(" ")]
+    gone = {p for p, x in lines if any(q < p and (x == y or min(len(x), len(y)) >= 20 and within_one(x, y)) for q, y in lines)}
     after = []
     for i, t in rows:
         left = "\n".join(x for k, x in enumerate(t.split("\n")) if (i, k) not in gone)

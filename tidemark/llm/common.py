@@ -113,6 +113,18 @@ def bounded(df: DataFrame, rows: int = BROADCAST_ROWS) -> tuple[DataFrame, int]:
     return (F.broadcast(df) if n <= rows else df), n
 
 
+def told_apart(docs: DataFrame) -> DataFrame:
+    """docs with twin: 0 where the doc_id stands once, else a hash of the text, so that (doc_id, twin) tells rows with other texts apart.
+
+    Rows without a doc_id all have one. Rows equal in doc_id and text stay alike: they are one document.
+    """
+    own = F.col("doc_id").cast("long")
+    again, _ = bounded(docs.select(own.alias("__tm_again")).where("__tm_again is not null").groupBy("__tm_again").count().where("count > 1").select("__tm_again"))
+    keyed = docs.join(again, own == F.col("__tm_again"), "left")
+    alone = F.col("doc_id").isNotNull() & F.col("__tm_again").isNull()
+    return keyed.withColumn("twin", F.when(alone, F.lit(0)).otherwise(F.xxhash64(F.coalesce("text", F.lit(""))))).drop("__tm_again")
+
+
 def connected_components(edges: DataFrame, scratch: Scratch, most_rounds: int = 60) -> DataFrame:
     """(node, component) for each node of the edges (a, b): the smallest node that it reaches.
 

@@ -10,9 +10,12 @@ other without a character. Either key holds lines whose earliest member decides
 minimum before and after the shuffle and never gathered. Lines that share no half with another line can't be one edit
 from one, so only the others emit their neighbourhoods. Each match is verified by the edit distance of the two texts.
 
-Defined cases: lines shorter than `min_chars` and blank ones always stay. A null text stays null, an empty one empty. A
-document that loses all its lines that aren't blank goes as a whole. Rows with a null doc_id come last. Repeated
-rows of one doc_id are told apart by their texts: of equal ones only the first keeps its lines. Other columns stay; n_chars, if there is one, follows the text.
+Defined cases: blank lines and lines shorter than `min_chars` always stay; those shorter than `near_chars` only go as exact
+copies. A null text stays null, an empty one empty. A document that loses all its lines that aren't blank goes as a whole.
+Rows with a null doc_id come last. Rows of one doc_id, or of none, are told apart by a hash of their texts, in its order;
+rows equal in both are one document listed twice and get equal results. Lines are told by 64-bit hashes. Very long texts are
+split like others. An empty table gives no rows. Other columns stay, whatever their names; n_chars, if there is one, follows
+the text.
 """
 
 from __future__ import annotations
@@ -25,18 +28,26 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from tidemark.llm.common import BROADCAST_ROWS, Scratch, checkpointed
+from tidemark.llm.common import BROADCAST_ROWS, Scratch, checkpointed, told_apart
+
+
+#: Outer white space of a line.
+WHITE = " \t\x0b\f\r"
 
 
 @dataclass(frozen=True)
 class Lines:
-    min_chars: int = 20
+    #: Characters of the shortest line of which exact copies go.
+    min_chars: int = 1
+    #: Characters of the shortest line that goes for an earlier one within an edit.
+    near_chars: int = 20
 
 
 def lines_of(docs: DataFrame, rule: Lines) -> DataFrame:
-    """doc_id, at (place in the text) and line, without outer white space, for each line of min_chars or more."""
-    rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.posexplode(F.split(F.coalesce("text", F.lit("")), "\n")).alias("at", "line"))
-    return rows.select(F.coalesce("doc_id", F.lit(2**63 - 1)).alias("doc_id"), "at", F.trim("line").alias("line")).where(F.length("line") >= rule.min_chars)
+    """place (doc_id, twin and number of the line) and line, without outer white space, for each line of min_chars or more. docs: with twin."""
+    rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "twin", F.posexplode(F.split(F.coalesce("text", F.lit("")), "\n")).alias("at", "line"))
+    place = F.struct(F.coalesce("doc_id", F.lit(2**63 - 1)).alias("doc_id"), "twin", "at")
+    return rows.select(place.alias("place"), F.trim("line", F.lit(WHITE)).alias("line")).where(F.length("line") >= rule.min_chars)
 
 
 def half_keys(line: Column) -> Column:
@@ -89,7 +100,7 @@ def neighbour_rows(lines: DataFrame) -> DataFrame:
 
 def first_lines(lines: DataFrame) -> DataFrame:
     """(line_key, first, n): each different line's earliest place and how often it stands, pre-aggregated before the shuffle."""
-    return lines.groupBy(F.xxhash64("line").alias("line_key")).agg(F.min(F.struct("doc_id", "at")).alias("first"), F.count("*").alias("n"))
+    return lines.groupBy(F.xxhash64("line").alias("line_key")).agg(F.min("place").alias("first"), F.count("*").alias("n"))
 
 
 def near_lines(lines: DataFrame, firsts: DataFrame, scratch: Scratch) -> DataFrame:
@@ -116,21 +127,21 @@ def near_lines(lines: DataFrame, firsts: DataFrame, scratch: Scratch) -> DataFra
 
 
 def dropped_lines(docs: DataFrame, scratch: Scratch, rule: Lines = Lines()) -> DataFrame:
-    """(doc_id, at, near) for each line that goes; near: it is no exact copy of an earlier one."""
+    """(doc_id, twin, at, near) for each line that goes; near: it is no exact copy of an earlier one. docs: with twin."""
     lines = lines_of(docs, rule)
     firsts = scratch.keep(first_lines(lines))
-    near = scratch.keep(near_lines(lines, firsts, scratch))
+    near = scratch.keep(near_lines(lines.where(F.length("line") >= rule.near_chars), firsts, scratch))
     marks = near.select("line_key", F.lit(True).alias("near")) if near.count() > BROADCAST_ROWS else F.broadcast(near.select("line_key", F.lit(True).alias("near")))
     told = firsts.join(marks, "line_key", "left").where("n > 1 or near")
     # only lines with copies or near ones are joined back, so that a line without any isn't shuffled for long
-    keyed = lines.select("doc_id", "at", F.xxhash64("line").alias("line_key"))
-    out = keyed.join(told.select("line_key", "first", "near"), "line_key").where("near or struct(doc_id, at) != first")
-    return out.select("doc_id", "at", (F.struct("doc_id", "at") == F.col("first")).alias("near"))
+    keyed = lines.select("place", F.xxhash64("line").alias("line_key"))
+    out = keyed.join(told.select("line_key", "first", "near"), "line_key").where("near or place != first")
+    return out.select("place.*", (F.col("place") == F.col("first")).alias("near")).distinct()
 
 
 def line_report(docs: DataFrame, rule: Lines = Lines()) -> DataFrame:
     """doc_id, n_lines, n_exact, n_near (lines that go, by reason) and n_kept_chars for each row of docs."""
-    kept, gone = _with_marks(docs, rule)
+    kept = _with_marks(docs, rule)
     at = F.col("__tm_gone")
     split = F.split(F.coalesce("text", F.lit("")), "\n")
     stays = F.filter(split, lambda x, i: ~F.coalesce(F.array_contains(at, i), F.lit(False)))
@@ -141,20 +152,24 @@ def line_report(docs: DataFrame, rule: Lines = Lines()) -> DataFrame:
     )
 
 
-def _with_marks(docs: DataFrame, rule: Lines) -> tuple[DataFrame, DataFrame]:
+def _with_marks(docs: DataFrame, rule: Lines) -> DataFrame:
     """docs with the places of the lines that go (__tm_gone, null for none) and how many are near ones (__tm_near)."""
     scratch = Scratch(docs.sparkSession)
-    gone = dropped_lines(docs, scratch, rule)
-    by_doc = checkpointed(gone.groupBy(F.col("doc_id").alias("__tm_doc")).agg(F.array_sort(F.collect_set("at")).alias("__tm_gone"), F.sum(F.col("near").cast("int")).alias("__tm_near")))
+    keyed = told_apart(docs.drop("twin"))
+    gone = dropped_lines(keyed, scratch, rule)
+    by_doc = gone.groupBy(F.col("doc_id").alias("__tm_doc"), F.col("twin").alias("__tm_twin")).agg(F.array_sort(F.collect_set("at")).alias("__tm_gone"), F.sum(F.col("near").cast("int")).alias("__tm_near"))
+    by_doc = checkpointed(by_doc)
     scratch.close()
     if by_doc.count() <= BROADCAST_ROWS:
         by_doc = F.broadcast(by_doc)
-    return docs.join(by_doc, F.coalesce(docs["doc_id"].cast("long"), F.lit(2**63 - 1)) == F.col("__tm_doc"), "left"), gone
+    rows = docs.select(F.struct(*docs.columns).alias("__tm_row"), "doc_id", "text")
+    met = (F.coalesce(F.col("doc_id").cast("long"), F.lit(2**63 - 1)) == F.col("__tm_doc")) & (F.col("twin") == F.col("__tm_twin"))
+    return told_apart(rows).join(by_doc, met, "left").select("__tm_row.*", "__tm_gone", "__tm_near")
 
 
 def dedup_lines(docs: DataFrame, rule: Lines = Lines()) -> DataFrame:
     """docs without the lines that go, with all their columns; documents without any other line than blank ones go too."""
-    marked, _ = _with_marks(docs, rule)
+    marked = _with_marks(docs, rule)
     at = F.col("__tm_gone")
     stays = F.array_join(F.filter(F.split("text", "\n"), lambda x, i: ~F.array_contains(at, i)), "\n")
     text = F.when(at.isNull(), F.col("text")).otherwise(stays)
@@ -169,11 +184,12 @@ def dedup_lines(docs: DataFrame, rule: Lines = Lines()) -> DataFrame:
 ORACLE_SQL = """
 WITH x AS (SELECT doc_id, string_split(coalesce(text, ''), chr(10)) AS ls FROM documents),
 l AS (SELECT doc_id, unnest(range(len(ls))) AS pos, unnest(ls) AS line FROM x),
-t AS (SELECT doc_id, pos, trim(line, ' ') AS line FROM l WHERE length(trim(line, ' ')) >= 20),
-u AS (SELECT line, min((doc_id, pos)) AS first, length(line) AS n, sha256(left(line, length(line) // 2)) AS h1 FROM t GROUP BY line),
-p AS (SELECT a.line, a.n, b.line AS other, b.n AS m FROM u a JOIN u b ON a.n = b.n AND b.first < a.first AND (left(a.line, a.n // 2) = left(b.line, a.n // 2) OR substr(a.line, a.n // 2 + 1) = substr(b.line, a.n // 2 + 1))
-  UNION ALL SELECT a.line, a.n, b.line, b.n FROM u a JOIN u b ON b.n = a.n + 1 AND b.first < a.first AND (left(a.line, a.n // 2) = left(b.line, a.n // 2) OR substr(a.line, a.n // 2 + 1) = substr(b.line, a.n // 2 + 2))
-  UNION ALL SELECT a.line, a.n, b.line, b.n FROM u a JOIN u b ON b.n = a.n - 1 AND b.first < a.first AND (left(a.line, b.n // 2) = left(b.line, b.n // 2) OR substr(b.line, b.n // 2 + 1) = substr(a.line, b.n // 2 + 2))),
+t AS (SELECT doc_id, pos, trim(line, ' ' || chr(9) || chr(11) || chr(12) || chr(13)) AS line FROM l WHERE length(trim(line, ' ' || chr(9) || chr(11) || chr(12) || chr(13))) >= 1),
+u AS (SELECT line, min((doc_id, pos)) AS first, length(line) AS n FROM t GROUP BY line),
+v AS (SELECT * FROM u WHERE n >= 20),
+p AS (SELECT a.line, a.n, b.line AS other, b.n AS m FROM v a JOIN v b ON a.n = b.n AND b.first < a.first AND (left(a.line, a.n // 2) = left(b.line, a.n // 2) OR substr(a.line, a.n // 2 + 1) = substr(b.line, a.n // 2 + 1))
+  UNION ALL SELECT a.line, a.n, b.line, b.n FROM v a JOIN v b ON b.n = a.n + 1 AND b.first < a.first AND (left(a.line, a.n // 2) = left(b.line, a.n // 2) OR substr(a.line, a.n // 2 + 1) = substr(b.line, a.n // 2 + 2))
+  UNION ALL SELECT a.line, a.n, b.line, b.n FROM v a JOIN v b ON b.n = a.n - 1 AND b.first < a.first AND (left(a.line, b.n // 2) = left(b.line, b.n // 2) OR substr(b.line, b.n // 2 + 1) = substr(a.line, b.n // 2 + 2))),
 near AS (SELECT DISTINCT line FROM p WHERE CASE WHEN n = m THEN len(list_filter(range(1, n + 1), lambda i: line[i] <> other[i])) = 1
   WHEN m > n THEN len(list_filter(range(1, m + 1), lambda i: left(other, i - 1) || substr(other, i + 1) = line)) > 0 ELSE len(list_filter(range(1, n + 1), lambda i: left(line, i - 1) || substr(line, i + 1) = other)) > 0 END),
 g AS (SELECT t.doc_id, t.pos, (t.doc_id, t.pos) = u.first AS near FROM t JOIN u USING (line) LEFT JOIN near n ON n.line = t.line WHERE (t.doc_id, t.pos) <> u.first OR n.line IS NOT NULL),

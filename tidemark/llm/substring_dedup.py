@@ -15,8 +15,9 @@ earliest of each, before and after the shuffle. Texts are shuffled to their want
 broadcast of the cells would only do for small ones. Matches are judged on the input and never cross documents.
 
 Defined cases: a null text counts as an empty one; texts under 100 bytes lose nothing. Rows with a null doc_id come last
-of all. Rows that repeat a doc_id count as one document if their texts are equal; spans of one with another text are cut
-to its length. Bytes are of UTF-8. An empty table gives no rows.
+of all. Rows of one doc_id, or of none, are told apart by a hash of their texts, in its order; rows equal in both are one
+document listed twice and get equal results. Bytes are of UTF-8. Very long texts are cut into pieces that overlap. An empty
+table gives no rows. In dedup() all other columns stay, whatever their names.
 """
 
 from __future__ import annotations
@@ -31,7 +32,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
-from tidemark.llm.common import BROADCAST_ROWS, Scratch, arrow_batches, checkpointed, id_text
+from tidemark.llm.common import BROADCAST_ROWS, Scratch, arrow_batches, checkpointed, id_text, told_apart
 
 LAST = 2**63 - 1
 
@@ -138,16 +139,22 @@ def cells_of(texts: list[bytes], rule: Repeats) -> Iterator[tuple[np.ndarray, ..
         yield row, h[a], cell, place, most, least
 
 
+def keyed_text(docs: DataFrame) -> DataFrame:
+    """doc_id, the whole text and twin."""
+    return told_apart(id_text(docs)).select("doc_id", "text", "twin")
+
+
 def cell_rows(docs: DataFrame, rule: Repeats) -> DataFrame:
-    """(gram, cell, doc_id, place): place holds the anchor's place and the two offsets of the cell."""
+    """(gram, cell, doc_id, twin, place): place holds the anchor's place and the two offsets of the cell."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
             ids = np.array([LAST if i is None else i for i in b.column(0).to_pylist()], dtype=np.int64)
+            twins = b.column(2).to_numpy()
             for row, gram, cell, place, most, least in cells_of([t.encode("utf-8", "surrogatepass") for t in b.column(1).to_pylist()], rule):
-                yield from arrow_batches([("gram", gram.view(np.int64), pa.int64()), ("cell", cell.view(np.int64), pa.int64()), ("doc_id", ids[row], pa.int64()), ("place", (place << 14) | (most << 7) | least, pa.int64())], 1 << 16)
+                yield from arrow_batches([("gram", gram.view(np.int64), pa.int64()), ("cell", cell.view(np.int64), pa.int64()), ("doc_id", ids[row], pa.int64()), ("twin", twins[row], pa.int64()), ("place", (place << 14) | (most << 7) | least, pa.int64())], 1 << 16)
 
-    return id_text(docs).mapInArrow(run, "gram long, cell long, doc_id long, place long")
+    return keyed_text(docs).mapInArrow(run, "gram long, cell long, doc_id long, twin long, place long")
 
 
 def common_length(x: bytes, y: bytes) -> int:
@@ -247,43 +254,42 @@ def repeated_windows(group: np.ndarray, rank: np.ndarray, most: np.ndarray, leas
 
 
 def context_rows(docs: DataFrame, wanted: DataFrame, rule: Repeats) -> DataFrame:
-    """(gram, doc_id, place, left, right) for the wanted cells: the bytes before the anchor, reversed, and those after its gram, zero-padded."""
-    listed = wanted.groupBy("doc_id").agg(F.collect_list(F.struct("gram", "place")).alias("cells"))  # no more than the document's own cells
-    joined = id_text(docs).withColumn("doc_id", F.coalesce("doc_id", F.lit(LAST))).join(listed, "doc_id").select("doc_id", "text", "cells")
+    """(gram, doc_id, twin, place, left, right) for the wanted cells: the bytes before the anchor, reversed, and those after its gram, zero-padded."""
+    listed = wanted.groupBy("doc_id", "twin").agg(F.collect_list(F.struct("gram", "place")).alias("cells"))  # no more than the document's own cells
+    joined = keyed_text(docs).withColumn("doc_id", F.coalesce("doc_id", F.lit(LAST))).join(listed, ["doc_id", "twin"]).select("doc_id", "text", "twin", "cells")
     pad = rule.offsets - 1
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
             rows = []
-            for i, text, cells in zip(b.column(0).to_pylist(), b.column(1).to_pylist(), b.column(2).to_pylist(), strict=True):
+            for i, text, twin, cells in zip(*(b.column(k).to_pylist() for k in range(4)), strict=True):
                 data = text.encode("utf-8", "surrogatepass")
                 for c in cells:
                     at, most, least = c["place"] >> 14, (c["place"] >> 7) & 127, c["place"] & 127
-                    if at - least + rule.length <= len(data):  # else of a repeated doc_id with another text
-                        rows.append((c["gram"], i, c["place"], data[at - most : at][::-1].ljust(pad, b"\0"), data[at + rule.gram : at - least + rule.length].ljust(pad, b"\0")))
-            cols = list(zip(*rows, strict=True)) or [[]] * 5
-            yield from arrow_batches([(k, c, t) for k, c, t in zip(("gram", "doc_id", "place", "left", "right"), cols, (pa.int64(), pa.int64(), pa.int64(), pa.binary(), pa.binary()), strict=True)], 1 << 15) if rows else ()
+                    rows.append((c["gram"], i, twin, c["place"], data[at - most : at][::-1].ljust(pad, b"\0"), data[at + rule.gram : at - least + rule.length].ljust(pad, b"\0")))
+            cols = list(zip(*rows, strict=True)) or [[]] * 6
+            yield from arrow_batches([(k, c, t) for k, c, t in zip(("gram", "doc_id", "twin", "place", "left", "right"), cols, (pa.int64(), pa.int64(), pa.int64(), pa.int64(), pa.binary(), pa.binary()), strict=True)], 1 << 15) if rows else ()
 
-    return joined.mapInArrow(run, "gram long, doc_id long, place long, left binary, right binary")
+    return joined.mapInArrow(run, "gram long, doc_id long, twin long, place long, left binary, right binary")
 
 
 def sorted_spans(contexts: DataFrame, rule: Repeats) -> DataFrame:
-    """(doc_id, start, end) of the repeated windows among the contexts, a task's grams sorted in portions of whole groups."""
+    """(doc_id, twin, start, end) of the repeated windows among the contexts, a task's grams sorted in portions of whole groups."""
     pad = rule.offsets - 1
 
     def solve(parts: list[pa.Table]) -> pa.RecordBatch:
         t = pa.concat_tables(parts).combine_chunks()
-        gram, ids, place = (t.column(k).to_numpy() for k in ("gram", "doc_id", "place"))
+        gram, ids, twin, place = (t.column(k).to_numpy() for k in ("gram", "doc_id", "twin", "place"))
         matrix = lambda k: np.frombuffer(b"".join(t.column(k).to_pylist()), dtype=np.uint8).reshape(len(gram), pad)
         group = np.cumsum(np.append(True, gram[1:] != gram[:-1]))
         most, least, at = (place >> 7) & 127, place & 127, place >> 14
         # rows come sorted by gram, doc_id and place, so the number of different ones is a rank within the gram; a repeated row has the same rank
-        rank = np.cumsum(np.append(True, (gram[1:] != gram[:-1]) | (ids[1:] != ids[:-1]) | (place[1:] != place[:-1])))
+        rank = np.cumsum(np.append(True, (gram[1:] != gram[:-1]) | (ids[1:] != ids[:-1]) | (twin[1:] != twin[:-1]) | (place[1:] != place[:-1])))
         hit = repeated_windows(group, rank, most, least, matrix("right"), matrix("left"), rule)
         edge = np.diff(np.pad(hit.astype(np.int8), ((0, 0), (1, 1))), axis=1)
         row, low = np.nonzero(edge == 1)
         _, high = np.nonzero(edge == -1)
-        return pa.RecordBatch.from_arrays([pa.array(ids[row]), pa.array(at[row] - (high - 1)), pa.array(at[row] - low + rule.length)], names=["doc_id", "start", "end"])
+        return pa.RecordBatch.from_arrays([pa.array(ids[row]), pa.array(twin[row]), pa.array(at[row] - (high - 1)), pa.array(at[row] - low + rule.length)], names=["doc_id", "twin", "start", "end"])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         held: list[pa.Table] = []
@@ -305,8 +311,8 @@ def sorted_spans(contexts: DataFrame, rule: Repeats) -> DataFrame:
         if held:
             yield solve(held)
 
-    ordered = contexts.repartition("gram").sortWithinPartitions("gram", "doc_id", "place")
-    return ordered.mapInArrow(run, "doc_id long, start long, end long")
+    ordered = contexts.repartition("gram").sortWithinPartitions("gram", "doc_id", "twin", "place")
+    return ordered.mapInArrow(run, "doc_id long, twin long, start long, end long")
 
 
 def hashed_spans(contexts: DataFrame, rule: Repeats) -> DataFrame:
@@ -315,48 +321,50 @@ def hashed_spans(contexts: DataFrame, rule: Repeats) -> DataFrame:
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
             rows = []
-            for gram, i, place, left, right in zip(*(b.column(k).to_pylist() for k in range(5)), strict=True):
+            for gram, i, twin, place, left, right in zip(*(b.column(k).to_pylist() for k in range(6)), strict=True):
                 for o in range(place & 127, ((place >> 7) & 127) + 1):
                     key = hashlib.blake2b(left[:o][::-1] + b"|" + right[: rule.length - rule.gram - o], digest_size=16, salt=gram.to_bytes(8, "big", signed=True)).digest()
-                    rows.append((int.from_bytes(key[:8], "big", signed=True), int.from_bytes(key[8:], "big", signed=True), i, (place >> 14) - o))
-            cols = list(zip(*rows, strict=True)) or [[]] * 4
-            yield from arrow_batches([(k, c, pa.int64()) for k, c in zip(("h1", "h2", "doc_id", "start"), cols, strict=True)]) if rows else ()
+                    rows.append((int.from_bytes(key[:8], "big", signed=True), int.from_bytes(key[8:], "big", signed=True), i, twin, (place >> 14) - o))
+            cols = list(zip(*rows, strict=True)) or [[]] * 5
+            yield from arrow_batches([(k, c, pa.int64()) for k, c in zip(("h1", "h2", "doc_id", "twin", "start"), cols, strict=True)]) if rows else ()
 
-    windows = contexts.mapInArrow(run, "h1 long, h2 long, doc_id long, start long")
-    low = windows.groupBy("h1", "h2").agg(F.min(F.struct("doc_id", "start")).alias("first"), F.count("*").alias("n")).where("n > 1")
-    return windows.join(low, ["h1", "h2"]).where("struct(doc_id, start) > first").select("doc_id", "start", (F.col("start") + rule.length).alias("end"))
+    windows = contexts.mapInArrow(run, "h1 long, h2 long, doc_id long, twin long, start long")
+    low = windows.groupBy("h1", "h2").agg(F.min(F.struct("doc_id", "twin", "start")).alias("first"), F.count("*").alias("n")).where("n > 1")
+    return windows.join(low, ["h1", "h2"]).where("struct(doc_id, twin, start) > first").select("doc_id", "twin", "start", (F.col("start") + rule.length).alias("end"))
 
 
 def spans(docs: DataFrame, scratch: Scratch, rule: Repeats = Repeats()) -> DataFrame:
-    """(doc_id, spans): the maximal removed runs of each document that has any, as sorted (start, end) in bytes."""
+    """(doc_id, twin, spans): the maximal removed runs of each document that has any, as sorted (start, end) in bytes."""
     by_gram = Window.partitionBy("gram")
-    by_cell = Window.partitionBy("gram", "cell").orderBy("doc_id", "place")
-    who = F.struct("doc_id", "place")
+    by_cell = Window.partitionBy("gram", "cell").orderBy("doc_id", "twin", "place")
+    who = F.struct("doc_id", "twin", "place")
     rows = cell_rows(docs, rule).withColumn("first", F.first(who).over(by_cell)).withColumn("before", F.lag("place").over(by_cell))
     rows = rows.withColumn("low", F.min("cell").over(by_gram)).withColumn("high", F.max("cell").over(by_gram))
-    met = scratch.keep(rows.select("gram", "doc_id", "place", (who > F.col("first")).alias("copy"), F.col("before").isNull().alias("one"), (F.col("low") != F.col("high")).alias("several")).where("copy or (one and several)").drop("one", "several"))
-    copies = met.where("copy").select("doc_id", (F.shiftright("place", 14) - F.shiftright("place", 7).bitwiseAND(127)).alias("start"), (F.shiftright("place", 14) - F.col("place").bitwiseAND(127) + rule.length).alias("end"))
-    wanted = met.where("not copy").select("gram", "doc_id", "place")
+    met = scratch.keep(rows.select("gram", "doc_id", "twin", "place", (who > F.col("first")).alias("copy"), F.col("before").isNull().alias("one"), (F.col("low") != F.col("high")).alias("several")).where("copy or (one and several)").drop("one", "several"))
+    copies = met.where("copy").select("doc_id", "twin", (F.shiftright("place", 14) - F.shiftright("place", 7).bitwiseAND(127)).alias("start"), (F.shiftright("place", 14) - F.col("place").bitwiseAND(127) + rule.length).alias("end"))
+    wanted = met.where("not copy").select("gram", "doc_id", "twin", "place")
     large = wanted.groupBy("gram").count().where(F.col("count") > rule.max_group).select("gram")
     contexts = scratch.keep(context_rows(docs, wanted, rule))
     large = scratch.keep(large)
     found = sorted_spans(contexts.join(large, "gram", "left_anti"), rule).unionByName(hashed_spans(contexts.join(large, "gram", "left_semi"), rule))
     every = copies.unionByName(found)
-    order = Window.partitionBy("doc_id").orderBy("start", "end")
+    order = Window.partitionBy("doc_id", "twin").orderBy("start", "end")
     reach = F.max("end").over(order.rowsBetween(Window.unboundedPreceding, -1))
     islands = every.withColumn("new", F.coalesce(F.col("start") > reach, F.lit(True)).cast("int")).withColumn("island", F.sum("new").over(order))
-    runs = islands.groupBy("doc_id", "island").agg(F.min("start").alias("start"), F.max("end").alias("end"))
-    return runs.groupBy("doc_id").agg(F.array_sort(F.collect_list(F.struct("start", "end"))).alias("spans"))
+    runs = islands.groupBy("doc_id", "twin", "island").agg(F.min("start").alias("start"), F.max("end").alias("end"))
+    return runs.groupBy("doc_id", "twin").agg(F.array_sort(F.collect_list(F.struct("start", "end"))).alias("spans"))
 
 
 def _with_spans(docs: DataFrame, rule: Repeats) -> DataFrame:
     """docs with __tm_spans, null where nothing goes."""
     scratch = Scratch(docs.sparkSession)
-    found = checkpointed(spans(docs, scratch, rule)).select(F.col("doc_id").alias("__tm_doc"), F.col("spans").alias("__tm_spans"))
+    found = checkpointed(spans(docs, scratch, rule)).select(F.col("doc_id").alias("__tm_doc"), F.col("twin").alias("__tm_twin"), F.col("spans").alias("__tm_spans"))
     scratch.close()
     if found.count() <= BROADCAST_ROWS:
         found = F.broadcast(found)
-    return docs.join(found, F.coalesce(docs["doc_id"].cast("long"), F.lit(LAST)) == F.col("__tm_doc"), "left")
+    rows = docs.select(F.struct(*docs.columns).alias("__tm_row"), "doc_id", "text")
+    met = (F.coalesce(F.col("doc_id").cast("long"), F.lit(LAST)) == F.col("__tm_doc")) & (F.col("twin") == F.col("__tm_twin"))
+    return told_apart(rows).join(found, met, "left").select("__tm_row.*", "__tm_spans")
 
 
 def kept_bytes(data: bytes, found: list[tuple[int, int]]) -> tuple[bytes, list[tuple[int, int]]]:
