@@ -545,21 +545,48 @@ def test_mixing_reaches_targets(spark, docs, none):
     for domain, share in zip(mixing.DOMAINS, mix.targets, strict=True):
         assert (got.rate * got.n_tokens * got[f"p_{domain}"]).sum() / total == pytest.approx(share, abs=1e-3)
     assert (got.rate >= 0).all() and got.rate[got.doc_id == 9999].item() == 1.0
-    # the same steps by numpy
-    a = got[[f"p_{x}" for x in mixing.DOMAINS]].to_numpy() * got.n_tokens.to_numpy()[:, None]
-    x, goal = np.ones(len(a)), total * np.array(mix.targets)
-    for _ in range(mix.steps):
-        gap = goal - a.T @ x
-        if np.abs(gap).max() / total <= mix.tolerance:
-            break
-        on = a[x > 0]
-        x = np.maximum(0, x + a @ (np.linalg.pinv(on.T @ on, rcond=1e-9, hermitian=True) @ gap))
-    assert np.allclose(x, got.rate.to_numpy(), atol=1e-6)
+    fit = mixing.fit_rates(mixing.rates(d, lab, mix).drop("rate"), mix)
+    assert fit.converged and fit.left < 1e-3
+    clash = docs.selectExpr("doc_id", "text", "'old' as rate", "'old' as p_good", "lang as n_tokens")
+    mixed = mixing.mixed(clash, lab)
+    assert sorted(mixed.columns) == sorted([*clash.columns, "p_poor", "p_toxic"]) and dict(mixed.dtypes)["rate"] == "double"
     hidden = mixing.mixed(docs, lab)
     assert [c for c in hidden.columns if c in docs.columns] == docs.columns and hidden.count() == docs.count()
     assert mixing.rates(none, lab).count() == 0
 
 
+@pytest.mark.parametrize("targets", [(0.2, 0.5, 0.3), (0.0, 0.0, 1.0)])
+def test_mixing_is_nonnegative_least_squares(spark, targets):
+    """Against an active-set solution in numpy, also where the targets can't be met."""
+    g = np.random.default_rng(3)
+    p = g.dirichlet([6, 2, 1], 300) * [1, 1, 0.6]
+    p /= p.sum(axis=1, keepdims=True)
+    n = g.integers(20, 400, 300)
+    rows = spark.createDataFrame([(int(k), *map(float, q)) for k, q in zip(n, p, strict=True)], "n_tokens long, p_good double, p_poor double, p_toxic double").coalesce(1)
+    mix = mixing.Mix(targets=targets)
+    fit = mixing.fit_rates(rows, mix)
+    a, goal = p * n[:, None], n.sum() * np.array(targets)
+    x, on = np.zeros(len(a)), np.zeros(len(a), bool)
+    for _ in range(200):  # Lawson and Hanson
+        slope = a @ (goal - a.T @ x)
+        if slope[~on].max() <= 1e-6 * np.abs(a @ goal).max():
+            break
+        on[np.flatnonzero(~on)[slope[~on].argmax()]] = True
+        while True:
+            z = np.zeros(len(a))
+            z[on] = np.linalg.lstsq(a[on].T, goal, rcond=None)[0]
+            if z[on].min() > 0:
+                break
+            bad = on & (z <= 0)
+            x += min(x[bad] / (x[bad] - z[bad])) * (z - x)
+            on &= x > 1e-12
+        x = z
+    best = np.linalg.norm(goal - a.T @ x) / n.sum()
+    assert fit.residual <= best + 0.005 and fit.converged, (len(fit.steps), fit.residual, best)
+    rate = np.array([r.rate for r in rows.select(mixing.rate_column(fit).alias("rate")).collect()])
+    assert (rate >= 0).all() and np.linalg.norm(goal - a.T @ rate) / n.sum() == pytest.approx(fit.residual, abs=1e-9)
+
+
 def test_url_filter(spark):
     pages = [
         (1, "http://A.Example.NET/en/x?q#f", None), (2, "https://example.com/de/", ""), (3, "http://example.com/de", ""), (4, "http://x.org/fr/1", ""), (5, "http://net/", ""), (6, "http://net", ""), (7, None, None), (8, "no scheme", ""),

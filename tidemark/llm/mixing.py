@@ -2,7 +2,8 @@
 
 A binned naive Bayes classifier, learned from the labelled table, gives each document a posterior over domains: good,
 poor and toxic. Nonnegative rates for the documents are then fitted so that the expected tokens of each domain,
-sum(rate * tokens * posterior), come to a target: least squares by projected gradient, all rates starting at 1. The
+sum(rate * tokens * posterior), come to a target: least squares by projected gradient, all rates starting at 1 (see
+fit_rates). The
 gradient of a document depends on its few domain tokens and the few residuals of each step, so a step is one aggregation
 over the rows, pre-aggregated in each task, and only as many sums as there are domains reach the driver.
 
@@ -10,12 +11,15 @@ At most `sample` labelled documents are learned from, by the smallest hash. Inpu
 whether it holds words that the labels tell apart; doc_id, lang and source aren't used.
 
 Defined cases: a null or empty text has no tokens, the prior as its posterior, and keeps the rate 1, since it can't
-change a total. Without labelled rows all domains are equally likely. A domain without any expected tokens can't be
-reached and leaves a residual. Repeated rows get equal rates; other columns stay. An empty table gives no rows.
+change a total. Without labelled rows all domains are equally likely. Targets that can't be met leave a residual,
+which fit_rates returns and which is warned of; so does a domain without expected tokens. Repeated rows, and rows of equal
+texts, get equal rates; ids don't matter, null or not. Very long texts count by their tokens like others. In mixed() other
+columns stay, those named rate or p_<domain> are replaced. An empty table gives no rows.
 """
 
 from __future__ import annotations
 
+import warnings
 from dataclasses import dataclass
 from functools import reduce
 
@@ -35,8 +39,13 @@ class Mix:
     #: Most labelled documents that the classifier sees, and most telling words that it keeps.
     sample: int = 4000
     lexicon: int = 64
-    steps: int = 20
+    #: Most steps, and after how many the rates are written.
+    steps: int = 60
+    written: int = 10
+    #: Largest gap of a domain, as a share of all tokens, at which the targets count as met.
     tolerance: float = 1e-4
+    #: Least relative gain of five steps when they can't be met.
+    gain: float = 1e-4
 
 
 #: Upper bounds of the bins of each statistic; the last bin is open.
@@ -137,40 +146,100 @@ def with_posteriors(docs: DataFrame, posterior: Posterior) -> DataFrame:
     return rows.select("doc_id", "n_tokens", *[F.when(F.col("n_tokens") == 0, q).otherwise(p).alias(f"p_{d}") for d, p, q in zip(DOMAINS, posterior.columns(), prior, strict=True)])
 
 
-def fit_rates(rows: DataFrame, mix: Mix) -> tuple[list[list[float]], float]:
-    """The steps of the projected gradient, as the vector that each adds along a document's domain tokens, and the last residual.
+Vector = tuple[float, ...]
+#: Lengths of a scaled step, and of one along the gradient itself, that are tried at once.
+SCALED = (1.0, 0.5, 0.25, 0.1, 0.03, 0.01)
+PLAIN = (1.0, 10.0, 100.0)
 
-    rows: n_tokens and p_<domain>. The gradient is scaled by the inverse of the Gram matrix of the domain tokens of the
-    documents whose rate is above 0, which the same aggregation gives. That leaves the fixed points of the projected
-    problem as they are and needs few steps.
+
+@dataclass(frozen=True)
+class Fit:
+    #: The steps: the gap before each, and what each domain token of a free document adds.
+    steps: tuple[tuple[Vector, Vector], ...]
+    #: Norm of the gap to the targets, and the largest gap of a domain, as shares of all tokens.
+    residual: float
+    left: float
+    #: Whether the targets are met, or the gap no longer falls.
+    converged: bool
+
+
+def dot(vector: Vector, tokens: list[Column]) -> Column:
+    return reduce(lambda a, b: a + b, [F.lit(float(v)) * t for v, t in zip(vector, tokens, strict=True)])
+
+
+def fit_rates(rows: DataFrame, mix: Mix) -> Fit:
+    """Nonnegative least squares for the rates by projected gradient. rows: n_tokens and p_<domain>.
+
+    A document is free if its rate is above 0 or its gradient raises it. Free ones move along their gradient, in the
+    metric of the Gram matrix of the free documents' domain tokens, and are cut at 0; several lengths of that step, and
+    of one in the plain metric, are tried in one aggregation, and the one that leaves the smallest gap is taken. So the
+    gap never grows, and the process rests only where no free document has a gradient: at a least-squares solution,
+    whether or not the targets can be met.
     """
     k = len(DOMAINS)
-    tokens = [F.col("n_tokens") * F.col(f"p_{d}") for d in DOMAINS]
-    steps: list[list[float]] = []
-    left, total = 0.0, 0.0
-    for n in range(mix.steps + 1):
-        now = rows.select("n_tokens", *[t.alias(f"t{i}") for i, t in enumerate(tokens)], rate_column(steps).alias("x"))
-        cross = [F.sum(F.when(F.col("x") > 0, F.col(f"t{i}") * F.col(f"t{j}"))).alias(f"g{i}{j}") for i in range(k) for j in range(i, k)]
-        got = now.agg(F.sum("n_tokens").alias("all"), *[F.sum(F.col("x") * F.col(f"t{i}")).alias(f"s{i}") for i in range(k)], *cross).first()
-        if not got["all"]:
-            return [], 0.0
-        total = float(got["all"])
-        gap = total * np.array(mix.targets, dtype=float) - np.array([got[f"s{i}"] for i in range(k)], dtype=float)
+    t = [F.col(f"t{i}") for i in range(k)]
+    state = rows.select(*[(F.col("n_tokens") * F.col(f"p_{d}")).alias(f"t{i}") for i, d in enumerate(DOMAINS)], "n_tokens", F.lit(1.0).alias("x"))
+    first = state.agg(F.sum("n_tokens").alias("all"), *[F.sum(c).alias(f"s{i}") for i, c in enumerate(t)]).first()
+    if not first["all"]:
+        return Fit((), 0.0, 0.0, True)
+    total = float(first["all"])
+    goal = total * np.array(mix.targets, dtype=float)
+    gap = goal - np.array([first[f"s{i}"] for i in range(k)], dtype=float)
+    steps: list[tuple[Vector, Vector]] = []
+    norms = [float(np.linalg.norm(gap))]
+    written = 0
+    while True:
         left = float(np.abs(gap).max() / total)
-        if left <= mix.tolerance or n == mix.steps:
-            break
+        done = left <= mix.tolerance or (len(norms) > 5 and norms[-1] > (1 - mix.gain) * norms[-6])
+        if done or len(steps) >= mix.steps:
+            return Fit(tuple(steps), norms[-1] / total, left, done)
+        at = tuple(gap.tolist())
+        now = state.select(*t, moved(t, steps[written:], F.col("x")).alias("x"))
+        free = (F.col("x") > 0) | (dot(at, t) > 0)
+        got = now.agg(*[F.sum(F.when(free, t[i] * t[j])).alias(f"g{i}{j}") for i in range(k) for j in range(i, k)]).first()
         gram = np.array([[got[f"g{min(i, j)}{max(i, j)}"] or 0.0 for j in range(k)] for i in range(k)], dtype=float)
-        steps.append((np.linalg.pinv(gram, rcond=1e-9, hermitian=True) @ gap).tolist())
-    return steps, left
-
-
-def rate_column(steps: list[list[float]]) -> Column:
-    """The rate after these steps: from 1, each adds along the document's domain tokens and is cut at 0."""
-    tokens = [F.col("n_tokens") * F.col(f"p_{d}") for d in DOMAINS]
-    moves = [reduce(lambda a, b: a + b, [F.lit(v) * t for v, t in zip(step, tokens, strict=True)]) for step in steps]
-    if not moves:
-        return F.lit(1.0)
-    return F.aggregate(F.array(*moves), F.lit(1.0), lambda x, move: F.greatest(F.lit(0.0), x + move))
+        height = float(np.linalg.eigvalsh(gram)[-1])
+        if height <= 0:  # no document is free
+            return Fit(tuple(steps), norms[-1] / total, left, True)
+        along = np.linalg.pinv(gram, rcond=1e-9, hermitian=True) @ gap
+        tried = [tuple((a * along).tolist()) for a in SCALED] + [tuple((a * gap / height).tolist()) for a in PLAIN]
+        sums = now.agg(*[F.sum(moved(t, [(at, v)], F.col("x")) * c).alias(f"s{n}_{i}") for n, v in enumerate(tried) for i, c in enumerate(t)]).first()
+        after = [goal - np.array([sums[f"s{n}_{i}"] for i in range(k)], dtype=float) for n in range(len(tried))]
+        best = int(np.argmin([np.linalg.norm(v) for v in after]))
+        if np.linalg.norm(after[best]) >= norms[-1]:
+            return Fit(tuple(steps), norms[-1] / total, left, True)
+        gap = after[best]
+        norms.append(float(np.linalg.norm(gap)))
+        steps.append((at, tried[best]))
+        if len(steps) - written >= mix.written:
+            state = checkpointed(state.select(*t, moved(t, steps[written:], F.col("x")).alias("x")))
+            written = len(steps)
+
+
+def moved(tokens: list[Column], steps: list[tuple[Vector, Vector]], x: Column) -> Column:
+    """The rate after these steps: a free document moves along its domain tokens and is cut at 0."""
+
+    def one(rate: Column, slope: Column, move: Column) -> Column:
+        return F.when((rate > 0) | (slope > 0), F.greatest(F.lit(0.0), rate + move)).otherwise(rate)
+
+    if not steps:
+        return x
+    if len(steps) == 1:
+        return one(x, dot(steps[0][0], tokens), dot(steps[0][1], tokens))
+    moves = F.array(*[F.struct(dot(gap, tokens).alias("slope"), dot(step, tokens).alias("move")) for gap, step in steps])
+    return F.aggregate(moves, x, lambda rate, m: one(rate, m["slope"], m["move"]))
+
+
+def rate_column(fit: Fit) -> Column:
+    """The fitted rate, from n_tokens and p_<domain>."""
+    return moved([F.col("n_tokens") * F.col(f"p_{d}") for d in DOMAINS], list(fit.steps), F.lit(1.0))
+
+
+def told(fit: Fit) -> Fit:
+    """Warns where the targets aren't met."""
+    if fit.left > 1e-3:
+        warnings.warn(f"mixing targets are missed by up to {fit.left:.4f} of all tokens (residual {fit.residual:.4f}{'' if fit.converged else ', not converged'})", stacklevel=3)
+    return fit
 
 
 def rates(docs: DataFrame, labels: DataFrame, mix: Mix = Mix()) -> DataFrame:
@@ -179,8 +248,7 @@ def rates(docs: DataFrame, labels: DataFrame, mix: Mix = Mix()) -> DataFrame:
     posterior = fit_posterior(docs, labels, scratch, mix)
     rows = checkpointed(with_posteriors(docs, posterior))
     scratch.close()
-    steps, _ = fit_rates(rows, mix)
-    return rows.select("*", rate_column(steps).alias("rate"))
+    return rows.select("*", rate_column(told(fit_rates(rows, mix))).alias("rate"))
 
 
 def mixed(docs: DataFrame, labels: DataFrame, mix: Mix = Mix()) -> DataFrame:
@@ -191,12 +259,12 @@ def mixed(docs: DataFrame, labels: DataFrame, mix: Mix = Mix()) -> DataFrame:
     scratch = Scratch(docs.sparkSession)
     posterior = fit_posterior(docs, labels, scratch, mix)
     rows = scratch.keep(with_posteriors(docs, posterior))
-    steps, _ = fit_rates(rows, mix)
+    fit = told(fit_rates(rows, mix))
     scratch.close()
     added = [f"p_{d}" for d in DOMAINS]
     names = [c for c in docs.columns if c not in {*added, "rate"}]
     inner = docs.select(F.struct(*names).alias("__tm_row"), F.col("doc_id").cast("long").alias("doc_id"), F.coalesce("text", F.lit("")).alias("text"))
     stats = with_statistics(inner, list(posterior.lexicon)).select("__tm_row", "n_tokens", *[bin_of(s).alias(f"bin_{s}") for s in BINS])
     prior = [F.lit(float(np.exp(p))) for p in posterior.log_prior]
-    told = stats.select("__tm_row", "n_tokens", *[F.when(F.col("n_tokens") == 0, q).otherwise(p).alias(c) for c, p, q in zip(added, posterior.columns(), prior, strict=True)])
-    return told.select("__tm_row.*", *added, rate_column(steps).alias("rate"))
+    known = stats.select("__tm_row", "n_tokens", *[F.when(F.col("n_tokens") == 0, q).otherwise(p).alias(c) for c, p, q in zip(added, posterior.columns(), prior, strict=True)])
+    return known.select("__tm_row.*", *added, rate_column(fit).alias("rate"))
