@@ -45,6 +45,10 @@ _A = np.uint64(0x9E3779B97F4A7C15)
 _B = np.uint64(0xD1342543DE82EF95)
 
 
+#: Bins, as a power of two, in which shingles of near copies are counted to tell rare ones from frequent ones.
+BIN_BITS = 18
+
+
 @dataclass(frozen=True)
 class Join:
     words: int = 5
@@ -297,18 +301,65 @@ def across_small(rows: DataFrame, info: DataFrame, rule: Join) -> DataFrame:
     return left.join(right, fits).select("a", "b").distinct()
 
 
-def shingles_of(docs: DataFrame, nodes: DataFrame, rule: Join) -> DataFrame:
-    """(shingle, node, part, size) of the sets of some nodes. nodes: node, doc_id, part, size."""
+def sets_with(docs: DataFrame, nodes: DataFrame, rule: Join) -> DataFrame:
+    """(node, part, size, shingles) of some nodes. nodes: node, doc_id, part, size."""
     chosen = id_text(docs).join(F.broadcast(nodes) if nodes.count() <= BROADCAST_ROWS else nodes, "doc_id").select("node", "text", "part", "size")
 
     def deal(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
-            for node, words, part, size in zip(b.column(0).to_pylist(), word_hashes(b.column(1).to_pylist()) if b.num_rows else [], b.column(2).to_pylist(), b.column(3).to_pylist(), strict=True):
-                s = shingle_set(words, rule.words)
-                if len(s) and node_of(s) == node:  # a repeated doc_id may have another text
-                    yield from arrow_batches([("shingle", s.view(np.int64), pa.int64()), *((k, np.full(len(s), v, np.int64), pa.int64()) for k, v in (("node", node), ("part", part), ("size", size)))])
+            sets = [shingle_set(words, rule.words) for words in word_hashes(b.column(1).to_pylist())] if b.num_rows else []
+            own = pa.array([len(s) > 0 and node_of(s) == node for s, node in zip(sets, b.column(0).to_pylist(), strict=True)], pa.bool_())  # a repeated doc_id may have another text
+            every = [b.column(0), b.column(2), b.column(3), pa.array([s.tobytes() for s in sets], pa.binary())]
+            yield pa.RecordBatch.from_arrays(every, names=["node", "part", "size", "shingles"]).filter(own)
+
+    return chosen.mapInArrow(deal, "node long, part long, size long, shingles binary")
+
+
+def bins_of(shingles: np.ndarray) -> np.ndarray:
+    return (shingles >> np.uint64(64 - BIN_BITS)).astype(np.int64)
+
+
+def counted(sets: DataFrame) -> np.ndarray:
+    """How many shingles of the sets are in each of a fixed number of bins; each task sends its sums."""
+
+    def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        n = np.zeros(1 << BIN_BITS, np.int64)
+        for b in batches:
+            for data in b.column(0).to_pylist():
+                np.add.at(n, bins_of(np.frombuffer(data, dtype=np.uint64)), 1)
+        held = np.flatnonzero(n)
+        yield from arrow_batches([("bin", held, pa.int64()), ("n", n[held], pa.int64())])
+
+    table = sets.select("shingles").mapInArrow(count, "bin long, n long").groupBy("bin").agg(F.sum("n").alias("n")).toArrow()
+    out = np.zeros(1 << BIN_BITS, np.int64)
+    out[table.column("bin").to_numpy()] = table.column("n").to_numpy()
+    return out
+
+
+def rare_shingles(sets: DataFrame, rule: Join) -> DataFrame:
+    """(shingle, node, part, size, rank): each set's rarest shingles, as many as may hold the rarest one that it shares with a linked set.
+
+    Shingles are ordered by how full their bin is; any one order of all shingles gives right results, and this one puts those
+    of many near copies last. rank counts from that end. Shingles alone in their bin are in no other set.
+    """
+    counts = sets.sparkSession.sparkContext.broadcast(counted(sets))
+
+    def rank(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            found = []
+            for node, part, size, data in zip(*(b.column(k).to_pylist() for k in range(4)), strict=True):
+                s = np.frombuffer(data, dtype=np.uint64)
+                often = counts.value[bins_of(s)]
+                last = np.lexsort((s, often))[::-1]
+                at = np.arange(1, len(s) + 1)
+                kept = (100 * at >= rule.percent * size) & (often[last] > 1)
+                found.append((s[last][kept].view(np.int64), np.full((3, int(kept.sum())), [[node], [part], [size]], np.int64), at[kept]))
+            if found:
+                rest = np.concatenate([x[1] for x in found], axis=1)
+                columns = [("shingle", np.concatenate([x[0] for x in found])), *zip(("node", "part", "size"), rest, strict=True), ("rank", np.concatenate([x[2] for x in found]))]
+                yield from arrow_batches([(k, c, pa.int64()) for k, c in columns])
 
-    return chosen.mapInArrow(deal, "shingle long, node long, part long, size long").distinct()
+    return sets.select("node", "part", "size", "shingles").mapInArrow(rank, "shingle long, node long, part long, size long, rank long")
 
 
 def across_large(docs: DataFrame, rows: DataFrame, info: DataFrame, scratch: Scratch, rule: Join) -> DataFrame:
@@ -319,11 +370,7 @@ def across_large(docs: DataFrame, rows: DataFrame, info: DataFrame, scratch: Scr
     in both. Within a shingle, the largest component is only paired with the others, never with itself.
     """
     nodes = scratch.keep(rows.where(F.col("n") > rule.hot).select("node", "part").distinct().join(info.select("node", "doc_id", "size"), "node"))
-    dealt = scratch.keep(shingles_of(docs, nodes, rule))
-    often = dealt.groupBy("shingle").agg(F.count("*").alias("n")).where("n > 1")
-    ranked = dealt.join(often, "shingle").withColumn("rank", F.row_number().over(Window.partitionBy("node").orderBy(F.desc("n"), F.desc("shingle"))))
-    rare = scratch.keep(ranked.where(100 * F.col("rank") >= rule.percent * F.col("size")).drop("n"))
-    scratch.drop(dealt)
+    rare = scratch.keep(rare_shingles(scratch.keep(sets_with(docs, nodes, rule)), rule))
     by_part = rare.groupBy("shingle", "part").agg(F.count("*").alias("n"))
     main = by_part.groupBy("shingle").agg(F.max_by("part", F.struct("n", "part")).alias("main"), F.count("*").alias("parts")).where("parts > 1").select("shingle", "main")
     rare = rare.join(main, "shingle")
