@@ -226,6 +226,28 @@ def test_bootstrap_is_repeatable(spark):
     assert apart.p_value < 0.05 and same.n_draws == 60
 
 
+def test_bootstrap_within_strata(spark):
+    """Strata of very unlike errors: only resampling within them leaves their sizes alone."""
+    rows = spark.createDataFrame([(c, "ab"[c % 2], 0.0, 1.0 + 9.0 * (c % 2), 0.5) for c in range(200)], "c int, s string, y double, b double, m double")
+    spread = {s: B.interval(B.bootstrap_improvement(rows, "c", "b", "m", "y", stratum=s, draws=300)).first() for s in (None, "s")}
+    assert spread["s"].high - spread["s"].low < 1e-9 < spread[None].high - spread[None].low
+    assert spread["s"].mean == pytest.approx((1 + 100) / 2 - 0.25)
+
+
+def test_permutation_keeps_counts(spark):
+    """All permutations of a few rows: the p value is near the exact one, the same however rows are partitioned, and strata bind."""
+    from itertools import permutations
+
+    groups, values = [0, 0, 0, 1, 1, 1, 1], [5.0, 4.0, 1.0, 2.0, 0.0, 3.0, 1.5]
+    gap = lambda v: sum(n * (sum(v[i] for i, g in enumerate(groups) if g == k) / n - sum(values) / 7) ** 2 for k, n in ((0, 3), (1, 4)))
+    exact = np.mean([gap(x) >= gap(values) - 1e-9 for x in permutations(values)])
+    rows = spark.createDataFrame(list(zip(range(7), groups, values, strict=True)), "id int, g int, v double")
+    one, two = (B.permutation_heterogeneity(rows.repartition(k), "g", "v", draws=2000, slots=3).first() for k in (1, 4))
+    assert one == two and one.p_value == pytest.approx(exact, abs=0.04) and one.spread == pytest.approx(gap(values) / 7)
+    bound = B.permutation_heterogeneity(rows.withColumn("s", F.col("g")), "g", "v", stratum="s", draws=50).first()
+    assert bound.p_value == 1.0  # within strata of one group nothing can move
+
+
 def test_bootstrapped_coefficients(spark):
     g = np.random.default_rng(2)
     x = g.normal(size=(300, 2))

@@ -11,16 +11,23 @@ from tidemark.functions.scalars import similarity_ratio
 from tidemark.operators.relational import top_per_key
 
 
-def blocked_matches(left: DataFrame, right: DataFrame, block: list[str], left_id: str, right_id: str, left_name: str, right_name: str, *, least: float = 0.6, most: int = 5, margin: float = 0.03, sure: float = 0.92) -> DataFrame:
+def blocked_matches(
+    left: DataFrame, right: DataFrame, block: list[str], left_id: str, right_id: str, left_name: str, right_name: str, *, least: float = 0.6, most: int = 5, margin: float = 0.03, sure: float = 0.92, tokens: bool = False, same: bool = False
+) -> DataFrame:
     """left_id, right_id, score, place and accepted: the best candidates of each left name among the right names of its block.
 
-    Exact names score 1. accepted: the first place, either sure or ahead of the second by the margin. Blocks must be
-    selective; pairs exist only within a block of equal keys.
+    Exact names score 1. accepted: the first place, either sure or ahead of the second by the margin. Different names are
+    paired, within a block or (tokens) where they share a word, and each right name goes on with the few rows that can take
+    a place; so rows of equal names make no pairs. same: both sides are one table, and no row meets itself.
     """
-    pairs = left.join(right, block).select(left_id, right_id, left_name, right_name)
+    words = lambda c: F.array_distinct(F.array_append(F.split(F.lower(c), "[^\\p{L}\\p{N}]+"), F.lower(c))) if tokens else F.array(F.lit(""))
+    names = lambda rows, c: rows.select(*block, c).distinct().withColumn("__word", F.explode(words(F.col(c)))).where((F.col("__word") != "") | F.lit(not tokens))
+    pairs = names(left, left_name).join(names(right, right_name), [*block, "__word"]).select(*block, left_name, right_name).distinct()
     scored = pairs.withColumn("score", F.when(F.col(left_name) == F.col(right_name), 1.0).otherwise(F.round(similarity_ratio(F.col(left_name), F.col(right_name)), 6))).where(F.col("score") >= least)
+    few = top_per_key(right.select(*block, right_id, right_name), [*block, right_name], [F.col(right_id)], most + 1)
+    met = left.select(*block, left_id, left_name).join(scored, [*block, left_name]).join(few, [*block, right_name])
     w = Window.partitionBy(left_id).orderBy(F.desc("score"), right_id)
-    ranked = scored.withColumn("place", F.row_number().over(w)).withColumn("next", F.lead("score").over(w)).where(F.col("place") <= most)
+    ranked = (met.where(F.col(left_id) != F.col(right_id)) if same else met).withColumn("place", F.row_number().over(w)).withColumn("next", F.lead("score").over(w)).where(F.col("place") <= most)
     ok = (F.col("place") == 1) & ((F.col("score") >= sure) | (F.col("score") - F.coalesce("next", F.lit(0.0)) >= margin))
     return ranked.select(left_id, right_id, "score", "place", ok.alias("accepted"))
 

@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import zlib
+
 import numpy as np
 import pandas as pd
 from pyspark.sql import DataFrame
@@ -9,30 +11,32 @@ from pyspark.sql import functions as F
 
 
 def cluster_sums(rows: DataFrame, cluster: str, baseline: str, candidate: str, actual: str, stratum: str | None = None) -> DataFrame:
-    """stratum, summed squared errors of both predictions and rows of each cluster, then how many clusters have just these."""
+    """stratum, summed squared errors of both predictions and rows of each cluster."""
     e = lambda c: F.sum((F.col(actual) - F.col(c)) * (F.col(actual) - F.col(c)))
-    group = F.lit("all") if stratum is None else F.col(stratum)
-    per = rows.groupBy(cluster).agg(F.min(group).alias("stratum"), e(baseline).alias("baseline"), e(candidate).alias("candidate"), F.count("*").alias("n"))
-    return per
+    group = F.lit("all") if stratum is None else F.coalesce(F.col(stratum).cast("string"), F.lit(""))
+    return rows.groupBy(cluster).agg(F.min(group).alias("stratum"), e(baseline).alias("baseline"), e(candidate).alias("candidate"), F.count("*").alias("n"))
 
 
-def bootstrap_improvement(rows: DataFrame, cluster: str, baseline: str, candidate: str, actual: str, *, stratum: str | None = None, draws: int = 1000, seed: int = 7, slots: int = 64) -> DataFrame:
+def bootstrap_improvement(rows: DataFrame, cluster: str, baseline: str, candidate: str, actual: str, *, stratum: str | None = None, draws: int = 5000, seed: int = 7, slots: int = 64) -> DataFrame:
     """draw and improvement (mean squared error of the baseline less that of the candidate) over resampled clusters.
 
-    Clusters are resampled by Poisson weights, one stream for each slot of clusters and draw, so a task sees one slot at a
-    time and draws add up over slots; no task holds all clusters. The number of clusters drawn varies around its mean.
+    Clusters are resampled by Poisson weights, one stream for each stratum, slot of clusters and draw, so a task sees one
+    slot at a time and draws add up over slots; no task holds all clusters. Each stratum's sums are scaled to as many
+    clusters as it has, so a draw holds every stratum in its own size.
     """
     per = cluster_sums(rows, cluster, baseline, candidate, actual, stratum).withColumn("slot", F.pmod(F.xxhash64(cluster), F.lit(slots)))
 
     def draw(key: tuple, pdf: pd.DataFrame) -> pd.DataFrame:
         pdf = pdf.sort_values([cluster])
-        g = np.random.default_rng([seed, int(key[0])])
-        values = pdf[["baseline", "candidate", "n"]].to_numpy(dtype=float)
+        g = np.random.default_rng([seed, int(key[1]), zlib.crc32(str(key[0]).encode())])
+        values = np.column_stack([pdf[["baseline", "candidate", "n"]].to_numpy(dtype=float), np.ones(len(pdf))])
         out = np.vstack([g.poisson(1.0, len(values)) @ values for _ in range(draws)])
-        return pd.DataFrame({"draw": np.arange(draws), "baseline": out[:, 0], "candidate": out[:, 1], "n": out[:, 2]})
+        return pd.DataFrame({"stratum": key[0], "draw": np.arange(draws), "baseline": out[:, 0], "candidate": out[:, 1], "n": out[:, 2], "drawn": out[:, 3], "clusters": len(values)})
 
-    sums = per.select("slot", cluster, "baseline", "candidate", "n").groupBy("slot").applyInPandas(draw, "draw int, baseline double, candidate double, n double")
-    return sums.groupBy("draw").agg(((F.sum("baseline") - F.sum("candidate")) / F.sum("n")).alias("improvement"))
+    kinds = "stratum string, draw int, baseline double, candidate double, n double, drawn double, clusters long"
+    sums = per.select("stratum", "slot", cluster, "baseline", "candidate", "n").groupBy("stratum", "slot").applyInPandas(draw, kinds)
+    strata = sums.groupBy("draw", "stratum").agg(*[F.sum(c).alias(c) for c in ("baseline", "candidate", "n", "drawn", "clusters")]).where("drawn > 0").withColumn("w", F.col("clusters") / F.col("drawn"))
+    return strata.groupBy("draw").agg((F.sum((F.col("baseline") - F.col("candidate")) * F.col("w")) / F.sum(F.col("n") * F.col("w"))).alias("improvement"))
 
 
 def bootstrap_ridge(rows: DataFrame, cluster: str, features: list[str], label: str, alpha: float, *, draws: int = 200, seed: int = 7, slots: int = 64) -> DataFrame:
@@ -82,24 +86,47 @@ def stability_label(improvement: float, by_origin: list[float], low: float, high
     return "mixed" if any(x > 0 for x in by_origin) and any(x < 0 for x in by_origin) else "unclear"
 
 
-def permutation_heterogeneity(rows: DataFrame, group: str, value: str, *, draws: int = 500, seed: int = 7) -> DataFrame:
-    """n_draws, spread (of group means, weighted) and p_value: how often a random dealing of the rows to groups spreads as much.
+def permutation_heterogeneity(rows: DataFrame, group: str, value: str, *, stratum: str | None = None, draws: int = 500, seed: int = 7, slots: int = 64) -> DataFrame:
+    """n_draws, spread (of group means, weighted) and p_value: how often a random permutation of the groups over the rows spreads as much.
 
-    A draw shuffles labels by hashed order within the counts of the groups; it needs only the row's place, so each draw is
-    one sort in Spark and no task holds the rows of all draws.
+    A permutation is drawn in two steps, which together are exact: how many rows of each slot (rows by hash) go to each
+    group is hypergeometric, in the groups' own counts and within each stratum; then each slot deals these counts out over
+    its rows. So a task holds one slot's values, and only groups x slots x draws small counts are made beforehand. Draws
+    depend on the rows alone and not on how they are partitioned. Rows without a group or value don't count.
     """
-    base = rows.groupBy(group).agg(F.count("*").alias("n"), F.sum(value).alias("s"))
-    total = base.agg(F.sum("n").alias("n"), F.sum("s").alias("s")).first()
-    mean = total.s / total.n
-    spread = lambda: F.sum(F.col("n") * F.pow(F.col("s") / F.col("n") - mean, F.lit(2))) / total.n
-    observed = base.agg(spread().alias("v")).first().v
-    sizes = [r.n for r in base.orderBy(group).collect()]  # one number a group
-    edges = np.cumsum(sizes) / total.n
-    lot = lambda: F.pmod(F.xxhash64("__id", "draw", F.lit(seed)), F.lit(2**31)) / float(2**31)
-    where = F.lit(len(sizes) - 1)
-    for k in reversed(range(len(edges) - 1)):
-        where = F.when(F.col("u") < float(edges[k]), k).otherwise(where)
-    numbered = rows.select(F.xxhash64(*rows.columns, F.monotonically_increasing_id()).alias("__id"), F.col(value).alias("v")).select("*", F.explode(F.sequence(F.lit(1), F.lit(draws))).alias("draw")).withColumn("u", lot())
-    dealt = numbered.groupBy("draw", where.alias("g")).agg(F.count("*").alias("n"), F.sum("v").alias("s"))
-    per = dealt.groupBy("draw").agg(spread().alias("v"))
-    return per.agg(F.count("*").alias("n_draws"), F.lit(float(observed)).alias("spread"), ((F.count_if(F.col("v") >= observed) + 1) / (F.count("*") + 1)).alias("p_value"))
+    known = rows.where(F.col(group).isNotNull() & F.col(value).isNotNull())
+    layer = F.lit("all") if stratum is None else F.coalesce(F.col(stratum).cast("string"), F.lit(""))
+    kept = known.select(layer.alias("stratum"), F.col(group).cast("string").alias("g"), F.col(value).cast("double").alias("v"), F.xxhash64(*rows.columns).alias("row")).withColumn("slot", F.pmod("row", F.lit(slots)))
+    base = kept.groupBy("g").agg(F.count("*").alias("n"), F.sum("v").alias("s")).orderBy("g").collect()  # one row a group
+    names, sizes = [r.g for r in base], np.array([r.n for r in base], dtype=float)
+    if not names:
+        return kept.agg(F.lit(0).cast("long").alias("n_draws"), F.lit(None).cast("double").alias("spread"), F.lit(None).cast("double").alias("p_value"))
+    mean = sum(r.s for r in base) / sizes.sum()
+    observed = float((sizes * (np.array([r.s for r in base]) / sizes - mean) ** 2).sum() / sizes.sum())
+    counts = {(r.stratum, r.slot, r.g): r["count"] for r in kept.groupBy("stratum", "slot", "g").count().collect()}  # strata x slots x groups
+    dealt: dict[tuple[str, int], np.ndarray] = {}
+    for layer_name in sorted({k[0] for k in counts}):
+        g = np.random.default_rng([seed, zlib.crc32(layer_name.encode())])
+        left = np.tile([sum(v for k, v in counts.items() if k[0] == layer_name and k[2] == x) for x in names], (draws, 1)).astype(np.int64)
+        for slot in sorted({k[1] for k in counts if k[0] == layer_name}):
+            take = sum(v for k, v in counts.items() if k[:2] == (layer_name, slot))
+            got = np.vstack([g.multivariate_hypergeometric(row, take) for row in left])
+            left -= got
+            dealt[layer_name, slot] = got
+    shared = rows.sparkSession.sparkContext.broadcast(dealt)
+
+    def permute(key: tuple, pdf: pd.DataFrame) -> pd.DataFrame:
+        values = pdf.sort_values(["row", "v", "g"])["v"].to_numpy()
+        g = np.random.default_rng([seed + 1, int(key[1]), zlib.crc32(str(key[0]).encode())])
+        sums = np.zeros((draws, len(names)))
+        for n, take in enumerate(shared.value[key[0], int(key[1])]):
+            before = np.concatenate([[0.0], np.cumsum(g.permutation(values))])
+            ends = np.cumsum(take)
+            sums[n] = before[ends] - before[ends - take]
+        return pd.DataFrame({"draw": np.repeat(np.arange(draws), len(names)), "g": np.tile(names, draws), "s": sums.ravel()})
+
+    drawn = kept.groupBy("stratum", "slot").applyInPandas(permute, "draw int, g string, s double").groupBy("draw", "g").agg(F.sum("s").alias("s"))
+    size = F.element_at(F.create_map(*[x for g, n in zip(names, sizes, strict=True) for x in (F.lit(g), F.lit(float(n)))]), F.col("g"))
+    per = drawn.withColumn("n", size).groupBy("draw").agg((F.sum(F.col("n") * F.pow(F.col("s") / F.col("n") - mean, F.lit(2))) / float(sizes.sum())).alias("v"))
+    as_much = F.col("v") >= observed * (1 - 1e-12)
+    return per.agg(F.count("*").alias("n_draws"), F.lit(observed).alias("spread"), ((F.count_if(as_much) + 1) / (F.count("*") + 1)).alias("p_value"))

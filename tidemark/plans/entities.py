@@ -27,11 +27,11 @@ def query(sql: str | None = None):  # noqa: ANN201
 
 @query()
 def blocked_name_matches(spark: SparkSession, d: str) -> DataFrame:
-    """Part names of odd keys matched with those of even keys of the same type and size by similarity."""
+    """Each part's best matches by name among all other parts of its type and size that share a word."""
     parts = table(spark, d, "part", "p_partkey", "p_name", "p_type", "p_size")
-    left = parts.where("p_partkey % 2 = 1").select("p_type", "p_size", F.col("p_partkey").alias("left_key"), F.col("p_name").alias("left_name"))
-    right = parts.where("p_partkey % 2 = 0").select("p_type", "p_size", F.col("p_partkey").alias("right_key"), F.col("p_name").alias("right_name"))
-    return E.blocked_matches(left, right, ["p_type", "p_size"], "left_key", "right_key", "left_name", "right_name")
+    left = parts.select("p_type", "p_size", F.col("p_partkey").alias("left_key"), F.col("p_name").alias("left_name"))
+    right = parts.select("p_type", "p_size", F.col("p_partkey").alias("right_key"), F.col("p_name").alias("right_name"))
+    return E.blocked_matches(left, right, ["p_type", "p_size"], "left_key", "right_key", "left_name", "right_name", tokens=True, same=True)
 
 
 @query("""

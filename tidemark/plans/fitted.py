@@ -12,6 +12,8 @@ from tidemark.operators import resampling as B
 from tidemark.plans.point_in_time import person_periods, pit_order_features
 from tidemark.sources.tables import table
 
+#: The penalties of ridge and the inverse strengths of logistic models that are tried.
+ALPHAS, STRENGTHS = (0.1, 1.0, 10.0, 100.0), (0.01, 0.1, 1.0, 10.0)
 NUMBERS = ["games_365", "appearances_365", "minutes_365", "opportunity_share", "prev_value", "staleness_days"]
 
 
@@ -33,13 +35,15 @@ def rolling_origin_models(spark: SparkSession, d: str) -> DataFrame:
         pre = M.fit_preprocessor(train, NUMBERS, ["o_orderpriority"])
         t, v, e = (pre.transform(x).cache() for x in (train, frame.where(F.col("year") == validation), frame.where(F.col("year") == evaluation)))
         tried = []
-        for alpha in (0.1, 10.0):
+        for alpha in ALPHAS:
             error = M.ridge(t, "y", alpha).transform(v).agg(F.sqrt(F.avg(F.pow(F.col("y") - F.col("prediction"), F.lit(2))))).first()[0]
             tried.append(({"alpha": alpha}, (error,)))
         best = M.choose(tried)
         scored = M.ridge(t, "y", best["alpha"]).transform(e)
         rows.append(scored.agg(F.lit(evaluation).alias("year"), F.lit("ridge").alias("model"), F.count("*").alias("n"), F.round(F.sqrt(F.avg(F.pow(F.col("y") - F.col("prediction"), F.lit(2)))), 6).alias("metric")))
-        p = M.probability(M.logistic(t, "large", 1.0), e).withColumn("origin", F.lit(evaluation))
+        told = lambda c, x: D.auc(M.probability(M.logistic(t, "large", c), x).withColumn("origin", F.lit(evaluation)).withColumn("label", F.col("large").cast("int")), ["origin"], "label", "p").first()  # noqa: E731, B023
+        c = M.choose([({"c": c}, (-((row.auc or 0.0) if (row := told(c, v)) else 0.0),)) for c in STRENGTHS])["c"]
+        p = M.probability(M.logistic(t, "large", c), e).withColumn("origin", F.lit(evaluation))
         rows.append(D.auc(p.withColumn("label", F.col("large").cast("int")), ["origin"], "label", "p").select(F.lit(evaluation).alias("year"), F.lit("logistic").alias("model"), F.lit(p.count()).alias("n"), F.round("auc", 6).alias("metric")))
     out = rows[0]
     for r in rows[1:]:
@@ -82,8 +86,9 @@ def _paired(spark: SparkSession, d: str) -> DataFrame:
 
 
 def cluster_bootstrap_ci(spark: SparkSession, d: str) -> DataFrame:
-    """Interval of the improvement of one prediction over another, by resampled customers."""
-    return B.interval(B.bootstrap_improvement(_paired(spark, d), "o_custkey", "baseline", "candidate", "y", draws=500))
+    """Interval of the improvement of one prediction over another, by resampled customers within market segments."""
+    rows = _paired(spark, d).join(table(spark, d, "customer", "c_custkey", "c_mktsegment"), F.col("c_custkey") == F.col("o_custkey"))
+    return B.interval(B.bootstrap_improvement(rows, "o_custkey", "baseline", "candidate", "y", stratum="c_mktsegment"))
 
 
 def parameter_intervals(spark: SparkSession, d: str) -> DataFrame:
@@ -98,7 +103,7 @@ def permutation_heterogeneity(spark: SparkSession, d: str) -> DataFrame:
     """Whether the improvement differs between priorities more than chance lets it."""
     e = lambda c: F.pow(F.col("y") - F.col(c), F.lit(2))
     rows = _paired(spark, d).select("o_orderkey", "o_orderpriority", (e("baseline") - e("candidate")).alias("gain"))
-    return B.permutation_heterogeneity(rows, "o_orderpriority", "gain", draws=50)
+    return B.permutation_heterogeneity(rows, "o_orderpriority", "gain")
 
 
 def explained_scores(spark: SparkSession, d: str) -> DataFrame:

@@ -419,12 +419,14 @@ def seeded_sample(spark: SparkSession, d: str) -> DataFrame:
 
 
 @query("""
-SELECT doc_id, regexp_replace(translate(lower(left(text, 60)), 'àáâãäåçèéêëìíîïñòóôõöùúûüýÿðłøđıźżśćńąęčšžřůěťďňőű', 'aaaaaaceeeeiiiinooooouuuuyydlodizzscnaecszruetdnou').replace('ß', 'ss').replace('æ', 'ae').replace('œ', 'oe').replace('&', 'and'), '[^a-z0-9]+', '', 'g') AS name_key,
-  array_to_string(list_sort(regexp_extract_all(lower(left(text, 60)), '[a-z0-9]+')), '|') AS signature FROM documents""")
+WITH n AS (SELECT 'document' AS kind, doc_id AS id, text AS name FROM documents UNION ALL SELECT 'supplier', s_suppkey, s_name FROM supplier)
+SELECT kind, id, regexp_replace(translate(lower(name), 'àáâãäåçèéêëìíîïñòóôõöùúûüýÿðłøđıźżśćńąęčšžřůěťďňőű', 'aaaaaaceeeeiiiinooooouuuuyydlodizzscnaecszruetdnou').replace('ß', 'ss').replace('æ', 'ae').replace('œ', 'oe').replace('&', 'and'), '[^a-z0-9]+', '', 'g') AS name_key,
+  array_to_string(list_sort(regexp_extract_all(lower(name), '[a-z0-9]+')), '|') AS signature FROM n""")
 def normalize_names(spark: SparkSession, d: str) -> DataFrame:
-    """Folded keys and token signatures of the first characters of each document."""
-    head = F.substring("text", 1, 60)
-    return table(spark, d, "documents", "doc_id", "text").select("doc_id", S.name_key(head).alias("name_key"), S.token_signature(head).alias("signature"))
+    """Folded keys and token signatures of the whole text of each document and of each supplier's name."""
+    texts = table(spark, d, "documents", "doc_id", "text").select(F.lit("document").alias("kind"), F.col("doc_id").alias("id"), F.col("text").alias("name"))
+    names = texts.unionByName(table(spark, d, "supplier", "s_suppkey", "s_name").select(F.lit("supplier").alias("kind"), F.col("s_suppkey").alias("id"), F.col("s_name").alias("name")))
+    return names.select("kind", "id", S.name_key(F.col("name")).alias("name_key"), S.token_signature(F.col("name")).alias("signature"))
 
 
 @query("""
@@ -592,15 +594,14 @@ def eligibility_gate(spark: SparkSession, d: str) -> DataFrame:
 
 
 @query("""
-WITH f AS (SELECT c_nationkey, median(c_acctbal) AS m, greatest(quantile_cont(c_acctbal, 0.75) - quantile_cont(c_acctbal, 0.25), 1e-8) AS iqr, count(*) AS n FROM customer WHERE c_custkey % 2 = 0 GROUP BY 1), g AS (SELECT median(c_acctbal) AS m, quantile_cont(c_acctbal, 0.75) - quantile_cont(c_acctbal, 0.25) AS iqr FROM customer WHERE c_custkey % 2 = 0)
-SELECT c_custkey, round((c_acctbal - CASE WHEN f.n >= 30 THEN f.m ELSE g.m END) / CASE WHEN f.n >= 30 THEN f.iqr ELSE g.iqr END, 5) AS robust_z FROM customer c LEFT JOIN f USING (c_nationkey), g WHERE c_custkey % 2 = 1""")
+WITH f AS (SELECT c_nationkey, median(c_acctbal) AS m, greatest(quantile_cont(c_acctbal, 0.75) - quantile_cont(c_acctbal, 0.25), 1e-8) AS iqr, count(*) AS n FROM customer GROUP BY 1), g AS (SELECT median(c_acctbal) AS m, quantile_cont(c_acctbal, 0.75) - quantile_cont(c_acctbal, 0.25) AS iqr FROM customer)
+SELECT c_custkey, round((c_acctbal - CASE WHEN f.n >= 30 THEN f.m ELSE g.m END) / CASE WHEN f.n >= 30 THEN f.iqr ELSE g.iqr END, 5) AS robust_z FROM customer c LEFT JOIN f USING (c_nationkey), g""")
 def robust_standardisation(spark: SparkSession, d: str) -> DataFrame:
-    """Balances of the odd customers by median and quartiles of the even ones of the nation, or of all where they are few: fitted on one part, applied to the other."""
+    """Balances of customers by median and quartiles of their nation, or of all where it has few."""
     c = table(spark, d, "customer", "c_custkey", "c_nationkey", "c_acctbal")
     q = F.percentile("c_acctbal", F.array(F.lit(0.25), F.lit(0.5), F.lit(0.75)))
-    train = c.where("c_custkey % 2 = 0")
-    fit = train.groupBy("c_nationkey").agg(q.alias("q"), F.count("*").alias("n"))
-    every = train.agg(q.alias("g"))
+    fit = c.groupBy("c_nationkey").agg(q.alias("q"), F.count("*").alias("n"))
+    every = c.agg(q.alias("g"))
     use = F.when(F.col("n") >= 30, F.col("q")).otherwise(F.col("g"))
-    out = c.where("c_custkey % 2 = 1").join(fit, "c_nationkey", "left").crossJoin(F.broadcast(every)).withColumn("u", use)  # one row
+    out = c.join(fit, "c_nationkey", "left").crossJoin(F.broadcast(every)).withColumn("u", use)  # one row
     return out.select("c_custkey", F.round((F.col("c_acctbal") - F.col("u")[1]) / F.greatest(F.col("u")[2] - F.col("u")[0], F.lit(1e-8)), 5).alias("robust_z"))
