@@ -2,13 +2,137 @@
 
 from __future__ import annotations
 
+from functools import reduce
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window, WindowSpec
 
 
+#: Bands into which different values are dealt for running totals: each task sorts about this share of them.
+BANDS = 128
+
+
+def band_edges(df: DataFrame, value: str, bands: int = BANDS) -> list:
+    """Fewer than bands values that cut the rows into parts of about one size; one aggregate of fixed size reaches the driver."""
+    at = F.array(*[F.lit(i / bands) for i in range(1, bands)])
+    return sorted(set(df.agg(F.percentile_approx(value, at, F.lit(50 * bands)).alias("q")).first().q or []))
+
+
+def band_of(value: Column, edges: list) -> Column:
+    """How many edges lie below the value, by halving. A fixed expression: a task that is run again deals rows alike."""
+
+    def within(low: int, high: int) -> Column:
+        if low == high:
+            return F.lit(low)
+        mid = (low + high) // 2
+        return F.when(value <= F.lit(edges[mid]), within(low, mid)).otherwise(within(mid + 1, high))
+
+    return within(0, len(edges))
+
+
+def running(counts: DataFrame, value: str, sums: list[str], groups: list[str] | None = None, bands: int = BANDS) -> DataFrame:
+    """counts with upto_<c>, the sum of c over the values up to this one, and all_<c>, that over all, by group.
+
+    counts has one row for each different value of a group. Values are dealt into bands by fixed edges and sorted within
+    them; the bands before count by their totals, at most one row a band and group. So no task sorts all values, and a
+    value that many rows share is one row. Null values come first, with the first band.
+    """
+    groups = groups or []
+    parts = counts.withColumn("__band", band_of(F.col(value), band_edges(counts, value, bands)))
+    totals = parts.groupBy(*groups, "__band").agg(*[F.sum(c).alias(f"__s_{c}") for c in sums])
+    order = Window.partitionBy(*groups).orderBy("__band")
+    past = [(F.sum(f"__s_{c}").over(order) - F.col(f"__s_{c}")).alias(f"__past_{c}") for c in sums]
+    every = [F.sum(f"__s_{c}").over(Window.partitionBy(*groups)).alias(f"all_{c}") for c in sums]
+    keys = [*groups, "__band"]
+    before = totals.select(*[F.col(k).alias(f"__k{i}") for i, k in enumerate(keys)], *past, *every)
+    own = Window.partitionBy(*keys).orderBy(value).rowsBetween(Window.unboundedPreceding, 0)
+    inside = parts.select("*", *[F.sum(c).over(own).alias(f"__own_{c}") for c in sums])
+    same = reduce(lambda a, b: a & b, [F.col(k).eqNullSafe(F.col(f"__k{i}")) for i, k in enumerate(keys)])
+    return inside.join(before, same).select(*counts.columns, *[(F.col(f"__past_{c}") + F.col(f"__own_{c}")).alias(f"upto_{c}") for c in sums], *[f"all_{c}" for c in sums])
+
+
+def ranked(df: DataFrame, value: str, groups: list[str] | None = None) -> DataFrame:
+    """df with __below, __same and __all: how many values of the group lie below, are equal, and are there; null for null."""
+    groups = groups or []
+    counts = df.where(F.col(value).isNotNull()).groupBy(*groups, value).agg(F.count("*").alias("n"))
+    told = running(counts, value, ["n"], groups)
+    keys = [*groups, value]
+    side = told.select(*[F.col(k).alias(f"__r{i}") for i, k in enumerate(keys)], (F.col("upto_n") - F.col("n")).alias("__below"), F.col("n").alias("__same"), F.col("all_n").alias("__all"))
+    same = reduce(lambda a, b: a & b, [F.col(k).eqNullSafe(F.col(f"__r{i}")) for i, k in enumerate(keys)])
+    return df.join(side, same, "left").drop(*[f"__r{i}" for i in range(len(keys))])
+
+
+def pct_ranks(df: DataFrame, value: str, groups: list[str], name: str) -> DataFrame:
+    """df with the mid-rank of the value among those of its group that are there, by their number; null for null."""
+    return ranked(df, value, groups).withColumn(name, (F.col("__below") + (F.col("__same") + 1) / 2) / F.col("__all")).drop("__below", "__same", "__all")
+
+
+def row_numbers(df: DataFrame, value: str, tie: str, name: str, groups: list[str] | None = None) -> DataFrame:
+    """df with the place of each row, from 1, in the order of value and tie, and __all, the rows of its group.
+
+    Rows of one value are dealt into bands of tie, so that a value of a third of all rows isn't sorted in one task.
+    """
+    keys = [*(groups or []), value]
+    parts = df.withColumn("__tie", band_of(F.col(tie), band_edges(df, tie)))
+    counts = parts.groupBy(*keys, "__tie").agg(F.count("*").alias("n"))
+    equal = Window.partitionBy(*keys).orderBy("__tie")
+    told = running(counts.groupBy(*keys).agg(F.sum("n").alias("n")), value, ["n"], groups)
+    places = counts.withColumn("__past", F.sum("n").over(equal) - F.col("n")).drop("n")
+    below = told.select(*keys, (F.col("upto_n") - F.col("n")).alias("__below"), F.col("all_n").alias("__all"))
+    out = parts.join(places.join(below, keys), [*keys, "__tie"])
+    own = F.row_number().over(Window.partitionBy(*keys, "__tie").orderBy(tie))
+    return out.withColumn(name, F.col("__below") + F.col("__past") + own).select(*df.columns, name, "__all")
+
+
+def tile(place: Column, n: Column, tiles: int) -> Column:
+    """The tile, from 1, of a place among n rows: tiles of equal counts, the first ones larger by one."""
+    size, more = F.floor(n / tiles), n % tiles
+    at, wide = place - 1, size + 1
+    return F.when(at < more * wide, F.floor(at / wide) + 1).otherwise(more + F.floor((at - more * wide) / F.greatest(size, F.lit(1))) + 1).cast("int")
+
+
+def exact_quantiles(df: DataFrame, value: str, shares: list[float], groups: list[str] | None = None, how: str = "linear", accuracy: int = 10_000) -> DataFrame:
+    """One row a group: its keys and q, the exact quantiles in the order of the shares; how: linear, higher or lower.
+
+    A sketch of fixed size brackets each quantile; the rows below each bracket are only counted, and only the different
+    values within the brackets are ranked, about 4 rows in accuracy for each share and those equal to them. A bracket that
+    the counts show to miss its quantile is opened to all values. Nulls don't count; without values there is no row, or
+    one of null without groups.
+    """
+    groups = groups or []
+    k = len(shares)
+    rows = df.where(F.col(value).isNotNull()).select(*groups, F.col(value).cast("double").alias("__v"))
+    at = [min(max(s + e, 0.0), 1.0) for s in shares for e in (-2 / accuracy, 2 / accuracy)]
+    sketch = rows.groupBy(*groups).agg(F.percentile_approx("__v", F.array(*[F.lit(a) for a in at]), F.lit(accuracy)).alias("__e"))
+
+    def beside(left: DataFrame, right: DataFrame) -> DataFrame:
+        if not groups:
+            return left.crossJoin(F.broadcast(right))  # one row
+        other = right.select(*[F.col(g).alias(f"__g{i}") for i, g in enumerate(groups)], *[c for c in right.columns if c not in groups])
+        return left.join(other, reduce(lambda a, b: a & b, [F.col(g).eqNullSafe(F.col(f"__g{i}")) for i, g in enumerate(groups)])).drop(*[f"__g{i}" for i in range(len(groups))])
+
+    v, low, high = F.col("__v"), lambda i: F.col("__e")[2 * i], lambda i: F.col("__e")[2 * i + 1]
+    seen = beside(rows, sketch).groupBy(*groups).agg(
+        F.count("*").alias("__n"), F.first("__e").alias("__e"), *[F.count_if(v < low(i)).alias(f"__below{i}") for i in range(k)], *[F.count_if(v <= high(i)).alias(f"__upto{i}") for i in range(k)]
+    )
+    first, last = lambda i: F.floor(F.lit(shares[i]) * (F.col("__n") - 1) + 1e-9), lambda i: F.ceil(F.lit(shares[i]) * (F.col("__n") - 1) - 1e-9)
+    hit = lambda i: (F.col(f"__below{i}") <= first(i)) & (last(i) < F.col(f"__upto{i}"))
+    fit = seen.select(*groups, "__n", *[F.when(hit(i), low(i)).otherwise(float("-inf")).alias(f"__low{i}") for i in range(k)], *[F.when(hit(i), high(i)).otherwise(float("inf")).alias(f"__high{i}") for i in range(k)], *[F.when(hit(i), F.col(f"__below{i}")).otherwise(0).alias(f"__below{i}") for i in range(k)])
+    part = F.explode(F.array(*[F.when(v.between(F.col(f"__low{i}"), F.col(f"__high{i}")), F.lit(i)) for i in range(k)]))
+    near = beside(rows, fit).select(*groups, "__v", part.alias("__i")).where("__i is not null").groupBy(*groups, "__i", "__v").agg(F.count("*").alias("__c"))
+    pick = lambda name: F.element_at(F.array(*[F.col(f"{name}{i}") for i in range(k)]), F.col("__i") + 1)
+    upto = F.sum("__c").over(Window.partitionBy(*groups, "__i").orderBy("__v"))
+    placed = beside(near.withColumn("__cum", upto), fit).withColumn("__cum", F.col("__cum") + pick("__below"))
+    share = F.element_at(F.array(*[F.lit(s) for s in shares]), F.col("__i") + 1)
+    h = share * (F.col("__n") - 1)
+    ends = placed.withColumn("__h", h).groupBy(*groups, "__i").agg(F.first("__h").alias("__h"), F.min(F.when(F.col("__cum") > F.floor(F.col("__h") + 1e-9), v)).alias("__a"), F.min(F.when(F.col("__cum") > F.ceil(F.col("__h") - 1e-9), v)).alias("__b"))
+    q = {"linear": F.col("__a") + (F.col("__b") - F.col("__a")) * (F.col("__h") - F.floor(F.col("__h") + 1e-9)), "higher": F.col("__b"), "lower": F.col("__a")}[how]
+    return ends.groupBy(*groups).agg(*[F.max(F.when(F.col("__i") == i, q)).alias(f"__q{i}") for i in range(k)]).select(*groups, F.array(*[F.col(f"__q{i}") for i in range(k)]).alias("q"))
+
+
 def mid_rank(value: str, by: WindowSpec) -> Column:
-    """Rank with ties averaged, among the rows of the window's partition."""
+    """Rank with ties averaged, among the rows of the window's partition; for groups of a size that one task sorts."""
     ordered = by.orderBy(F.col(value).asc_nulls_last())
     same = ordered.rangeBetween(0, 0)
     return F.rank().over(ordered) + (F.count("*").over(same) - 1) / 2
@@ -65,21 +189,20 @@ def weighted_regression(x: Column, y: Column, w: Column) -> dict[str, Column]:
 
 
 def auc(scored: DataFrame, groups: list[str], label: str, score: str) -> DataFrame:
-    """Exact area under the ROC curve by mid-ranks; null with one class. Ties and classes are counted first, so only different scores are sorted."""
-    counts = scored.where(F.col(label).isNotNull() & F.col(score).isNotNull()).groupBy(*groups, score).agg(F.sum(label).alias("__pos"), F.count("*").alias("__n"))
-    w = Window.partitionBy(*groups).orderBy(score)
-    below = F.coalesce(F.sum(F.col("__n") - F.col("__pos")).over(w.rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
-    part = counts.withColumn("__won", F.col("__pos") * (below + (F.col("__n") - F.col("__pos")) / 2))
-    pos, neg = F.sum("__pos"), F.sum("__n") - F.sum("__pos")
-    return part.groupBy(*groups).agg(F.when((pos > 0) & (neg > 0), F.sum("__won") / (pos * neg)).alias("auc"))
+    """Exact area under the ROC curve by mid-ranks; null with one class. Ties and classes are counted first, so only different scores are sorted, in bands."""
+    counts = scored.where(F.col(label).isNotNull() & F.col(score).isNotNull()).groupBy(*groups, score).agg(F.sum(label).cast("double").alias("pos"), F.count("*").alias("n"))
+    told = running(counts, score, ["pos", "n"], groups)
+    neg = F.col("n") - F.col("pos")
+    below = F.col("upto_n") - F.col("upto_pos") - neg
+    pos, other = F.sum("pos"), F.sum("n") - F.sum("pos")
+    return told.withColumn("won", F.col("pos") * (below + neg / 2)).groupBy(*groups).agg(F.when((pos > 0) & (other > 0), F.sum("won") / (pos * other)).alias("auc"))
 
 
 def average_precision(scored: DataFrame, label: str, score: str) -> DataFrame:
     """Step sum over the different scores, highest first."""
-    counts = scored.groupBy(score).agg(F.sum(label).alias("__pos"), F.count("*").alias("__n"))
-    w = Window.orderBy(F.desc(score)).rowsBetween(Window.unboundedPreceding, 0)
-    steps = counts.withColumn("__tp", F.sum("__pos").over(w)).withColumn("__seen", F.sum("__n").over(w))
-    return steps.agg(F.when(F.sum("__pos") > 0, F.sum(F.col("__pos") * F.col("__tp") / F.col("__seen")) / F.sum("__pos")).alias("average_precision"))
+    told = running(scored.groupBy(score).agg(F.sum(label).cast("double").alias("pos"), F.count("*").alias("n")), score, ["pos", "n"])
+    tp, seen = F.col("all_pos") - F.col("upto_pos") + F.col("pos"), F.col("all_n") - F.col("upto_n") + F.col("n")
+    return told.agg(F.when(F.sum("pos") > 0, F.sum(F.col("pos") * tp / seen) / F.sum("pos")).alias("average_precision"))
 
 
 def benjamini_hochberg(df: DataFrame, group: str, p: str, tie: str) -> DataFrame:

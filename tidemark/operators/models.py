@@ -13,6 +13,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from tidemark.functions.scalars import logit
+from tidemark.operators.distribution import exact_quantiles, running
 
 OTHER = "__OTHER__"
 
@@ -158,18 +159,12 @@ def monotone_violations(df: DataFrame, feature: str, grid: list[float], score, d
 
 
 def exceedance(df: DataFrame, predicted: str, residuals: DataFrame, residual: str, threshold: Column) -> DataFrame:
-    """df with the share of training residuals at or below threshold - predicted, ((k + 0.5) / (n + 1)). Sorted once, no pair of a row and a residual."""
-    from pyspark.sql.window import Window
+    """df with the share of training residuals at or below threshold - predicted, ((k + 0.5) / (n + 1)); null where that is null.
 
-    n = residuals.count()
-    probe = df.withColumn("__id", F.monotonically_increasing_id())
-    left = probe.select("__id", (threshold - F.col(predicted)).alias("__v"), F.lit(0).alias("__k"), F.lit(1).alias("__turn"))
-    right = residuals.select(F.lit(None).cast("bigint").alias("__id"), F.col(residual).alias("__v"), F.lit(1).alias("__k"), F.lit(0).alias("__turn"))
-    both = left.unionByName(right)
-    parts = both.repartitionByRange("__v").withColumn("__part", F.spark_partition_id())
-    own = F.sum("__k").over(Window.partitionBy("__part").orderBy("__v", "__turn"))
-    counted = parts.withColumn("__own", own)
-    sums = parts.groupBy("__part").agg(F.sum("__k").alias("__s"))  # one row a partition
-    before = sums.withColumn("__before", F.coalesce(F.sum("__s").over(Window.orderBy("__part").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))).select("__part", "__before")
-    told = counted.where("__id is not null").join(F.broadcast(before), "__part").select("__id", ((F.col("__own") + F.col("__before") + 0.5) / (n + 1)).alias("probability"))
-    return probe.join(told, "__id").drop("__id")
+    Residuals and places are counted by value and ranked together, so no pair of a row and a residual is made.
+    """
+    at = df.withColumn("__v", threshold - F.col(predicted))
+    both = at.select("__v", F.lit(0).alias("k")).unionByName(residuals.select(F.col(residual).alias("__v"), F.lit(1).alias("k")))
+    counts = both.where("__v is not null").groupBy("__v").agg(F.sum("k").alias("k"))
+    told = running(counts, "__v", ["k"]).select("__v", ((F.col("upto_k") + 0.5) / (F.col("all_k") + 1)).alias("probability"))
+    return at.join(told, "__v", "left").drop("__v")

@@ -80,6 +80,15 @@ def leave_one_out(df: DataFrame, group: str, value: str, weight: Column | None =
     return F.when(rest > 0, (total - F.coalesce(F.col(value) * k, F.lit(0.0))) / rest)
 
 
+def rest_means(df: DataFrame, group: str, value: str, name: str) -> DataFrame:
+    """df with the mean of the other rows of the group and __rows, how many it has. Groups are aggregated and joined back, so a large one isn't held by one task."""
+    sums = df.groupBy(F.col(group).alias("__g")).agg(F.count("*").alias("__rows"), F.sum(value).alias("__sum"), F.count(value).alias("__n"))
+    own = F.col(value)
+    rest = F.col("__n") - own.isNotNull().cast("int")
+    out = df.join(sums, F.col(group).eqNullSafe(F.col("__g")))
+    return out.withColumn(name, F.when(rest > 0, (F.col("__sum") - F.coalesce(own, F.lit(0.0))) / rest)).drop("__g", "__sum", "__n")
+
+
 def referential_profile(child: DataFrame, parent: DataFrame, child_key: str, parent_key: str) -> DataFrame:
     """Rows, nulls, matched and unmatched rows of a reference, and how many keys aren't found."""
     keys = parent.select(F.col(parent_key).alias("__p")).distinct()

@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
 from tidemark.functions import scalars as S
+from tidemark.operators import distribution as D
 from tidemark.operators import entities as E
 from tidemark.operators import relational as R
 from tidemark.sources.tables import table
@@ -136,12 +137,9 @@ SELECT c_custkey, round((SELECT count(*) FROM customer r WHERE r.c_mktsegment =
   round((rank() OVER (PARTITION BY c_mktsegment ORDER BY c_acctbal) - 1 + (count(*) OVER (PARTITION BY c_mktsegment, c_acctbal) - 1 + 2) / 2) / (count(*) OVER (PARTITION BY c_mktsegment) - 1 + 1), 6) AS mid_rank FROM customer c""")
 def ecdf_percentiles(spark: SparkSession, d: str) -> DataFrame:
     """Share of the segment at or below each balance, and the mid-rank of the balance among the others."""
-    by = Window.partitionBy("c_mktsegment")
-    order = by.orderBy("c_acctbal")
-    upto = F.count("*").over(order.rangeBetween(Window.unboundedPreceding, 0))
-    equal = F.count("*").over(order.rangeBetween(0, 0))
-    n = F.count("*").over(by)
-    return table(spark, d, "customer", "c_custkey", "c_mktsegment", "c_acctbal").select("c_custkey", F.round(upto / n, 6).alias("at_or_below"), F.round((F.rank().over(order) - 1 + (equal - 1 + 2) / 2) / n, 6).alias("mid_rank"))
+    below, equal, n = F.col("__below"), F.col("__same"), F.col("__all")
+    c = D.ranked(table(spark, d, "customer", "c_custkey", "c_mktsegment", "c_acctbal"), "c_acctbal", ["c_mktsegment"])
+    return c.select("c_custkey", F.round((below + equal) / n, 6).alias("at_or_below"), F.round((below + (equal - 1 + 2) / 2) / n, 6).alias("mid_rank"))
 
 
 @query("""

@@ -37,7 +37,7 @@ SELECT c_custkey, CASE WHEN count(c_acctbal) OVER w > 1 THEN round((sum(c_acctba
 def leave_one_out_nation(spark: SparkSession, d: str) -> DataFrame:
     """Mean balance of the other customers of the nation."""
     c = table(spark, d, "customer", "c_custkey", "c_nationkey", "c_acctbal")
-    return c.select("c_custkey", F.round(R.leave_one_out(c, "c_nationkey", "c_acctbal"), 6).alias("rest_mean"), F.count("*").over(Window.partitionBy("c_nationkey")).alias("n_nation"))
+    return R.rest_means(c, "c_nationkey", "c_acctbal", "m").select("c_custkey", r6("m").alias("rest_mean"), F.col("__rows").alias("n_nation"))
 
 
 @query("""
@@ -232,7 +232,7 @@ SELECT a.year, round(sum((a.share - r.share) * ln(a.share / r.share)), 6) AS psi
 def psi_deciles(spark: SparkSession, d: str) -> DataFrame:
     """Drift of order values by year against the deciles of 1995."""
     o = table(spark, d, "orders", "o_orderdate", "o_totalprice").withColumn("year", F.year("o_orderdate"))
-    edges = o.where("year = 1995").agg(F.percentile("o_totalprice", F.array(*[F.lit(i / 10) for i in range(1, 10)])).alias("q"))
+    edges = D.exact_quantiles(o.where("year = 1995"), "o_totalprice", [i / 10 for i in range(1, 10)])
     binned = o.crossJoin(F.broadcast(edges)).select("year", F.size(F.filter("q", lambda x: x < F.col("o_totalprice"))).alias("bin"))  # one row
     per = binned.groupBy("year").agg(F.count("*").alias("all"), *[F.count_if(F.col("bin") == i).alias(f"b{i}") for i in range(10)])
     share = per.select("year", *[F.greatest(F.col(f"b{i}") / F.col("all"), F.lit(1e-6)).alias(f"s{i}") for i in range(10)])
@@ -265,12 +265,12 @@ WITH r AS (SELECT o_orderpriority, abs(o_totalprice - avg(o_totalprice) OVER (PA
 SELECT o_orderpriority, round(quantile_cont(x, 0.8), 3) AS q80_linear, round(min(CASE WHEN i >= ceil(0.8 * (n - 1)) + 1 THEN x END), 3) AS q80_higher, round(min(CASE WHEN i >= ceil(0.9 * (n - 1)) + 1 THEN x END), 3) AS q90_higher, round(avg((x <= 100000)::INT), 6) AS coverage FROM n GROUP BY 1""")
 def exact_quantiles_higher(spark: SparkSession, d: str) -> DataFrame:
     """Exact quantiles of absolute residuals, interpolated and next higher, and the coverage of a fixed range."""
-    o = table(spark, d, "orders", "o_orderkey", "o_orderpriority", "o_totalprice")
-    by = Window.partitionBy("o_orderpriority")
-    x = o.withColumn("x", F.abs(F.col("o_totalprice") - F.avg("o_totalprice").over(by)))
-    x = x.withColumn("i", F.row_number().over(by.orderBy("x", "o_orderkey"))).withColumn("n", F.count("*").over(by))
-    higher = lambda q: F.round(F.min(F.when(F.col("i") >= F.ceil(q * (F.col("n") - 1)) + 1, F.col("x"))), 3)
-    return x.groupBy("o_orderpriority").agg(F.round(F.percentile("x", 0.8), 3).alias("q80_linear"), higher(0.8).alias("q80_higher"), higher(0.9).alias("q90_higher"), r6(F.avg((F.col("x") <= 100000).cast("int"))).alias("coverage"))
+    o = table(spark, d, "orders", "o_orderpriority", "o_totalprice")
+    x = o.join(o.groupBy("o_orderpriority").agg(F.avg("o_totalprice").alias("m")), "o_orderpriority").select("o_orderpriority", F.abs(F.col("o_totalprice") - F.col("m")).alias("x"))
+    linear = D.exact_quantiles(x, "x", [0.8], ["o_orderpriority"]).select("o_orderpriority", F.round(F.col("q")[0], 3).alias("q80_linear"))
+    higher = D.exact_quantiles(x, "x", [0.8, 0.9], ["o_orderpriority"], "higher").select("o_orderpriority", F.round(F.col("q")[0], 3).alias("q80_higher"), F.round(F.col("q")[1], 3).alias("q90_higher"))
+    covered = x.groupBy("o_orderpriority").agg(r6(F.avg((F.col("x") <= 100000).cast("int"))).alias("coverage"))
+    return linear.join(higher, "o_orderpriority").join(covered, "o_orderpriority")
 
 
 @query("""
@@ -337,18 +337,18 @@ WITH g AS (SELECT p_partkey, p_brand, p_retailprice, avg(p_retailprice) OVER w A
 SELECT p_partkey, CASE WHEN n >= 20 AND s > 0 THEN round(greatest(-3, least(3, (p_retailprice - m) / s)), 5) END AS z FROM g""")
 def zscore_clip_role(spark: SparkSession, d: str) -> DataFrame:
     """Price within its brand in standard deviations, cut at 3; null below 20 parts."""
-    w = Window.partitionBy("p_brand")
+    p = table(spark, d, "part", "p_partkey", "p_brand", "p_retailprice")
     x = F.col("p_retailprice")
-    sd = F.stddev_samp(x).over(w)
-    z = F.when((F.count("*").over(w) >= 20) & (sd > 0), S.clip((x - F.avg(x).over(w)) / sd, -3.0, 3.0))
-    return table(spark, d, "part", "p_partkey", "p_brand", "p_retailprice").select("p_partkey", F.round(z, 5).alias("z"))
+    fit = p.groupBy("p_brand").agg(F.avg(x).alias("m"), F.stddev_samp(x).alias("sd"), F.count("*").alias("n"))
+    z = F.when((F.col("n") >= 20) & (F.col("sd") > 0), S.clip((x - F.col("m")) / F.col("sd"), -3.0, 3.0))
+    return p.join(fit, "p_brand").select("p_partkey", F.round(z, 5).alias("z"))
 
 
 @query("""
 SELECT c_custkey, round((rank() OVER (PARTITION BY c_nationkey ORDER BY c_acctbal) + (count(*) OVER (PARTITION BY c_nationkey, c_acctbal) - 1) / 2) / count(*) OVER (PARTITION BY c_nationkey), 6) AS pct FROM customer""")
 def pct_rank_average(spark: SparkSession, d: str) -> DataFrame:
     """Percent rank of the balance within the nation, ties averaged."""
-    return table(spark, d, "customer", "c_custkey", "c_nationkey", "c_acctbal").select("c_custkey", r6(D.pct_rank_average("c_acctbal", Window.partitionBy("c_nationkey"))).alias("pct"))
+    return D.pct_ranks(table(spark, d, "customer", "c_custkey", "c_nationkey", "c_acctbal"), "c_acctbal", ["c_nationkey"], "pct").select("c_custkey", r6("pct").alias("pct"))
 
 
 @query("""
@@ -356,11 +356,9 @@ WITH r AS (SELECT c_custkey, c_nationkey, row_number() OVER (PARTITION BY c_nati
 SELECT c_custkey, CASE WHEN n > 1 THEN greatest(1, ((r - 1) * 5 + n - 2) // (n - 1))::INT END AS band, tile::INT AS tile, r - 1 AS place FROM r""")
 def qcut_bands(spark: SparkSession, d: str) -> DataFrame:
     """Quintile bands of the balance within the nation, by equal quantiles and by equal counts."""
-    by = Window.partitionBy("c_nationkey")
-    order = by.orderBy("c_acctbal", "c_custkey")
-    r, n = F.row_number().over(order), F.count("*").over(by)
-    rows = table(spark, d, "customer", "c_custkey", "c_nationkey", "c_acctbal").select("c_custkey", r.cast("bigint").alias("r"), n.alias("n"), F.ntile(5).over(order).alias("tile"))
-    return rows.select("c_custkey", F.when(F.col("n") > 1, D.equal_bands(F.col("r"), F.col("n"), 5)).alias("band"), "tile", (F.col("r") - 1).alias("place"))
+    r, n = F.col("r"), F.col("__all")
+    rows = D.row_numbers(table(spark, d, "customer", "c_custkey", "c_nationkey", "c_acctbal"), "c_acctbal", "c_custkey", "r", ["c_nationkey"])
+    return rows.select("c_custkey", F.when(n > 1, D.equal_bands(r, n, 5)).alias("band"), D.tile(r, n, 5).alias("tile"), (r - 1).alias("place"))
 
 
 @query("""
@@ -389,7 +387,7 @@ SELECT n_top, hits, round(hits / p, 6) AS capture, round((hits / n_top) / (p / n
 def top_quintile_capture(spark: SparkSession, d: str) -> DataFrame:
     """What the orders at or above the 80th percentile of value hold of all finished ones."""
     o = table(spark, d, "orders", "o_totalprice", "o_orderstatus")
-    cut = o.agg(F.percentile("o_totalprice", 0.8).alias("q"))
+    cut = D.exact_quantiles(o, "o_totalprice", [0.8]).select(F.col("q")[0].alias("q"))
     top, hit = F.col("o_totalprice") >= F.col("q"), F.col("o_orderstatus") == "F"
     sums = o.crossJoin(F.broadcast(cut)).agg(F.count("*").alias("n"), F.count_if(hit).alias("p"), F.sum("o_totalprice").alias("s"), F.count_if(top).alias("n_top"), F.count_if(top & hit).alias("hits"), F.sum(F.when(top, F.col("o_totalprice"))).alias("v"))  # one row
     return sums.select("n_top", "hits", r6(F.col("hits") / F.col("p")).alias("capture"), r6((F.col("hits") / F.col("n_top")) / (F.col("p") / F.col("n"))).alias("lift"), r6(F.col("v") / F.col("s")).alias("value_share"))
@@ -510,8 +508,8 @@ def classification_metrics(spark: SparkSession, d: str) -> DataFrame:
     q = F.least(F.greatest(F.col("p"), F.lit(1e-6)), F.lit(1 - 1e-6))
     y, p = F.col("y"), F.col("p")
     plain = s.agg(F.count("*").alias("n"), r6(F.avg((y - p) * (y - p))).alias("brier"), r6(-F.avg(y * F.log(q) + (1 - y) * F.log(1 - q))).alias("log_loss"), r6(F.avg(p) - F.avg(y)).alias("calibration_gap"))
-    auc = D.auc(s.withColumn("one", F.lit(1)), ["one"], "y", "p").select(r6("auc").alias("auc"))
-    bins = s.withColumn("bin", F.ntile(10).over(Window.orderBy("p", "doc_id"))).groupBy("bin").agg(F.count("*").alias("k"), F.abs(F.avg(y) - F.avg(p)).alias("gap"))
+    auc = D.auc(s, [], "y", "p").select(r6("auc").alias("auc"))
+    bins = D.row_numbers(s, "p", "doc_id", "place").withColumn("bin", D.tile(F.col("place"), F.col("__all"), 10)).groupBy("bin").agg(F.count("*").alias("k"), F.abs(F.avg(y) - F.avg(p)).alias("gap"))
     ece = bins.agg(r6(F.sum(F.col("k") * F.col("gap")) / F.sum("k")).alias("ece"))
     precision = D.average_precision(s, "y", "p").select(r6("average_precision").alias("average_precision"))
     out = plain
@@ -544,7 +542,8 @@ def ood_support_status(spark: SparkSession, d: str) -> DataFrame:
     """How far later orders are from the profile of the base years, and whether they are supported by it."""
     o = table(spark, d, "orders", "o_orderkey", "o_orderdate", "o_totalprice")
     x = F.col("o_totalprice")
-    fit = o.where(F.year("o_orderdate") <= 1996).agg(F.percentile(x, F.array(*[F.lit(v) for v in (0.5, 0.25, 0.75, 0.01, 0.99)])).alias("q"), F.min(x).alias("lo"), F.max(x).alias("hi"))
+    base = o.where(F.year("o_orderdate") <= 1996)
+    fit = base.agg(F.min(x).alias("lo"), F.max(x).alias("hi")).crossJoin(F.broadcast(D.exact_quantiles(base, "o_totalprice", [0.5, 0.25, 0.75, 0.01, 0.99])))  # one row
     status = F.when((x < F.col("lo")) | (x > F.col("hi")), "refuse").when((x < F.col("q")[3]) | (x > F.col("q")[4]), "limited").otherwise("supported")
     distance = F.abs(x - F.col("q")[0]) / F.greatest((F.col("q")[2] - F.col("q")[1]) / 1.349, F.lit(1e-8))
     return o.where(F.year("o_orderdate") > 1996).crossJoin(F.broadcast(fit)).select("o_orderkey", F.round(distance, 5).alias("distance"), status.alias("status"))  # one row
@@ -578,9 +577,8 @@ WITH r AS (SELECT c_custkey, (rank() OVER (PARTITION BY c_mktsegment ORDER BY c_
 SELECT c_custkey, round(sqrt(a * b), 6) AS geometric, round(least(a, b), 6) AS least_of_both, a >= 0.5 AND b >= 0.5 AS high_high FROM r""")
 def joint_priority(spark: SparkSession, d: str) -> DataFrame:
     """Geometric mean and minimum of two percent ranks within the segment."""
-    w = Window.partitionBy("c_mktsegment")
     c = table(spark, d, "customer", "c_custkey", "c_mktsegment", "c_acctbal").withColumn("other", F.col("c_custkey") % 97)
-    c = c.withColumn("a", D.pct_rank_average("c_acctbal", w)).withColumn("b", D.pct_rank_average("other", w))
+    c = D.pct_ranks(D.pct_ranks(c, "c_acctbal", ["c_mktsegment"], "a"), "other", ["c_mktsegment"], "b")
     return c.select("c_custkey", r6(F.sqrt(F.col("a") * F.col("b"))).alias("geometric"), r6(F.least("a", "b")).alias("least_of_both"), ((F.col("a") >= 0.5) & (F.col("b") >= 0.5)).alias("high_high"))
 
 
@@ -599,9 +597,9 @@ SELECT c_custkey, round((c_acctbal - CASE WHEN f.n >= 30 THEN f.m ELSE g.m END)
 def robust_standardisation(spark: SparkSession, d: str) -> DataFrame:
     """Balances of customers by median and quartiles of their nation, or of all where it has few."""
     c = table(spark, d, "customer", "c_custkey", "c_nationkey", "c_acctbal")
-    q = F.percentile("c_acctbal", F.array(F.lit(0.25), F.lit(0.5), F.lit(0.75)))
-    fit = c.groupBy("c_nationkey").agg(q.alias("q"), F.count("*").alias("n"))
-    every = c.agg(q.alias("g"))
+    shares = [0.25, 0.5, 0.75]
+    fit = D.exact_quantiles(c, "c_acctbal", shares, ["c_nationkey"]).join(c.groupBy("c_nationkey").agg(F.count("*").alias("n")), "c_nationkey")
+    every = D.exact_quantiles(c, "c_acctbal", shares).withColumnRenamed("q", "g")
     use = F.when(F.col("n") >= 30, F.col("q")).otherwise(F.col("g"))
     out = c.join(fit, "c_nationkey", "left").crossJoin(F.broadcast(every)).withColumn("u", use)  # one row
     return out.select("c_custkey", F.round((F.col("c_acctbal") - F.col("u")[1]) / F.greatest(F.col("u")[2] - F.col("u")[0], F.lit(1e-8)), 5).alias("robust_z"))
