@@ -275,3 +275,55 @@ def test_sources(spark, tmp_path):
     assert spark.read.parquet(str(tmp_path / "out")).count() == 3
     tables.write_csv(spark.range(3), str(tmp_path / "csv"))
     assert tables.to_json_rows(spark.createDataFrame([(1, float("nan"))], "id int, x double"), "id").first().payload == '{"id":1}'
+
+
+def test_exact_quantiles_ranks_and_places(spark):
+    import random
+
+    import numpy as np
+    import pandas as pd
+
+    rng = random.Random(3)
+    rows = [(rng.choice("ab"), rng.choice([1.0, 1.0, 1.0, rng.gauss(0, 5)]), i) for i in range(3000)] + [("c", 2.0, 3000), (None, 4.0, 3001), ("a", None, 3002)]
+    df, pdf = spark.createDataFrame(rows, "g string, v double, i long"), pd.DataFrame(rows, columns=["g", "v", "i"])
+    shares = [0.0, 0.13, 0.5, 0.999, 1.0]
+    for how in ("linear", "higher", "lower"):
+        # a sketch of 1 in 20 misses some brackets, which are then opened
+        for accuracy in (20, 10_000):
+            got = {r.g: r.q for r in D.exact_quantiles(df, "v", shares, ["g"], how, accuracy).collect()}
+            for g, part in pdf.dropna(subset=["v"]).groupby("g", dropna=False):
+                assert np.allclose(got[None if pd.isna(g) else g], np.quantile(part.v, shares, method=how))
+        assert np.allclose(D.exact_quantiles(df, "v", shares, how=how).first().q, np.quantile(pdf.v.dropna(), shares, method=how))
+    assert D.exact_quantiles(df.where("v > 1e9"), "v", [0.5]).first().q == [None]
+    below = {r.i: (r["__below"], r["__same"], r["__all"]) for r in D.ranked(df, "v", ["g"]).collect()}
+    assert below[3002] == (None, None, None) and below[3001] == (0, 1, 1)
+    for g, part in pdf.dropna().groupby("g"):
+        assert all(below[r.i] == ((part.v < r.v).sum(), (part.v == r.v).sum(), len(part)) for r in part.head(40).itertuples())
+    full = pdf.dropna(subset=["v"])
+    places = {r.i: r.place for r in D.row_numbers(df.where("v is not null"), "v", "i", "place").collect()}
+    assert [i for i, _ in sorted(places.items(), key=lambda x: x[1])] == list(full.sort_values(["v", "i"]).i)
+    tiles = spark.range(1, 12).select(D.tile(F.col("id"), F.lit(11), 4).alias("t")).collect()
+    assert [r.t for r in tiles] == [1, 1, 1, 2, 2, 2, 3, 3, 3, 4, 4]
+
+
+def test_text_cleaning(spark, tmp_path):
+    from tidemark.functions import cleaning as C
+
+    cells = [("2024-02-03", "7.0", "1.5"), (" 3/2/2024 ", "7.5", "1d"), ("Feb 3, 2024", "", None), ("2024-13-40", "x", "-.5e1"), (None, "-2", "NaN")]
+    df = spark.createDataFrame(cells, "day string, k string, x string")
+    kinds = {"dates": ["day"], "wholes": ["k"], "numbers": ["x"]}
+    got = C.typed(df, **kinds).collect()
+    assert [str(r.day) for r in got] == ["2024-02-03"] * 3 + ["None"] * 2
+    assert [r.k for r in got] == [7, None, None, None, -2] and [r.x for r in got] == [1.5, None, None, -5.0, None]
+    assert {r.column_name: (r.n_blank, r.n_trimmed, r.n_invalid) for r in C.cleaning_counts(df, **kinds).collect()} == {"day": (1, 1, 1), "k": (1, 0, 2), "x": (1, 0, 2)}
+    assert C.text_profile(df.where("day = ''"), ["k"]).count() == 0
+    assert C.snake_columns(spark.createDataFrame([(1, 2, 3)], "`Goals/p 90` int, `A%` int, `a pct` int")).columns == ["goals_per_per90", "a_pct", "a_pct_3"]
+    nested = spark.sql("select 1 as id, named_struct('a', named_struct('b', 2), 'c', array(3)) as e")
+    assert tables.flattened(nested).columns == ["id", "e_a_b", "e_c"]
+    tables.write_parts(spark.range(10), str(tmp_path / "o"), {"all": F.lit(True), "even": F.col("id") % 2 == 0, "none": F.col("id") < 0})
+    assert {r.output: r["count"] for r in spark.read.parquet(str(tmp_path / "o")).groupBy("output").count().collect()} == {"all": 10, "even": 5}
+    (tmp_path / "gate.json").write_text('{"verified": true, "other": false}')
+    tables.require_verified(spark, str(tmp_path / "gate.json"))
+    for field in ("other", "absent"):
+        with pytest.raises(ValueError, match="isn't marked"):
+            tables.require_verified(spark, str(tmp_path / "gate.json"), field)

@@ -114,11 +114,16 @@ def probability(model, df: DataFrame, name: str = "p") -> DataFrame:  # noqa: AN
     return out.withColumn(name, vector_to_array("probability")[1]).drop("rawPrediction", "probability", "prediction")
 
 
-def platt(scored: DataFrame, p: str, label: str):  # noqa: ANN201
-    """A logistic regression on the logit; returns a function that calibrates a frame."""
+def calibration_line(scored: DataFrame, p: str, label: str) -> tuple[float, float]:
+    """Intercept and slope of the label on the logit of the probability; 0 and 1 if it is calibrated."""
     rows = VectorAssembler(inputCols=["__z"], outputCol="__f").transform(scored.withColumn("__z", logit(F.col(p))))
     model = LogisticRegression(featuresCol="__f", labelCol=label, regParam=0.0, maxIter=100, tol=1e-10).fit(rows)
-    a, b = float(model.coefficients[0]), float(model.intercept)
+    return float(model.intercept), float(model.coefficients[0])
+
+
+def platt(scored: DataFrame, p: str, label: str):  # noqa: ANN201
+    """A logistic regression on the logit; returns a function that calibrates a frame."""
+    b, a = calibration_line(scored, p, label)
     return lambda df: df.withColumn("calibrated", 1 / (1 + F.exp(-(a * logit(F.col(p)) + b))))
 
 

@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
@@ -13,6 +13,18 @@ def table(spark: SparkSession, folder: str, name: str, *columns: str) -> DataFra
     return df.select(*columns) if columns else df
 
 
+def sql_view(rows: DataFrame, statement: str) -> DataFrame:
+    """An SQL statement over a frame, which stands in it as {rows}."""
+    return rows.sparkSession.sql(statement, rows=rows)
+
+
+def require_verified(spark: SparkSession, path: str, field: str = "verified") -> None:
+    """Raises unless a JSON sidecar says that its data were verified."""
+    first = spark.read.option("multiLine", True).json(path).first()
+    if first is None or field not in first or first[field] is not True:
+        raise ValueError(f"{path} isn't marked {field}")
+
+
 def read_text_csv(spark: SparkSession, path: str, columns: list[str], keep: list[str] | None = None) -> DataFrame:
     """CSV with every column as text; an empty cell is '' and no null. A byte-order mark before the header is ignored."""
     schema = T.StructType([T.StructField(c, T.StringType()) for c in columns])
@@ -54,6 +66,23 @@ def write_parquet(df: DataFrame, path: str, partition_by: list[str] | None = Non
     (writer.partitionBy(*partition_by) if partition_by else writer).parquet(path)
 
 
+def write_parts(df: DataFrame, path: str, parts: dict[str, Column]) -> None:
+    """Several outputs from one pass: the rows that each condition holds for, in a folder output=<name>; a row may be in many."""
+    names = F.array_compact(F.array(*[F.when(c, F.lit(name)) for name, c in parts.items()]))
+    df.withColumn("output", F.explode(names)).write.mode("overwrite").partitionBy("output").parquet(path)
+
+
+def flattened(df: DataFrame, by: str = "_") -> DataFrame:
+    """df with the fields of nested records as columns of their own, named by their path; arrays stay."""
+
+    def leaves(c: Column, kind: T.DataType, name: str) -> list[Column]:
+        if not isinstance(kind, T.StructType):
+            return [c.alias(name)]
+        return [x for f in kind.fields for x in leaves(c.getField(f.name), f.dataType, f"{name}{by}{f.name}")]
+
+    return df.select(*[x for f in df.schema.fields for x in leaves(F.col(f"`{f.name}`"), f.dataType, f.name)])
+
+
 def write_csv(df: DataFrame, path: str) -> None:
     df.write.mode("overwrite").option("header", True).csv(path)
 
