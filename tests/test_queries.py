@@ -68,3 +68,7 @@ def test_works_without_the_text_operators(tmp_path):
     code = "import __spark_entry__ as e; assert len(e.queries()) > 60 and not any(n.startswith('op1_') or n == 'pipeline' for n in e.queries())"
     env = {k: v for k, v in os.environ.items() if k != "PYTHONPATH"}
     assert subprocess.run([sys.executable, "-c", code], cwd=tmp_path, env=env).returncode == 0
+    (tmp_path / "corpus_pipeline.py").write_text("import a_module_that_is_not_there")
+    assert subprocess.run([sys.executable, "-c", code], cwd=tmp_path, env=env, capture_output=True).returncode != 0
+    (tmp_path / "corpus_pipeline.py").write_text("from tidemark.llm import mixing")
+    assert subprocess.run([sys.executable, "-c", code], cwd=tmp_path, env=env).returncode == 0
