@@ -209,6 +209,39 @@ def test_preprocessor(spark):
     assert unseen[0] == pytest.approx(0.0) and unseen[2] == pytest.approx(-(2 / 3) / math.sqrt(2 / 9))
 
 
+def test_preprocessor_gathers_further_levels(spark):
+    train = spark.createDataFrame([("a", 1.0)] * 3 + [("b", float("inf")), ("c", 3.0)], "c string, x double")
+    pre = M.fit_preprocessor(train, ["x"], ["c"], most_levels=1)
+    assert pre.names() == ["x", "x__missing", "c__a", f"c__{M.OTHER}"] and pre.medians["x"] == 1.0
+    row = pre.transform(spark.createDataFrame([("new", 1.0)], "c string, x double")).first().features
+    assert row[3] == pytest.approx((1 - 2 / 5) / math.sqrt(6 / 25)) and row[2] < 0
+
+
+def test_saved_models(spark, tmp_path):
+    from pyspark.ml.regression import LinearRegressionModel
+
+    from tidemark.sources.models import load_model, save_model
+
+    train = spark.createDataFrame([(float(i), "ab"[i % 2], 2.0 * i) for i in range(20)], "x double, c string, y double")
+    pre = M.fit_preprocessor(train, ["x"], ["c"])
+    model = M.ridge(pre.transform(train), "y", 1.0)
+    for _ in range(2):  # a second save replaces the first
+        save_model(spark, model, pre, str(tmp_path), {"cutoff": "1998-06-30"})
+    again, same, facts = load_model(spark, LinearRegressionModel, str(tmp_path))
+    assert same == pre and facts == {"cutoff": "1998-06-30"} and list(again.coefficients) == list(model.coefficients)
+    part = next((tmp_path / "preprocessor").glob("part-*"))
+    part.write_text(part.read_text().replace("x", "z", 1))
+    next(iter((tmp_path / "preprocessor").glob(".part-*.crc"))).unlink()
+    with pytest.raises(ValueError, match="isn't the file"):
+        load_model(spark, LinearRegressionModel, str(tmp_path))
+
+
+def test_normal_cdf_and_decomposition(spark):
+    got = spark.createDataFrame([(0.0, "Ångström ﬁ"), (1.96, "abc"), (None, None)], "z double, t string").select(M.normal_cdf("z"), S.decomposed("t")).collect()
+    assert got[0][0] == 0.5 and got[1][0] == pytest.approx(0.9750021) and got[2][0] is None
+    assert [r[1] for r in got] == ["Angstrom fi", "abc", None]
+
+
 def test_exceedance(spark):
     res = [-2.0, -1.0, 0.0, 1.0, 2.0]
     got = M.exceedance(spark.createDataFrame([(0.0,), (1.0,), (9.0,)], "p double"), "p", spark.createDataFrame([(r,) for r in res], "r double"), "r", F.lit(1.0))

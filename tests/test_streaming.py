@@ -51,3 +51,12 @@ def test_upsert_sink(spark, tmp_path):
 def test_static_enrichment(spark, folder):
     users = spark.createDataFrame([(1, "x")], "user_id long, tag string")
     assert E.drained(E.enrich(E.read_events(spark, folder), users, "user_id"), "enriched").count() == 1000
+
+
+def test_two_streams_match_the_batch_join(spark, folder):
+    of = lambda kind: E.read_events(spark, folder).where(F.col("event_type") == kind)
+    got = sorted(tuple(r) for r in E.drained(E.paired(of("purchase"), of("view"), "12 hours"), "paired").select("left_id", "right_id").collect())
+    e = spark.read.parquet(f"{folder}/events.parquet")
+    a, b = e.where("event_type = 'purchase'").alias("a"), e.where("event_type = 'view'").alias("b")
+    near = F.expr("a.user_id = b.user_id and b.ts <= a.ts and b.ts >= a.ts - interval 12 hours")
+    assert got and got == sorted(tuple(r) for r in a.join(b, near).select("a.event_id", "b.event_id").collect())

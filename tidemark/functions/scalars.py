@@ -6,7 +6,7 @@ from functools import reduce
 
 from pyspark.sql import Column
 from pyspark.sql import functions as F
-from pyspark.sql.types import DoubleType
+from pyspark.sql.types import DoubleType, StringType
 
 # --- coercion
 
@@ -99,6 +99,14 @@ def fold(c: Column) -> Column:
     return F.regexp_replace(F.regexp_replace(F.regexp_replace(F.translate(F.lower(c), FOLD_FROM, FOLD_TO), "ß", "ss"), "æ", "ae"), "œ", "oe")
 
 
+@F.pandas_udf(StringType())
+def decomposed(c):  # noqa: ANN001, ANN201
+    """Letters without any accents, by compatibility decomposition; what has none (ł, ø) stays."""
+    import unicodedata
+
+    return c.map(lambda t: None if t is None else t if t.isascii() else "".join(x for x in unicodedata.normalize("NFKD", t) if not unicodedata.combining(x)))
+
+
 def name_key(c: Column) -> Column:
     """Folded letters and digits only; '&' reads as 'and'."""
     return F.regexp_replace(F.regexp_replace(fold(c), "&", "and"), "[^a-z0-9]+", "")
@@ -262,6 +270,18 @@ def cosine(a: Column, b: Column) -> Column:
     return safe_divide(dot(a, b), F.sqrt(dot(a, a) * dot(b, b)))
 
 
+def masked_cosine(a: Column, b: Column) -> Column:
+    """Cosine over the places where neither array is null; null without such a place or where either is zero there."""
+    both = F.filter(F.arrays_zip(a.alias("a"), b.alias("b")), lambda z: z["a"].isNotNull() & z["b"].isNotNull())
+    return cosine(F.transform(both, lambda z: z["a"]), F.transform(both, lambda z: z["b"]))
+
+
+def masked_gap(a: Column, b: Column) -> Column:
+    """Mean absolute difference over the places where neither array is null; null without one."""
+    gaps = F.filter(F.zip_with(a, b, lambda x, y: F.abs(x.cast("double") - y.cast("double"))), lambda g: g.isNotNull())
+    return safe_divide(F.aggregate(gaps, F.lit(0.0), lambda s, g: s + g), F.size(gaps))
+
+
 def pava_decreasing_3(a: Column, b: Column, c: Column) -> tuple[Column, Column, Column]:
     """The nearest non-increasing triple, by maxima of minima of means."""
     ab, bc, abc = (a + b) / 2, (b + c) / 2, (a + b + c) / 3

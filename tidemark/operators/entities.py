@@ -32,6 +32,39 @@ def blocked_matches(
     return ranked.select(left_id, right_id, "score", "place", ok.alias("accepted"))
 
 
+def tiered_matches(left: DataFrame, right: DataFrame, block: list[str], left_id: str, right_id: str, tiers: list[tuple[str, str, str]], left_members: DataFrame, right_members: DataFrame, member: str) -> DataFrame:
+    """left_id, n_candidates, right_id, tier and status of each left row: the right row that its first fitting tier gives.
+
+    tiers: (tier, left column, right column), the surest first, as folded names and then sorted words. A row goes to the
+    first tier in which any right row of its block has the same value: accepted if there is one, else resolved by the
+    members that both share, if one right row has more of them than all others, else ambiguous. Without a candidate it is
+    unmatched, and left to similarity.
+
+    Names are told by counts and minima, so a name of many rows on both sides makes no pairs; only pairs that share a
+    member are made, and only for rows that need them.
+    """
+    rows = left
+    for i, (_, mine, theirs) in enumerate(tiers):
+        side = right.where(F.col(theirs) != "").groupBy(*block, F.col(theirs).alias(mine)).agg(F.count_distinct(right_id).alias(f"__n{i}"), F.min(right_id).alias(f"__r{i}"))
+        rows = rows.join(side, [*block, mine], "left")
+    at = F.coalesce(*[F.when(F.col(f"__n{i}") > 0, F.lit(i)) for i in range(len(tiers))])
+    found = rows.withColumn("__tier", at).withColumn("__n", F.coalesce(*[F.col(f"__n{i}") for i in range(len(tiers))], F.lit(0))).withColumn("__r", F.coalesce(*[F.col(f"__r{i}") for i in range(len(tiers))]))
+    votes = None
+    for i, (_, mine, theirs) in enumerate(tiers):
+        a = found.where((F.col("__tier") == i) & (F.col("__n") > 1)).join(left_members, left_id).select(left_id, *block, F.col(mine).alias("__name"), member)
+        b = right.join(right_members, right_id).select(right_id, *block, F.col(theirs).alias("__name"), member)
+        pairs = a.distinct().join(b.distinct(), [*block, "__name", member]).groupBy(left_id, right_id).agg(F.count("*").alias("__votes"))
+        votes = pairs if votes is None else votes.unionByName(pairs)
+    level = votes.groupBy(left_id, "__votes").agg(F.count("*").alias("__same"), F.min(right_id).alias("id"))
+    best = level.groupBy(left_id).agg(F.max(F.struct("__votes", "__same", "id")).alias("__m"))
+    out = found.join(best, left_id, "left")
+    led = F.coalesce(F.col("__m.__same") == 1, F.lit(False))
+    one = F.col("__n") == 1
+    tier = F.coalesce(*[F.when(F.col("__tier") == i, t) for i, (t, _, _) in enumerate(tiers)])
+    status = F.when(F.col("__n") == 0, "unmatched").when(one, "accepted").when(led, "resolved").otherwise("ambiguous")
+    return out.select(left_id, F.col("__n").alias("n_candidates"), F.when(one, F.col("__r")).when(led, F.col("__m.id")).alias(right_id), tier.alias("tier"), status.alias("status"))
+
+
 def member_votes(left: DataFrame, right: DataFrame, left_group: str, right_group: str, member: str, *, margin: int = 2, share: float = 0.2) -> DataFrame:
     """For each left group the right group with which it shares the most members: votes, the lead over the second, and whether both suffice."""
     votes = left.join(right, member).groupBy(left_group, right_group).agg(F.count_distinct(member).alias("votes"))

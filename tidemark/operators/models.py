@@ -11,8 +11,9 @@ from pyspark.ml.regression import GBTRegressor, IsotonicRegression, LinearRegres
 from pyspark.ml.stat import Correlation
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.types import DoubleType
 
-from tidemark.functions.scalars import logit
+from tidemark.functions.scalars import finite, logit
 from tidemark.operators.distribution import exact_quantiles, running
 
 OTHER = "__OTHER__"
@@ -22,21 +23,25 @@ OTHER = "__OTHER__"
 class Preprocessor:
     """Fitted on training rows only; compiled to column expressions.
 
-    Numbers: nulls become the training median, with a flag column where training had nulls. Categories: one column for
-    each training level; a level that training lacks gives zeros. Every column is scaled by its training mean and
-    population standard deviation, and constant ones are left out. Columns stay in the order of the raw features.
+    Numbers: nulls and what isn't finite become the training median, with a flag column where training had any.
+    Categories: one column for each of the commonest training levels and OTHER for all further ones; it is constant, and so
+    left out, where training has no further ones, and a new level gives zeros then. Every column is scaled by its training
+    mean and population standard deviation, and constant ones are left out. Columns stay in the order of the raw features.
     """
 
     columns: tuple[tuple[str, str, float, float], ...]
     medians: dict[str, float]
+    levels: dict[str, tuple[str, ...]]
 
     def expressions(self) -> list[Column]:
         out = []
         for raw, kind, mean, sd in self.columns:
             if kind == "value":
-                x = F.coalesce(F.col(raw).cast("double"), F.lit(self.medians[raw]))
+                x = F.coalesce(_number(raw), F.lit(self.medians[raw]))
             elif kind == "missing":
-                x = F.col(raw).isNull().cast("double")
+                x = _number(raw).isNull().cast("double")
+            elif kind == OTHER:
+                x = (~F.coalesce(F.col(raw), F.lit("__NULL__")).isin(*self.levels[raw])).cast("double")
             else:
                 x = (F.coalesce(F.col(raw), F.lit("__NULL__")) == kind[3:]).cast("double")
             out.append(((x - mean) / sd).alias(self.name(raw, kind)))
@@ -44,7 +49,7 @@ class Preprocessor:
 
     @staticmethod
     def name(raw: str, kind: str) -> str:
-        return raw if kind == "value" else f"{raw}__{kind if kind == 'missing' else kind[3:]}"
+        return raw if kind == "value" else f"{raw}__{kind.removeprefix('is:')}"
 
     def names(self) -> list[str]:
         return [self.name(raw, kind) for raw, kind, _, _ in self.columns]
@@ -57,23 +62,27 @@ class Preprocessor:
         return wide.withColumn("features", array_to_vector("__x")).drop("__x")
 
 
+def _number(raw: str) -> Column:
+    return finite(F.col(raw).cast("double"))
+
+
 def fit_preprocessor(train: DataFrame, numbers: list[str], categories: list[str], most_levels: int = 100) -> Preprocessor:
-    """One aggregation for medians, one for levels, one for means and spreads."""
-    medians_row = train.agg(*[F.percentile(F.col(c).cast("double"), 0.5).alias(c) for c in numbers], *[F.count_if(F.col(c).isNull()).alias(f"{c}__n") for c in numbers]).first()
-    medians = {c: float(medians_row[c] if medians_row[c] is not None else 0.0) for c in numbers}
-    kinds: list[tuple[str, str]] = []
-    for c in numbers:
-        kinds.append((c, "value"))
-        if medians_row[f"{c}__n"]:
-            kinds.append((c, "missing"))
+    """Exact medians by bracketed ranks, all columns at a time; one aggregation for levels each, one for means and spreads."""
+    cells = train.select(F.explode(F.array(*[F.struct(F.lit(c).alias("name"), _number(c).alias("x")) for c in numbers])).alias("c")).select("c.*") if numbers else None
+    found = {r["name"]: r.q[0] for r in exact_quantiles(cells, "x", [0.5], ["name"]).collect()} if numbers else {}  # one row a column
+    medians = {c: float(found.get(c) or 0.0) for c in numbers}
+    gaps = train.agg(F.lit(0).alias("__"), *[F.count_if(_number(c).isNull()).alias(c) for c in numbers]).first()
+    kinds = [(c, k) for c in numbers for k in ("value", "missing") if k == "value" or gaps[c]]
+    levels: dict[str, tuple[str, ...]] = {}
     for c in categories:
-        levels = train.groupBy(F.coalesce(c, F.lit("__NULL__")).alias("v")).count().orderBy(F.desc("count"), "v").limit(most_levels).collect()
-        kinds += [(c, f"is:{r.v}") for r in sorted(levels, key=lambda r: r.v)]
-    bare = Preprocessor(tuple((raw, kind, 0.0, 1.0) for raw, kind in kinds), medians)
+        kept = train.groupBy(F.coalesce(c, F.lit("__NULL__")).alias("v")).count().orderBy(F.desc("count"), "v").limit(most_levels).collect()
+        levels[c] = tuple(sorted(r.v for r in kept))
+        kinds += [(c, f"is:{v}") for v in levels[c]] + [(c, OTHER)]
+    bare = Preprocessor(tuple((raw, kind, 0.0, 1.0) for raw, kind in kinds), medians, levels)
     cols = bare.expressions()
     stats = train.agg(*[F.avg(c).alias(f"m{i}") for i, c in enumerate(cols)], *[F.stddev_pop(c).alias(f"s{i}") for i, c in enumerate(cols)]).first()
     kept = [(raw, kind, float(stats[f"m{i}"]), float(stats[f"s{i}"])) for i, (raw, kind) in enumerate(kinds) if (stats[f"s{i}"] or 0) > 1e-12]
-    return Preprocessor(tuple(kept), medians)
+    return Preprocessor(tuple(kept), medians, levels)
 
 
 def _spread(df: DataFrame, label: str) -> tuple[int, float]:
@@ -149,18 +158,63 @@ def contributions(pre: Preprocessor, coefficients: list[float]) -> Column:
 def correlations(df: DataFrame) -> DataFrame:
     """(i, j, r) for the pairs of columns of the features vector."""
     m = Correlation.corr(df, "features").first()[0].toArray()  # as many rows as features
-    rows = [(i, j, float(m[i, j])) for i in range(len(m)) for j in range(i)]
+    rows = [(i, j, None if m[i, j] != m[i, j] else float(m[i, j])) for i in range(len(m)) for j in range(i)]
     return df.sparkSession.createDataFrame(rows, "i int, j int, r double")
 
 
-def monotone_violations(df: DataFrame, feature: str, grid: list[float], score, direction: int = 1) -> DataFrame:  # noqa: ANN001
-    """How many rows' scores move against the direction anywhere on a grid of values of one feature. score: frame with __id to frame with p."""
+def grouped_ridge(df: DataFrame, group: str, features: list[str], label: str, alpha: float) -> DataFrame:
+    """group, feature and coefficient of a ridge regression for each group; the intercept isn't penalised.
+
+    Rows are reduced to their sums of products in one aggregation, so what is solved for a group is one small matrix.
+    """
+    import numpy as np
+    import pandas as pd
+
+    x = [F.col(c).cast("double") for c in (*features, label)]
+    k = len(features)
+    pairs = [(i, j) for i in range(k + 1) for j in range(i, k + 1)]
+    known = df.where(F.col(group).isNotNull()).dropna(subset=[*features, label])
+    moments = [F.covar_pop(x[i], x[j]).alias(f"m{i}_{j}") for i, j in pairs]
+    per = known.groupBy(group).agg(F.count("*").alias("n"), *moments)
+    kind = df.schema[group].dataType.simpleString()
+
+    def solve(frames):  # noqa: ANN001, ANN202
+        for pdf in frames:
+            out = []
+            for row in pdf.to_dict("records"):
+                gram = np.array([[row[f"m{min(i, j)}_{max(i, j)}"] for j in range(k)] for i in range(k)]) * row["n"]
+                b = np.linalg.solve(gram + alpha * np.eye(k), np.array([row[f"m{i}_{k}"] for i in range(k)]) * row["n"])
+                out += [(row[group], f, float(v)) for f, v in zip(features, b, strict=True)]
+            yield pd.DataFrame(out, columns=[group, "feature", "coefficient"])
+
+    return per.mapInPandas(solve, f"`{group}` {kind}, feature string, coefficient double")
+
+
+def coefficient_stability(coefficients: DataFrame) -> DataFrame:
+    """feature, n_origins, mean, least, greatest and the share of origins that agree with the commoner sign."""
+    up = F.avg((F.col("coefficient") > 0).cast("double"))
+    return coefficients.groupBy("feature").agg(F.count("*").alias("n_origins"), F.avg("coefficient").alias("mean"), F.min("coefficient").alias("least"), F.max("coefficient").alias("greatest"), F.greatest(up, 1 - up).alias("same_sign"))
+
+
+def monotone_violations(df: DataFrame, keys: list[str], feature: str, grid: list[float], score, direction: int = 1) -> DataFrame:  # noqa: ANN001
+    """How many rows' scores move against the direction anywhere on a grid of values of one feature.
+
+    keys tell the rows apart; score takes a frame and adds p. A row meets its own grid only, so the largest group is the grid.
+    """
     from pyspark.sql.window import Window
 
-    rows = df.withColumn("__id", F.monotonically_increasing_id()).drop(feature).withColumn(feature, F.explode(F.array(*[F.lit(float(g)) for g in grid])))
-    step = F.col("p") - F.lag("p").over(Window.partitionBy("__id").orderBy(feature))
-    moved = score(rows).withColumn("__bad", (step * direction < -1e-12).cast("int"))
-    return moved.groupBy("__id").agg(F.max("__bad").alias("bad")).agg(F.count("*").alias("n_rows"), F.sum("bad").alias("n_violations"))
+    rows = df.drop(feature).withColumn(feature, F.explode(F.array(*[F.lit(float(g)) for g in sorted(grid)])))
+    step = F.col("p") - F.lag("p").over(Window.partitionBy(*keys).orderBy(feature))
+    moved = score(rows).withColumn("__bad", F.coalesce((step * direction < -1e-12).cast("int"), F.lit(0)))
+    return moved.groupBy(*keys).agg(F.max("__bad").alias("bad")).agg(F.count("*").alias("n_rows"), F.sum("bad").alias("n_violations"))
+
+
+@F.pandas_udf(DoubleType())
+def normal_cdf(z):  # noqa: ANN001, ANN201
+    """P(Z <= z) of the standard normal; null stays null."""
+    import math
+
+    return z.map(lambda x: None if x != x else 0.5 * (1 + math.erf(x / math.sqrt(2))))
 
 
 def exceedance(df: DataFrame, predicted: str, residuals: DataFrame, residual: str, threshold: Column) -> DataFrame:

@@ -28,6 +28,13 @@ def asof_join(anchors: DataFrame, facts: DataFrame, key: str, at: str, fact_at:
     return seen.select("__row.*", *[F.when(there, F.col(f"__fact.{c}")).alias(c) for c in (fact_at, *values)])
 
 
+def no_older(df: DataFrame, at: str, fact_at: str, values: list[str], seconds: float) -> DataFrame:
+    """What asof_join found, null where the fact is older than so many seconds."""
+    age = (F.unix_micros(F.col(at).cast("timestamp")) - F.unix_micros(F.col(fact_at).cast("timestamp"))) / 1e6
+    fresh = age <= seconds
+    return df.withColumns({c: F.when(fresh, F.col(c)) for c in (fact_at, *values)})
+
+
 def _type(df: DataFrame, c: Column) -> str:
     return df.select(c.alias("x")).schema["x"].dataType.simpleString()
 

@@ -53,7 +53,7 @@ def rolling_origin_models(spark: SparkSession, d: str) -> DataFrame:
 
 def hazard_model(spark: SparkSession, d: str) -> DataFrame:
     """A discrete-time hazard of the next order by period and earlier activity, and its mean prediction by period."""
-    rows = person_periods(spark, d).join(pit_order_features(spark, d).select("o_orderkey", "games_365"), "o_orderkey").withColumn("period_name", F.concat(F.lit("p"), F.col("period").cast("string"))).withColumn("y", F.col("hazard_event").cast("double"))
+    rows = person_periods(spark, d).join(pit_order_features(spark, d).select("o_orderkey", "games_365"), "o_orderkey").withColumn("period_name", F.concat(F.lit("p"), F.col("period").cast("string"))).withColumn("y", F.col("hazard_event").cast("double")).cache()
     pre = M.fit_preprocessor(rows, ["games_365"], ["period_name"])
     fitted = M.probability(M.logistic(pre.transform(rows).cache(), "y", 1.0), pre.transform(rows))
     return fitted.groupBy("period").agg(F.count("*").alias("n"), F.round(F.avg("y"), 6).alias("observed"), F.round(F.avg("p"), 6).alias("predicted"))
@@ -61,7 +61,7 @@ def hazard_model(spark: SparkSession, d: str) -> DataFrame:
 
 def boosted_model(spark: SparkSession, d: str) -> DataFrame:
     """Boosted trees for the order value: error by year after training."""
-    frame = order_frame(spark, d)
+    frame = order_frame(spark, d).cache()
     train = frame.where("year <= 1998")
     pre = M.fit_preprocessor(train, NUMBERS, ["o_orderpriority"])
     model = M.boosted(pre.transform(train).cache(), "y", classify=False, rounds=5)
@@ -70,7 +70,7 @@ def boosted_model(spark: SparkSession, d: str) -> DataFrame:
 
 def movement_states(spark: SparkSession, d: str) -> DataFrame:
     """A multinomial model of the order's status: mean probabilities by status."""
-    frame = order_frame(spark, d).join(table(spark, d, "orders", "o_orderkey", "o_orderstatus"), "o_orderkey").withColumn("state", F.when(F.col("o_orderstatus") == "F", 0.0).when(F.col("o_orderstatus") == "O", 1.0).otherwise(2.0))
+    frame = order_frame(spark, d).join(table(spark, d, "orders", "o_orderkey", "o_orderstatus"), "o_orderkey").withColumn("state", F.when(F.col("o_orderstatus") == "F", 0.0).when(F.col("o_orderstatus") == "O", 1.0).otherwise(2.0)).cache()
     pre = M.fit_preprocessor(frame, NUMBERS, ["o_orderpriority"])
     rows = pre.transform(frame).cache()
     out = M.logistic(rows, "state", 1.0, family="multinomial").transform(rows)
@@ -108,7 +108,7 @@ def permutation_heterogeneity(spark: SparkSession, d: str) -> DataFrame:
 
 def explained_scores(spark: SparkSession, d: str) -> DataFrame:
     """The largest contribution of a raw feature to each order's score of a logistic model."""
-    frame = order_frame(spark, d)
+    frame = order_frame(spark, d).cache()
     pre = M.fit_preprocessor(frame, NUMBERS, ["o_orderpriority"])
     model = M.logistic(pre.transform(frame).cache(), "large", 1.0)
     parts = F.map_entries(M.contributions(pre, list(model.coefficients)))

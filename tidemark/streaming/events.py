@@ -35,6 +35,18 @@ def enrich(events: DataFrame, users: DataFrame, key: str) -> DataFrame:
     return events.join(users, key, "left")
 
 
+def paired(left: DataFrame, right: DataFrame, within: str = "1 hour", late: str = "1 hour", how: str = "inner") -> DataFrame:
+    """Two streams of events: each event of the left with those of its user on the right at most so long before it.
+
+    Watermarks on both sides and the bound of time let Spark drop state that can't match any more; with how='leftOuter' an
+    event without a match comes once the watermark has passed its bound.
+    """
+    a = left.withWatermark("ts", late).select("user_id", F.col("event_id").alias("left_id"), F.col("ts").alias("left_ts"))
+    b = right.withWatermark("ts", late).select(F.col("user_id").alias("__user"), F.col("event_id").alias("right_id"), F.col("ts").alias("right_ts"))
+    near = (F.col("right_ts") <= F.col("left_ts")) & (F.col("right_ts") >= F.col("left_ts") - F.expr(f"interval {within}"))
+    return a.join(b, (F.col("user_id") == F.col("__user")) & near, how).drop("__user")
+
+
 def upsert_sink(path: str, keys: list[str], order: list[str]) -> Callable[[DataFrame, int], None]:
     """A foreachBatch function that keeps the latest row of each key in versions under a folder.
 
