@@ -2,8 +2,10 @@
 
 from __future__ import annotations
 
+from functools import reduce
+
 from pyspark.ml.functions import vector_to_array
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from tidemark.operators import distribution as D
@@ -24,6 +26,11 @@ def order_frame(spark: SparkSession, d: str) -> DataFrame:
     return out.withColumn("y", F.log("o_totalprice")).withColumn("large", (F.col("o_totalprice") > 250000).cast("double"))
 
 
+def _stacked(frames: dict[float, DataFrame], name: str, *columns: str | Column) -> DataFrame:
+    """The frames of all tried parameters in one, so that one job measures them."""
+    return reduce(DataFrame.unionByName, [df.select(F.lit(value).alias(name), *columns) for value, df in frames.items()])
+
+
 def rolling_origin_models(spark: SparkSession, d: str) -> DataFrame:
     """Ridge and logistic models by origin: tuned on the validation year, scored on the evaluation year, on customers that training hasn't seen there."""
     frame = order_frame(spark, d).cache()
@@ -34,21 +41,19 @@ def rolling_origin_models(spark: SparkSession, d: str) -> DataFrame:
         train = train if not train.isEmpty() else frame.where(F.col("year") <= train_end)
         pre = M.fit_preprocessor(train, NUMBERS, ["o_orderpriority"])
         t, v, e = (pre.transform(x).cache() for x in (train, frame.where(F.col("year") == validation), frame.where(F.col("year") == evaluation)))
-        tried = []
-        for alpha in ALPHAS:
-            error = M.ridge(t, "y", alpha).transform(v).agg(F.sqrt(F.avg(F.pow(F.col("y") - F.col("prediction"), F.lit(2))))).first()[0]
-            tried.append(({"alpha": alpha}, (error,)))
+        squared = F.pow(F.col("y") - F.col("prediction"), F.lit(2))
+        errors = _stacked({a: M.ridge(t, "y", a).transform(v) for a in ALPHAS}, "alpha", "y", "prediction").groupBy("alpha").agg(F.sqrt(F.avg(squared)).alias("rmse"))
+        told = {r.alpha: r.rmse for r in errors.collect()}
+        tried = [({"alpha": a}, (told.get(a, float("inf")),)) for a in ALPHAS]
         best = M.choose(tried)
         scored = M.ridge(t, "y", best["alpha"]).transform(e)
         rows.append(scored.agg(F.lit(evaluation).alias("year"), F.lit("ridge").alias("model"), F.count("*").alias("n"), F.round(F.sqrt(F.avg(F.pow(F.col("y") - F.col("prediction"), F.lit(2)))), 6).alias("metric")))
-        told = lambda c, x: D.auc(M.probability(M.logistic(t, "large", c), x).withColumn("origin", F.lit(evaluation)).withColumn("label", F.col("large").cast("int")), ["origin"], "label", "p").first()  # noqa: E731, B023
-        c = M.choose([({"c": c}, (-((row.auc or 0.0) if (row := told(c, v)) else 0.0),)) for c in STRENGTHS])["c"]
+        scores = _stacked({c: M.probability(M.logistic(t, "large", c), v) for c in STRENGTHS}, "c", F.col("large").cast("int").alias("label"), "p")
+        areas = {r.c: r.auc or 0.0 for r in D.auc(scores, ["c"], "label", "p").collect()}
+        c = M.choose([({"c": c}, (-areas.get(c, 0.0),)) for c in STRENGTHS])["c"]
         p = M.probability(M.logistic(t, "large", c), e).withColumn("origin", F.lit(evaluation))
         rows.append(D.auc(p.withColumn("label", F.col("large").cast("int")), ["origin"], "label", "p").select(F.lit(evaluation).alias("year"), F.lit("logistic").alias("model"), F.lit(p.count()).alias("n"), F.round("auc", 6).alias("metric")))
-    out = rows[0]
-    for r in rows[1:]:
-        out = out.unionByName(r)
-    return out
+    return reduce(DataFrame.unionByName, rows)
 
 
 def hazard_model(spark: SparkSession, d: str) -> DataFrame:
