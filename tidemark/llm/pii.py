@@ -181,19 +181,24 @@ def disclosing_terms(docs: DataFrame, found: DataFrame, rule: Sanitising) -> Dat
     return out
 
 
-def find(docs: DataFrame, rule: Sanitising = Sanitising()) -> DataFrame:
-    """doc_id, n_email, n_ip, n_card, n_phone, base_sha256, spans and n_term for each row of docs."""
-    return _found(docs, rule).drop("text_key")
-
-
-def _found(docs: DataFrame, rule: Sanitising) -> DataFrame:
-    """What find() returns, and text_key."""
+def _terms(docs: DataFrame, rule: Sanitising) -> DataFrame:
+    """(text_key, terms): start and end of the disclosing terms of each text that has any."""
     scratch = Scratch(docs.sparkSession)
     found = scratch.keep(mentions(docs, rule))
     terms = disclosing_terms(docs, found, rule).groupBy("text_key").agg(F.array_sort(F.collect_set(F.struct("start", "end"))).alias("terms"))
     terms, _ = bounded(scratch.keep(terms))
     scratch.drop(found)
-    texts = keyed_text(docs).join(terms, "text_key", "left")
+    return terms
+
+
+def _kept(terms: list | None, base: list[tuple[str, int, int]], text: str) -> list[tuple[str, int, int]]:
+    """Term spans within the text that no base span covers: should two texts share a hash, base spans still stay as they are."""
+    return [("term", t["start"], t["end"]) for t in (terms if terms is not None else []) if t["end"] <= len(text) and not any(t["start"] < e and s < t["end"] for _, s, e in base)]
+
+
+def find(docs: DataFrame, rule: Sanitising = Sanitising()) -> DataFrame:
+    """doc_id, n_email, n_ip, n_card, n_phone, base_sha256, spans and n_term for each row of docs."""
+    texts = keyed_text(docs).join(_terms(docs, rule), "text_key", "left").select("doc_id", "text", "terms")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
@@ -201,28 +206,27 @@ def _found(docs: DataFrame, rule: Sanitising) -> DataFrame:
             for text, added in zip(b.column("text").to_pylist(), b.column("terms").to_pylist(), strict=True):
                 base = base_spans(text)
                 counts = [sum(s[0] == k for s in base) for k in KINDS]
-                extra = [("term", t["start"], t["end"]) for t in added or []]
+                extra = _kept(added, base, text)
                 rows.append((*counts, hashlib.sha256(joined(base).encode()).hexdigest(), joined(base + extra), len(extra)))
             cols = list(zip(*rows, strict=True)) or [[]] * 7
             types = [pa.int64()] * 4 + [pa.string()] * 2 + [pa.int64()]
-            yield pa.RecordBatch.from_arrays([b.column("doc_id"), b.column("text_key"), *(pa.array(c, t) for c, t in zip(cols, types, strict=True))], names=["doc_id", "text_key", *(f"n_{k}" for k in KINDS), "base_sha256", "spans", "n_term"])
+            yield pa.RecordBatch.from_arrays([b.column("doc_id"), *(pa.array(c, t) for c, t in zip(cols, types, strict=True))], names=["doc_id", *(f"n_{k}" for k in KINDS), "base_sha256", "spans", "n_term"])
 
-    return texts.mapInArrow(run, "doc_id long, text_key long, n_email long, n_ip long, n_card long, n_phone long, base_sha256 string, spans string, n_term long")
+    return texts.mapInArrow(run, "doc_id long, n_email long, n_ip long, n_card long, n_phone long, base_sha256 string, spans string, n_term long")
 
 
 def sanitised(docs: DataFrame, rule: Sanitising = Sanitising()) -> DataFrame:
     """docs with the text of every span generalised to its kind in brackets; all other columns stay.
 
-    Spans are joined by the hash of the text, so null and repeated doc_ids do no harm.
+    Base spans are those of each row's own text. Only terms are joined, by the hash of the text, so null and repeated doc_ids do no harm.
     """
-    spans = _found(docs, rule).select(F.col("text_key").alias("__tm_key"), "spans").dropDuplicates(["__tm_key"])
 
-    def generalise(text: str | None, listed: str | None) -> str | None:
-        if not text or not listed:
+    def generalise(text: str | None, terms) -> str | None:  # noqa: ANN001
+        if not text:
             return text
-        parts = sorted((int(s), int(e), k) for k, s, e in (x.split(":") for x in listed.split(",")))
+        base = base_spans(text)
         out, at = [], 0
-        for s, e, k in parts:
+        for s, e, k in sorted((s, e, k) for k, s, e in base + _kept(terms, base, text)):
             if e > at:
                 out.append(text[at : max(s, at)])
                 out.append(f"[{k.upper()}]" if s >= at else "")
@@ -230,11 +234,14 @@ def sanitised(docs: DataFrame, rule: Sanitising = Sanitising()) -> DataFrame:
         return "".join(out) + text[at:]
 
     @F.pandas_udf("string")
-    def cleaned(text, listed):  # noqa: ANN001, ANN202
-        return text.combine(listed, generalise)
+    def cleaned(text, terms):  # noqa: ANN001, ANN202
+        import pandas as pd
+
+        return pd.Series([generalise(t, x) for t, x in zip(text, terms, strict=True)], dtype=object)
 
     keyed = docs.withColumn("__tm_key", F.xxhash64(F.coalesce(F.col("text"), F.lit(""))))
-    return keyed.join(spans.withColumnRenamed("spans", "__tm_spans"), "__tm_key", "left").withColumn("text", cleaned("text", "__tm_spans")).select(*docs.columns)
+    terms = _terms(docs, rule).select(F.col("text_key").alias("__tm_key"), F.col("terms").alias("__tm_terms"))
+    return keyed.join(terms, "__tm_key", "left").withColumn("text", cleaned("text", "__tm_terms")).select(*docs.columns)
 
 
 __all__ = ["KINDS", "Sanitising", "base_spans", "disclosing_terms", "find", "mentions", "sanitised", "term_frequency"]
