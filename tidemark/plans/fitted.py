@@ -42,16 +42,18 @@ def rolling_origin_models(spark: SparkSession, d: str) -> DataFrame:
         pre = M.fit_preprocessor(train, NUMBERS, ["o_orderpriority"])
         t, v, e = (pre.transform(x).cache() for x in (train, frame.where(F.col("year") == validation), frame.where(F.col("year") == evaluation)))
         squared = F.pow(F.col("y") - F.col("prediction"), F.lit(2))
-        errors = _stacked({a: M.ridge(t, "y", a).transform(v) for a in ALPHAS}, "alpha", "y", "prediction").groupBy("alpha").agg(F.sqrt(F.avg(squared)).alias("rmse"))
+        ridges = {a: M.ridge(t, "y", a) for a in ALPHAS}
+        errors = _stacked({a: m.transform(v) for a, m in ridges.items()}, "alpha", "y", "prediction").groupBy("alpha").agg(F.sqrt(F.avg(squared)).alias("rmse"))
         told = {r.alpha: r.rmse for r in errors.collect()}
         tried = [({"alpha": a}, (told.get(a, float("inf")),)) for a in ALPHAS]
         best = M.choose(tried)
-        scored = M.ridge(t, "y", best["alpha"]).transform(e)
+        scored = ridges[best["alpha"]].transform(e)
         rows.append(scored.agg(F.lit(evaluation).alias("year"), F.lit("ridge").alias("model"), F.count("*").alias("n"), F.round(F.sqrt(F.avg(F.pow(F.col("y") - F.col("prediction"), F.lit(2)))), 6).alias("metric")))
-        scores = _stacked({c: M.probability(M.logistic(t, "large", c), v) for c in STRENGTHS}, "c", F.col("large").cast("int").alias("label"), "p")
+        logistics = {c: M.logistic(t, "large", c) for c in STRENGTHS}
+        scores = _stacked({c: M.probability(m, v) for c, m in logistics.items()}, "c", F.col("large").cast("int").alias("label"), "p")
         areas = {r.c: r.auc or 0.0 for r in D.auc(scores, ["c"], "label", "p").collect()}
         c = M.choose([({"c": c}, (-areas.get(c, 0.0),)) for c in STRENGTHS])["c"]
-        p = M.probability(M.logistic(t, "large", c), e).withColumn("origin", F.lit(evaluation))
+        p = M.probability(logistics[c], e).withColumn("origin", F.lit(evaluation))
         rows.append(D.auc(p.withColumn("label", F.col("large").cast("int")), ["origin"], "label", "p").select(F.lit(evaluation).alias("year"), F.lit("logistic").alias("model"), F.lit(p.count()).alias("n"), F.round("auc", 6).alias("metric")))
     return reduce(DataFrame.unionByName, rows)
 
