@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from tidemark.llm import decontaminate, lexical_search, licenses, line_dedup, mixing, parity_join, pii, quality_classifier, quality_rules, secrets, substring_dedup, url_filter
+from tidemark.llm import decontaminate, lexical_search, licenses, line_dedup, mixing, parity_join, pii, quality_classifier, quality_rules, secrets, substring_dedup, url_filter, vector_codes
 from tidemark.llm.common import documents
 
 
@@ -58,9 +58,13 @@ def op12_lexical_search(spark: SparkSession, sf_dir: str) -> DataFrame:
     return lexical_search.ranked(documents(spark, sf_dir), spark.read.parquet(f"{sf_dir}/benchmark.parquet"))
 
 
+def op13_vector_codes(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return vector_codes.coded(spark.read.parquet(f"{sf_dir}/embeddings.parquet"))
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {f.__name__: f for f in (op1_quality_rule_ensemble, op2_pii_sanitisation, op3_decontamination, op4_repeated_bytes, op5_line_dedup, op6_soft_mixing, op7_url_filter, op8_quality_rules, op9_secret_scan, op10_parity_sketch_join, op11_license_scan, op12_lexical_search)}
+    return {f.__name__: f for f in (op1_quality_rule_ensemble, op2_pii_sanitisation, op3_decontamination, op4_repeated_bytes, op5_line_dedup, op6_soft_mixing, op7_url_filter, op8_quality_rules, op9_secret_scan, op10_parity_sketch_join, op11_license_scan, op12_lexical_search, op13_vector_codes)}
 
 
 def oracle_sql() -> dict[str, str]:
-    return {"op4_repeated_bytes": substring_dedup.ORACLE_SQL, "op5_line_dedup": line_dedup.ORACLE_SQL, "op7_url_filter": url_filter.ORACLE_SQL, "op8_quality_rules": quality_rules.ORACLE_SQL, "op10_parity_sketch_join": parity_join.ORACLE_SQL, "op11_license_scan": licenses.ORACLE_SQL, "op12_lexical_search": lexical_search.ORACLE_SQL}
+    return {"op4_repeated_bytes": substring_dedup.ORACLE_SQL, "op5_line_dedup": line_dedup.ORACLE_SQL, "op7_url_filter": url_filter.ORACLE_SQL, "op8_quality_rules": quality_rules.ORACLE_SQL, "op10_parity_sketch_join": parity_join.ORACLE_SQL, "op11_license_scan": licenses.ORACLE_SQL, "op12_lexical_search": lexical_search.ORACLE_SQL, "op13_vector_codes": vector_codes.ORACLE_SQL}
