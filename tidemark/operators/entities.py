@@ -55,14 +55,14 @@ def tiered_matches(left: DataFrame, right: DataFrame, block: list[str], left_id:
         b = right.join(right_members, right_id).select(right_id, *block, F.col(theirs).alias("__name"), member)
         pairs = a.distinct().join(b.distinct(), [*block, "__name", member]).groupBy(left_id, right_id).agg(F.count("*").alias("__votes"))
         votes = pairs if votes is None else votes.unionByName(pairs)
-    level = votes.groupBy(left_id, "__votes").agg(F.count("*").alias("__same"), F.min(right_id).alias("id"))
-    best = level.groupBy(left_id).agg(F.max(F.struct("__votes", "__same", "id")).alias("__m"))
+    level = votes.groupBy(left_id, "__votes").agg(F.count("*").alias("__same"), F.min(right_id).alias("__id"))
+    best = level.groupBy(left_id).agg(F.max(F.struct("__votes", "__same", "__id")).alias("__m"))
     out = found.join(best, left_id, "left")
     led = F.coalesce(F.col("__m.__same") == 1, F.lit(False))
     one = F.col("__n") == 1
     tier = F.coalesce(*[F.when(F.col("__tier") == i, t) for i, (t, _, _) in enumerate(tiers)])
     status = F.when(F.col("__n") == 0, "unmatched").when(one, "accepted").when(led, "resolved").otherwise("ambiguous")
-    return out.select(left_id, F.col("__n").alias("n_candidates"), F.when(one, F.col("__r")).when(led, F.col("__m.id")).alias(right_id), tier.alias("tier"), status.alias("status"))
+    return out.select(left_id, F.col("__n").alias("n_candidates"), F.when(one, F.col("__r")).when(led, F.col("__m.__id")).alias(right_id), tier.alias("tier"), status.alias("status"))
 
 
 def member_votes(left: DataFrame, right: DataFrame, left_group: str, right_group: str, member: str, *, margin: int = 2, share: float = 0.2) -> DataFrame:
