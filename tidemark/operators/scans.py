@@ -23,8 +23,8 @@ from pyspark.sql.window import Window
 BINS = 8192
 #: Rows of a key up to which it is one part.
 MOST = 1_000_000
-#: Long keys whose cuts (a short number a span, 16 KB) are broadcast, at most 32 MB; more are joined by shuffles.
-BROADCAST_KEYS = 2_000
+#: Long keys whose cuts (a number a span, 32 KB) are broadcast, at most 32 MB; more are joined by shuffles.
+BROADCAST_KEYS = 1_000
 
 
 def position(df: DataFrame, at: str) -> Column:
@@ -40,11 +40,12 @@ def cuts(times: DataFrame, most: int = MOST) -> DataFrame:
     sizes = times.groupBy("__key").agg(F.count("*").alias("__n"), F.min("__pos").alias("__low"), F.max("__pos").alias("__high")).where((F.col("__n") > most) & (F.col("__high") > F.col("__low")))
     long_keys = sizes.select(F.col("__key").alias("__k"), "__low", ((F.col("__high") - F.col("__low")) / BINS).alias("__span"))
     counted = times.join(long_keys, F.col("__key") == F.col("__k")).groupBy("__key", "__low", "__span", span_of(F.col("__pos")).alias("__bin")).agg(F.count("*").alias("__n"))
-    before = Window.partitionBy("__key").orderBy("__bin").rowsBetween(Window.unboundedPreceding, -1)
-    placed = counted.withColumn("__part", F.floor(F.coalesce(F.sum("__n").over(before), F.lit(0)) / most).cast("int"))
-    found = placed.groupBy("__key", "__low", "__span").agg(F.map_from_entries(F.collect_list(F.struct("__bin", "__part"))).alias("__m"))  # at most BINS entries
-    dense = F.transform(F.sequence(F.lit(0), F.lit(BINS - 1)), lambda i: F.try_element_at("__m", i).cast("short"))
-    return found.select("__key", "__low", "__span", dense.alias("__parts"))
+    every = long_keys.select(F.col("__k").alias("__key"), "__low", "__span", F.explode(F.sequence(F.lit(0), F.lit(BINS - 1))).alias("__bin"), F.lit(0).cast("long").alias("__n"))
+    dense = counted.unionByName(every).groupBy("__key", "__low", "__span", "__bin").agg(F.sum("__n").alias("__n"))
+    before = Window.partitionBy("__key", "__low", "__span").orderBy("__bin").rowsBetween(Window.unboundedPreceding, -1)
+    placed = dense.withColumn("__part", F.floor(F.coalesce(F.sum("__n").over(before), F.lit(0)) / most).cast("int"))
+    parts = F.transform(F.array_sort(F.collect_list(F.struct("__bin", "__part"))), lambda x: x["__part"])  # BINS of them
+    return placed.groupBy("__key", "__low", "__span").agg(parts.alias("__parts"))
 
 
 def span_of(pos: Column) -> Column:

@@ -77,9 +77,12 @@ def similar_pairs(left: DataFrame, right: DataFrame, block: list[str], left_name
         met = x.join(y, [*block, "gram"]).where(enough & near & mine & (F.col(left_name) != F.col(right_name))).select(*block, left_name, right_name).distinct()
         found = met if found is None else found.unionByName(met)
     both = F.char_length(left_name) + F.char_length(right_name)
-    shared = lambda size: F.size(F.array_intersect(grams(F.col(left_name), size), grams(F.col(right_name), size)))
-    fits = (shared(1) >= common_characters(least, both)) & ((shared(2) >= common_pairs(least, both)) if 1.5 * least > 1 else F.lit(True))
-    scored = found.where(fits).withColumn("score", F.round(similarity_ratio(F.col(left_name), F.col(right_name)), 6)).where(F.col("score") >= least)
+    sizes = (1, 2) if 1.5 * least > 1 else (1,)
+    held = lambda df, c, side: df.select(*block, c, *[grams(F.col(c), k).alias(f"__{side}{k}") for k in sizes])
+    met = found.join(held(a, left_name, "a"), [*block, left_name]).join(held(b, right_name, "b"), [*block, right_name])
+    shared = lambda k: F.size(F.array_intersect(f"__a{k}", f"__b{k}"))
+    fits = (shared(1) >= common_characters(least, both)) & ((shared(2) >= common_pairs(least, both)) if 2 in sizes else F.lit(True))
+    scored = met.where(fits).select(*block, left_name, right_name, F.round(similarity_ratio(F.col(left_name), F.col(right_name)), 6).alias("score")).where(F.col("score") >= least)
     same = a.join(b.withColumn(left_name, F.col(right_name)), [*block, left_name]).select(*block, left_name, right_name, F.lit(1.0).alias("score"))
     return scored.unionByName(same)
 
@@ -94,7 +97,9 @@ def three_tier_matches(
     `name` and `words`.
     """
     first = tiered_matches(left, right, block, left_id, right_id, [("exact", name, name), ("words", words, words)], left_members, right_members, member)
-    open_ = left.join(first.where("status = 'unmatched'").select(left_id), left_id, "left_semi")
+    open_ = left
+    for c in (name, words):
+        open_ = open_.join(right.where(F.col(c) != "").select(*block, c).distinct(), [*block, c], "left_anti")
     named = right.select(*block, F.col(name).alias("__other"), right_id)
     scored = similar_pairs(open_.select(*block, name), named, block, name, "__other", least)
     w = Window.partitionBy(*block, name).orderBy(F.desc("score"), "__other")
