@@ -12,6 +12,7 @@ from pyspark.ml.stat import Correlation
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.types import DoubleType
+from pyspark.sql.window import Window
 
 from tidemark.functions.scalars import finite, logit
 from tidemark.operators.distribution import exact_quantiles, running
@@ -85,6 +86,35 @@ def fit_preprocessor(train: DataFrame, numbers: list[str], categories: list[str]
     return Preprocessor(tuple(kept), medians, levels)
 
 
+def fit_preprocessors(train: DataFrame, group: str, numbers: list[str], categories: list[str], most_levels: int = 100) -> dict:
+    """fit_preprocessor() for every value of a group column at once: medians, gaps and levels of all groups come from one job each."""
+    cells = train.select(group, F.explode(F.array(*[F.struct(F.lit(c).alias("name"), _number(c).alias("x")) for c in numbers])).alias("c")).select(group, "c.*")
+    medians: dict = {}
+    for r in exact_quantiles(cells, "x", [0.5], [group, "name"]).collect():  # groups x columns
+        medians.setdefault(r[group], {})[r["name"]] = float(r.q[0] or 0.0)
+    gaps = {r[group]: r for r in train.groupBy(group).agg(*[F.count_if(_number(c).isNull()).alias(c) for c in numbers]).collect()}
+    levels: dict = {}
+    if categories:
+        kinds = F.explode(F.array(*[F.struct(F.lit(c).alias("name"), F.coalesce(c, F.lit("__NULL__")).alias("v")) for c in categories])).alias("k")
+        counted = train.select(group, kinds).select(group, "k.*").groupBy(group, "name", "v").count()
+        first = Window.partitionBy(group, "name").orderBy(F.desc("count"), "v")
+        for r in counted.withColumn("at", F.row_number().over(first)).where(F.col("at") <= most_levels).collect():
+            levels.setdefault((r[group], r["name"]), []).append(r.v)
+    bare = {}
+    for g, gap in gaps.items():
+        own = {c: tuple(sorted(levels[g, c])) for c in categories}
+        columns = [(c, k) for c in numbers for k in ("value", "missing") if k == "value" or gap[c]]
+        columns += [(c, k) for c in categories for k in (*(f"is:{v}" for v in own[c]), OTHER)]
+        bare[g] = Preprocessor(tuple((raw, kind, 0.0, 1.0) for raw, kind in columns), {c: medians.get(g, {}).get(c, 0.0) for c in numbers}, own)
+    out = {}
+    spreads = [s for i, (g, pre) in enumerate(bare.items()) for j, c in enumerate(pre.expressions()) for s in (F.avg(F.when(F.col(group) == g, c)).alias(f"m{i}_{j}"), F.stddev_pop(F.when(F.col(group) == g, c)).alias(f"s{i}_{j}"))]
+    stats = train.agg(*spreads).first() if spreads else None
+    for i, (g, pre) in enumerate(bare.items()):
+        kept = [(raw, kind, float(stats[f"m{i}_{j}"]), float(stats[f"s{i}_{j}"])) for j, (raw, kind, _, _) in enumerate(pre.columns) if (stats[f"s{i}_{j}"] or 0) > 1e-12]
+        out[g] = Preprocessor(tuple(kept), pre.medians, pre.levels)
+    return out
+
+
 def _spread(df: DataFrame, label: str) -> tuple[int, float]:
     r = df.agg(F.count(label).alias("n"), F.stddev_pop(label).alias("s")).first()
     return r.n, float(r.s)
