@@ -2,7 +2,7 @@
 
 A step needs the gradient and the Hessian of each fit. A task adds them up over its Arrow batches for all fits at once and sends one
 row a group and fit; an aggregation adds the tasks' rows, and the driver solves a small system for each fit. So a step is one
-pass over the rows, whatever the number of fits, and what reaches the driver is groups x fits x (features squared).
+pass over the rows, whatever the number of fits, and what reaches the driver is groups x fits x (features squared), fixed by the models and not by the rows.
 
 Draws of a bootstrap are Poisson weights made from a hash of the row's cluster and the draw: the same wherever the cluster's rows
 lie and however often a task runs, with nothing gathered by cluster.
@@ -66,9 +66,10 @@ def _sums(rows: DataFrame, per_batch, width: int) -> dict:  # noqa: ANN001
                 yield pa.RecordBatch.from_arrays([pa.array([g] * len(part), pa.string()), pa.array(np.arange(low, low + len(part), dtype=np.int32)), pa.array(part.tolist(), pa.list_(pa.float64()))], names=["g", "fit", "s"])
 
     every = rows.mapInArrow(run, "g string, fit int, s array<double>")
+    added = every.select("g", "fit", F.posexplode("s").alias("at", "v")).groupBy("g", "fit", "at").agg(F.sum("v").alias("v"))
     out: dict = {}
-    for r in every.groupBy("g", "fit").agg(*[F.sum(F.col("s")[i]).alias(f"s{i}") for i in range(width)]).toLocalIterator():  # groups x fits
-        out.setdefault(r.g, {})[r.fit] = np.array(r[2:], dtype=np.float64)
+    for r in added.toLocalIterator():  # groups x fits x width
+        out.setdefault(r.g, {}).setdefault(r.fit, np.zeros(width))[r["at"]] = r.v
     return out
 
 

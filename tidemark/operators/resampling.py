@@ -9,6 +9,8 @@ import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from tidemark.operators.newton import draw_sums
+
 
 def cluster_sums(rows: DataFrame, cluster: str, baseline: str, candidate: str, actual: str, stratum: str | None = None) -> DataFrame:
     """stratum, summed squared errors of both predictions and rows of each cluster."""
@@ -17,29 +19,21 @@ def cluster_sums(rows: DataFrame, cluster: str, baseline: str, candidate: str, a
     return rows.groupBy(cluster).agg(F.min(group).alias("stratum"), e(baseline).alias("baseline"), e(candidate).alias("candidate"), F.count("*").alias("n"))
 
 
-def bootstrap_improvement(rows: DataFrame, cluster: str, baseline: str, candidate: str, actual: str, *, stratum: str | None = None, draws: int = 5000, seed: int = 7, slots: int = 64) -> DataFrame:
+def bootstrap_improvement(rows: DataFrame, cluster: str, baseline: str, candidate: str, actual: str, *, stratum: str | None = None, draws: int = 5000, seed: int = 7) -> DataFrame:
     """draw and improvement (mean squared error of the baseline less that of the candidate) over resampled clusters.
 
-    Clusters are resampled by Poisson weights, one stream for each stratum, slot of clusters and draw, so a task sees one
-    slot at a time and draws add up over slots; no task holds all clusters. Each stratum's sums are scaled to as many
-    clusters as it has, so a draw holds every stratum in its own size.
+    Clusters are resampled by Poisson weights from a hash of the cluster and the draw, so that a task holds one Arrow batch and the sums
+    of its strata and draws, however many clusters there are. Each stratum's sums are scaled to as many clusters as it has, so a
+    draw holds every stratum in its own size.
     """
-    per = cluster_sums(rows, cluster, baseline, candidate, actual, stratum).withColumn("slot", F.pmod(F.xxhash64(cluster), F.lit(slots)))
-
-    def draw(key: tuple, pdf: pd.DataFrame) -> pd.DataFrame:
-        pdf = pdf.sort_values([cluster])
-        g = np.random.default_rng([seed, int(key[1]), zlib.crc32(str(key[0]).encode())])
-        values = np.column_stack([pdf[["baseline", "candidate", "n"]].to_numpy(dtype=float), np.ones(len(pdf))])
-        out = np.vstack([g.poisson(1.0, len(values)) @ values for _ in range(draws)])
-        return pd.DataFrame({"stratum": key[0], "draw": np.arange(draws), "baseline": out[:, 0], "candidate": out[:, 1], "n": out[:, 2], "drawn": out[:, 3], "clusters": len(values)})
-
-    kinds = "stratum string, draw int, baseline double, candidate double, n double, drawn double, clusters long"
-    sums = per.select("stratum", "slot", cluster, "baseline", "candidate", "n").groupBy("stratum", "slot").applyInPandas(draw, kinds)
-    strata = sums.groupBy("draw", "stratum").agg(*[F.sum(c).alias(c) for c in ("baseline", "candidate", "n", "drawn", "clusters")]).where("drawn > 0").withColumn("w", F.col("clusters") / F.col("drawn"))
+    per = cluster_sums(rows, cluster, baseline, candidate, actual, stratum)
+    sizes = per.groupBy(F.col("stratum").alias("of")).agg(F.count("*").alias("clusters"))
+    sums = draw_sums(per, cluster, ["baseline", "candidate", "n"], draws, group="stratum", seed=seed).where("drawn > 0")
+    strata = sums.join(sizes, F.col("g") == F.col("of")).withColumn("w", F.col("clusters") / F.col("drawn"))
     return strata.groupBy("draw").agg((F.sum((F.col("baseline") - F.col("candidate")) * F.col("w")) / F.sum(F.col("n") * F.col("w"))).alias("improvement"))
 
 
-def bootstrap_ridge(rows: DataFrame, cluster: str, features: list[str], label: str, alpha: float, *, draws: int = 200, seed: int = 7, slots: int = 64) -> DataFrame:
+def bootstrap_ridge(rows: DataFrame, cluster: str, features: list[str], label: str, alpha: float, *, draws: int = 1000, seed: int = 7) -> DataFrame:
     """draw, feature and coefficient of ridge regressions on resampled clusters; the intercept isn't penalised.
 
     Clusters are reduced to their sums of products first, so a draw is a weighted sum of small rows and one small solve.
@@ -49,14 +43,7 @@ def bootstrap_ridge(rows: DataFrame, cluster: str, features: list[str], label: s
     pairs = [(i, j) for i in range(len(x)) for j in range(i, len(x))]
     moments = [F.sum(x[i] * x[j]).alias(f"m{n}") for n, (i, j) in enumerate(pairs)] + [F.sum(c * F.col(label)).alias(f"v{i}") for i, c in enumerate(x)]
     columns = [f"m{n}" for n in range(len(pairs))] + [f"v{i}" for i in range(len(x))]
-    per = rows.groupBy(cluster).agg(*moments).withColumn("slot", F.pmod(F.xxhash64(cluster), F.lit(slots)))
-
-    def draw(key: tuple, pdf: pd.DataFrame) -> pd.DataFrame:
-        values = pdf.sort_values([cluster])[columns].to_numpy(dtype=float)
-        g = np.random.default_rng([seed, int(key[0])])
-        out = pd.DataFrame(np.vstack([g.poisson(1.0, len(values)) @ values for _ in range(draws)]), columns=columns)
-        return out.assign(draw=np.arange(draws))[["draw", *columns]]
-
+    drawn = draw_sums(rows.groupBy(cluster).agg(*moments), cluster, columns, draws, seed=seed).select("draw", *columns)
     size = len(names)
 
     def solve(key: tuple, pdf: pd.DataFrame) -> pd.DataFrame:
@@ -67,9 +54,7 @@ def bootstrap_ridge(rows: DataFrame, cluster: str, features: list[str], label: s
         b = np.linalg.solve(gram + alpha * np.diag([0.0, *[1.0] * len(features)]), sums[[f"v{i}" for i in range(size)]].to_numpy(dtype=float))
         return pd.DataFrame({"draw": int(key[0]), "feature": names, "coefficient": b})
 
-    kinds = ", ".join(f"{c} double" for c in columns)
-    drawn = per.select("slot", cluster, *columns).groupBy("slot").applyInPandas(draw, f"draw int, {kinds}")
-    return drawn.groupBy("draw").agg(*[F.sum(c).alias(c) for c in columns]).groupBy("draw").applyInPandas(solve, "draw int, feature string, coefficient double")
+    return drawn.groupBy("draw").applyInPandas(solve, "draw int, feature string, coefficient double")
 
 
 def interval(draws: DataFrame, value: str = "improvement", level: float = 0.95) -> DataFrame:
