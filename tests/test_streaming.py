@@ -60,3 +60,34 @@ def test_two_streams_match_the_batch_join(spark, folder):
     a, b = e.where("event_type = 'purchase'").alias("a"), e.where("event_type = 'view'").alias("b")
     near = F.expr("a.user_id = b.user_id and b.ts <= a.ts and b.ts >= a.ts - interval 12 hours")
     assert got and got == sorted(tuple(r) for r in a.join(b, near).select("a.event_id", "b.event_id").collect())
+
+
+def test_ordered_spells_equal_batch_under_shuffled_arrival(spark, tmp_path):
+    """Events that arrive out of order within the lateness give the runs of the batch, and the last run of each user ends."""
+    import random
+    from datetime import datetime, timedelta
+
+
+    from tidemark.streaming import events as E
+
+    g, start = random.Random(7), datetime(2024, 1, 1)
+    rows = [(i, start + timedelta(seconds=40 * i + g.randrange(30)), g.choice([1, 1, 2, 3]), g.choice(["a", "a", "b"])) for i in range(240)]
+    rows += [(900, start + timedelta(hours=9), 1, "a")]  # a pause, then a run of its own
+    schema = "event_id long, ts timestamp, user_id long, event_type string"
+    arrival = sorted(rows, key=lambda r: (r[1] + timedelta(minutes=g.randrange(45))))
+    end = [(999, start + timedelta(days=3), 77, "z")]  # moves the watermark past everything
+    source = str(tmp_path / "in")
+    for k, part in enumerate([*[arrival[i : i + 61] for i in range(0, len(arrival), 61)], end]):
+        spark.createDataFrame(part, schema).coalesce(1).write.mode("append").parquet(f"{source}/part={k}")
+    stream = spark.readStream.schema(schema).option("maxFilesPerTrigger", 1).parquet(f"{source}/*")
+    got = sorted(map(tuple, E.drained(E.ordered_spells(stream.select("event_id", "ts", "user_id", "event_type")), "ordered").collect()))
+    want = []
+    for user in (1, 2, 3):
+        run = []
+        for r in sorted(x for x in [(r[1], r[0], r[3]) for r in rows if r[2] == user]):
+            if run and (r[2] != run[-1][2] or (r[0] - run[-1][0]).total_seconds() > 1800):
+                want.append((user, run[0][2], len(run), run[0][1], run[-1][1]))
+                run = []
+            run.append(r)
+        want.append((user, run[0][2], len(run), run[0][1], run[-1][1]))
+    assert got == sorted(want)

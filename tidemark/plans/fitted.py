@@ -8,6 +8,7 @@ from pyspark.ml.functions import vector_to_array
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from tidemark.operators import boosting as G
 from tidemark.operators import distribution as D
 from tidemark.operators import models as M
 from tidemark.operators import newton as N
@@ -102,6 +103,14 @@ def boosted_model(spark: SparkSession, d: str) -> DataFrame:
     return model.transform(pre.transform(frame.where("year > 1998"))).groupBy("year").agg(F.count("*").alias("n"), F.round(F.avg(F.abs(F.col("y") - F.col("prediction"))), 6).alias("mae"))
 
 
+def huber_boosted_model(spark: SparkSession, d: str) -> DataFrame:
+    """Boosted trees with Huber loss for the order value, on numbers that may be null: error by year after training."""
+    frame = order_frame(spark, d).persist()
+    model = G.fit(frame.where("year <= 1998"), NUMBERS, "y", G.Boost(rounds=20))
+    scored = model.transform(frame.where("year > 1998"))
+    return scored.groupBy("year").agg(F.count("*").alias("n"), F.round(F.avg(F.abs(F.col("y") - F.col("prediction"))), 6).alias("mae"))
+
+
 def movement_states(spark: SparkSession, d: str) -> DataFrame:
     """A multinomial model of the order's status: mean probabilities by status."""
     frame = order_frame(spark, d).join(table(spark, d, "orders", "o_orderkey", "o_orderstatus"), "o_orderkey").withColumn("state", F.when(F.col("o_orderstatus") == "F", 0.0).when(F.col("o_orderstatus") == "O", 1.0).otherwise(2.0)).cache()
@@ -171,4 +180,4 @@ def explained_scores(spark: SparkSession, d: str) -> DataFrame:
     return frame.select("o_orderkey", top.alias("t")).select("o_orderkey", "t.feature", F.round("t.value", 6).alias("contribution"))
 
 
-QUERIES = {f.__name__: f for f in (rolling_origin_models, hazard_model, boosted_model, movement_states, cluster_bootstrap_ci, parameter_intervals, logistic_intervals, hazard_intervals, permutation_heterogeneity, explained_scores)}
+QUERIES = {f.__name__: f for f in (rolling_origin_models, hazard_model, boosted_model, huber_boosted_model, movement_states, cluster_bootstrap_ci, parameter_intervals, logistic_intervals, hazard_intervals, permutation_heterogeneity, explained_scores)}

@@ -8,6 +8,7 @@ from pyspark.sql import functions as F
 from tidemark.functions import scalars as S
 from tidemark.operators import peers, scans, similarity
 from tidemark.operators import temporal as T
+from tidemark.sources import nested
 from tidemark.sources.tables import table
 
 SQL: dict[str, str] = {}
@@ -90,4 +91,35 @@ def three_tier_name_matches(spark: SparkSession, d: str) -> DataFrame:
     return similarity.three_tier_matches(left, right, ["p_brand"], "p_partkey", "match_key", "name", "words", mine, theirs, "l_suppkey")
 
 
-QUERIES = {f.__name__: f for f in (previous_of_status, price_spells_of_status, shipping_spans_of_status, peer_median_by_anchor, three_tier_name_matches)}
+def nested_event_documents(spark: SparkSession, d: str) -> DataFrame:
+    """Events of a user and day as one nested document each, read back as variants: counts and sums of a qualifier by type and place in the day."""
+    e = table(spark, d, "events", "event_id", "user_id", "ts", "event_type", "value", "props")
+    item = F.struct("ts", "event_id", F.to_json(F.struct(F.col("event_id").alias("id"), F.col("event_type").alias("type"), F.struct("value", F.col("props")).alias("body"))).alias("text"))
+    days = e.groupBy("user_id", F.to_date("ts").alias("day")).agg(F.array_sort(F.collect_list(item)).alias("items"))  # one user's day
+    text = F.concat(F.lit('{"events":['), F.array_join(F.transform("items", lambda x: x["text"]), ","), F.lit("]}"))
+    docs = nested.parsed(days.select("user_id", "day", text.alias("text")), "text")
+    rows = nested.picked(nested.exploded(docs, "doc", "$.events", ["user_id", "day"]), "item", {"type": ("$.type", "string"), "value": ("$.body.value", "double"), "props": ("$.body.props", "string")})
+    rows = nested.picked(nested.parsed(rows, "props", "inner"), "inner", {"k": ("$.k", "int")})
+    return rows.groupBy("type", F.least("pos", F.lit(3)).alias("place")).agg(F.count("*").alias("n"), F.sum("k").alias("k"), F.round(F.sum("value"), 4).alias("value"))
+
+
+SQL["nested_event_documents"] = """
+WITH p AS (SELECT *, row_number() OVER (PARTITION BY user_id, ts::DATE ORDER BY ts, event_id) - 1 AS pos FROM events)
+SELECT event_type AS type, least(pos, 3)::INTEGER AS place, count(*) AS n, sum((props->>'$.k')::INT)::BIGINT AS k, round(sum(value), 4) AS value FROM p GROUP BY 1, 2"""
+
+
+def referred_events(spark: SparkSession, d: str) -> DataFrame:
+    """Events whose properties name another one, k places before: its type and the time between, looked up by key."""
+    e = nested.parsed(table(spark, d, "events", "event_id", "user_id", "ts", "event_type", "props"), "props")
+    e = nested.picked(e, "doc", {"k": ("$.k", "int")}).withColumn("of", F.when(F.col("k") > 0, F.col("event_id") - F.col("k"))).drop("doc")
+    out = nested.looked_up(e, "event_id", "of", ["event_type", "ts", "user_id"])
+    gap = (F.unix_micros(F.col("ts").cast("timestamp")) - F.unix_micros(F.col("ref_ts").cast("timestamp"))) / 1e6
+    return out.select("event_id", "of", "ref_event_type", F.round(gap, 3).alias("seconds"), (F.col("user_id") == F.col("ref_user_id")).alias("same_user"))
+
+
+SQL["referred_events"] = """
+WITH e AS (SELECT *, CASE WHEN (props->>'$.k')::INT > 0 THEN event_id - (props->>'$.k')::INT END AS o FROM events)
+SELECT e.event_id, e.o AS "of", r.event_type AS ref_event_type, round((epoch_us(e.ts) - epoch_us(r.ts)) / 1e6, 3) AS seconds, e.user_id = r.user_id AS same_user FROM e LEFT JOIN events r ON r.event_id = e.o"""
+
+
+QUERIES = {f.__name__: f for f in (previous_of_status, price_spells_of_status, shipping_spans_of_status, peer_median_by_anchor, three_tier_name_matches, nested_event_documents, referred_events)}

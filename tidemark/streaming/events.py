@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import bisect
+import json
 from collections.abc import Callable, Iterator
 
 import pandas as pd
@@ -86,6 +88,48 @@ def spells(events: DataFrame, late: str = "1 hour") -> DataFrame:
     return events.withWatermark("ts", late).groupBy("user_id").applyInPandasWithState(step, SPELLS, "kind string, n long, first long, last long", "append", GroupStateTimeout.NoTimeout)
 
 
+def ordered_spells(events: DataFrame, late: str = "1 hour", idle_seconds: int = 1800) -> DataFrame:
+    """Runs of equal event types of a user in the order of event time; a pause of more than idle_seconds ends a run too.
+
+    Events are held back until the watermark has passed them, so what comes out of order within `late` is put in order, and what is later still is
+    dropped. A timer ends the last run when the watermark is idle_seconds past it, and a user without an open run or held events
+    leaves no state. The result doesn't depend on how events arrive.
+    """
+    idle = idle_seconds * 1_000_000
+
+    def step(key: tuple, frames: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
+        mark = state.getCurrentWatermarkMs() * 1000
+        kind, n, first, last, at, held = state.get if state.exists else (None, 0, 0, 0, 0, "[]")
+        waiting = [tuple(x) for x in json.loads(held)]
+        if not state.hasTimedOut:
+            for rows in frames:
+                waiting += zip(rows.ts.astype("datetime64[us]").astype("int64").tolist(), rows.event_id.tolist(), rows.event_type.tolist(), strict=True)
+        waiting.sort(key=lambda x: (x[0], x[1]))
+        ready = bisect.bisect_right(waiting, mark, key=lambda x: x[0])
+        closed = []
+        for ts, event_id, event_type in waiting[:ready]:
+            if n and (event_type != kind or ts - at > idle):
+                closed.append((key[0], kind, n, first, last))
+                n = 0
+            if not n:
+                kind, first = event_type, event_id
+            n, last, at = n + 1, event_id, ts
+        waiting = waiting[ready:]
+        if n and mark - at > idle and not (waiting and waiting[0][0] - at <= idle):
+            closed.append((key[0], kind, n, first, last))
+            n = 0
+        if n or waiting:
+            state.update((kind, n, first, last, at, json.dumps(waiting)))
+            due = min([at + idle] * bool(n) + [w[0] for w in waiting[:1]])
+            state.setTimeoutTimestamp(max(due, mark) // 1000 + 1)
+        elif state.exists:
+            state.remove()
+        yield pd.DataFrame(closed, columns=["user_id", "event_type", "n_events", "first_id", "last_id"])
+
+    kinds = "kind string, n long, first long, last long, at long, held string"
+    return events.withWatermark("ts", late).groupBy("user_id").applyInPandasWithState(step, SPELLS, kinds, "append", GroupStateTimeout.EventTimeTimeout)
+
+
 def drained(stream: DataFrame, name: str, mode: str = "append") -> DataFrame:
     """The whole output of a stream over what is there now, as a table in memory. For tests and small results."""
     query = stream.writeStream.format("memory").queryName(name).outputMode(mode).start()
