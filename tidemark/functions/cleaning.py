@@ -80,6 +80,7 @@ def text_profile(df: DataFrame, columns: list[str]) -> DataFrame:
         total(F.col("x") == 0).alias("n_zero"), total(F.col("x") < 0).alias("n_negative"), F.min("x").alias("least"), F.max("x").alias("greatest"), F.min(F.length("v")).alias("shortest"), F.max(F.length("v")).alias("longest"),
         F.max(F.when(there, F.struct("n", "v")))["v"].alias("commonest"),
     )
+    # fixed values: the names of the types and the shares of values that they need
     k, identifier = F.col("n_rows") - F.col("n_null"), F.col("column_name").rlike(ID_NAME)
     numeric = F.when(identifier, "identifier (numeric-coded)").when(F.col("n_whole") >= 0.995 * k, "integer").otherwise("decimal")
     kind = F.when(k == 0, "empty").when(F.col("column_name").rlike(DATE_NAME) & (F.col("n_date") >= 0.98 * k), "date/datetime").when(F.col("n_numeric") >= 0.995 * k, numeric).when(identifier, "identifier (text)").otherwise("text/categorical")
@@ -91,12 +92,19 @@ def is_mojibake(c: Column) -> Column:
     return c.rlike(MOJIBAKE)
 
 
+#: The words that signs in column names become.
+SIGNS = {"%": "pct", "&": "and", "/": "per"}
+
+
 def snake_case(name: str) -> str:
-    """'Goals/90 %' as 'goals_per_90_pct': signs as words, everything else joined by single underscores."""
-    for sign, word in (("%", " pct "), ("&", " and "), ("/", " per ")):
-        name = name.replace(sign, word)
-    name = re.sub(r"\bp\s*90\b", " per90 ", name, flags=re.IGNORECASE)
-    return "_".join(re.findall("[a-z0-9]+", name.lower()))
+    """'Goals/90 %' as 'goals_per_90_pct', 'xG P 90' as 'xg_per90': letters and digits as they are, three signs as words, and a rate by 90 as one word."""
+    words: list[str] = []
+    for token in re.findall("[%&/]|[a-z0-9]+", name.lower()):
+        if words[-1:] == ["p"] and token == "90":
+            words.pop()
+            token = "p90"
+        words.append("per90" if token == "p90" else SIGNS.get(token, token))
+    return "_".join(words)
 
 
 def snake_columns(df: DataFrame, names: dict[str, str] | None = None) -> DataFrame:

@@ -8,7 +8,6 @@ written into the rows and the lineage is cut, so that a pass works out at most `
 
 from __future__ import annotations
 
-import tempfile
 from collections.abc import Iterator
 from dataclasses import dataclass, field
 
@@ -18,6 +17,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from tidemark.operators.distribution import exact_quantiles
+from tidemark.sources.scratch import shared_root
 
 LOSSES = ("squared", "absolute", "huber")
 
@@ -207,8 +207,5 @@ def _added(held: DataFrame, trees: list[Tree], depth: int) -> DataFrame:
 
 
 def _checkpointed(df: DataFrame) -> DataFrame:
-    """df written to the folder that the cluster names in spark.checkpoint.dir; where it is unset, as in tests, to one of our own."""
-    sc = df.sparkSession.sparkContext
-    if not sc.getCheckpointDir():
-        sc.setCheckpointDir(sc.getConf().get("spark.checkpoint.dir", "") or tempfile.mkdtemp(prefix="tidemark-checkpoint-"))
+    shared_root(df.sparkSession)
     return df.checkpoint(eager=True)

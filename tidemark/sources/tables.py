@@ -45,6 +45,15 @@ def read_season_files(spark: SparkSession, glob: str, columns: list[str]) -> Dat
     return df.select("*", path.alias("source_file"), F.regexp_extract(path, r"(20\d{2})_(20\d{2})", 1).try_cast("int").alias("season_start"))
 
 
+def with_file_facts(files: DataFrame, pattern: str, facts: DataFrame, key: str) -> DataFrame:
+    """files with the facts of the source (its league, currency and the like) that the pattern's first group finds in source_file.
+
+    facts: one row for each key, a table of sources; a file of an unknown source gets nulls.
+    """
+    named = files.withColumn(key, F.regexp_extract("source_file", pattern, 1))
+    return named.join(F.broadcast(facts), key, "left")  # a row for each source, not each file
+
+
 def semi_filter(df: DataFrame, ids: DataFrame, id_columns: list[str]) -> DataFrame:
     """Rows of which any of the id columns is among the ids (column id). A union of semi-joins without repeats."""
     keys = ids.select(F.col("id").alias("__id")).distinct()
