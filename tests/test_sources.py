@@ -5,7 +5,8 @@ import os
 import pytest
 from pyspark.sql import functions as F
 
-from tidemark.sources import nested
+from tidemark.functions.cleaning import snake_case
+from tidemark.sources import nested, tables
 from tidemark.sources.keyed import KeyedTable
 
 SCHEMA = "k int, v string, t int"
@@ -72,3 +73,28 @@ def test_nested_events(spark):
     twice = spark.createDataFrame([(1, 2, "a"), (2, None, "b"), (2, None, "c")], "id int, of int, type string")
     assert [r.ref_type for r in nested.looked_up(twice, "id", "of", ["type"]).orderBy("type").collect()] == [None, None, None]
     assert "type" in nested.field_paths(docs.where("m < 3"), "doc").first().schema
+
+
+@pytest.mark.parametrize("most", [5000, 2])
+def test_scan_filter_both_ways(spark, tmp_path, most):
+    path = str(tmp_path / "t")
+    rows = spark.range(10_000).select("id", (F.col("id") * 7 % 1000).alias("b"))
+    rows.coalesce(1).sortWithinPartitions("id").write.option("parquet.block.size", 16_384).parquet(path)
+    ids = spark.createDataFrame([(5,), (6,), (6,), (9000,), (None,)], "id long")
+    found = tables.scan_filter(spark.read.parquet(path), ids, ["id", "b"], most)
+    assert sorted(r.id for r in found.collect()) == [r.id for r in rows.where("id in (5, 6, 9000) or b in (5, 6)").orderBy("id").collect()]
+    assert ("PushedFilters: [Or(In" in found._jdf.queryExecution().toString()) == (most > 2)
+    assert tables.scan_filter(rows, ids.limit(0), ["id"], most).count() == 0
+
+
+def test_scan_filter_reaches_csv(spark, tmp_path):
+    path = str(tmp_path / "c")
+    tables.write_csv(spark.range(1000), path)
+    found = tables.scan_filter(tables.read_typed_csv(spark, path, "id long"), spark.createDataFrame([(7,), (70,)], "id long"), ["id"])
+    assert sorted(r.id for r in found.collect()) == [7, 70] and "PushedFilters: [In(id" in found._jdf.queryExecution().toString()
+
+
+def test_names_of_columns_and_what_may_be_a_feature(spark):
+    assert [snake_case(x) for x in ("Goals/90 %", "xG P 90", "xG p90", "A & B", " P 91", "%%")] == ["goals_per_90_pct", "xg_per90", "xg_per90", "a_and_b", "p_91", "pct_pct"]
+    told = tables.field_dictionary(spark.createDataFrame([(1, 2, 3, 4)], "k int, age int, next_club int, y int"), {"k": "key", "y": "target"})
+    assert [r.leakage for r in told.orderBy("position").collect()] == ["names the row", "known before the anchor", "known only afterwards", "known only afterwards"]

@@ -148,6 +148,17 @@ def natural_key(*cs: Column) -> Column:
     return F.concat_ws(":", *[F.coalesce(c.cast("string"), F.lit("")) for c in cs])
 
 
+#: The entities of HTML that are resolved, the ampersand's last so that nothing is resolved twice.
+ENTITIES = {"&lt;": "<", "&gt;": ">", "&quot;": '"', "&#39;": "'", "&nbsp;": " ", "&amp;": "&"}
+
+
+def unescaped(c: Column) -> Column:
+    """A text with the common entities of HTML resolved."""
+    for entity, char in ENTITIES.items():
+        c = F.replace(c, F.lit(entity), F.lit(char))
+    return c
+
+
 def null_token(c: Column) -> Column:
     """Blank, or a word that stands for a missing value."""
     return F.lower(F.trim(c)).isin("", "na", "n/a", "nan", "null", "none", "-")

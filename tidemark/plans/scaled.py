@@ -122,4 +122,41 @@ WITH e AS (SELECT *, CASE WHEN (props->>'$.k')::INT > 0 THEN event_id - (props->
 SELECT e.event_id, e.o AS "of", r.event_type AS ref_event_type, round((epoch_us(e.ts) - epoch_us(r.ts)) / 1e6, 3) AS seconds, e.user_id = r.user_id AS same_user FROM e LEFT JOIN events r ON r.event_id = e.o"""
 
 
-QUERIES = {f.__name__: f for f in (previous_of_status, price_spells_of_status, shipping_spans_of_status, peer_median_by_anchor, three_tier_name_matches, nested_event_documents, referred_events)}
+def part_search_latest(spark: SparkSession, d: str) -> DataFrame:
+    """The ten first parts, by name and key, that have a word beginning with 'gi', each with the supplier and day of its most recent line."""
+    parts = table(spark, d, "part", "p_partkey", "p_name").where(F.lower("p_name").rlike("(^| )gi"))
+    found = parts.orderBy("p_name", "p_partkey").limit(10)
+    lines = table(spark, d, "lineitem", "l_partkey", "l_suppkey", "l_shipdate", "l_orderkey", "l_linenumber")
+    recent = lines.join(F.broadcast(found), F.col("l_partkey") == F.col("p_partkey"), "left_semi").groupBy("l_partkey").agg(F.max(F.struct("l_shipdate", "l_orderkey", "l_linenumber", "l_suppkey")).alias("m"))  # ten parts
+    names = table(spark, d, "supplier", "s_suppkey", "s_name")
+    out = found.join(recent, F.col("l_partkey") == F.col("p_partkey"), "left").join(names, F.col("m.l_suppkey") == F.col("s_suppkey"), "left")
+    return out.select("p_partkey", "p_name", F.col("s_name").alias("latest_supplier"), F.to_date("m.l_shipdate").alias("latest_day"))
+
+
+SQL["part_search_latest"] = """
+WITH f AS (SELECT p_partkey, p_name FROM part WHERE regexp_matches(lower(p_name), '(^| )gi') ORDER BY p_name, p_partkey LIMIT 10),
+r AS (SELECT l_partkey, l_suppkey, l_shipdate, row_number() OVER (PARTITION BY l_partkey ORDER BY l_shipdate DESC, l_orderkey DESC, l_linenumber DESC, l_suppkey DESC) AS k FROM lineitem WHERE l_partkey IN (SELECT p_partkey FROM f))
+SELECT p_partkey, p_name, s_name AS latest_supplier, l_shipdate::DATE AS latest_day FROM f LEFT JOIN r ON l_partkey = p_partkey AND k = 1 LEFT JOIN supplier ON s_suppkey = l_suppkey"""
+
+
+def page_link_slugs(spark: SparkSession, d: str) -> DataFrame:
+    """Links of each page: how many, the last part of the path of each different one, its trailing number, entities resolved; and the text of its title without tags."""
+    html = F.coalesce("html", F.lit(""))
+    hrefs = F.transform(F.regexp_extract_all(html, F.lit(r"""<a [^>]*href=["']([^"'>]*)["']"""), F.lit(1)), S.unescaped)
+    slugs = F.transform(F.array_distinct(hrefs), lambda h: F.regexp_extract(h, r"([^/?#]*)/?(?:[?#].*)?$", 1))
+    numbers = F.transform(slugs, lambda s: F.regexp_extract(s, r"([0-9]+)(?:\.[a-z]+)?$", 1))
+    title = S.unescaped(F.regexp_replace(F.regexp_extract(html, r"<title>([^\x00]*?)</title>", 1), "<[^>]+>", ""))
+    joined = lambda a: F.array_join(F.array_sort(a), "|")
+    return table(spark, d, "pages", "page_id", "html").select("page_id", F.size(hrefs).alias("n_links"), joined(slugs).alias("slugs"), joined(F.filter(numbers, lambda n: n != "")).alias("numbers"), F.trim(title).alias("title"))
+
+
+_UNESCAPED = "replace(replace(replace(replace(replace(replace({}, '&lt;', '<'), '&gt;', '>'), '&quot;', chr(34)), '&#39;', chr(39)), '&nbsp;', ' '), '&amp;', '&')"
+SQL["page_link_slugs"] = rf"""
+WITH h AS (SELECT page_id, coalesce(html, '') AS html, list_transform(regexp_extract_all(coalesce(html, ''), '<a [^>]*href=["'']([^"''>]*)["'']', 1), lambda x: {_UNESCAPED.format("x")}) AS hrefs FROM pages),
+s AS (SELECT *, list_transform(list_distinct(hrefs), lambda h: regexp_extract(h, '([^/?#]*)/?(?:[?#].*)?$', 1)) AS slugs FROM h),
+n AS (SELECT *, list_filter(list_transform(slugs, lambda s: regexp_extract(s, '([0-9]+)(?:\.[a-z]+)?$', 1)), lambda x: x <> '') AS numbers FROM s)
+SELECT page_id, len(hrefs)::INTEGER AS n_links, array_to_string(list_sort(slugs), '|') AS slugs, array_to_string(list_sort(numbers), '|') AS numbers,
+  trim({_UNESCAPED.format(r"regexp_replace(regexp_extract(html, '<title>([^\x00]*?)</title>', 1), '<[^>]+>', '', 'g')")}) AS title FROM n"""
+
+
+QUERIES = {f.__name__: f for f in (previous_of_status, price_spells_of_status, shipping_spans_of_status, peer_median_by_anchor, three_tier_name_matches, nested_event_documents, referred_events, part_search_latest, page_link_slugs)}

@@ -193,7 +193,34 @@ SQL["streamed_view_joins"] = """
 SELECT a.event_id AS left_id, b.event_id AS right_id FROM events a JOIN events b ON a.user_id = b.user_id AND b.event_type = 'view' AND b.ts <= a.ts AND b.ts >= a.ts - INTERVAL 1 HOUR WHERE a.event_type = 'purchase'"""
 
 
+def pushed_id_filter(spark: SparkSession, d: str) -> DataFrame:
+    """Lines of small red parts, or of suppliers with their numbers, with the ids in the scan's own filter."""
+    parts = table(spark, d, "part", "p_partkey", "p_size", "p_name").where("p_size = 1 and p_name like 'red%'").select(F.col("p_partkey").alias("id"))
+    lines = table(spark, d, "lineitem", "l_orderkey", "l_linenumber", "l_partkey", "l_suppkey", "l_quantity")
+    return S.scan_filter(lines, parts, ["l_partkey", "l_suppkey"])
+
+
+SQL["pushed_id_filter"] = """
+WITH i AS (SELECT p_partkey AS id FROM part WHERE p_size = 1 AND p_name LIKE 'red%') SELECT l_orderkey, l_linenumber, l_partkey, l_suppkey, l_quantity FROM lineitem WHERE l_partkey IN (SELECT id FROM i) OR l_suppkey IN (SELECT id FROM i)"""
+
+
+def field_leakage(spark: SparkSession, d: str) -> DataFrame:
+    """Each column of the joined order table with its role and whether it may be a feature, and how many values it has."""
+    o = table(spark, d, "orders", "o_orderkey", "o_custkey", "o_orderdate", "o_totalprice")
+    later = o.groupBy("o_custkey").agg(F.max("o_orderdate").alias("next_order_date"))
+    joined = o.join(later, "o_custkey").select("o_orderkey", "o_custkey", "o_orderdate", "next_order_date", F.col("o_totalprice").alias("target_price"))
+    told = S.field_dictionary(joined, {"o_orderkey": "key", "o_custkey": "key", "target_price": "target"})
+    counts = joined.agg(*[F.count_distinct(c).alias(c) for c in joined.columns]).unpivot([], joined.columns, "column_name", "n_values")
+    return told.join(counts, "column_name").select("column_name", "role", "leakage", "n_values")
+
+
+SQL["field_leakage"] = """
+WITH l AS (SELECT o_custkey, max(o_orderdate) AS m FROM orders GROUP BY 1), j AS (SELECT * FROM orders JOIN l USING (o_custkey))
+SELECT 'o_orderkey' AS column_name, 'key' AS role, 'names the row' AS leakage, count(DISTINCT o_orderkey) AS n_values FROM j UNION ALL SELECT 'o_custkey', 'key', 'names the row', count(DISTINCT o_custkey) FROM j
+UNION ALL SELECT 'o_orderdate', 'value', 'known before the anchor', count(DISTINCT o_orderdate) FROM j UNION ALL SELECT 'next_order_date', 'value', 'known only afterwards', count(DISTINCT m) FROM j UNION ALL SELECT 'target_price', 'target', 'known only afterwards', count(DISTINCT o_totalprice) FROM j"""
+
+
 QUERIES = {
     f.__name__: f
-    for f in (text_csv_round_trip, marked_csv_round_trip, typed_csv_round_trip, season_file_totals, nested_json_round_trip, three_outputs, manifest_of_files, saved_model_scores, preprocessed_orders, streamed_daily_counts, streamed_spells, streamed_view_joins)
+    for f in (text_csv_round_trip, marked_csv_round_trip, typed_csv_round_trip, season_file_totals, nested_json_round_trip, three_outputs, manifest_of_files, saved_model_scores, preprocessed_orders, streamed_daily_counts, streamed_spells, streamed_view_joins, pushed_id_filter, field_leakage)
 }

@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from functools import reduce
+
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
@@ -64,6 +66,28 @@ def semi_filter(df: DataFrame, ids: DataFrame, id_columns: list[str]) -> DataFra
     return out.where(found).select(*df.columns)
 
 
+def scan_filter(df: DataFrame, ids: DataFrame, id_columns: list[str], most: int = 5_000) -> DataFrame:
+    """What semi_filter gives, with the ids in the scan's own filter where there are at most `most` different ones.
+
+    The reader then drops rows before it makes them: Parquet skips row groups by their ranges, CSV stops parsing a line. More
+    ids than that would not fit into a plan, and are joined. ids: column id.
+    """
+    kept = [r.id for r in ids.select("id").where("id is not null").distinct().limit(most + 1).collect()]  # at most a few thousand
+    if len(kept) > most:
+        return semi_filter(df, ids, id_columns)
+    return df.where(reduce(lambda a, b: a | b, [F.col(c).isin(kept) for c in id_columns])) if kept else df.where(F.lit(False))
+
+
+LEAKAGE = ("known before the anchor", "known only afterwards", "names the row")
+
+
+def leakage_rule(name: str, role: str, later: tuple[str, ...] = ("next_", "future_", "outcome", "target", "label")) -> str:
+    """Whether a column may be a feature: names and targets may not, and what is measured after the anchor may not."""
+    if role == "key":
+        return LEAKAGE[2]
+    return LEAKAGE[1] if role == "target" or any(x in name.lower() for x in later) else LEAKAGE[0]
+
+
 def read_nested_json(spark: SparkSession, path: str, schema: str, file_column: str = "source_file") -> DataFrame:
     """One JSON array of records in each file; the file's name without its ending tells the records apart."""
     df = spark.read.schema(schema).option("multiLine", True).json(path)
@@ -103,10 +127,11 @@ def file_manifest(spark: SparkSession, glob: str) -> DataFrame:
 
 
 def field_dictionary(df: DataFrame, roles: dict[str, str] | None = None) -> DataFrame:
-    """column_name, data_type, nullable and role of each column, from the schema and its metadata."""
+    """column_name, data_type, nullable, role and leakage rule of each column, from the schema and its metadata."""
     roles = roles or {}
     rows = [(i, f.name, f.dataType.simpleString(), f.nullable, roles.get(f.name, f.metadata.get("role", "value"))) for i, f in enumerate(df.schema.fields)]
-    return df.sparkSession.createDataFrame(rows, "position int, column_name string, data_type string, nullable boolean, role string")
+    rows = [(*r, leakage_rule(r[1], r[4])) for r in rows]
+    return df.sparkSession.createDataFrame(rows, "position int, column_name string, data_type string, nullable boolean, role string, leakage string")
 
 
 def to_json_rows(df: DataFrame, key: str) -> DataFrame:
