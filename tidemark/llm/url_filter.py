@@ -6,8 +6,9 @@ rule of its own takes the decision of its aliases: an explicit allow anywhere in
 Without either, a url is allowed.
 
 Urls are told apart without scheme, fragment and closing slash. Defined cases: a null url, or one without '://', has an
-empty host and path, fits no rule, has no aliases and is allowed. Null html has no links. Links that aren't absolute are
-resolved only when they start with '/' or '//'. Repeated rows are judged alike; an empty table gives no rows.
+empty host and path, fits no rule, has no aliases and is allowed. Null html has no links. Every canonical link and refresh of a page counts.
+Relative links are resolved against the page's url as RFC 3986 has it ('//host', '/path', '?query', 'page', '../page', with dot segments
+removed; a base element isn't minded); links of other schemes, such as mailto, name no page. Repeated rows are judged alike; an empty table gives no rows.
 """
 
 from __future__ import annotations
@@ -77,15 +78,35 @@ def identity(url: Column) -> Column:
     return F.when(F.instr(url, "://") > 0, F.concat(host(url), tail))
 
 
+def without_dots(path_: Column) -> Column:
+    """A path that begins with '/', without its '.' and '..' segments."""
+    segments = F.split(F.substring(path_, F.lit(2), F.length(path_)), "/")
+    step = lambda so_far, s: F.when(s == ".", so_far).when(s == "..", F.regexp_replace(so_far, "/[^/]*$", "")).otherwise(F.concat(so_far, F.lit("/"), s))
+    return F.aggregate(segments, F.lit(""), step)
+
+
 def absolute(link: Column, base: Column) -> Column:
+    """The url that a link on the page `base` names; null if it is of a scheme without '//'."""
     scheme = F.substring_index(base, "://", 1)
-    return F.when(F.instr(link, "://") > 0, link).when(link.startswith("//"), F.concat(scheme, F.lit(":"), link)).when(link.startswith("/"), F.concat(scheme, F.lit("://"), host(base), link))
+    own_path = F.regexp_extract(base, r"^[^:]*://[^/?#]*([^?#]*)", 1)
+    site = F.concat(scheme, F.lit("://"), F.regexp_extract(rest(base), r"^([^/?#]*)", 1))
+    folder = F.coalesce(F.nullif(F.regexp_replace(own_path, "[^/]*$", ""), F.lit("")), F.lit("/"))
+    whole = F.when(link.startswith("/"), link).otherwise(F.concat(folder, link))
+    resolved = F.concat(site, without_dots(F.regexp_extract(whole, r"^([^?#]*)", 1)), F.regexp_extract(whole, r"^[^?#]*(.*)$", 1))
+    return (
+        F.when(link.rlike(r"^[A-Za-z][A-Za-z0-9+.-]*://"), link)
+        .when(link.rlike(r"^[A-Za-z][A-Za-z0-9+.-]*:"), F.lit(None).cast("string"))
+        .when(link.startswith("//"), F.concat(scheme, F.lit(":"), link))
+        .when(link.startswith("?"), F.concat(site, own_path, link))
+        .when(link.startswith("#"), base)
+        .otherwise(resolved)
+    )
 
 
 def link_edges(pages: DataFrame) -> DataFrame:
     """(a, b, a_url, b_url): hashed identities of each page and what it redirects to or names as canonical."""
     html, url = F.coalesce("html", F.lit("")), F.col("url")
-    links = F.array(F.regexp_extract(html, CANONICAL, 1), F.regexp_extract(html, REFRESH, 1))
+    links = F.concat(F.regexp_extract_all(html, F.lit(CANONICAL), F.lit(1)), F.regexp_extract_all(html, F.lit(REFRESH), F.lit(1)))
     found = pages.where(url.isNotNull() & (F.instr(url, "://") > 0) & html.rlike("(?i)canonical|refresh"))
     found = found.select(url.alias("a_url"), F.explode(F.filter(links, lambda x: x != "")).alias("link"))
     found = found.select("a_url", absolute(F.replace("link", F.lit("&amp;"), F.lit("&")), F.col("a_url")).alias("b_url")).where("b_url is not null")
@@ -127,26 +148,31 @@ WITH RECURSIVE p AS (
 q AS (SELECT page_id, html,
   coalesce(translate(regexp_extract(rest, '^([^/?#]*)', 1), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '') AS host,
   coalesce(regexp_extract(rest, '^[^/?#]*([^?#]*)', 1), '') AS path,
-  split_part(url, '://', 1) AS scheme,
+  split_part(url, '://', 1) AS scheme, regexp_extract(rest, '^([^/?#]*)', 1) AS site, coalesce(nullif(regexp_replace(regexp_extract(rest, '^[^/?#]*([^?#]*)', 1), '[^/]*$', ''), ''), '/') AS folder,
   CASE WHEN rest IS NOT NULL THEN translate(regexp_extract(rest, '^([^/?#]*)', 1), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz')
     || regexp_replace(regexp_extract(rest, '^[^/?#]*([^#]*)', 1), '/$', '') END AS node FROM p),
 links AS (
-  SELECT node, scheme, host, replace(unnest([
-    regexp_extract(html, '(?is)<link\b[^>]*\brel\s*=\s*["'']?canonical\b[^>]*\bhref\s*=\s*["'']?([^"''\s>]+)', 1),
-    regexp_extract(html, '(?is)<link\b[^>]*\bhref\s*=\s*["'']?([^"''\s>]+)[^>]*\brel\s*=\s*["'']?canonical\b', 1),
-    regexp_extract(html, '(?is)<meta\b[^>]*\bhttp-equiv\s*=\s*["'']?refresh\b[^>]*\bcontent\s*=\s*["'']?[^"''>]*?url\s*=\s*["'']?([^"''\s>]+)', 1)]), '&amp;', '&') AS link
+  SELECT node, scheme, site, folder, host, path, replace(unnest(list_concat(list_concat(
+    regexp_extract_all(html, '(?is)<link\b[^>]*\brel\s*=\s*["'']?canonical\b[^>]*\bhref\s*=\s*["'']?([^"''\s>]+)', 1),
+    regexp_extract_all(html, '(?is)<link\b[^>]*\bhref\s*=\s*["'']?([^"''\s>]+)[^>]*\brel\s*=\s*["'']?canonical\b', 1)),
+    regexp_extract_all(html, '(?is)<meta\b[^>]*\bhttp-equiv\s*=\s*["'']?refresh\b[^>]*\bcontent\s*=\s*["'']?[^"''>]*?url\s*=\s*["'']?([^"''\s>]+)', 1))), '&amp;', '&') AS link
   FROM q WHERE node IS NOT NULL),
+wholes AS (SELECT *, CASE WHEN starts_with(link, '/') THEN link ELSE folder || link END AS whole FROM links WHERE link <> ''),
 targets AS (
-  SELECT node AS a, CASE WHEN instr(link, '://') > 0 THEN link WHEN starts_with(link, '//') THEN scheme || ':' || link
-    WHEN starts_with(link, '/') THEN scheme || '://' || host || link END AS b_url FROM links WHERE link <> ''),
+  SELECT node AS a, host AS a_host, path AS a_path, CASE WHEN regexp_matches(link, '^[A-Za-z][A-Za-z0-9+.-]*://') THEN link WHEN regexp_matches(link, '^[A-Za-z][A-Za-z0-9+.-]*:') THEN NULL
+    WHEN starts_with(link, '//') THEN scheme || ':' || link WHEN starts_with(link, '?') THEN scheme || '://' || site || path || link WHEN starts_with(link, '#') THEN NULL
+    ELSE scheme || '://' || site || list_reduce(string_split(substr(regexp_extract(whole, '^([^?#]*)', 1), 2), '/'),
+      lambda so_far, s: CASE WHEN s = '.' THEN so_far WHEN s = '..' THEN regexp_replace(so_far, '/[^/]*$', '') ELSE so_far || '/' || s END, '') || regexp_extract(whole, '^[^?#]*(.*)$', 1) END AS b_url FROM wholes),
 ends AS (
-  SELECT a, substr(b_url, instr(b_url, '://') + 3) AS rest FROM targets WHERE b_url IS NOT NULL),
+  SELECT a, a_host, a_path, substr(b_url, instr(b_url, '://') + 3) AS rest FROM targets WHERE b_url IS NOT NULL),
 edges AS (
-  SELECT a, translate(regexp_extract(rest, '^([^/?#]*)', 1), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz')
+  SELECT a, a_host, a_path, translate(regexp_extract(rest, '^([^/?#]*)', 1), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz') AS b_host, regexp_extract(rest, '^[^/?#]*([^?#]*)', 1) AS b_path,
+    translate(regexp_extract(rest, '^([^/?#]*)', 1), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz')
     || regexp_replace(regexp_extract(rest, '^[^/?#]*([^#]*)', 1), '/$', '') AS b FROM ends),
+urls AS (SELECT a AS node, a_host AS host, a_path AS path FROM edges WHERE a <> b UNION SELECT b, b_host, b_path FROM edges WHERE a <> b),
 both_ways AS (SELECT a, b FROM edges WHERE a <> b UNION SELECT b, a FROM edges WHERE a <> b),
 reach AS (SELECT a AS node, a AS other FROM both_ways UNION SELECT r.node, e.b FROM reach r JOIN both_ways e ON e.a = r.other),
-parts AS (SELECT DISTINCT node, regexp_extract(other, '^([^/?#]*)', 1) AS host, regexp_extract(other, '^[^/?#]*([^?#]*)', 1) AS path FROM reach),
+parts AS (SELECT DISTINCT r.node, u.host, u.path FROM reach r JOIN urls u ON u.node = r.other),
 rules(verdict, rule, rhost, rpath) AS (VALUES ('block', 'net/', 'net', '/'), ('allow', 'example.net/en/', 'example.net', '/en/'),
   ('block', 'example.com/de/', 'example.com', '/de/'), ('allow', 'org/fr/', 'org', '/fr/')),
 shared AS (
