@@ -15,6 +15,7 @@ their doc_id is, null or repeated. Terms never overlap base spans.
 
 from __future__ import annotations
 
+import bisect
 import hashlib
 import re
 from collections.abc import Iterator
@@ -95,29 +96,54 @@ def entities(kind: str, matched: str) -> list[str]:
     return [entity(kind, matched), kind, *domain]
 
 
-def context(text: str, start: int, end: int, k: int) -> Iterator[tuple[int, int, str]]:
-    """(start, end, term) of the k words before and after a span, without edge punctuation, in lower case."""
-    left, right = max(0, start - 40 * k), min(len(text), end + 40 * k)
-    before = [m for m in WORD.finditer(text, left, start)][-k:]
-    after = []
-    for m in WORD.finditer(text, end, right):
-        after.append(m)
-        if len(after) == k:
-            break
-    for m in [*before, *after]:
-        w = m[0].rstrip(EDGE)
-        s = m.start() + len(w) - len(w.lstrip(EDGE))
-        if w := w.strip(EDGE):
-            yield s, s + len(w), w.lower()
+class Covered:
+    """The places that spans cover, merged, so that a place is looked up by bisection."""
+
+    def __init__(self, spans: list[tuple[str, int, int]]) -> None:
+        self.starts: list[int] = []
+        self.ends: list[int] = []
+        for _, s, e in sorted(spans, key=lambda x: x[1:]):
+            if self.ends and s <= self.ends[-1]:
+                self.ends[-1] = max(self.ends[-1], e)
+            else:
+                self.starts.append(s)
+                self.ends.append(e)
+
+    def meets(self, start: int, end: int) -> bool:
+        i = bisect.bisect_right(self.ends, start)
+        return i < len(self.ends) and self.starts[i] < end
+
+
+class Words:
+    """The words of a whole text, found once, however many spans ask for their neighbours."""
+
+    def __init__(self, text: str) -> None:
+        self.text = text
+        self.spans = [m.span() for m in WORD.finditer(text)]
+        self.starts, self.ends = [s for s, _ in self.spans], [e for _, e in self.spans]
+
+    def around(self, start: int, end: int, k: int) -> Iterator[tuple[int, int, str]]:
+        """(start, end, term) of the k words before and after a span, whole whatever their length, without edge punctuation, in lower case.
+
+        Of a word that the span is a part of, what stands before and behind the span counts as words.
+        """
+        i, j = bisect.bisect_left(self.starts, start), bisect.bisect_right(self.ends, end)
+        near = [(s, min(e, start)) for s, e in self.spans[max(0, i - k) : i]] + [(max(s, end), e) for s, e in self.spans[j : j + k]]
+        for s, e in near:
+            w = self.text[s:e].rstrip(EDGE)
+            s += len(w) - len(w.lstrip(EDGE))
+            if w := w.strip(EDGE):
+                yield s, s + len(w), w.lower()
 
 
 def context_terms(text: str, spans: list[tuple[str, int, int]], rule: Sanitising) -> list[tuple[str, str, int, int]]:
     """(entity, term, start, end) for the terms around each span that no span covers."""
     out = []
+    words, covered = Words(text), Covered(spans)
     for kind, s, e in spans:
         levels = entities(kind, text[s:e])
-        for a, b, t in context(text, s, e, rule.context_words):
-            if len(t) >= rule.min_letters and t.isalpha() and not any(a < y and x < b for _, x, y in spans):
+        for a, b, t in words.around(s, e, rule.context_words):
+            if len(t) >= rule.min_letters and t.isalpha() and not covered.meets(a, b):
                 out += [(c, t, a, b) for c in levels]
     return out
 
@@ -193,7 +219,8 @@ def _terms(docs: DataFrame, rule: Sanitising) -> DataFrame:
 
 def _kept(terms: list | None, base: list[tuple[str, int, int]], text: str) -> list[tuple[str, int, int]]:
     """Term spans within the text that no base span covers: should two texts share a hash, base spans still stay as they are."""
-    return [("term", t["start"], t["end"]) for t in (terms if terms is not None else []) if t["end"] <= len(text) and not any(t["start"] < e and s < t["end"] for _, s, e in base)]
+    covered = Covered(base)
+    return [("term", t["start"], t["end"]) for t in (terms if terms is not None else []) if t["end"] <= len(text) and not covered.meets(t["start"], t["end"])]
 
 
 def find(docs: DataFrame, rule: Sanitising = Sanitising()) -> DataFrame:
