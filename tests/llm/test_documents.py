@@ -4,6 +4,7 @@ import hashlib
 import random
 import re
 import time
+import tracemalloc
 
 import numpy as np
 import pytest
@@ -284,6 +285,21 @@ def test_decontamination_tiles(spark):
     assert dict(block.match(" ".join(["again"] * 50_000))) == {1: 1.0}
     assert dict(block.match(long + " again")) == {2: 1.0}
     assert time.perf_counter() - began < 20
+    # a word that fills texts and items makes no pairs of places: 20,000 words against 20 items of 2,000 words each
+    block = decontaminate.Block([(k, " ".join(["again"] * 1_900 + [f"own{k}"] * 100)) for k in range(20)], decontaminate.Tiling())
+    tracemalloc.start()
+    began = time.perf_counter()
+    assert dict(block.match(" ".join(["again"] * 20_000))) == {k: 0.95 for k in range(20)}
+    assert time.perf_counter() - began < 10
+    assert tracemalloc.get_traced_memory()[1] < 100_000_000
+    tracemalloc.stop()
+    # every length from 39 words down is a level of its own
+    item = [w for n in range(5, 40) for w in [f"s{n}", *(["x"] * n)]]
+    text = [w for n in g.sample(range(5, 40), 35) for w in [*(["x"] * n), f"e{n}"]]
+    words = {w: k for k, w in enumerate(dict.fromkeys(item + text))}
+    code = np.array([g.randrange(1, 2**63) | 1 for _ in range(len(words) + 1)], np.uint64)
+    tiles = decontaminate.greedy_tiles(np.array([words[w] for w in text]), np.array([words[w] for w in item]), code, 5)
+    assert sum(n for _, _, n in tiles) == naive_tiles(text, item, 5)
     d = spark.createDataFrame([(None, "one two three four five six"), (None, "other words"), (5, "one two three four five six"), (5, "no"), (5, "no")], "doc_id long, text string")
     bench = spark.createDataFrame([(1, "one two three four five six"), (2, "words")], "item_id long, text string")
     key = lambda r: (str(r.doc_id), r.contaminated)

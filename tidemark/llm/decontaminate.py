@@ -1,9 +1,9 @@
 """Benchmark decontamination by greedy string tiling.
 
 Texts and benchmark items are sequences of words (what ASCII signs and white space part, in lower case). Windows of `seed` words that a text
-shares with an item, told by a rolling hash, are joined to candidate pairs. For each pair, the longest matches of words
-that no earlier tile covers are marked again and again, until none has `seed` words; each starts from a shared window,
-as in running Karp-Rabin matching. The share of the item's words under tiles is its coverage, whatever the order in
+shares with an item, told by a rolling hash, make candidate pairs; of the text, only words under such windows go on. For
+each pair, the longest matches of words that no earlier tile covers are marked again and again by running Karp-Rabin
+matching, from the longest length downwards, until none has `seed` words. The share of the item's words under tiles is its coverage, whatever the order in
 which the text holds the passages. A text is contaminated by an item with a coverage of `coverage` or more.
 
 The benchmark is cut into blocks of a bounded size, by hashed item, and each block's windows are broadcast to a pass
@@ -14,7 +14,8 @@ one window, all its words; one with fewer than `least_words` isn't looked for, s
 nothing. Of items with one id the best
 covered counts. An empty benchmark leaves every document clean, an empty table of documents gives no rows. Among ties the
 leftmost tile in the item, then in the text, is marked. Each row is judged by its own text, so null and repeated doc_ids do
-no harm, and repeated rows get equal results. Very long texts take time in proportion to their words and shared windows. In
+no harm, and repeated rows get equal results. Very long texts, and texts or items that repeat a word throughout, take memory
+in proportion to their words, as no pairs of places are laid out. In
 clean() all columns stay, whatever their names; report() only reads doc_id and text.
 """
 
@@ -23,7 +24,6 @@ from __future__ import annotations
 from collections import defaultdict
 from collections.abc import Iterator
 from dataclasses import dataclass
-from heapq import heapify, heappop, heappush
 
 import numpy as np
 import pyarrow as pa
@@ -51,44 +51,87 @@ def tokens(text: str) -> list[bytes]:
     return text.lower().encode("utf-8", "surrogatepass").translate(PARTING).split()
 
 
-Pair = tuple[int, int, int]
+Tile = tuple[int, int, int]
 
 
-def runs_of(at: np.ndarray, i: np.ndarray, seed: int) -> list[tuple[int, int, int]]:
-    """(-length, item place, text place) of the longest runs that the shared windows at (at, i) make along their diagonals."""
-    order = np.lexsort((i, at - i))
-    at, i = at[order], i[order]
-    first = np.flatnonzero(np.append(True, (np.diff(at - i) != 0) | (np.diff(i) != 1)))
-    n = np.diff(np.append(first, len(i))) + seed - 1
-    return list(zip((-n).tolist(), i[first].tolist(), at[first].tolist(), strict=True))
+class Fingerprints:
+    """Karp-Rabin fingerprints of the windows of any length, from running sums of codes times powers of an odd base."""
 
+    BASE = np.uint64(0x9E3779B97F4A7C15)
 
-def greedy_tiles(n_text: int, n_item: int, at: np.ndarray, i: np.ndarray, seed: int) -> list[Pair]:
-    """(text place, item place, length) of the tiles. (at, i): the pairs of places whose windows of seed words agree.
+    def __init__(self, codes: np.ndarray, most: int) -> None:
+        n = len(codes)
+        self.power = np.cumprod(np.append(np.uint64(1), np.full(max(n, most), self.BASE)))
+        self.sums = np.append(np.uint64(0), np.cumsum(codes * self.power[:n]))
 
-    Matches are kept as whole runs; one that earlier tiles cover in part is cut to what is free and waits for its turn.
+    def of(self, at: np.ndarray, length: int) -> np.ndarray:
+        """Of the windows that start at these places; equal windows have equal ones wherever they stand, also in another text with the same `most`."""
+        return (self.sums[at + length] - self.sums[at]) * self.power[len(self.power) - 1 - at]
+
+
+def free_starts(free: np.ndarray, length: int) -> np.ndarray:
+    """Starts of the windows of this length that hold free places alone."""
+    run = np.append(0, np.cumsum(free))
+    return np.flatnonzero(run[length:] - run[:-length] == length)
+
+
+def greedy_tiles(text: np.ndarray, item: np.ndarray, code: np.ndarray, seed: int) -> list[Tile]:
+    """(text place, item place, length) of the tiles of two arrays of words, below 0 where the text has a gap.
+
+    Running Karp-Rabin: the longest length at which free windows of both agree is found by bisection, as each match holds
+    all shorter ones. All tiles of that length are marked, from the left of the item and then of the text, then the next
+    shorter length is looked for. Memory follows the words of both, however often they repeat; there are no pairs of places.
     """
-    free_t, free_i = np.ones(n_text, bool), np.ones(n_item, bool)
-    left = n_item
-    heap = runs_of(at, i, seed)
-    heapify(heap)
-    tiles = []
-    while heap and left >= seed:
-        n, i0, t0 = heappop(heap)
-        free = free_t[t0 : t0 - n] & free_i[i0 : i0 - n]
-        if free.all():
-            free_t[t0 : t0 - n] = False
-            free_i[i0 : i0 - n] = False
-            left += n
-            tiles.append((t0, i0, -n))
-            continue
-        edge = np.flatnonzero(np.diff(free, prepend=False, append=False))
-        for k, end in zip(edge[::2].tolist(), edge[1::2].tolist(), strict=True):
-            if end - k >= seed:
-                heappush(heap, (k - end, i0 + k, t0 + k))
+    most = max(len(text), len(item))
+    prints_t, prints_i = Fingerprints(code[text], most), Fingerprints(code[item], most)
+    free_t, free_i = text >= 0, np.ones(len(item), bool)
+    tiles: list[Tile] = []
+
+    def meeting(length: int) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+        """Text windows, their fingerprints in order, and the item windows that meet one with theirs."""
+        t, i = free_starts(free_t, length), free_starts(free_i, length)
+        ft, fi = prints_t.of(t, length), prints_i.of(i, length)
+        met = np.isin(fi, ft)
+        return t, ft, i[met], fi[met]
+
+    longest = min(len(item), len(text)) + 1
+    while longest > seed:
+        low, high = seed - 1, longest - 1
+        while low < high:
+            middle = (low + high + 1) // 2
+            low, high = (middle, high) if len(meeting(middle)[2]) else (low, middle - 1)
+        if low < seed:
+            break
+        longest = low
+        t, ft, i, fi = meeting(longest)
+        order = np.argsort(ft, kind="stable")
+        t, ft = t[order], ft[order]
+        first, end = np.searchsorted(ft, fi).tolist(), np.searchsorted(ft, fi, side="right").tolist()
+        reached: dict[int, int] = {}
+        for i0, lo, hi in zip(i.tolist(), first, end, strict=True):
+            if not (free_i[i0] and free_i[i0 + longest - 1]):  # tiles of one length overlap at an end
+                continue
+            k = reached.get(lo, lo)
+            while k < hi and not (free_t[t[k]] and free_t[t[k] + longest - 1]):
+                k += 1
+            reached[lo] = k
+            if k < hi and np.array_equal(text[t[k] : t[k] + longest], item[i0 : i0 + longest]):
+                free_t[t[k] : t[k] + longest] = False
+                free_i[i0 : i0 + longest] = False
+                tiles.append((int(t[k]), i0, longest))
     return tiles
 
 
+def only_near(ids: np.ndarray, places: np.ndarray, seed: int) -> np.ndarray:
+    """The words that windows of seed words at these places cover, in order, with a -1 for each gap between them."""
+    under = np.zeros(len(ids) + 1, np.int64)
+    np.add.at(under, places, 1)
+    np.add.at(under, places + seed, -1)
+    covered = np.cumsum(under[:-1]) > 0
+    kept = covered | np.append(False, covered[:-1])
+    return np.where(covered, ids, -1)[kept]
+
+
 class Block:
     """A block of the benchmark: its words, and its windows by hash."""
 
@@ -148,22 +191,24 @@ class Block:
         if not hit.any():
             return out
         places, slot = places[hit], slot[hit]
-        often = self.often[slot]
-        entry = np.repeat(self.first[slot] - np.cumsum(often) + often, often) + np.arange(often.sum())
-        at, item, i = np.repeat(places, often), self.of_item[entry], self.place[entry]
+        kinds = np.unique(slot)
+        often = self.often[kinds]
+        entry = np.repeat(self.first[kinds] - np.cumsum(often) + often, often) + np.arange(often.sum())  # at most the block's windows
+        item, i = self.of_item[entry], self.place[entry]
         order = np.argsort(item, kind="stable")
-        at, item, i = at[order], item[order], i[order]
+        item, i = item[order], i[order]
         edge = np.flatnonzero(np.append(True, np.diff(item) != 0)).tolist()
         for low, high in zip(edge, [*edge[1:], len(item)], strict=True):
             item_id, own = self.items[item[low]]
             seen = np.zeros(len(own) + 1, np.int64)
-            starts = np.unique(i[low:high])
-            np.add.at(seen, starts, 1)
-            np.add.at(seen, np.minimum(starts + seed, len(own)), -1)
-            if (np.cumsum(seen[:-1]) > 0).sum() >= self.rule.coverage * len(own):  # else no tiling covers enough
-                out.append((item_id, sum(x[2] for x in greedy_tiles(len(ids), len(own), at[low:high], i[low:high], seed)) / len(own)))
-            else:
+            np.add.at(seen, i[low:high], 1)
+            np.add.at(seen, np.minimum(i[low:high] + seed, len(own)), -1)
+            if (np.cumsum(seen[:-1]) > 0).sum() < self.rule.coverage * len(own):  # no tiling covers enough
                 out.append((item_id, 0.0))
+                continue
+            ours = np.array(own)
+            shared = places[np.isin(self.seeds[slot], self.windows(ours))]
+            out.append((item_id, sum(x[2] for x in greedy_tiles(only_near(ids, shared, seed), ours, self.code, seed)) / len(own)))
         return out
 
 
