@@ -11,7 +11,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from tidemark.llm import decontaminate, line_dedup, mixing, parity_join, pii, quality_classifier, quality_rules, secrets, substring_dedup, url_filter
-from tidemark.llm.common import Scratch, connected_components
+from tidemark.llm.common import Scratch, connected_components, shared_folder
 
 SCHEMA = "doc_id long, text string, lang string, source string, n_chars long, `first` string, node int, component int"
 WORD = re.compile(r"[^\x20\x09-\x0D]+")
@@ -625,3 +625,23 @@ def test_url_filter(spark):
 def test_labels_do_not_change_with_lang(docs):
     one = quality_rules.score_documents(docs.withColumn("lang", F.lit(None).cast("string"))).where("class_distance is not null or word_distance is not null")
     assert one.count() == 0
+
+
+def test_learned_texts_of_one_id(spark):
+    """Of several texts of one doc_id the smallest is learned from, in whatever order rows come."""
+    rows = [(1, "b text"), (1, "a text"), (1, None), (2, "z"), (2, "y"), (None, "lost")]
+    lab = spark.createDataFrame([(1, 1, 0), (2, 0, 0), (None, 1, 0)], "doc_id long, quality int, toxic int")
+    for order in (rows, rows[::-1]):
+        d = spark.createDataFrame(order, "doc_id long, text string").repartition(3)
+        got = {(r.doc_id, r.text, r.domain) for r in mixing.labelled_texts(d, lab, mixing.Mix()).collect()}
+        assert got == {(1, "", "good"), (2, "y", "poor")}
+
+
+def test_shared_folder_of_a_cluster():
+    class Unset:
+        master = "spark://somewhere:7077"
+        getConf = staticmethod(dict)
+        getCheckpointDir = staticmethod(lambda: None)
+
+    with pytest.raises(ValueError, match=r"spark\.checkpoint\.dir"):
+        shared_folder(type("Session", (), {"sparkContext": Unset})())

@@ -63,10 +63,15 @@ def arrow_batches(columns: Iterable[tuple[str, object, pa.DataType]], rows: int
 
 
 def shared_folder(spark: SparkSession) -> str:
-    """The folder that the cluster names in spark.checkpoint.dir; where it is unset, as in tests, one of our own."""
+    """The folder that the cluster names in spark.checkpoint.dir; where it is unset, one of our own on a local master, as in tests.
+
+    On a cluster an unset folder raises ValueError, as executors don't share a temporary folder of the driver.
+    """
     sc = spark.sparkContext
     named = sc.getConf().get("spark.checkpoint.dir", "") or sc.getCheckpointDir() or ""
     if not named:
+        if not sc.master.startswith("local"):
+            raise ValueError("spark.checkpoint.dir must name a folder that all executors share")
         named = tempfile.mkdtemp(prefix="tidemark-shared-")
         sc.setCheckpointDir(named)
         named = sc.getCheckpointDir() or named

@@ -85,11 +85,11 @@ def bin_of(name: str) -> Column:
 
 
 def labelled_texts(docs: DataFrame, labels: DataFrame, mix: Mix) -> DataFrame:
-    """doc_id, text and domain of at most mix.sample labelled documents."""
+    """doc_id, text and domain of at most mix.sample labelled documents; of several texts of one doc_id the smallest, however often a task runs."""
     domain = F.when(F.max("toxic") == 1, "toxic").when(F.min("quality") == 0, "poor").when(F.min("quality") == 1, "good")
     known = labels.where("doc_id is not null").groupBy(F.col("doc_id").cast("long").alias("doc_id")).agg(domain.alias("domain")).where("domain is not null")
     chosen = F.broadcast(known.orderBy(F.xxhash64("doc_id"), "doc_id").limit(mix.sample))  # at most mix.sample rows
-    return docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.coalesce("text", F.lit("")).alias("text")).join(chosen, "doc_id").dropDuplicates(["doc_id"])
+    return docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.coalesce("text", F.lit("")).alias("text")).join(chosen, "doc_id").groupBy("doc_id", "domain").agg(F.min("text").alias("text")).select("doc_id", "text", "domain")
 
 
 def telling_words(learned: DataFrame, mix: Mix) -> list[str]:

@@ -24,7 +24,7 @@ from pyspark.ml.feature import VectorAssembler
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from tidemark.llm.common import Scratch, map_texts
+from tidemark.llm.common import Scratch, id_text, map_texts
 from tidemark.llm.quality_rules import _SPACE_BYTES, SYMBOLS, byte_counts, common_counts, repeated_words, words_of
 
 STATS = (
@@ -135,7 +135,9 @@ def score_documents(docs: DataFrame, labels: DataFrame, fit: Fit = Fit()) -> Dat
     """doc_id, held_out, score, predicted and the statistics for each row of docs."""
     scratch = Scratch(docs.sparkSession)
     chosen = F.broadcast(training_rows(docs, labels, fit))  # at most fit.sample rows
-    learned = scratch.keep(statistics_of(docs.join(chosen.select("doc_id"), "doc_id", "left_semi")).dropDuplicates(["doc_id"]).join(chosen, "doc_id"))
+    # of several texts of one doc_id the smallest is learned from, however often a task runs
+    texts = id_text(docs).join(chosen.select("doc_id"), "doc_id", "left_semi").groupBy("doc_id").agg(F.min("text").alias("text"))
+    learned = scratch.keep(statistics_of(texts).join(chosen, "doc_id"))
     ensemble = fit_rules(learned, fit)
     scratch.close()
     scored = statistics_of(docs).withColumn("score", ensemble.score())
