@@ -645,3 +645,12 @@ def test_shared_folder_of_a_cluster():
 
     with pytest.raises(ValueError, match=r"spark\.checkpoint\.dir"):
         shared_folder(type("Session", (), {"sparkContext": Unset})())
+
+
+def test_words_are_hashed_in_parts(monkeypatch):
+    texts = ["", "One two", " ", "Three é\tfour", "x" * 50, "", "two one"]
+    want = [w.tolist() for w in parity_join.word_hashes(texts)]
+    for size in (1, 7, 20):
+        monkeypatch.setattr(parity_join, "HASHED_BYTES", size)
+        assert [w.tolist() for w in parity_join.word_hashes(texts)] == want
+    assert [len(w) for w in want] == [0, 2, 0, 3, 1, 0, 2] and want[1] == want[6][::-1] and parity_join.word_hashes([]) == []

@@ -72,9 +72,28 @@ _SPACE = np.zeros(256, dtype=bool)
 _SPACE[[0x20, *range(0x09, 0x0E)]] = True
 
 
+#: Bytes of texts that are hashed at once, at some 60 bytes of arrays a byte; a longer text goes alone.
+HASHED_BYTES = 250_000
+
+
 def word_hashes(texts: list[str]) -> list[np.ndarray]:
-    """A 64-bit hash of each word of each text, A-Z lower-cased; a polynomial over all bytes of the texts at once."""
-    data = b"\n".join(t.encode("utf-8", "surrogatepass") for t in texts).lower() + b"\n"
+    """A 64-bit hash of each word of each text, A-Z lower-cased, in parts of HASHED_BYTES."""
+    out: list[np.ndarray] = []
+    part: list[bytes] = []
+    size = 0
+    for t in texts:
+        data = t.encode("utf-8", "surrogatepass")
+        if part and size + len(data) > HASHED_BYTES:
+            out += _hashed(part)
+            part, size = [], 0
+        part.append(data)
+        size += len(data) + 1
+    return out + (_hashed(part) if part else [])
+
+
+def _hashed(texts: list[bytes]) -> list[np.ndarray]:
+    """word_hashes() of texts in UTF-8; a polynomial over all their bytes at once."""
+    data = b"\n".join(texts).lower() + b"\n"
     code = np.frombuffer(data, dtype=np.uint8)
     space = _SPACE[code]
     edge = np.flatnonzero(np.diff(space, prepend=True))
@@ -85,7 +104,7 @@ def word_hashes(texts: list[str]) -> list[np.ndarray]:
     inverse = np.uint64(pow(int(_A), -1, 2**64))
     back = np.cumprod(np.full(len(code), inverse, dtype=np.uint64))
     words = mixed((sums[end] - sums[start]) * back[start] + (end - start).astype(np.uint64))
-    ends = np.cumsum([len(t.encode("utf-8", "surrogatepass")) + 1 for t in texts])
+    ends = np.cumsum([len(t) + 1 for t in texts])
     return np.split(words, np.searchsorted(start, ends[:-1]))
 
 
