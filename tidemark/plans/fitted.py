@@ -90,7 +90,10 @@ def hazard_model(spark: SparkSession, d: str) -> DataFrame:
     """A discrete-time hazard of the next order by period and earlier activity, and its mean prediction by period."""
     rows = person_periods(spark, d).join(pit_order_features(spark, d).select("o_orderkey", "games_365"), "o_orderkey").withColumn("period_name", F.concat(F.lit("p"), F.col("period").cast("string"))).withColumn("y", F.col("hazard_event").cast("double")).cache()
     pre = M.fit_preprocessor(rows, ["games_365"], ["period_name"])
-    fitted = M.probability(M.logistic(pre.transform(rows).cache(), "y", 1.0), pre.transform(rows))
+    held = pre.transform(rows).cache()
+    model = M.logistic(held, "y", 1.0)
+    held.unpersist()
+    fitted = M.probability(model, pre.transform(rows))
     return fitted.groupBy("period").agg(F.count("*").alias("n"), F.round(F.avg("y"), 6).alias("observed"), F.round(F.avg("p"), 6).alias("predicted"))
 
 
@@ -99,7 +102,9 @@ def boosted_model(spark: SparkSession, d: str) -> DataFrame:
     frame = order_frame(spark, d).cache()
     train = frame.where("year <= 1998")
     pre = M.fit_preprocessor(train, NUMBERS, ["o_orderpriority"])
-    model = M.boosted(pre.transform(train).cache(), "y", classify=False, rounds=5)
+    held = pre.transform(train).cache()
+    model = M.boosted(held, "y", classify=False, rounds=5)
+    held.unpersist()
     return model.transform(pre.transform(frame.where("year > 1998"))).groupBy("year").agg(F.count("*").alias("n"), F.round(F.avg(F.abs(F.col("y") - F.col("prediction"))), 6).alias("mae"))
 
 
@@ -174,7 +179,9 @@ def explained_scores(spark: SparkSession, d: str) -> DataFrame:
     """The largest contribution of a raw feature to each order's score of a logistic model."""
     frame = order_frame(spark, d).cache()
     pre = M.fit_preprocessor(frame, NUMBERS, ["o_orderpriority"])
-    model = M.logistic(pre.transform(frame).cache(), "large", 1.0)
+    held = pre.transform(frame).cache()
+    model = M.logistic(held, "large", 1.0)
+    held.unpersist()
     parts = F.map_entries(M.contributions(pre, list(model.coefficients)))
     top = F.array_max(F.transform(parts, lambda x: F.struct(F.abs(x["value"]).alias("size"), x["key"].alias("feature"), x["value"].alias("value"))))
     return frame.select("o_orderkey", top.alias("t")).select("o_orderkey", "t.feature", F.round("t.value", 6).alias("contribution"))
