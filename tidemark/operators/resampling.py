@@ -10,6 +10,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from tidemark.operators.newton import draw_sums
+from tidemark.sources.scratch import shared_root
 
 
 def cluster_sums(rows: DataFrame, cluster: str, baseline: str, candidate: str, actual: str, stratum: str | None = None) -> DataFrame:
@@ -71,37 +72,47 @@ def stability_label(improvement: float, by_origin: list[float], low: float, high
     return "mixed" if any(x > 0 for x in by_origin) and any(x < 0 for x in by_origin) else "unclear"
 
 
-def permutation_heterogeneity(rows: DataFrame, group: str, value: str, *, stratum: str | None = None, draws: int = 500, seed: int = 7, slots: int = 64) -> DataFrame:
+#: Rows of a slot that a permutation is dealt over in one task, where there are more than the least number of slots hold.
+SLOT_ROWS = 250_000
+
+
+def permutation_heterogeneity(rows: DataFrame, group: str, value: str, *, stratum: str | None = None, key: str | None = None, draws: int = 500, seed: int = 7, slots: int = 64) -> DataFrame:
     """n_draws, spread (of group means, weighted) and p_value: how often a random permutation of the groups over the rows spreads as much.
 
     A permutation is drawn in two steps, which together are exact: how many rows of each slot (rows by hash) go to each
     group is hypergeometric, in the groups' own counts and within each stratum; then each slot deals these counts out over
-    its rows. So a task holds one slot's values, and only groups x slots x draws small counts are made beforehand. Draws
-    depend on the rows alone and not on how they are partitioned. Rows without a group or value don't count.
+    its rows. So a task holds one slot's values, and only groups x slots x draws small counts are made beforehand; there are
+    more slots than asked for where one would hold more than SLOT_ROWS rows on average. Draws depend on the rows alone, by
+    key where one is named, and not on how they are partitioned. Values are written once before they are counted: sums of
+    doubles may differ between two runs of a plan, and rows that change slots then don't fit their counts. Rows without a
+    group or value don't count.
     """
     known = rows.where(F.col(group).isNotNull() & F.col(value).isNotNull())
     layer = F.lit("all") if stratum is None else F.coalesce(F.col(stratum).cast("string"), F.lit(""))
-    kept = known.select(layer.alias("stratum"), F.col(group).cast("string").alias("g"), F.col(value).cast("double").alias("v"), F.xxhash64(*rows.columns).alias("row")).withColumn("slot", F.pmod("row", F.lit(slots)))
-    base = kept.groupBy("g").agg(F.count("*").alias("n"), F.sum("v").alias("s")).orderBy("g").collect()  # one row a group
+    shared_root(rows.sparkSession)
+    fixed = known.select(layer.alias("stratum"), F.col(group).cast("string").alias("g"), F.col(value).cast("double").alias("v"), F.xxhash64(*([key] if key else rows.columns)).alias("row")).checkpoint()
+    base = fixed.groupBy("g").agg(F.count("*").alias("n"), F.sum("v").alias("s")).orderBy("g").collect()  # one row a group
     names, sizes = [r.g for r in base], np.array([r.n for r in base], dtype=float)
     if not names:
-        return kept.agg(F.lit(0).cast("long").alias("n_draws"), F.lit(None).cast("double").alias("spread"), F.lit(None).cast("double").alias("p_value"))
+        return fixed.agg(F.lit(0).cast("long").alias("n_draws"), F.lit(None).cast("double").alias("spread"), F.lit(None).cast("double").alias("p_value"))
+    kept = fixed.withColumn("slot", F.pmod("row", F.lit(max(slots, -(-int(sizes.sum()) // SLOT_ROWS)))))
     mean = sum(r.s for r in base) / sizes.sum()
     observed = float((sizes * (np.array([r.s for r in base]) / sizes - mean) ** 2).sum() / sizes.sum())
-    counts = {(r.stratum, r.slot, r.g): r["count"] for r in kept.groupBy("stratum", "slot", "g").count().collect()}  # strata x slots x groups
+    counts: dict = {}
+    for r in kept.groupBy("stratum", "slot", "g").count().toLocalIterator():  # strata x slots x groups
+        counts.setdefault(r.stratum, {}).setdefault(r.slot, {})[r.g] = r["count"]
     dealt: dict[tuple[str, int], np.ndarray] = {}
-    for layer_name in sorted({k[0] for k in counts}):
+    for layer_name, of in sorted(counts.items()):
         g = np.random.default_rng([seed, zlib.crc32(layer_name.encode())])
-        left = np.tile([sum(v for k, v in counts.items() if k[0] == layer_name and k[2] == x) for x in names], (draws, 1)).astype(np.int64)
-        for slot in sorted({k[1] for k in counts if k[0] == layer_name}):
-            take = sum(v for k, v in counts.items() if k[:2] == (layer_name, slot))
-            got = np.vstack([g.multivariate_hypergeometric(row, take) for row in left])
+        left = np.tile([sum(n.get(x, 0) for n in of.values()) for x in names], (draws, 1)).astype(np.int64)
+        for slot, n in sorted(of.items()):
+            got = np.vstack([g.multivariate_hypergeometric(row, sum(n.values())) for row in left])
             left -= got
             dealt[layer_name, slot] = got
     shared = rows.sparkSession.sparkContext.broadcast(dealt)
 
     def permute(key: tuple, pdf: pd.DataFrame) -> pd.DataFrame:
-        values = pdf.sort_values(["row", "v", "g"])["v"].to_numpy()
+        values = pdf.sort_values(["row", "v"])["v"].to_numpy()
         g = np.random.default_rng([seed + 1, int(key[1]), zlib.crc32(str(key[0]).encode())])
         sums = np.zeros((draws, len(names)))
         for n, take in enumerate(shared.value[key[0], int(key[1])]):
@@ -110,7 +121,7 @@ def permutation_heterogeneity(rows: DataFrame, group: str, value: str, *, stratu
             sums[n] = before[ends] - before[ends - take]
         return pd.DataFrame({"draw": np.repeat(np.arange(draws), len(names)), "g": np.tile(names, draws), "s": sums.ravel()})
 
-    drawn = kept.groupBy("stratum", "slot").applyInPandas(permute, "draw int, g string, s double").groupBy("draw", "g").agg(F.sum("s").alias("s"))
+    drawn = kept.drop("g").groupBy("stratum", "slot").applyInPandas(permute, "draw int, g string, s double").groupBy("draw", "g").agg(F.sum("s").alias("s"))
     size = F.element_at(F.create_map(*[x for g, n in zip(names, sizes, strict=True) for x in (F.lit(g), F.lit(float(n)))]), F.col("g"))
     per = drawn.withColumn("n", size).groupBy("draw").agg((F.sum(F.col("n") * F.pow(F.col("s") / F.col("n") - mean, F.lit(2))) / float(sizes.sum())).alias("v"))
     as_much = F.col("v") >= observed * (1 - 1e-12)
