@@ -24,3 +24,23 @@ def test_adjusted_p_values_in_bands(spark):
             assert got[f, own[rank - 1][1]] == pytest.approx(low)
         assert all(got[h, i] is None for h, i, p in rows if h == f and p is None)
     assert "currentrow$(), unboundedfollowing" not in out._jdf.queryExecution().optimizedPlan().toString().lower()
+
+
+def test_quantiles_of_few_groups_keep_rows_in_place(spark):
+    """Rows meet their group's brackets by broadcast even where Spark wouldn't choose it; a shuffle by group would be one task a group."""
+    df = spark.range(20_000).select(F.when(F.col("id") % 2 == 0, "a").alias("g"), (F.col("id") * 7919 % 20_011 * 1.0).alias("v"))
+    want = {g: sorted(i * 7919 % 20_011 for i in range(20_000) if (i % 2 == 0) == (g == "a")) for g in ("a", None)}
+    held = spark.conf.get("spark.sql.autoBroadcastJoinThreshold")
+    spark.conf.set("spark.sql.autoBroadcastJoinThreshold", "-1")
+    try:
+        out = D.exact_quantiles(df, "v", [0.5], ["g"])
+        assert {r.g: r.q[0] for r in out.collect()} == {g: (v[4999] + v[5000]) / 2 for g, v in want.items()}
+        assert "SortMergeJoin" not in out._jdf.queryExecution().executedPlan().toString()
+    finally:
+        spark.conf.set("spark.sql.autoBroadcastJoinThreshold", held)
+
+
+def test_quantiles_of_many_groups(spark, monkeypatch):
+    monkeypatch.setattr(D, "BROADCAST_GROUPS", 3)
+    df = spark.range(500).select((F.col("id") % 5).alias("g"), F.col("id").cast("double").alias("v"))
+    assert {r.g: r.q[0] for r in D.exact_quantiles(df, "v", [0.5], ["g"]).collect()} == {g: 247.5 + g - 0.0 for g in range(5)}
