@@ -44,3 +44,18 @@ def test_quantiles_of_many_groups(spark, monkeypatch):
     monkeypatch.setattr(D, "BROADCAST_GROUPS", 3)
     df = spark.range(500).select((F.col("id") % 5).alias("g"), F.col("id").cast("double").alias("v"))
     assert {r.g: r.q[0] for r in D.exact_quantiles(df, "v", [0.5], ["g"]).collect()} == {g: 247.5 + g - 0.0 for g in range(5)}
+
+
+def test_spearman_in_bands(spark):
+    """Ties, two values that fill a group, a null group; windows are cut by band and not by group alone."""
+    import pandas as pd
+
+    g = random.Random(6)
+    rows = [(k, float(g.randrange(5)), g.choice([g.gauss(0, 1), 1.0])) for k in ("a", None) for _ in range(500)] + [("b", float(i % 2), float(i % 3)) for i in range(60)]
+    out = D.spearman(spark.createDataFrame(rows, "k string, x double, y double"), "k", "x", "y")
+    got = {r.k: (r.pearson, r.spearman) for r in out.collect()}
+    for k in ("a", "b", None):
+        own = pd.DataFrame([r[1:] for r in rows if r[0] == k], columns=["x", "y"])
+        assert got[k] == pytest.approx((own.x.corr(own.y), own.x.rank().corr(own.y.rank())))
+    plan = out._jdf.queryExecution().optimizedPlan().toString()
+    assert all("__band" in w for w in plan.split("\n") if "Window [" in w)
