@@ -82,3 +82,51 @@ def test_separable_classes_converge(spark):
     df = spark.createDataFrame([([float(i)], float(i > 5)) for i in range(12)], "x array<double>, y double")
     (f,) = N.logistic_many(df, "x", "y", [1000.0])
     assert f.converged and f.coefficients[0] > 1
+
+
+def _passes(monkeypatch):
+    """Rows that each pass over all draws reads, and whether it tries each draw's own parameters."""
+    whole, seen = N._sums, []
+
+    def noted(rows, per_batch, width):
+        out = whole(rows, per_batch, width)
+        if any(len(of) > 1 for of in out.values()):
+            seen.append((rows.count(), per_batch.__qualname__.split(".")[0]))
+        return out
+
+    monkeypatch.setattr(N, "_sums", noted)
+    return seen
+
+
+def test_draws_of_few_different_rows(spark, monkeypatch):
+    """Weights are added up by the different rows once; steps run over these sums and give the same fits."""
+    seen = _passes(monkeypatch)
+    df = spark.range(3000).select(F.col("id").alias("c"), F.array((F.col("id") % 4).cast("double"), (F.col("id") % 3).cast("double")).alias("x"), (F.xxhash64("id") % 3 == 0).cast("double").alias("y"))
+    df = df.unionByName(df.where("c % 2 = 0").withColumn("x", F.array(F.lit(5.0), F.lit(1.0)))).repartition(3)  # clusters of several rows
+    fits = N.logistic_many(df, "x", "y", [1.0], draws=12, cluster="c")
+    assert all(f.converged for f in fits) and len(fits) == 12 and seen and all(n <= 26 for n, _ in seen)
+    monkeypatch.setattr(N, "PATTERNS", 0)
+    apart = N.logistic_many(df, "x", "y", [1.0], draws=12, cluster="c")
+    assert np.allclose([[f.intercept, *f.coefficients] for f in fits], [[f.intercept, *f.coefficients] for f in apart], atol=1e-7)
+
+
+def test_draws_start_near_their_minimum(spark, monkeypatch):
+    """Continuous features: one pass at the fit of all rows, and at most two by the draws' own probabilities."""
+    seen = _passes(monkeypatch)
+    df = spark.range(20_000).select("id", F.array(F.randn(1), F.randn(2), F.randn(3)).alias("x"), F.rand(4).alias("u")).withColumn("y", (F.col("u") < 1 / (1 + F.exp(-F.col("x")[0] / 2))).cast("double")).persist()
+    fits = N.logistic_many(df, "x", "y", [1.0], draws=20, cluster="id")
+    assert all(f.converged for f in fits) and [q for _, q in seen][:1] == ["_near"] and len(seen) <= 3
+    rows = df.withColumn("h", F.xxhash64("id")).collect()
+    w = N.draw_weights(np.array([r.h for r in rows]), 20, 7)[:, 3]
+    x, y, b = np.array([[1.0, *r.x] for r in rows]), np.array([r.y for r in rows]), np.array([fits[3].intercept, *fits[3].coefficients])
+    assert np.abs(x.T @ (w * (1 / (1 + np.exp(-x @ b)) - y)) + [0, *b[1:]]).max() < 1e-3  # at the minimum
+
+
+def test_weights_by_table():
+    """Looked up by 16 bits, they are those of all 53."""
+    bits = N.mixed(np.arange(1, 300_001, dtype=np.uint64))
+    at = (bits >> np.uint64(11)).astype(np.float64) * 2.0**-53
+    settled = N._WEIGHT[(bits >> np.uint64(48)).astype(int)]
+    known = settled < 255
+    assert (settled[known] == np.searchsorted(N._CDF, at[known], side="right")).all() and known.mean() > 0.999
+    assert (N.draw_weights(np.arange(50), 9, 3, np.array([2, 7])) == N.draw_weights(np.arange(50), 9, 3)[:, [2, 7]]).all()
