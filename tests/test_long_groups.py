@@ -6,6 +6,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from tidemark.operators import distribution as D
+from tidemark.operators import relational as R
 
 
 def test_adjusted_p_values_in_bands(spark):
@@ -59,3 +60,15 @@ def test_spearman_in_bands(spark):
         assert got[k] == pytest.approx((own.x.corr(own.y), own.x.rank().corr(own.y.rank())))
     plan = out._jdf.queryExecution().optimizedPlan().toString()
     assert all("__band" in w for w in plan.split("\n") if "Window [" in w)
+
+
+def test_spine_counts_by_counted_tasks(spark, monkeypatch):
+    """Each key once with its rows in each source, no joins, and more tasks where there are more rows."""
+    monkeypatch.setattr(R, "SPINE_ROWS", 50)
+    a = spark.createDataFrame([(i % 70, "x") for i in range(300)] + [(None, "x")], "k long, w string")
+    b = spark.createDataFrame([(i, "x") for i in range(60, 90)], "k long, w string")
+    out = R.spine_counts({"n_a": a, "n_b": b}, ["k", "w"])
+    got = {r.k: (r.n_a, r.n_b) for r in out.collect()}
+    assert got == {k: (sum(i % 70 == k for i in range(300)), int(60 <= k < 90)) for k in range(90)}
+    plan = out._jdf.queryExecution().optimizedPlan().toString()
+    assert "Join" not in plan and out.rdd.getNumPartitions() == 7

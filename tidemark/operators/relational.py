@@ -39,6 +39,24 @@ def key_spine(*sources: DataFrame) -> DataFrame:
     return reduce(lambda a, b: a.unionByName(b), sources).distinct()
 
 
+#: Rows of a task of a spine's counts.
+SPINE_ROWS = 1_000_000
+
+
+def spine_counts(sources: dict[str, DataFrame], keys: list[str]) -> DataFrame:
+    """Each key of any source once, with its rows in each source (0: none). Rows with a null in the key don't count.
+
+    What the sources' counts joined back to their spine give, by one shuffle and one aggregation: nothing is sorted or joined, and
+    there are as many tasks as the counted rows need, so a task's share doesn't grow with the input.
+    """
+    known = {name: df.select(*keys).dropna() for name, df in sources.items()}
+    marked = [df.select(*keys, *[F.lit(int(n == name)).alias(n) for n in sources]) for name, df in known.items()]
+    every = reduce(DataFrame.unionByName, marked)
+    least = int(every.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    dealt = every.repartition(max(least, -(-every.count() // SPINE_ROWS)), *keys)
+    return dealt.groupBy(*keys).agg(*[F.sum(n).alias(n) for n in sources])
+
+
 def prioritised(*candidates: tuple[Column, str]) -> tuple[Column, Column]:
     """The first value that is there, and the name of its source."""
     value = F.coalesce(*[c for c, _ in candidates])

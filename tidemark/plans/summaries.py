@@ -100,15 +100,11 @@ def priority_coalesce_agreement(spark: SparkSession, d: str) -> DataFrame:
 WITH k AS (SELECT DISTINCT l_orderkey, l_partkey FROM lineitem), f AS (SELECT l_orderkey, l_partkey, count(*) FILTER (l_returnflag = 'A') AS a, count(*) FILTER (l_returnflag = 'R') AS r, count(*) FILTER (l_returnflag = 'N' AND l_linestatus = 'O') AS no, count(*) FILTER (l_returnflag = 'N' AND l_linestatus = 'F') AS nf FROM lineitem GROUP BY 1, 2)
 SELECT k.l_orderkey, k.l_partkey, a AS n_a, r AS n_r, no AS n_no, nf AS n_nf FROM k JOIN f USING (l_orderkey, l_partkey)""")
 def key_spine_four_sources(spark: SparkSession, d: str) -> DataFrame:
-    """Keys of four sources, each joined back to the union of all keys."""
+    """Keys of four sources, with the rows of each source for every one of them."""
     lines = table(spark, d, "lineitem", "l_orderkey", "l_partkey", "l_returnflag", "l_linestatus")
     keys = ["l_orderkey", "l_partkey"]
     rules = {"n_a": "l_returnflag = 'A'", "n_r": "l_returnflag = 'R'", "n_no": "l_returnflag = 'N' and l_linestatus = 'O'", "n_nf": "l_returnflag = 'N' and l_linestatus = 'F'"}
-    parts = {name: lines.where(rule).groupBy(*keys).agg(F.count("*").alias(name)) for name, rule in rules.items()}
-    out = R.key_spine(*[p.select(*keys) for p in parts.values()])
-    for p in parts.values():
-        out = out.join(p, keys, "left")
-    return out.na.fill(0, list(parts))
+    return R.spine_counts({name: lines.where(rule) for name, rule in rules.items()}, keys)
 
 
 @query("""
