@@ -79,3 +79,19 @@ def test_nulls_and_no_rows(spark, df):
     model = B.fit(some, ["a", "b"], "y", B.Boost(rounds=3))
     assert model.transform(some).where("prediction is null or isnan(prediction)").isEmpty()
     assert B.fit(df.limit(0), ["a"], "y", B.Boost(rounds=2)).transform(df).agg(F.max("prediction")).first()[0] == 0
+
+
+def test_picked_by_whole_columns():
+    """A tree's nodes by comparisons of whole columns are those of walking down row by row, and cost no look-up a row."""
+    g = np.random.default_rng(5)
+    tree = B.Tree(np.array([0, 1, -1, 2, 0, -1, -1] + [-1] * 8), np.array([3, 2, 0, 1, 1, 0, 0] + [0] * 8), np.arange(15.0) / 7)
+    x = g.integers(0, 6, (3, 500))
+    for depth in range(4):
+        want = []
+        for row in x.T:
+            at = 0
+            for _ in range(depth):
+                f = tree.feature[at]
+                at = at if f < 0 else 2 * at + 1 + int(row[f] > tree.bin[at])
+            want.append(at)
+        assert (tree.nodes(x, depth) == want).all() and (tree.picked(x, tree.value, depth) == tree.value[want]).all()
