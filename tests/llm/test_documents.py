@@ -456,13 +456,13 @@ def test_every_secret_finding_trains_or_calibrates(spark):
     words = ["".join(g.choice("aeioutnrs") for _ in range(9)) + x for x in ("ba", "ce") for _ in range(3000)]
     keys = ["".join(g.choice("0123456789abcdef") for _ in range(40)) for _ in range(1700)]
     texts = [" ".join(words[i::50]) for i in range(50)] + [f"x token = {k} y" for k in keys]
-    net = secrets.Net(slot=1000, turn=250, epochs=4)
-    rows = secrets.findings(spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string"), net).distinct().cache()
+    rows = secrets.findings(spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")).distinct().cache()
     told = {k: n for k, n in rows.groupBy("label").agg(F.count_distinct("order")).collect()}
     assert told == {0: len(set(words)), 1: len(set(keys))}
     every = rows.withColumn("g", F.when(F.col("label") == 1, 3).otherwise(F.col("shape")))
     training, held = every.where("pmod(order, 3) != 2"), every.where("pmod(order, 3) = 2")
     sizes = {r.g: r["count"] for r in training.groupBy("g").count().collect()}
+    net = secrets.Net(slot=1000, turn=250, epochs=4)
     packed, slots = secrets.dealt(training, sizes, net)
     read = packed.where("part < parts and parts <= 4").select("g", F.explode("codes").alias("codes")).distinct()
     assert slots == -(-sizes[0] // 1000) and read.exceptAll(training.select("g", "codes").distinct()).count() == 0
