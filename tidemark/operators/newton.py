@@ -325,7 +325,7 @@ def intervals(fits: list[Fit], names: list[str], level: float = 0.95) -> list[tu
 
 
 def draw_sums(rows: DataFrame, cluster: str, values: list[str], draws: int, *, group: str | None = None, seed: int = 7) -> DataFrame:
-    """g, draw and, for each value, its sum over the rows weighted by the draw; and drawn, the sum of the weights.
+    """g, draw and, for each value, its sum over the rows weighted by the draw; drawn, the sum of the weights, and clusters, how many rows the group has.
 
     A task holds one batch and the sums of its groups and draws, whatever the number of rows.
     """
@@ -335,19 +335,21 @@ def draw_sums(rows: DataFrame, cluster: str, values: list[str], draws: int, *, g
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         total: dict = {}
+        size: dict = {}
         for b in batches:
             coded, h, v = b.column(0).dictionary_encode(), np.asarray(b.column(1)), np.asarray(b.column(2).flatten(), dtype=np.float64).reshape(-1, width)
             groups = np.asarray(coded.indices.fill_null(-1))
             for i, own in enumerate(coded.dictionary.to_pylist()):
                 at = np.flatnonzero(groups == i)
+                size[own] = size.get(own, 0) + len(at)
                 for low in range(0, len(at), max(1, CELLS // draws)):
                     part = at[low : low + max(1, CELLS // draws)]
                     s = draw_weights(h[part], draws, seed).T @ np.nan_to_num(v[part])
                     total[own] = total[own] + s if own in total else s
         for own, s in total.items():
             for low in range(0, draws, 5000):
-                part = s[low : low + 5000]
+                part = np.column_stack([s[low : low + 5000], np.full(len(s[low : low + 5000]), size[own])])
                 yield pa.RecordBatch.from_arrays([pa.array([own] * len(part), pa.string()), pa.array(np.arange(low, low + len(part), dtype=np.int32)), pa.array(part.tolist(), pa.list_(pa.float64()))], names=["g", "draw", "s"])
 
     every = kept.mapInArrow(run, "g string, draw int, s array<double>")
-    return every.groupBy("g", "draw").agg(*[F.sum(F.col("s")[i]).alias(c) for i, c in enumerate([*values, "drawn"])])
+    return every.groupBy("g", "draw").agg(*[F.sum(F.col("s")[i]).alias(c) for i, c in enumerate([*values, "drawn", "clusters"])])

@@ -24,13 +24,12 @@ def bootstrap_improvement(rows: DataFrame, cluster: str, baseline: str, candidat
     """draw and improvement (mean squared error of the baseline less that of the candidate) over resampled clusters.
 
     Clusters are resampled by Poisson weights from a hash of the cluster and the draw, so that a task holds one Arrow batch and the sums
-    of its strata and draws, however many clusters there are. Each stratum's sums are scaled to as many clusters as it has, so a
-    draw holds every stratum in its own size.
+    of its strata and draws, however many clusters there are. Each stratum's sums are scaled to as many clusters as it has, which the
+    same pass counts, so a draw holds every stratum in its own size.
     """
     per = cluster_sums(rows, cluster, baseline, candidate, actual, stratum)
-    sizes = per.groupBy(F.col("stratum").alias("of")).agg(F.count("*").alias("clusters"))
     sums = draw_sums(per, cluster, ["baseline", "candidate", "n"], draws, group="stratum", seed=seed).where("drawn > 0")
-    strata = sums.join(sizes, F.col("g") == F.col("of")).withColumn("w", F.col("clusters") / F.col("drawn"))
+    strata = sums.withColumn("w", F.col("clusters") / F.col("drawn"))
     return strata.groupBy("draw").agg((F.sum((F.col("baseline") - F.col("candidate")) * F.col("w")) / F.sum(F.col("n") * F.col("w"))).alias("improvement"))
 
 
