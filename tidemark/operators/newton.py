@@ -91,13 +91,17 @@ def _sums(rows: DataFrame, per_batch, width: int) -> dict:  # noqa: ANN001
 
 def _design(b: pa.RecordBatch, p: int) -> tuple[list[tuple[str, np.ndarray]], np.ndarray, np.ndarray]:
     """Groups with the places of their rows, rows with a leading 1, and labels of a batch."""
+    groups, x = _features(b, p)
+    return groups, np.column_stack([np.ones(len(x)), x]), np.asarray(b.column(2), dtype=np.float64)
+
+
+def _features(b: pa.RecordBatch, p: int) -> tuple[list[tuple[str, np.ndarray]], np.ndarray]:
     x = np.asarray(b.column(1).flatten(), dtype=np.float64)
-    y = np.asarray(b.column(2), dtype=np.float64)
     sizes = np.diff(np.asarray(b.column(1).offsets))
-    x = x.reshape(len(y), p) if (sizes == p).all() else _ragged(x, sizes, p)
+    x = x.reshape(b.num_rows, p) if (sizes == p).all() else _ragged(x, sizes, p)
     coded = b.column(0).dictionary_encode()
     at = np.asarray(coded.indices)
-    return [(g, np.flatnonzero(at == i)) for i, g in enumerate(coded.dictionary.to_pylist())], np.column_stack([np.ones(len(y)), x]), y
+    return [(g, np.flatnonzero(at == i)) for i, g in enumerate(coded.dictionary.to_pylist())], x
 
 
 def _ragged(x: np.ndarray, sizes: np.ndarray, p: int) -> np.ndarray:
@@ -106,11 +110,13 @@ def _ragged(x: np.ndarray, sizes: np.ndarray, p: int) -> np.ndarray:
     return out
 
 
-def _told(rows: DataFrame, group: str | None, features: str, label: str, cluster: str | None) -> tuple[DataFrame, int, bool]:
-    """The rows that count, how many features they have, and whether few of them differ."""
+def _told(rows: DataFrame, group: str | None, features: str, label: str, cluster: str | None, held: bool = False) -> tuple[DataFrame, int, bool]:
+    """The rows that count, how many features they have, and whether few of them differ, which is asked where rows are drawn by cluster."""
     g = F.lit("") if group is None else F.col(group).cast("string")
     kept = rows.select(g.alias("g"), F.col(features).cast("array<double>").alias("x"), F.col(label).cast("double").alias("y"), (F.xxhash64(cluster) if cluster else F.lit(0).cast("long")).alias("h")).where("g is not null and x is not null and y is not null")
-    kept = kept.persist(StorageLevel.MEMORY_AND_DISK)  # read once a step; lost blocks are worked out again
+    kept = kept if held else kept.persist(StorageLevel.MEMORY_AND_DISK)  # read once a step; lost blocks are worked out again
+    if cluster is None:
+        return kept, int(kept.agg(F.max(F.size("x")).alias("p")).first().p or 0), False
     about = kept.agg(F.max(F.size("x")).alias("p"), F.count("*").alias("n"), F.approx_count_distinct(F.xxhash64("g", "x", "y")).alias("different")).first()
     return kept, int(about.p or 0), about.different <= min(PATTERNS, about.n / PATTERN_ROWS)
 
@@ -255,17 +261,18 @@ def _near(kept: DataFrame, p: int, penalty: np.ndarray, weigh, centre: dict) ->
     return out
 
 
-def logistic_many(rows: DataFrame, features: str, label: str, strengths: list[float], *, group: str | None = None, draws: int = 0, cluster: str | None = None, seed: int = 7, most_steps: int = 60, tol: float = 1e-8) -> list[Fit]:
+def logistic_many(rows: DataFrame, features: str, label: str, strengths: list[float], *, group: str | None = None, draws: int = 0, cluster: str | None = None, seed: int = 7, most_steps: int = 60, tol: float = 1e-8, held: bool = False) -> list[Fit]:
     """L2 logistic models for every group and inverse strength, or for every draw of clusters too; intercepts aren't penalised.
 
     features: a column of arrays, as long for all rows of a group. Minimises the sum of (weighted) losses + |b|^2 / 2c. A step that
     doesn't lower its fit's objective is halved. Rows without a group, features or label don't count; a group without rows has no fits.
+    held: the caller has persisted the rows, or what they are filtered from, so no copy of them is.
     """
     if draws and len(strengths) != 1:
         raise ValueError("draws are made for one strength")
     if draws and cluster is None:
         raise ValueError("draws need a cluster")
-    kept, p, few = _told(rows, group, features, label, cluster)
+    kept, p, few = _told(rows, group, features, label, cluster, held)
     n_fits = draws or len(strengths)
     penalty = np.concatenate([[0.0], np.ones(p)])[None] / np.array([strengths[0]] * n_fits if draws else strengths)[:, None]
     ones = lambda b, at, fits: 1.0
@@ -279,15 +286,16 @@ def logistic_many(rows: DataFrame, features: str, label: str, strengths: list[fl
         found = _steps(kept, p, penalty, weigh, _near(kept, p, penalty, weigh, {g: b[0] for g, (b, _) in whole.items()}), most_steps, tol)
     else:
         found = _steps(kept, p, penalty, ones, {}, most_steps, tol)
-    kept.unpersist()
+    if not held:
+        kept.unpersist()
     return [Fit(None if group is None else g, strengths[0] if draws else strengths[i], i if draws else None, float(b[i, 0]), tuple(map(float, b[i, 1:])), bool(ok[i])) for g, (b, ok) in sorted(found.items()) for i in range(n_fits)]
 
 
-def ridge_many(rows: DataFrame, features: str, label: str, alphas: list[float], *, group: str | None = None, draws: int = 0, cluster: str | None = None, seed: int = 7) -> list[Fit]:
-    """Least squares with alpha |b|^2 on the sum of squares for every group and alpha, from one pass; c of a fit is its alpha."""
+def ridge_many(rows: DataFrame, features: str, label: str, alphas: list[float], *, group: str | None = None, draws: int = 0, cluster: str | None = None, seed: int = 7, held: bool = False) -> list[Fit]:
+    """Least squares with alpha |b|^2 on the sum of squares for every group and alpha, from one pass; c of a fit is its alpha. held: see logistic_many()."""
     if draws and (len(alphas) != 1 or cluster is None):
         raise ValueError("draws are made for one alpha, of a cluster")
-    kept, p, _ = _told(rows, group, features, label, cluster)
+    kept, p, _ = _told(rows, group, features, label, cluster, held)
     upper = np.triu_indices(p + 1)
     n_fits = draws or 1
     step = max(1, CELLS // n_fits)
@@ -313,10 +321,41 @@ def ridge_many(rows: DataFrame, features: str, label: str, alphas: list[float],
             m += np.triu(m, 1).T + np.diag([0.0, *[alpha] * p])
             b = np.linalg.lstsq(m, s[: p + 1], rcond=None)[0]
             out.append(Fit(None if group is None else g, alpha, i if draws else None, float(b[0]), tuple(map(float, b[1:])), True))
-    kept.unpersist()
+    if not held:
+        kept.unpersist()
     return out
 
 
+def linear_scores(rows: DataFrame, features: str, group: str, fits: list[Fit], keep: list[str]) -> DataFrame:
+    """group, the columns to keep, and z0, z1, ...: the linear scores of a row by the fits of its group, in the order of the list; null where it has fewer.
+
+    Features are added up one after the other, so rows with the same features have the same score wherever they lie.
+    """
+    by: dict = {}
+    for f in fits:
+        by.setdefault(f.group, []).append(f)
+    p, width = max((len(f.coefficients) for f in fits), default=0), max(map(len, by.values()), default=0)
+    known = rows.select(F.col(group).cast("string").alias(group), F.col(features).cast("array<double>").alias(features), *keep).where(F.col(group).isNotNull() & F.col(features).isNotNull())
+    names = [group, *keep, *[f"z{i}" for i in range(width)]]
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            groups, x = _features(b, p)
+            z, there = np.zeros((width, b.num_rows)), np.zeros((width, b.num_rows), dtype=bool)
+            for g, own in groups:
+                columns = np.ascontiguousarray(x[own].T)
+                for i, f in enumerate(by.get(g, [])):
+                    s = np.full(len(own), f.intercept)
+                    for column, v in zip(columns, f.coefficients, strict=False):
+                        if v:
+                            s += column * v
+                    z[i, own], there[i, own] = s, True
+            yield pa.RecordBatch.from_arrays([b.column(0), *b.columns[2:], *[pa.array(z[i], mask=~there[i]) for i in range(width)]], names=names)
+
+    kinds = {f.name: f.dataType.simpleString() for f in known.schema.fields}
+    return known.mapInArrow(run, ", ".join(f"`{n}` {kinds.get(n, 'double')}" for n in names))
+
+
 def intervals(fits: list[Fit], names: list[str], level: float = 0.95) -> list[tuple]:
     """(name, mean, low, high, share above 0) of the intercept and each coefficient over the draws; a row a parameter."""
     values = np.array([[f.intercept, *f.coefficients] for f in fits])
